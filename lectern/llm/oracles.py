@@ -39,4 +39,17 @@ SELECT q.page_id, host, path, rule, coalesce(rverdict, CASE WHEN word IS NOT NUL
 FROM q LEFT JOIN w USING (page_id)
 """
 
-ORACLES = {"op4_mixing": OP4, "op10_url_filter": OP10}
+OP2 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+        AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""
+
+ORACLES = {"op2_near_vectors": OP2, "op4_mixing": OP4, "op10_url_filter": OP10}

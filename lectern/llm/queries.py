@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, token_counts, url_rules
+from . import embedding_join, mixing, secrets, token_counts, toxicity, url_rules
 
 #: The file of the tokenizer that op1 counts with; the folder is a parameter.
 TOKENIZER = os.environ.get("LECTERN_TOKENIZER", "")
@@ -26,10 +26,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), path)
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +49,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_near_vectors": op2_near_vectors,
     "op4_mixing": op4_mixing,
+    "op6_toxicity": op6_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
