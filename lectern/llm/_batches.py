@@ -28,3 +28,27 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list:
     return batch.column(column).to_pylist()
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of equal keys of batches that are sorted by key, each whole."""
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        if held and keys[0] != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts, cuts[1:]):
+            if a and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)

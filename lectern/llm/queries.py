@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, mixing, secrets, token_counts, toxicity, url_rules
+from . import embedding_join, minhash, mixing, secrets, token_counts, toxicity, url_rules
 
 #: The file of the tokenizer that op1 counts with; the folder is a parameter.
 TOKENIZER = os.environ.get("LECTERN_TOKENIZER", "")
@@ -30,6 +30,10 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_texts(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_near_vectors": op2_near_vectors,
+    "op3_minhash": op3_minhash,
     "op4_mixing": op4_mixing,
     "op6_toxicity": op6_toxicity,
     "op8_secret_scan": op8_secret_scan,
