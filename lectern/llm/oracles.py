@@ -66,4 +66,15 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM documents d JOIN c ON d.doc_id = c.a LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLES = {"op3_minhash": OP3, "op2_near_vectors": OP2, "op4_mixing": OP4, "op10_url_filter": OP10}
+OP9 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: {'i': i, 'g': array_to_string(w[i:i + 12], ' ')})) AS u FROM w WHERE len(w) >= 13),
+f AS (SELECT u.g AS g, min(doc_id) AS m FROM s GROUP BY 1),
+r AS (SELECT DISTINCT s.doc_id, unnest(range(s.u.i, s.u.i + 13)) AS p FROM s JOIN f ON s.u.g = f.g WHERE f.m < s.doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM x ANTI JOIN r USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, len(w.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
+ORACLES = {"op9_cover_dedup": OP9, "op3_minhash": OP3, "op2_near_vectors": OP2, "op4_mixing": OP4, "op10_url_filter": OP10}

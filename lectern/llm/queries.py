@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, minhash, mixing, secrets, token_counts, toxicity, url_rules
+from . import cover_dedup, embedding_join, minhash, mixing, secrets, token_counts, toxicity, url_rules
 
 #: The file of the tokenizer that op1 counts with; the folder is a parameter.
 TOKENIZER = os.environ.get("LECTERN_TOKENIZER", "")
@@ -47,6 +47,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.drop_repeated_windows(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -58,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op6_toxicity": op6_toxicity,
     "op8_secret_scan": op8_secret_scan,
+    "op9_cover_dedup": op9_cover_dedup,
     "op10_url_filter": op10_url_filter,
 }
