@@ -245,3 +245,18 @@ class _Tile:
         if not links:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return self.uid[np.concatenate([x for x, _ in links])], self.uid[np.concatenate([y for _, y in links])]
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
+    """docs, all columns, with one row of each group of linked texts: the one of smallest id.
+
+    Rows without shingles stay. Where ids repeat, rows are told apart by numbers in order of the ids, nulls last.
+    """
+    if docs.select(id_col).count() != docs.select(id_col).distinct().count():
+        numbered = table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
+        groups_ = near_texts(numbered.select("_row", text_col), "_row", text_col, percent, k).select("_row", "component_id")
+        least = numbered.select("_row", order.alias("order")).join(groups_, "_row").groupBy("component_id").agg(F.min_by("_row", "order").alias("_row"))
+        return numbered.join(least.select("_row"), "_row", "left_semi").drop("_row")
+    kept = near_texts(docs, id_col, text_col, percent, k).filter("kept").select(F.col(id_col).alias("_kept"))
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")

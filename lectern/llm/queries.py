@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_dedup, embedding_join, minhash, mixing, secrets, suffix_dedup, token_counts, toxicity, url_rules
+from . import cover_dedup, decontaminate, embedding_join, minhash, mixing, secrets, suffix_dedup, token_counts, toxicity, url_rules
 
 #: The file of the tokenizer that op1 counts with; the folder is a parameter.
 TOKENIZER = os.environ.get("LECTERN_TOKENIZER", "")
@@ -47,6 +47,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
     "op9_cover_dedup": op9_cover_dedup,
     "op10_url_filter": op10_url_filter,
