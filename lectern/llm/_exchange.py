@@ -1,9 +1,10 @@
 """Exchanging hashed places of texts between tasks in packed rows.
 
 A map task sends, for each bucket of hashes, one row with arrays of entries (hash, place in the text, text). A reduce
-task compares the entries of a bucket and answers with rows (key of the text, places). What a task already knows of
-its own entries it sends as an answer at once, so a hash that very many texts share costs an entry for each piece of
-input, not for each text.
+task compares the entries of a bucket and answers with rows that hold the places of many texts, one row for each
+bucket of texts; they are merged there into one row for each text. What a task already knows of its own entries it
+sends as an answer at once, so a hash that very many texts share costs an entry for each piece of input, not for each
+text.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ._words import mix
 
 ENTRIES = "bucket int, keys binary, ids binary, texts binary, hashes binary, low binary, high binary, sure binary"
-ANSWERS = "key long, places binary"
+ANSWERS = "dest int, keys binary, counts binary, places binary"
 
 
 def buckets(total_bytes: int, partitions: int, each: int = 16 << 20) -> int:
@@ -64,29 +66,59 @@ class Entries:
         cat = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in parts.items()}
         self.keys, self.ids, self.text, self.h, self.place, self.sure = (cat[k] for k in ("keys", "ids", "text", "h", "place", "sure"))
 
-    def answers(self, which: np.ndarray) -> pa.RecordBatch:
-        """One row for each text that has chosen entries."""
-        return answers(self.keys, self.text[which], self.place[which])
-
-
-def answers(keys: np.ndarray, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(text, kind="stable")
-    text, place = text[order], place[order].astype(np.uint32)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1]) if len(text) else np.zeros(0, np.int64)
-    parts = [p.tobytes() for p in np.split(place, first[1:])] if len(text) else []
-    return pa.RecordBatch.from_arrays([pa.array(keys[text[first]] if len(text) else [], pa.int64()), pa.array(parts, pa.binary())], ["key", "places"])
-
-
-def gathered(found: DataFrame) -> DataFrame:
-    """The places of each text in one row, in no order; a text has no more of them than bytes."""
-    return found.groupBy("key").agg(F.collect_list("places").alias("places"))
-
-
-def joined(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Every row of texts (key, ...) with its places."""
-    return texts.join(gathered(found), "key", "left")
+    def answers(self, which: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+        return answers(self.keys[self.text[which]], self.place[which].astype(np.uint32), n_buckets)
+
+
+def answers(keys: np.ndarray, places: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Places by key, packed in one row for each bucket of keys that they go back to."""
+    dest = (mix(keys.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+    order = np.lexsort((keys, dest))
+    keys, places, dest = keys[order], places[order], dest[order]
+    first = _firsts(keys)
+    cut = np.flatnonzero(np.diff(dest[first])) + 1
+    counts = np.diff(np.concatenate([first, [len(keys)]]))
+    ends = np.concatenate([first[cut], [len(keys)]]).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(keys) else ends
+    split = lambda x: [p.tobytes() for p in np.split(x, cut)] if len(keys) else []
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(dest[starts], pa.int32()),
+            pa.array(split(keys[first]), pa.binary()),
+            pa.array(split(counts.astype(np.uint32)), pa.binary()),
+            pa.array([places[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+        ],
+        ["dest", "keys", "counts", "places"],
+    )
+
+
+def _firsts(sorted_values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+
+
+def merged(found: DataFrame, n_buckets: int, kind: type = np.uint32) -> DataFrame:
+    """(key, places): one row for each key that has answers, with its distinct places in order."""
+
+    def merge(batches):
+        keys, places = [np.zeros(0, np.int64)], [np.zeros(0, kind)]
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys.append(np.repeat(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], np.uint32)))
+                places.append(np.frombuffer(row["places"], kind))
+        keys, places = np.concatenate(keys), np.concatenate(places)
+        order = np.lexsort((places, keys))
+        keys, places = keys[order], places[order]
+        if len(keys):
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])])
+            keys, places = keys[new], places[new]
+        first = _firsts(keys)
+        for a in range(0, len(first), 4096):
+            begins = first[a : a + 4096]
+            ends = np.concatenate([first[a + 1 : a + 4096], [first[a + 4096] if a + 4096 < len(first) else len(keys)]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[begins]), pa.array([places[x:y].tobytes() for x, y in zip(begins, ends)], pa.binary())], ["key", "places"])
+
+    return found.repartition(n_buckets, "dest").mapInArrow(merge, "key long, places binary")
 
 
 def places_of(column: pa.Array, i: int) -> np.ndarray:
-    parts = column[i].as_py()
-    return np.unique(np.frombuffer(b"".join(parts), np.uint32)).astype(np.int64) if parts else np.zeros(0, np.int64)
+    return np.frombuffer(column[i].as_py() or b"", np.uint32).astype(np.int64)

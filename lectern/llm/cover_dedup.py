@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import pieces, texts_of
-from ._exchange import ANSWERS, ENTRIES, Entries, buckets, joined, pack, places_of
+from ._exchange import ANSWERS, ENTRIES, Entries, buckets, merged, pack, places_of
 from ._io import table
 from ._words import Words
 
@@ -72,7 +72,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def match_anchors(batches):
         e = Entries(batches)
         told = e.h == 0
-        yield e.answers(np.flatnonzero(told))
+        yield e.answers(np.flatnonzero(told), n_buckets)
         at = np.flatnonzero(~told)
         if len(at):
             order = at[np.lexsort((e.text[at], e.h[at]))]
@@ -81,10 +81,10 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
             shared = np.zeros(group[-1] + 1, bool)
             shared[group[sure]] = True
             shared[group[1:][(h[1:] == h[:-1]) & (text[1:] != text[:-1])]] = True
-            yield e.answers(order[shared[group]])
+            yield e.answers(order[shared[group]], n_buckets)
 
     anchors = rows.select("key", "text").mapInArrow(send_anchors, ENTRIES).repartition(n_buckets, "bucket").mapInArrow(match_anchors, ANSWERS)
-    anchors = table(anchors, "anchors")
+    anchors = table(merged(anchors, n_buckets), "anchors")
 
     def send_windows(batches):
         for batch in pieces(batches, "text"):
@@ -115,18 +115,18 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def match_windows(batches):
         e = Entries(batches)
         told = e.h == 0
-        yield e.answers(np.flatnonzero(told))
+        yield e.answers(np.flatnonzero(told), n_buckets)
         at = np.flatnonzero(~told)
         if len(at):
             ids = e.ids[e.text]
             order = at[np.lexsort((ids[at], e.h[at]))]
             first = np.concatenate([[True], np.diff(e.h[order]) != 0])
             least = ids[order[first]][np.cumsum(first) - 1]
-            yield e.answers(order[ids[order] > least])
+            yield e.answers(order[ids[order] > least], n_buckets)
 
-    sides = rows.join(anchors.groupBy("key").agg(F.collect_list("places").alias("places")), "key")
+    sides = rows.join(anchors, "key")
     windows = sides.mapInArrow(send_windows, ENTRIES).repartition(n_buckets, "bucket").mapInArrow(match_windows, ANSWERS)
-    windows = table(windows, "windows")
+    windows = table(merged(windows, n_buckets), "windows")
 
     def remove(batches):
         for batch in pieces(batches, "text"):
@@ -152,7 +152,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
             )
 
     shape = "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return joined(rows, windows).mapInArrow(remove, shape).withColumnRenamed("id", id_col)
+    return rows.join(windows, "key", "left").mapInArrow(remove, shape).withColumnRenamed("id", id_col)
 
 
 def _told(keys: np.ndarray, text: np.ndarray, place: np.ndarray, n_buckets: int) -> pa.RecordBatch:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import pieces, texts_of
-from ._exchange import buckets
+from ._exchange import ANSWERS, answers, buckets, merged
 from ._io import table
 from ._words import mix
 from .run_index import RunIndex
@@ -28,7 +28,7 @@ _PLACE = np.uint64(28)
 _SIZE = np.uint64(0xA0761D6478BD642F)
 
 _ROW = "bucket int, keys binary, texts binary, h binary, c binary, v binary"
-_ANSWER = "key long, kind int, places binary"
+_ANSWER = ANSWERS + ", kind int"
 FULL, ASK, ASK_HOT = 0, 1, 2
 
 
@@ -120,16 +120,13 @@ class _Received:
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.keys, self.text, self.h, self.c, self.v = cat(keys, np.int64), cat(text, np.int64), cat(h, np.uint64), cat(c, np.uint64), cat(v, np.uint64)
 
-    def answers(self, which: np.ndarray, kind: int, v: np.ndarray | None = None) -> pa.RecordBatch:
-        return _answers(self.keys[self.text[which]], (self.v if v is None else v)[which], kind)
+    def answers(self, which: np.ndarray, kind: int, n_buckets: int, v: np.ndarray | None = None) -> pa.RecordBatch:
+        return _answers(self.keys[self.text[which]], (self.v if v is None else v)[which], kind, n_buckets)
 
 
-def _answers(keys: np.ndarray, v: np.ndarray, kind: int) -> pa.RecordBatch:
-    order = np.argsort(keys, kind="stable")
-    keys, v = keys[order], v[order]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1]) if len(keys) else np.zeros(0, np.int64)
-    parts = [x.tobytes() for x in np.split(v, first[1:])] if len(keys) else []
-    return pa.RecordBatch.from_arrays([pa.array(keys[first], pa.int64()), pa.array([kind] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["key", "kind", "places"])
+def _answers(keys: np.ndarray, v: np.ndarray, kind: int, n_buckets: int) -> pa.RecordBatch:
+    packed = answers(keys, v, n_buckets)
+    return packed.append_column("kind", pa.array([kind] * packed.num_rows, pa.int32()))
 
 
 def _same(x: np.ndarray) -> np.ndarray:
@@ -189,7 +186,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def match_contexts(batches):
         e = _Received(batches)
         told = e.h == 0
-        yield e.answers(np.flatnonzero(told), FULL)
+        yield e.answers(np.flatnonzero(told), FULL, n_buckets)
         at = np.flatnonzero(~told)
         if not len(at):
             return
@@ -197,28 +194,25 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         order = at[order]
         first = np.concatenate([[True], same[1:] != same[:-1]])
         twice = (np.bincount(same) > 1) | (np.bincount(same, weights=(e.v[order] & np.uint64(1)).astype(float)) > 0)
-        yield e.answers(order[twice[same]], FULL)
+        yield e.answers(order[twice[same]], FULL, n_buckets)
         kinds = np.bincount(group, weights=first)[group]
         v = (e.v & ~np.uint64(1)).copy()
         v[order] |= twice[same].astype(np.uint64)
-        yield e.answers(order[first & (kinds > 1) & (kinds <= hot)], ASK, v)
-        yield e.answers(order[first & (kinds > hot)], ASK_HOT, v)
+        yield e.answers(order[first & (kinds > 1) & (kinds <= hot)], ASK, n_buckets, v)
+        yield e.answers(order[first & (kinds > hot)], ASK_HOT, n_buckets, v)
 
     found = rows.select("key", "text").mapInArrow(send_contexts, _ROW).repartition(n_buckets, "bucket").mapInArrow(match_contexts, _ANSWER)
     found = table(found, "contexts")
-    asked = found.filter(F.col("kind") != FULL).groupBy("key", "kind").agg(F.collect_list("places").alias("places"))
-    unique = rows.select("key", "text").join(asked, "key").dropDuplicates(["key", "kind"])
+    asked = [merged(found.filter(F.col("kind") == k), n_buckets, np.uint64).withColumn("kind", F.lit(k)) for k in (ASK, ASK_HOT)]
+    unique = [rows.select("key", "text").join(a, "key").dropDuplicates(["key"]) for a in asked]
 
     def send_bytes(batches):
         for batch in pieces(batches, "text"):
             out: dict[int, list] = {}
-            kinds = batch.column("kind").to_pylist()
-            for i, (key, text, places) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("key", "text", "places")), strict=True)):
-                v = np.unique(np.frombuffer(b"".join(places), np.uint64))
+            for key, text, places in zip(*(batch.column(k).to_pylist() for k in ("key", "text", "places")), strict=True):
+                v = np.frombuffer(places, np.uint64)
                 start, length, offset, _ = _unpacked(v)
                 raw = text.encode()
-                if kinds[i] == ASK_HOT:
-                    continue
                 for s, n, o, one in zip(start.tolist(), length.tolist(), offset.tolist(), v.tolist()):
                     anchor = int.from_bytes(hashlib.blake2b(raw[s + o : s + o + gram], digest_size=8).digest(), "little")
                     held = out.setdefault(anchor % n_buckets, [[], [], [], []])
@@ -267,11 +261,11 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 last = np.concatenate([first[1:], [True]])
                 a, b = marks[first], marks[last]
                 x = own[of[first]]
-                yield _answers(keys[x], _packed(start[x] + a - starts[of[first]], b - a + window, np.zeros(len(a)), np.zeros(len(a))), FULL)
+                yield _answers(keys[x], _packed(start[x] + a - starts[of[first]], b - a + window, np.zeros(len(a)), np.zeros(len(a))), FULL, n_buckets)
             cut, held = end, int(size[end - 1])
 
     shape = "bucket int, keys binary, h binary, v binary, data binary"
-    marked = unique.filter(F.col("kind") == ASK).mapInArrow(send_bytes, shape).repartition(n_buckets, "bucket").mapInArrow(index_bytes, _ANSWER)
+    marked = unique[0].mapInArrow(send_bytes, shape).repartition(n_buckets, "bucket").mapInArrow(index_bytes, _ANSWER)
 
     def send_windows(batches):
         for batch in pieces(batches, "text", 1 << 18):
@@ -279,7 +273,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             texts = Bytes(texts_of(batch, "text"))
             text, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, places in enumerate(batch.column("places").to_pylist()):
-                start, length, _, _ = _unpacked(np.unique(np.frombuffer(b"".join(places), np.uint64)))
+                start, length, _, _ = _unpacked(np.frombuffer(places, np.uint64))
                 count = length - window + 1
                 at.append(np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
                 text.append(np.full(len(at[-1]), i))
@@ -293,21 +287,18 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def match_windows(batches):
         e = _Received(batches)
-        yield e.answers(np.flatnonzero(e.h == 0), FULL)
+        yield e.answers(np.flatnonzero(e.h == 0), FULL, n_buckets)
         at = np.flatnonzero(e.h != 0)
         if len(at):
             order, _, same = _combined(e.h[at], e.h[at])
             twice = (np.bincount(same) > 1) | (np.bincount(same, weights=(e.v[at[order]] & np.uint64(1)).astype(float)) > 0)
-            yield e.answers(at[order][twice[same]], FULL)
+            yield e.answers(at[order][twice[same]], FULL, n_buckets)
 
-    parts = [found.filter(F.col("kind") == FULL), table(marked, "marked")]
+    spans = found.filter(F.col("kind") == FULL).union(table(marked, "marked"))
     if found.filter(F.col("kind") == ASK_HOT).limit(1).count():
-        windows = unique.filter(F.col("kind") == ASK_HOT).mapInArrow(send_windows, _ROW).repartition(n_buckets, "bucket").mapInArrow(match_windows, _ANSWER)
-        parts.append(table(windows, "hot-windows"))
-    spans = parts[0].union(parts[1])
-    for more in parts[2:]:
-        spans = spans.union(more)
-    spans = spans.groupBy("key").agg(F.collect_list("places").alias("places"))
+        windows = unique[1].mapInArrow(send_windows, _ROW).repartition(n_buckets, "bucket").mapInArrow(match_windows, _ANSWER)
+        spans = spans.union(table(windows, "hot-windows"))
+    spans = merged(spans.drop("kind"), n_buckets, np.uint64)
 
     def remove(batches):
         for batch in pieces(batches, "text"):
@@ -316,7 +307,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 raw = (text or "").encode()
                 gone = np.zeros(len(raw) + 1, np.int64)
                 if places:
-                    start, length, _, _ = _unpacked(np.unique(np.frombuffer(b"".join(places), np.uint64)))
+                    start, length, _, _ = _unpacked(np.frombuffer(places, np.uint64))
                     np.add.at(gone, start, 1)
                     np.add.at(gone, start + length, -1)
                 stays = np.cumsum(gone)[:-1] == 0
