@@ -175,6 +175,11 @@ ORACLES: dict[str, str] = {
     "rk20_name_filter": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'cold')",
     "ex1_line_fields": f"WITH {FORMS} SELECT doc_id, CAST(n AS INTEGER) AS n, label, value FROM (SELECT doc_id, unnest([0, 1, 2]) AS n, unnest(['Name', 'Nation', 'Market Segment']) AS label, unnest([c_name, n_name, c_mktsegment]) AS value FROM f)",
     "ex2_learn_labels": f"WITH {FORMS} SELECT label, count(*) AS n FROM (SELECT unnest(['name', 'nation', 'segment', 'market segment', 'https']) AS label FROM f) GROUP BY label",
+    "ex3_lexicon_fields": f"""WITH {FORMS}, p AS (SELECT *, length('Name: ' || c_name) + 2 AS p1, length('Nation: ' || n_name) + 2 AS p2, length('Market Segment: ' || c_mktsegment) + 2 AS p3 FROM f)
+      SELECT doc_id, CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS n, unnest(['Name', 'Nation', 'Market Segment', 'https']) AS label, unnest([c_name, n_name, c_mktsegment, '//example.com']) AS value,
+      CAST(unnest([0, p1, p1 + p2, p1 + p2 + p3]) AS INTEGER) AS pos FROM p""",
+    "ex5_extract_all": f"WITH {FORMS} SELECT doc_id, unnest(['Name', 'Nation', 'Market Segment', 'https']) AS label, unnest([c_name, n_name, c_mktsegment, '//example.com']) AS value, true AS verified FROM f",
+    "ex7_field_answers": f"WITH {FORMS} SELECT doc_id, CAST(2 AS INTEGER) AS matched, CAST(1 AS BIGINT) AS n_values, c_mktsegment AS answer FROM f",
     "ex4_question_has_label": "SELECT count(*) >= 3 AS has_label FROM customer",
     "ex8_receipt_total": f"SELECT o_orderkey AS doc_id, CAST(c + c // 20 AS VARCHAR) AS total, CAST(c AS VARCHAR) AS subtotal, CAST(c // 20 AS VARCHAR) AS tax FROM (SELECT o_orderkey, {CENTS} AS c FROM orders)",
     "ex9_item_price": f"SELECT o_orderkey AS doc_id, CAST({CENTS} AS VARCHAR) AS price FROM orders",

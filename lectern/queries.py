@@ -51,9 +51,9 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forms(spark: SparkSession, d: str) -> DataFrame:
-    """A form for each customer, one labelled value a line."""
+    """A form for each customer, one labelled value a block."""
     c, n = t(spark, d, "customer"), t(spark, d, "nation")
-    text = F.concat_ws("\n", F.concat(F.lit("Name: "), "c_name"), F.concat(F.lit("Nation: "), "n_name"), F.concat(F.lit("Market Segment: "), "c_mktsegment"), F.lit("https://example.com"))
+    text = F.concat_ws("\n\n", F.concat(F.lit("Name: "), "c_name"), F.concat(F.lit("Nation: "), "n_name"), F.concat(F.lit("Market Segment: "), "c_mktsegment"), F.lit("https://example.com"))
     return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("doc_id"), text.alias("text"), F.lit("text").alias("source"))
 
 
@@ -432,12 +432,12 @@ def ex1_line_fields(spark, d):
 
 @query
 def ex2_learn_labels(spark, d):
-    return ex.learn_labels(forms(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+    return ex.learn_labels(forms(spark, d))
 
 
 @query
 def ex3_lexicon_fields(spark, d):
-    f = forms(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    f = forms(spark, d)
     return ex.lexicon_fields(f, ex.learn_labels(f), ["doc_id"])
 
 
