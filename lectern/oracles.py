@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .functions import words as W
+from .functions.bengali import _ALL as GLYPHS
 from .functions.text import tokens_of
+from .operators.ledger import ACTIONS, PRIOR
 from .queries import PHRASE, QUESTION
 
 
@@ -34,16 +36,20 @@ def covers(word: str) -> str:
     return exact if len(word) < 5 else f"({exact} OR len(list_filter(toks, lambda t: length(t) >= 4 AND substr(t, 1, 4) = '{word[:4]}')) > 0)"
 
 
-def _scored() -> str:
-    """sc: units with bm25, coverage and score for the fixed question."""
+def _scores(units: str, made: str) -> str:
+    """made: units with bm25, coverage and score for the fixed question."""
     stats = ", ".join(f"sum(CAST(list_contains(toks, '{w}') AS INT)) AS d{i}" for i, w in enumerate(TERMS))
     idfs = [IDF.replace("df", f"d{i}") for i in range(len(TERMS))]
-    part = " + ".join(f"{g} * len(list_filter(toks, lambda t: t = '{w}')) * {W.K1 + 1}::DOUBLE / (len(list_filter(toks, lambda t: t = '{w}')) + {W.K1}::DOUBLE * ({1 - W.B}::DOUBLE + {W.B}::DOUBLE * len(toks) / (total / n)))" for g, w in zip(idfs, TERMS))
+    held = [f"len(list_filter(toks, lambda t: t = '{w}'))" for w in TERMS]
+    part = " + ".join(f"{g} * {f} * {W.K1 + 1}::DOUBLE / ({f} + {W.K1}::DOUBLE * ({1 - W.B}::DOUBLE + {W.B}::DOUBLE * len(toks) / (total / n)))" for g, f in zip(idfs, held))
     covered = " + ".join(f"CASE WHEN {covers(w)} THEN {g} ELSE 0 END" for g, w in zip(idfs, TERMS))
-    return f"""{UNITS},
-st AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(toks)) AS DOUBLE) AS total, {stats} FROM u),
-s0 AS (SELECT u.*, st.*, {part} AS bm25, ({covered}) / ({" + ".join(idfs)}) AS coverage FROM u CROSS JOIN st),
-sc AS (SELECT *, bm25 * (0.25::DOUBLE + 0.75::DOUBLE * coverage) AS score FROM s0)"""
+    return f"""{made}1 AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(toks)) AS DOUBLE) AS total, {stats} FROM {units}),
+{made}2 AS (SELECT {units}.*, {made}1.*, {part} AS bm25, ({covered}) / ({" + ".join(idfs)}) AS coverage FROM {units} CROSS JOIN {made}1),
+{made} AS (SELECT *, bm25 * (0.25::DOUBLE + 0.75::DOUBLE * coverage) AS score FROM {made}2)"""
+
+
+def _scored() -> str:
+    return f"{UNITS}, {_scores('u', 'sc')}"
 
 
 def _trigrams() -> str:
@@ -94,10 +100,21 @@ STEM = "CASE " + " ".join(f"WHEN ends_with(term, '{s}') AND length(term) - {len(
 SHARE = r"(CASE WHEN len(list_filter({a}, lambda w: NOT list_contains({q}, w))) > 0 THEN CAST(len(list_filter({a}, lambda w: NOT list_contains({q}, w) AND list_contains({e}, w))) AS DOUBLE) / len(list_filter({a}, lambda w: NOT list_contains({q}, w))) ELSE 0.0::DOUBLE END)"
 SUPPORT = f"""{ANSWERS}, k AS (SELECT *, {tok("answer")} AS ta, {tok("question")} AS tq, {tok("evidence")} AS te FROM a)"""
 JACCARD_WORDS = "list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+')), lambda w: NOT list_contains(" + _list(W.RECALL_FILLER) + ", w))"
+ENTITIES = "list_filter(list_transform(regexp_extract_all(' ' || {x}, '[^A-Za-z][A-Z][a-z''’-]+(?:\\s+[A-Z][a-z''’-]+)+'), lambda e: substr(e, 2)), lambda e: NOT list_contains(" + _list(W.QUESTION_WORDS) + ", regexp_extract(e, '^(\\S+)', 1)))"
+REFS = r"(CASE WHEN regexp_matches(question, '(?i)" + W.ITEM_WORD + r"') THEN regexp_extract_all(question, '(?:^|[^\d.])(\d{1,2}\.\d{1,2})(?:[^\d.]|$)', 1) ELSE [] END)"
+GROUNDED = f"""(regexp_matches(question, '(?i){W.META_Q}') OR (len({REFS}) > 0 AND len(list_filter({REFS}, lambda r: NOT list_contains(tp, r))) = 0)
+  OR (coverage >= 0.8 AND len(list_filter({ENTITIES.format(x="question")}, lambda e: NOT contains(lower(page_text), lower(e)))) = 0))"""
+VERIFY = f"""{SUPPORT}, g AS (SELECT *, {tok("page_text")} AS tp FROM k),
+v AS (SELECT doc_id, answer AS final_answer, CASE WHEN (regexp_matches(question, '(?i){W.NUMERIC_Q}') AND NOT regexp_matches(answer, '[0-9]')) OR regexp_matches(answer, '(?i){W.NOT_FOUND}') OR NOT {GROUNDED} THEN 0.0::DOUBLE
+  ELSE {SHARE.format(a='ta', q='tq', e='te')} END AS support FROM g)"""
 MEMORY = "m AS (SELECT text AS q, 'a' || item_id AS a, item_id % 3 <> 0 AS verified, CAST(item_id AS DOUBLE) AS ts, item_id FROM benchmark)"
 RESULTS = "SELECT lang AS category, quality = 1 OR doc_id % {k} = 0 AS ok FROM labels JOIN documents USING (doc_id)"
 CACHE_WORDS = "list_filter(regexp_extract_all(replace(lower({x}), 'what''s', 'what is'), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]+'), lambda w: NOT list_contains(" + _list(W.CACHE_FILLER) + ", w))"
 
+SENTENCES = r"""se AS (SELECT doc_id, page, CAST(unnest(range(0, len(s))) AS INTEGER) AS n, unnest(s) AS sentence FROM (SELECT doc_id, page,
+  list_filter(list_transform(flatten(list_transform(string_split(text, chr(10) || chr(10)), lambda b: string_split(regexp_replace(b, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: length(p) > 0) AS s FROM tx))"""
+ROUTE = {a: " + ".join(f"{w}::DOUBLE * " + ("1" if k == 0 else f"((event_id * {k}) % 11 / 10.0::DOUBLE)") for k, w in enumerate(PRIOR[a])) for a in ACTIONS}
+
 ORACLES: dict[str, str] = {
     "src1_content_id": "SELECT doc_id, substr(sha1(text), 1, 16) AS content_id FROM documents",
     "src2_pages": f"WITH {PAGES} SELECT doc_id, page, CAST(len(lines) AS INTEGER) AS n_lines, text FROM tx",
@@ -191,6 +208,17 @@ ORACLES: dict[str, str] = {
     "ex14_titles": f"""WITH {BOXES}, v AS (SELECT *, y1 - y0 AS h FROM b WHERE y0 < 0.6), m AS (SELECT doc_id, max(h) AS h FROM v GROUP BY doc_id)
       SELECT v.doc_id, substr(string_agg(text, ' ' ORDER BY y0, x0, text), 1, 80) AS title FROM v JOIN m ON v.doc_id = m.doc_id AND v.h >= 0.75 * m.h GROUP BY v.doc_id""",
     "vf1_support": f"WITH {SUPPORT} SELECT doc_id, round({SHARE.format(a='ta', q='tq', e='te')}, 6) AS support FROM k",
+    "vf2_grounded": f"WITH {SUPPORT}, g AS (SELECT *, {tok('page_text')} AS tp FROM k) SELECT doc_id, {GROUNDED} AS grounded FROM g",
+    "vf4_verified": f"WITH {VERIFY} SELECT doc_id, final_answer, round(support, 6) AS support, support >= {W.SUPPORT_OK} AS verified FROM v",
+    "ca3_cacheable": f"WITH {VERIFY} SELECT doc_id FROM v WHERE support >= {W.SUPPORT_OK} AND doc_id % 5 <> 0 AND doc_id % 7 <> 0",
+    "fn5_page_unit": f"WITH {BOXES} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY line, part) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT *, l_partkey AS part FROM b) GROUP BY doc_id",
+    "fn7_sentences": f"WITH {PAGES}, {SENTENCES} SELECT doc_id, page, n, sentence FROM se",
+    "extra_window_neighbours": f"WITH {PAGES}, {SENTENCES} SELECT doc_id, page, n, CAST(coalesce(lag(length(sentence)) OVER o, 0) AS INTEGER) AS before, CAST(coalesce(lead(length(sentence)) OVER o, 0) AS INTEGER) AS after FROM se WINDOW o AS (PARTITION BY doc_id, page ORDER BY n)",
+    "fn24_unknown_glyphs": f"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[^\\x00-\\x7F]'), lambda c: NOT list_contains({_list(sorted(GLYPHS))}, c)))), ''), '') AS glyphs FROM documents""",
+    "rk11_retrieve": f"""WITH {CHUNKS}, u AS (SELECT doc_id, page, text, {tok("text")} AS toks FROM tx WHERE text <> ''), cu AS (SELECT *, {tok("text")} AS toks FROM ck), {_scores("u", "sc")}, {_scores("cu", "cs")},
+      near AS (SELECT doc_id, page FROM sc WHERE bm25 > 0 ORDER BY round(score, 6) DESC, doc_id, page LIMIT 2)
+      SELECT doc_id, page, CAST(chunk AS INTEGER) AS chunk, round(score, 6) AS score FROM cs SEMI JOIN near USING (doc_id, page) WHERE bm25 > 0 ORDER BY 4 DESC, 1, 2, 3 LIMIT 3""",
+    "lr1_route": "SELECT event_id, array_to_string(list_transform(list_sort([" + ", ".join(f"{{'s': round(-({ROUTE[a]}), 9), 'i': {i}, 'a': '{a}'}}" for i, a in enumerate(ACTIONS)) + "]), lambda s: s.a), ',') AS actions FROM events",
     "vf3_invented": "SELECT o_orderkey, o_orderkey % 2 = 1 AND o_custkey + 1 >= 10 AS invented FROM orders",
     "vf5_ocr_warnings": f"""WITH {BOXES}, w AS (SELECT doc_id, CAST(l_partkey AS VARCHAR) AS v FROM b WHERE line = 1 AND l_partkey >= 10),
       h AS (SELECT b.doc_id, min(score) AS low, min(CASE WHEN line = 5 THEN 'other' END) AS other FROM b JOIN w ON b.doc_id = w.doc_id AND contains(replace(lower(b.text), ' ', ''), w.v) GROUP BY b.doc_id, w.v)

@@ -184,6 +184,14 @@ def fn4_chunks(spark, d):
     return chunks(spark, d).select("doc_id", "page", "chunk", "text")
 
 
+@query
+def fn5_page_unit(spark, d):
+    """A unit of all lines of a page, with the box around them."""
+    b = _line_boxes(spark, d)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part", "text"))), lambda s: s["text"]), "\n\n")
+    return b.groupBy("doc_id").agg(lines.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
 @query
 def fn6_gateway_chunks(spark, d):
     return t(spark, d, "documents").select("doc_id", F.posexplode(T.windows("text")).alias("n", "piece"))
@@ -395,6 +403,12 @@ def rk14_absent_terms(spark, d):
     return ix.absent_terms(units(spark, d), QUESTION + " zyxwvut quokka invoiced").select("term", F.round("idf", 6).alias("idf"), "role")
 
 
+@query
+def rk15_absent_share(spark, d):
+    u = units(spark, d)
+    return spark.createDataFrame([(q, round(ix.absent_share(u, q), 6)) for q in (QUESTION, "zyxwvut quokka kumquat")], "question string, share double")
+
+
 @query
 def rk16_abstain(spark, d):
     u = units(spark, d)
@@ -800,4 +814,4 @@ def extra_window_neighbours(spark, d):
     """Extra: sentences with their neighbours, by window functions."""
     w = Window.partitionBy("doc_id", "page").orderBy("n")
     s = fn7_sentences(spark, d)
-    return s.select("doc_id", "page", "n", F.lag(F.length("sentence")).over(w).alias("before"), F.lead(F.length("sentence")).over(w).alias("after"))
+    return s.select("doc_id", "page", "n", F.coalesce(F.lag(F.length("sentence")).over(w), F.lit(0)).alias("before"), F.coalesce(F.lead(F.length("sentence")).over(w), F.lit(0)).alias("after"))
