@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from ._words import mix
 
-ENTRIES = "bucket int, keys binary, ids binary, texts binary, hashes binary, low binary, high binary, sure binary"
+ENTRIES = "bucket int, keys binary, ids binary, counts binary, hashes binary, low binary, high binary, sure binary"
 ANSWERS = "dest int, keys binary, counts binary, places binary"
 
 
@@ -26,17 +26,23 @@ def buckets(total_bytes: int, partitions: int, each: int = 16 << 20) -> int:
     return int(max(partitions, total_bytes // each + 1))
 
 
-def pack(n_buckets: int, h: np.ndarray, place: np.ndarray, text: np.ndarray, keys: np.ndarray, ids: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
-    """Entries as rows, one for each bucket. keys and ids belong to the texts that text numbers; sure: see module."""
-    bucket = (h >> np.uint64(40)) % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    h, place, text, sure, bucket = h[order], place[order], text[order], sure[order], bucket[order].astype(np.int32)
+def pack(n_buckets: int, h: np.ndarray, place: np.ndarray, text: np.ndarray, keys: np.ndarray, ids: np.ndarray | None, sure: np.ndarray, narrow: bool = False) -> pa.RecordBatch:
+    """Entries as rows, one for each bucket, in order of texts and places, so that they compress.
+
+    keys and ids belong to the texts that text numbers; sure: see module. narrow keeps 32 bits of a hash beside those
+    that chose the bucket, for filters that may let some others pass. A hash of 0 stays 0, others don't become 0.
+    """
+    bucket = ((h >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int32)
+    order = np.lexsort((place, text, bucket))
+    h, place, text, sure, bucket = h[order], place[order], text[order], sure[order], bucket[order]
+    if narrow:
+        h = np.where(h == 0, 0, (h >> np.uint64(8)) | np.uint64(1)).astype(np.uint32)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(h)]]) if len(h) else np.zeros(1, np.int64)
     columns: list[list] = [[] for _ in range(8)]
     for a, b in zip(cuts[:-1], cuts[1:]):
-        own, number = np.unique(text[a:b], return_inverse=True)
+        own, counts = np.unique(text[a:b], return_counts=True)
         values = (
-            int(bucket[a]), keys[own].tobytes(), ids[own].tobytes(), number.astype(np.uint32).tobytes(), h[a:b].tobytes(),
+            int(bucket[a]), keys[own].tobytes(), b"" if ids is None else ids[own].tobytes(), counts.astype(np.uint32).tobytes(), h[a:b].tobytes(),
             (place[a:b] & 0xFFFF).astype(np.uint16).tobytes(), (place[a:b] >> 16).astype(np.uint16).tobytes(), np.packbits(sure[a:b]).tobytes(),
         )
         for c, v in zip(columns, values):
@@ -46,22 +52,22 @@ def pack(n_buckets: int, h: np.ndarray, place: np.ndarray, text: np.ndarray, key
 
 
 class Entries:
-    """All entries of a reduce task. text numbers the texts over all rows; key and id are given for each entry's text."""
+    """All entries of a reduce task. text numbers the texts over all rows; keys and ids are those of the texts."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch]):
+    def __init__(self, batches: Iterator[pa.RecordBatch], narrow: bool = False):
         parts: dict[str, list] = {k: [] for k in ("keys", "ids", "text", "h", "place", "sure")}
         texts = 0
         for batch in batches:
             for row in batch.to_pylist():
                 keys = np.frombuffer(row["keys"], np.int64)
-                number = np.frombuffer(row["texts"], np.uint32).astype(np.int64)
+                counts = np.frombuffer(row["counts"], np.uint32)
                 parts["keys"].append(keys)
                 parts["ids"].append(np.frombuffer(row["ids"], np.int64))
-                parts["text"].append(number + texts)
-                parts["h"].append(np.frombuffer(row["hashes"], np.uint64))
-                place = np.frombuffer(row["low"], np.uint16).astype(np.int64)
-                parts["place"].append(place + (np.frombuffer(row["high"], np.uint16).astype(np.int64) << 16))
-                parts["sure"].append(np.unpackbits(np.frombuffer(row["sure"], np.uint8), count=len(number)).astype(bool))
+                parts["text"].append(np.repeat(np.arange(texts, texts + len(keys), dtype=np.int32), counts))
+                parts["h"].append(np.frombuffer(row["hashes"], np.uint32 if narrow else np.uint64))
+                low, high = (np.frombuffer(row[c], np.uint16).astype(np.uint32) for c in ("low", "high"))
+                parts["place"].append(low + (high << np.uint32(16)))
+                parts["sure"].append(np.unpackbits(np.frombuffer(row["sure"], np.uint8), count=len(low)).astype(bool))
                 texts += len(keys)
         cat = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in parts.items()}
         self.keys, self.ids, self.text, self.h, self.place, self.sure = (cat[k] for k in ("keys", "ids", "text", "h", "place", "sure"))

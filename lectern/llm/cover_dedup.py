@@ -64,13 +64,13 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
             known[group[many]] = True
             sure = known[group]
             alone = ~sure | first
-            keys, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "key"))
-            yield pack(n_buckets, hs[alone], place[order][alone], ts[alone], keys, ids, sure[alone])
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            yield pack(n_buckets, hs[alone], place[order][alone], ts[alone], keys, None, sure[alone], True)
             rest = order[~alone]
-            yield _told(keys, text[rest], place[rest], n_buckets)
+            yield _told(keys, text[rest], place[rest], n_buckets, True)
 
     def match_anchors(batches):
-        e = Entries(batches)
+        e = Entries(batches, True)
         told = e.h == 0
         yield e.answers(np.flatnonzero(told), n_buckets)
         at = np.flatnonzero(~told)
@@ -155,13 +155,15 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.join(windows, "key", "left").mapInArrow(remove, shape).withColumnRenamed("id", id_col)
 
 
-def _told(keys: np.ndarray, text: np.ndarray, place: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+def _told(keys: np.ndarray, text: np.ndarray, place: np.ndarray, n_buckets: int, narrow: bool = False) -> pa.RecordBatch:
     """Answers that need no question: entries of hash 0 in a bucket of their text's key."""
-    packed = []
-    at = (keys[text].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64) if len(text) else np.zeros(0, np.int64)
+    at = (keys[text].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+    parts = []
     for b in np.unique(at):
         own = at == b
-        one = pack(1, np.zeros(int(own.sum()), np.uint64), place[own], text[own], keys, keys, np.ones(int(own.sum()), bool))
-        packed.append(one.set_column(0, "bucket", pa.array([int(b)], pa.int32())))
-    empty = pack(1, np.zeros(0, np.uint64), place[:0], text[:0], keys, keys, np.zeros(0, bool))
-    return pa.Table.from_batches(packed or [empty]).combine_chunks().to_batches()[0] if packed else empty
+        n = int(own.sum())
+        one = pack(1, np.zeros(n, np.uint64), place[own], text[own], keys, None if narrow else keys, np.ones(n, bool), narrow)
+        parts.append(one.set_column(0, "bucket", pa.array([int(b)], pa.int32())))
+    if not parts:
+        return pack(1, np.zeros(0, np.uint64), place[:0], text[:0], keys, None, np.zeros(0, bool), narrow)
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
