@@ -18,6 +18,8 @@ LENGTHS, BITS = (3, 4, 5, 6), 20
 #: N-grams that are kept: those whose log-count ratio is at least LEAST_Z standard errors from 0, the surest ones first.
 MAX_FEATURES, LEAST_Z, LEAST_DOCS = 8192, 3.5, 4
 THRESHOLD = 0.7
+#: Bytes of text at once: where all n-grams are held, and where only the kept ones are.
+ALL_BYTES, KEPT_BYTES = 1 << 18, 1 << 19
 
 _CHUNKS = 64
 _SPACES = bytes(32 if i in (9, 10, 11, 12, 13, 32) else i for i in range(256))
@@ -78,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def count(batches):
         total = np.zeros((2, 1 << BITS), np.int32)
         n = [0, 0]
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", ALL_BYTES):
             y = np.array(batch.column("y").to_pylist(), np.int64)
             own, place = ngram_hits(texts_of(batch, "text"))
             for k in (0, 1):
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(keep)
 
     def places(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", KEPT_BYTES):
             texts = texts_of(batch, "text")
             own, place = ngram_hits(texts, shared.value)
             cut = np.searchsorted(own, np.arange(1, len(texts)))
@@ -161,7 +163,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", KEPT_BYTES):
             s = shared.value.scores(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(s, pa.float64())], ["id", "held_out", "score"])
 
@@ -174,7 +176,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches):
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, KEPT_BYTES):
             yield batch.filter(pa.array(shared.value.scores(texts_of(batch, text_col)) < threshold))
 
     return docs.mapInArrow(run, schema)
