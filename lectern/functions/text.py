@@ -27,9 +27,9 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column | str) -> Column:
-    """Canonical composition. Only texts with combining marks are sent to Python; the others stay as they are."""
+    """Canonical composition. Only texts with characters from U+0300 on are sent to Python; below all are composed."""
     text = _col(text)
-    return F.coalesce(_nfc(F.when(text.rlike(r"[\p{M}]"), text)), text)
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\u02ff]"), text)), text)
 
 
 def tokens(text: Column | str) -> Column:

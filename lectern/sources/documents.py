@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,7 +117,12 @@ def read_files(spark: SparkSession, path: str, decode_pdf: Callable[[bytes], lis
                 out += [(key, name, kind, i + 1, source, p) for i, p in enumerate(pages)]
             yield pd.DataFrame(out, columns=["doc_id", "name", "kind", "page", "source", "lines"])
 
-    return files.mapInPandas(run, PAGES)
+    # The reader passes over files without bytes; each is a document of one empty page.
+    short = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string")
+    read = files.select(short(F.col("path")).alias("_read"))
+    empty = listed.join(read, short(F.col("path")) == F.col("_read"), "left_anti").select("path", F.lit(bytearray()).alias("content"))
+    return files.unionByName(empty).mapInPandas(run, PAGES)
 
 
 def docx_lines(content: bytes) -> list[str]:
