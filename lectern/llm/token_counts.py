@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections import Counter
 
 import pyarrow as pa
@@ -19,8 +20,10 @@ from ._io import table
 HEAD_ENTRIES, HEAD_BYTES = 1 << 17, 64
 #: Distinct pre-tokens that a task holds before it passes their counts on.
 HELD = 200_000
-#: Below this code point the library's character classes and those of the regex module agree.
-_PLAIN = re.compile("[\x00-ԯ]*")
+#: Below this code point the library's character classes and those of the regex module agree, and so does lower case,
+#: but for the capital sigma, whose form depends on its place in Python alone, and two letters that go beyond it.
+_PLAIN = re.compile("[\x00-\u0239\u023b-\u023d\u023f-\u03a2\u03a4-\u052f]*")
+_LIMIT = 0x530
 
 _splitters: dict[int, "PreTokens"] = {}
 
@@ -39,7 +42,9 @@ class PreTokens:
         kinds = [s["type"] for s in steps]
         if kinds != ["Split", "ByteLevel"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"]:
             raise ValueError("the tokenizer must split by one pattern and then map bytes")
-        self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        pattern = steps[0]["pattern"]["Regex"]
+        classes = {c: _ranges(regex.compile(c)) for c in (r"\p{L}", r"\p{N}", r"\s")}
+        self.find = re.compile(re.sub(r"\\p\{L\}|\\p\{N\}|\\s", lambda m: classes[m[0]], pattern)).findall  # for plain texts
         added = sorted((a["content"] for a in d["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         normal = [n["type"] for n in (d["normalizer"] or {}).get("normalizers", [])]
@@ -57,7 +62,7 @@ class PreTokens:
         return out, len(parts) - 1
 
     def _split(self, text: str) -> list[str]:
-        if self.ascii_lower and text.isascii():
+        if self.ascii_lower and (text.isascii() or _PLAIN.fullmatch(text) and unicodedata.is_normalized("NFC", text)):
             return self.find(text.lower())
         text = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
         if _PLAIN.fullmatch(text):
@@ -75,6 +80,17 @@ def _pre(spec) -> PreTokens:
     return _splitters[spec.id]
 
 
+def _ranges(one) -> str:
+    """The plain characters of a class, as ranges for a character set of the re module."""
+    out, chars = [], [c for c in range(_LIMIT) if one.fullmatch(chr(c))]
+    for c in chars:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out)
+
+
 class _Spec:
     """A tokenizer's JSON, shipped once to each executor."""
 

@@ -39,3 +39,12 @@ def test_null_ids_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a"), (1, "a"), (1, None)], "doc_id long, text string")
     assert sorted(run(df, limit=1), key=str) == [(1, 0, 0, False), (1, 1, 1, False), (1, 1, 1, False), (None, 3, 2, True)]
     assert run(df.limit(0)) == []
+
+
+def test_split_equals_library_on_every_plain_character():
+    with open(PATH, encoding="utf-8") as f:
+        pre = token_counts.PreTokens(f.read())
+    for cp in range(token_counts._LIMIT + 64):
+        text = f"A{chr(cp)}b {chr(cp)}{chr(cp)}'S{chr(cp)}"
+        normal = pre.tok.normalizer.normalize_str(text)
+        assert pre.split(text)[0] == [normal[a:b] for _, (a, b) in pre.tok.pre_tokenizer.pre_tokenize_str(normal)], hex(cp)
