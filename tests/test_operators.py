@@ -113,6 +113,14 @@ def test_fields(spark):
     assert {r.doc_id: r.answer for r in ex.field_answers(fields, ["loan", "amount"], ["doc_id"]).collect()} == {1: "Multiple matches: 5; 6", 2: "7"}
 
 
+def test_lexicon_too_large_to_ship_gives_the_same(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"Name: N{i}\n\nDate of Birth: {i}\n\nnote - Tax ID:\n\n{i}") for i in range(5)], "doc_id long, text string")
+    lexicon = ex.learn_labels(pages)
+    one_way = sorted(map(tuple, ex.lexicon_fields(pages, lexicon, ["doc_id"]).collect()))
+    monkeypatch.setattr(ex, "MAX_LABELS", 1)
+    assert sorted(map(tuple, ex.lexicon_fields(pages, lexicon, ["doc_id"]).collect())) == one_way and len(one_way) == 15
+
+
 def test_ledger(spark):
     events = spark.createDataFrame([(1, i, n) for i, n in enumerate([60, 50, 30, 20, 10])], "u int, i int, n long")
     assert tuple(lg.spend(events, ["u"], ["i"], "n", 100.0).first()) == (1, 3, 100.0)
