@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,11 +149,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def flag(batches):
         for t in groups(batches, "tile"):
-            g = _Tile(t, percent)
-            i, _ = g.candidates()
-            keep = np.zeros(t.num_rows, bool)
-            keep[np.concatenate(g.pairs)] = True
-            if len(i):
+            keep = _Tile(t, percent).likely()
+            if keep.any():
                 yield from t.select(["tile", "key", "uid", "label", "part", "own"]).filter(pa.array(keep)).to_batches()
 
     shape = "tile long, key long, uid long, label long, part int, own boolean"
@@ -186,16 +184,14 @@ class _Tile:
         self.label = np.unique(t.column("label").to_numpy(), return_inverse=True)[1]
         self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
         self.bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
-        self.pairs: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def candidates(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs across components that are likely and don't share an earlier band, which has them in its own bucket.
-
-        In a tile of two blocks only pairs across the blocks count.
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """For each member the later ones that it may link with: likely, of another component, and not in an earlier band
+        together, whose own bucket has them. In a tile of two blocks only pairs across the blocks count. One member's
+        pairs are held at a time.
         """
         two = len(self.t) and not self.t.column("own")[0].as_py()
         least = self.percent / 100 - MARGIN
-        out = []
         for i in range(len(self.uid)):
             js = np.arange(i + 1, len(self.uid))
             js = js[self.label[js] != self.label[i]]
@@ -209,42 +205,39 @@ class _Tile:
                 same = self.bands[js] == self.bands[i]
                 js = js[self.bands[i][same.argmax(axis=1)] == self.key[i]]
             if len(js):
-                out.append((np.full(len(js), i), js))
-        if out:
-            self.pairs = (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]))
-        return self.pairs
+                yield i, js
+
+    def likely(self) -> np.ndarray:
+        """Which members have a candidate."""
+        keep = np.zeros(len(self.uid), bool)
+        for i, js in self.candidates():
+            keep[i] = keep[js] = True
+        return keep
 
     def confirmed(self) -> tuple[np.ndarray, np.ndarray]:
         """Links of the tile that join its components into trees."""
-        i, j = self.candidates()
-        if not len(i):
-            return i, j
         sets = [np.frombuffer(s, np.uint64) for s in self.t.column("shingles").to_pylist()]
         sizes = np.array([len(s) for s in sets])
         ends = np.cumsum(sizes)
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
         inside, forest = np.zeros(int(ids.max()) + 1, bool), Forest(int(self.label.max()) + 1)
-        cut = np.flatnonzero(np.diff(i)) + 1
-        links = []
-        for js, at in zip(np.split(j, cut), i[np.concatenate([[0], cut])], strict=True):
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, js in self.candidates():
             tree = forest.label[self.label]
             js = js[tree[js] != tree[at]]
             if not len(js):
                 continue
             own = ids[ends[at] - sizes[at] : ends[at]]
             inside[own] = True
-            there = np.concatenate([inside[ids[ends[x] - sizes[x] : ends[x]]] for x in js])
+            shared = np.array([int(inside[ids[ends[x] - sizes[x] : ends[x]]].sum()) for x in js])
             inside[own] = False
-            shared = np.add.reduceat(there, np.concatenate([[0], np.cumsum(sizes[js])[:-1]]), dtype=np.int64)
             js = js[100 * shared >= self.percent * (sizes[js] + sizes[at] - shared)]
             if len(js):
-                _, one = np.unique(forest.label[self.label[js]], return_index=True)
-                js = js[one]
+                js = js[np.unique(tree[js], return_index=True)[1]]
                 forest.add(self.label[np.full(len(js), at)], self.label[js])
-                links.append((np.full(len(js), at), js))
-        if not links:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return self.uid[np.concatenate([x for x, _ in links])], self.uid[np.concatenate([y for _, y in links])]
+                a.append(np.full(len(js), at))
+                b.append(js)
+        return self.uid[np.concatenate(a)], self.uid[np.concatenate(b)]
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
