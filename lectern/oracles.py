@@ -84,7 +84,7 @@ SCANS = f"""{UNITS}, sn AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 T
 ANSWERS = """a AS (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 'How many ' ELSE 'Who has ' END) || substr(text, 1, 30) || '?' AS question, substr(text, 20, 80) AS answer,
   substr(text, 40, 400) AS evidence, text AS page_text, (doc_id % 10) / 10.0 AS coverage FROM documents)"""
 EVENTS = "e AS (SELECT *, CAST(floor(value) AS BIGINT) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
-BOXES = """b AS (SELECT l_orderkey AS doc_id, 'Heading ' || l_partkey AS text, 0.1 AS x0, 0.5 AS x1, l_linenumber * 0.07::DOUBLE AS y0, l_linenumber * 0.07::DOUBLE + l_quantity / 1000 AS y1,
+BOXES = """b AS (SELECT l_orderkey AS doc_id, 'Heading ' || l_partkey AS text, 0.1::DOUBLE AS x0, 0.5::DOUBLE AS x1, l_linenumber * 0.07::DOUBLE AS y0, l_linenumber * 0.07::DOUBLE + l_quantity / 1000 AS y1,
   round(1.0 - l_discount, 2) AS score, l_linenumber AS line, l_partkey FROM lineitem)"""
 
 
