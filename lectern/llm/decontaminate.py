@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -128,19 +129,14 @@ class Items:
         return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded words; only one block is held at a time by each task, and counted in one pass."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about BLOCK_WORDS words, dealt by hash; the driver and each task hold one block at a time."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("t is not null").distinct()
-    blocks: list[list[tuple[int, str]]] = []
-    words = 0
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r.id is None, r.id, r.t)):
-        n = len(r.t.split())
-        if not blocks or words + n > BLOCK_WORDS:
-            blocks.append([])
-            words = 0
-        blocks[-1].append((r.id, r.t))
-        words += n
-    return blocks
+    n = (rows.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0) // BLOCK_WORDS + 1
+    for b in range(n):
+        block = rows.filter(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == b).collect()
+        if block:
+            yield sorted(((r.id, r.t) for r in block), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def _items(docs: DataFrame, block: list[tuple[int, str]], text_col: str) -> Items:
