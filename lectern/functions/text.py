@@ -39,8 +39,7 @@ def tokens(text: Column | str) -> Column:
     """
     found = F.regexp_extract_all(F.translate(F.lower(_col(text)), W.BN_DIGITS, W.ASCII_DIGITS), F.lit(W.TOKEN), F.lit(0))
     cut = F.transform(found, lambda w: F.btrim(w, F.lit(W.TOKEN_EDGE)))
-    stop = F.array(*(F.lit(w) for w in sorted(W.STOP)))
-    return F.coalesce(F.filter(cut, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(cut, lambda w: (F.length(w) > 1) & ~w.isin(*sorted(W.STOP))), F.array().cast("array<string>"))
 
 
 def tokens_of(text: str) -> list[str]:

@@ -16,6 +16,8 @@ from ..functions import words as W
 
 #: Queries that are shipped to every executor at once; more of them are joined by term.
 BROADCAST_QUERIES = 5_000
+#: Terms that are kept in the plan as a set, so that other tokens don't leave their row.
+LITERAL_TERMS = 10_000
 
 
 def add_tokens(units: DataFrame, text: str = "text", compose: bool = True) -> DataFrame:
@@ -53,13 +55,24 @@ def _covers(toks: Column, term: str) -> Column:
     return exact | F.exists(toks, lambda t: (F.length(t) >= 4) & (F.substring(t, 1, 4) == term[:4]))
 
 
+def _near(toks: Column, terms: list[str]) -> Column:
+    """Tokens that are terms, or share the first four letters of one that may be matched so."""
+    heads = sorted({t[:4] for t in terms if len(t) >= 5})
+    if not terms:
+        return F.array().cast("array<string>")
+    if not heads:
+        return F.filter(toks, lambda t: t.isin(*terms))
+    return F.filter(toks, lambda t: t.isin(*terms) | F.substring(t, 1, 4).isin(*heads))
+
+
 def _scored(units: DataFrame, question: str) -> tuple[DataFrame, list[str]]:
     """units with bm25, coverage and score for one question. Statistics are those of all units, whatever is searched.
 
     The question's terms are known, so a unit is scored from its own row: one pass for the statistics, one for scores.
     """
     terms = list(dict.fromkeys(T.tokens_of(question)))
-    counted = units.select(F.col("n_toks"), *(F.array_contains("toks", t).cast("int").alias(f"h{i}") for i, t in enumerate(terms)))
+    units = units.withColumn("_near", _near(F.col("toks"), terms))  # the few tokens that matter, so that the row is read once
+    counted = units.select(F.col("n_toks"), *(F.array_contains("_near", t).cast("int").alias(f"h{i}") for i, t in enumerate(terms)))
     stats = counted.agg(
         F.greatest(F.count("*"), F.lit(1)).alias("_n"), F.sum("n_toks").alias("_len"), *(F.coalesce(F.sum(f"h{i}"), F.lit(0)).alias(f"_d{i}") for i in range(len(terms)))
     )
@@ -68,14 +81,14 @@ def _scored(units: DataFrame, question: str) -> tuple[DataFrame, list[str]]:
     average = F.when(F.coalesce("_len", F.lit(0)) > 0, F.col("_len") / F.col("_n")).otherwise(F.lit(1.0))
     bm25, total, covered = F.lit(0.0), F.lit(0.0), F.lit(0.0)
     for term, weight in zip(terms, weights, strict=True):
-        f = _held(F.col("toks"), term)
+        f = _held(F.col("_near"), term)
         bm25 = bm25 + weight * f * F.lit(W.K1 + 1) / (f + F.lit(W.K1) * (F.lit(1 - W.B) + F.lit(W.B) * F.col("n_toks") / average))
         total = total + weight
-        covered = covered + F.when(_covers(F.col("toks"), term), weight).otherwise(F.lit(0.0))
+        covered = covered + F.when(_covers(F.col("_near"), term), weight).otherwise(F.lit(0.0))
     coverage = covered / F.when(total == 0, F.lit(1.0)).otherwise(total)
     out = joined.withColumn("bm25", bm25).withColumn("coverage", coverage)
     out = out.withColumn("score", F.col("bm25") * (F.lit(0.25) + F.lit(0.75) * F.col("coverage")))
-    return out.drop("_n", "_len", *(f"_d{i}" for i in range(len(terms)))), terms
+    return out.drop("_n", "_len", "_near", *(f"_d{i}" for i in range(len(terms)))), terms
 
 
 def search(units: DataFrame, question: str, k: int = 4, scope: Column | None = None, order: list[str] = ("doc_id", "page"), digits: int = 6) -> DataFrame:
@@ -102,8 +115,10 @@ def search_many(units: DataFrame, queries: DataFrame, keys: list[str], k: int =
     small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     hint = F.broadcast if small else (lambda df: df)
     totals = units.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), (F.sum("n_toks") / F.greatest(F.count("*"), F.lit(1))).alias("avg"))
-    own = units.select(*keys, "n_toks", F.explode("toks").alias("term")).groupBy(*keys, "n_toks", "term").agg(F.count("*").alias("f"))
     terms = wanted.select("term").distinct()
+    known = [r.term for r in terms.limit(LITERAL_TERMS + 1).collect()] if small else []
+    kept = _near(F.col("toks"), sorted(known)) if 0 < len(known) <= LITERAL_TERMS else F.col("toks")
+    own = units.select(*keys, "n_toks", F.explode(kept).alias("term")).groupBy(*keys, "n_toks", "term").agg(F.count("*").alias("f"))
     heads = wanted.filter(F.length("term") >= 5).select(F.substring("term", 1, 4).alias("head")).distinct()
     exact = own.join(hint(terms), "term", "left_semi")
     df = exact.groupBy("term").agg(F.count("*").alias("df"))
