@@ -16,7 +16,7 @@ MAX_ROWS = 20_000
 #: N-grams are runs of LENGTHS bytes of the lower-cased text, white space as one kind of blank; hashed to 2**BITS places.
 LENGTHS, BITS = (3, 4, 5, 6), 20
 #: N-grams that are kept: those whose log-count ratio is at least LEAST_Z standard errors from 0, the surest ones first.
-MAX_FEATURES, LEAST_Z, LEAST_DOCS = 8192, 3.5, 4
+MAX_FEATURES, LEAST_Z, LEAST_DOCS = 4096, 3.5, 4
 THRESHOLD = 0.7
 #: Bytes of text at once: where all n-grams are held, and where only the kept ones are.
 ALL_BYTES, KEPT_BYTES = 1 << 18, 1 << 19
@@ -128,8 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = rows.mapInArrow(places, "y int, places binary").toArrow()
     y = np.array(got["y"].to_pylist(), float)
     each = [np.frombuffer(p, np.int32) for p in got["places"].to_pylist()]
+    del got
     own = np.repeat(np.arange(len(each)), [len(p) for p in each])
     place = np.searchsorted(chosen, np.concatenate(each)) if len(own) else np.zeros(0, np.int64)
+    del each
     w, bias = _regress(own, place, ratio[chosen], y, prior)
     weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = w * ratio[chosen]
@@ -140,12 +142,12 @@ def _regress(own, place, scale, y, bias, l2: float = 1.0, rounds: int = 150) ->
     """Logistic regression with both labels of equal weight, by gradient steps with a momentum and a step for each weight."""
     n, m = len(y), len(scale)
     each = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * n
-    w, b, value = np.zeros(m), float(bias), scale[place] if m else np.zeros(0)
+    w, b = np.zeros(m), float(bias)
     g1, g2 = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(own, weights=w[place] * value, minlength=n) + b
+        z = np.bincount(own, weights=(w * scale)[place], minlength=n) + b
         e = each * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.concatenate([np.bincount(place, weights=e[own] * value, minlength=m) + l2 * w, [e.sum()]]) / n
+        g = np.concatenate([np.bincount(place, weights=e[own], minlength=m) * scale + l2 * w, [e.sum()]]) / n
         g1, g2 = 0.9 * g1 + 0.1 * g, 0.99 * g2 + 0.01 * g * g
         step = 0.05 * (g1 / (1 - 0.9**t)) / (np.sqrt(g2 / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:m], b - step[m]
