@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The largest table, in bytes, that is shipped to every executor.
-BROADCAST_BYTES = 8 << 20
-
 _made: set[str] = set()
 
 
@@ -27,28 +23,14 @@ def scratch_root(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
 
-    The folder belongs to the application and is removed when the driver ends.
+    The folder belongs to the application; the file system removes it when the driver's JVM ends.
     """
     spark = df.sparkSession
     root = scratch_root(spark)
     path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
     if root not in _made:
         _made.add(root)
-        atexit.register(_remove, spark, root)
-    df.write.parquet(path)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def text_partitions(spark: SparkSession, df: DataFrame, column: str, bytes_each: int = 24 << 20) -> int:
-    """How many partitions hold about bytes_each of a text column; one pass over its lengths."""
-    from pyspark.sql import functions as F
-
-    total = df.agg(F.sum(F.length(column).cast("long"))).first()[0] or 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bytes_each + 1)
