@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find candidates, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -15,12 +15,12 @@ from ._words import Words
 
 #: Words of a seed, and scores of the alignment.
 GRAM, MATCH, OTHER, GAP = 3, 2, -1, -1
-#: Seeds that at most this share of texts holds (or this many texts) are rare; each item keeps its rarest KEEP anyway.
-RARE_SHARE, RARE_TEXTS, KEEP = 0.001, 20, 16
 #: Share of an item's own score from which a text counts as holding it; shorter items must be there as a whole.
 LEAST, WHOLE_BELOW = 0.5, 8
 #: Words of items that are looked for in one pass over the texts; more items take more passes.
 BLOCK_WORDS = 500_000
+#: (place, item) pairs of seeds that are looked at together; a text with more is looked at alone.
+PAIRS = 1 << 20
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -61,24 +61,10 @@ class Items:
                 owner.append(np.full(n - k + 1, i))
                 place.append(np.arange(n - k + 1))
         h, owner, place = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
-        return Items([i for i, _ in rows], words, h, owner, place, np.zeros(0, bool)).sorted(np.ones(len(h), bool))
-
-    def sorted(self, keep: np.ndarray) -> "Items":
-        order = np.flatnonzero(keep)[np.argsort(self.hashes[keep], kind="stable")]
-        h = self.hashes[order]
+        order = np.argsort(h, kind="stable")
         sieve = np.zeros(1 << 20, bool)
         sieve[(h >> np.uint64(44)).astype(np.int64)] = True
-        return Items(self.ids, self.words, h, self.owner[order], self.place[order], sieve)
-
-    def rare(self, counts: dict[int, int], texts: int) -> "Items":
-        """Only seeds that few texts hold, and the rarest of each item."""
-        n = np.array([counts.get(h, 0) for h in self.hashes.tolist()], np.int64)
-        keep = n <= max(RARE_TEXTS, RARE_SHARE * texts)
-        order = np.lexsort((self.hashes, n, self.owner))
-        own = self.owner[order]
-        rank = np.arange(len(own)) - np.searchsorted(own, own)
-        keep[order[rank < KEEP]] = True
-        return self.sorted(keep)
+        return Items([i for i, _ in rows], words, h[order], owner[order], place[order], sieve)
 
     def seeds(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(word of the batch, hash) of each place where a seed stands inside one text."""
@@ -100,8 +86,17 @@ class Items:
         at, h = self.seeds(w)
         if not len(at):
             return []
+        owner = w.owners()[at]
         low, high = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, side="right")
-        n = high - low
+        share = np.cumsum(np.bincount(owner, weights=high - low)).astype(np.int64)[owner] // PAIRS
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for k in np.unique(share):
+            of = share == k
+            self._align(w, at[of], low[of], high[of] - low[of], best)
+        return [(t, i, *v) for (t, i), v in sorted(best.items())]
+
+    def _align(self, w: Words, at: np.ndarray, low: np.ndarray, n: np.ndarray, best: dict) -> None:
+        """Puts the best alignment of each text and item into best; n seeds from low on stand at each place."""
         which = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
         word = np.repeat(at, n)
         text = w.owners()[word]
@@ -113,7 +108,6 @@ class Items:
         new = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(start) > sizes[item[1:]])])
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(text)]]) - 1
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for a, b in zip(first.tolist(), last.tolist()):
             t, i = int(text[a]), int(item[a])
             words, size = self.words[i], int(sizes[i])
@@ -126,7 +120,6 @@ class Items:
             if score >= least and score / (MATCH * size) > best.get((t, i), (0.0, 0, 0))[0]:
                 _, _, back = align(words[:x][::-1], part[:y][::-1])
                 best[t, i] = (score / (MATCH * size), begin + y - back, begin + y)
-        return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -139,36 +132,14 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
             yield sorted(((r.id, r.t) for r in block), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def _items(docs: DataFrame, block: list[tuple[int, str]], text_col: str) -> Items:
-    """A block's items with their rare seeds; the executors count the texts that hold each seed."""
-    items = Items.of(block)
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches):
-        total, texts = np.zeros(len(shared.value.hashes), np.int64), 0
-        for batch in pieces(batches, "text"):
-            w = Words(texts_of(batch, "text"), lower=True)
-            at, h = shared.value.seeds(w)
-            pair = np.unique(np.stack([w.owners()[at], np.searchsorted(shared.value.hashes, h)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-            total += np.bincount(pair[1], minlength=len(total))
-            texts += batch.num_rows
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([shared.value.hashes[held].view(np.int64), [0]])), pa.array(np.concatenate([total[held], [texts]]))], ["h", "n"]
-        )
-
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
-    known = dict(zip(counts["h"].to_numpy().view(np.uint64).tolist(), counts["n"].to_pylist(), strict=True)) if counts.num_rows else {}
-    return items.rare(known, known.pop(0, 0))
-
-
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (id, item_id, score, first_word, end_word): the items that each row of docs holds, copied or edited.
 
-    Words are compared in lower case. Seeds are an item's three-word runs; those that very many texts hold are left to
-    rarer ones of the item. Where a seed stands in a text, the item is aligned with the words around by Smith-Waterman;
-    the score is a share of the item's score with itself. From LEAST on the text holds the item; items under
-    WHOLE_BELOW words must be there as a whole. Where they are in the text is given by words, the end exclusive.
+    Words are compared in lower case. Seeds are all of an item's three-word runs, however many texts hold them; an
+    edited copy without three words of the item in a row is not found. Where a seed stands in a text, the item is
+    aligned with the words around by Smith-Waterman; the score is a share of the item's score with itself. From LEAST on
+    the text holds the item; items under WHOLE_BELOW words must be there as a whole. Where they are in the text is given
+    by words, the end exclusive.
     The items are shipped in blocks of bounded size, one pass over the texts for each.
 
     Null or empty texts and items: no row. Null ids stay null; repeated rows: rows each. Empty tables: no rows. Other
@@ -179,7 +150,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     shape = f"id {kind}, item_id long, score double, first_word long, end_word long"
     out = None
     for block in _blocks(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(_items(rows, block, "text"))
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(block))
 
         def run(batches, shared=shared):
             for batch in pieces(batches, "text"):
@@ -199,7 +170,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The rows of docs, all columns, that hold no item of the benchmark."""
     schema = docs.schema
     for block in _blocks(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(_items(docs, block, text_col))
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(block))
 
         def run(batches, shared=shared):
             for batch in pieces(batches, text_col):

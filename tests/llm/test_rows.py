@@ -102,6 +102,24 @@ def align_plain(a, b):
     return best
 
 
+def test_part_of_an_item_in_many_texts(spark, monkeypatch):
+    """60 texts hold the first 22 of an item's 40 words: their seeds are common, and no text holds the item's others."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    filler = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, filler(40)) for i in range(4)]
+    texts = [(i, filler(10) + (items[0][1][:22] if i < 60 else items[1][1][5:30] if i < 65 else []) + filler(10)) for i in range(80)]
+    want = {(d, i): align_plain(a, b) / 80 for d, b in texts for i, a in items}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    assert len(want) >= 65
+    df = spark.createDataFrame([(d, " ".join(b)) for d, b in texts], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(a)) for i, a in items], "item_id long, text string")
+    for pairs in (1 << 20, 50):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs, raising=False)
+        assert {(r.doc_id, r.item_id): r.score for r in decontaminate.benchmark_hits(df, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {d for d, _ in texts} - {d for d, _ in want}
+
+
 def test_alignment_equals_plain_table():
     import numpy as np
 
