@@ -4,8 +4,11 @@ import random
 
 import pytest
 
+from lectern.functions import bengali
 from lectern.operators import geometry as geo
 from lectern.operators import ledger as lg
+from lectern.queries import QUERIES
+from lectern.sources import documents as src
 
 
 def rows_plain(boxes):
@@ -67,3 +70,13 @@ def test_promotion_and_trust(spark):
     assert not lg.promote(better.filter("category = 'a'"), live).first().promoted
     seen = spark.createDataFrame([("date", "vision", True), ("date", "ocr", False), ("amount_hw", "vision", False)], "kind string, source string, right boolean")
     assert {r.kind: r.prefer for r in lg.trust(seen).collect()} == {"date": "vision", "amount_hw": "ocr"}
+
+
+def test_item_numbers_of_all_lines(spark, sf):
+    pages = {(r.doc_id, r.page): r.lines for r in src.pages_of_table(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert max(map(len, pages.values())) > 9
+    got = {(r.doc_id, r.page): r.rows for r in QUERIES["fn25_repair_numbers"](spark, sf).collect()}
+    assert got.keys() == pages.keys()
+    for key, lines in pages.items():
+        seen = [f"{'92386'[i // 9]}.{i % 9 + 1} {x}" for i, x in enumerate(lines)]
+        assert got[key] == "\n".join(bengali.repair_numbers(seen)) == "\n".join(f"{i // 9 + 1}.{i % 9 + 1} {x}" for i, x in enumerate(lines))
