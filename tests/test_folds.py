@@ -80,3 +80,12 @@ def test_item_numbers_of_all_lines(spark, sf):
     for key, lines in pages.items():
         seen = [f"{'92386'[i // 9]}.{i % 9 + 1} {x}" for i, x in enumerate(lines)]
         assert got[key] == "\n".join(bengali.repair_numbers(seen)) == "\n".join(f"{i // 9 + 1}.{i % 9 + 1} {x}" for i, x in enumerate(lines))
+
+
+def test_legacy_bengali_of_whole_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert max(len(r.text or "") for r in docs) > 1000
+    got = QUERIES["fn22_legacy_bengali"](spark, sf).collect()
+    want = [(r.doc_id, None if r.text is None else bengali.to_unicode("cÖwZôv‡bi bvg " + r.text)) for r in docs]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert all(r.converted is None or r.converted.startswith("প্রতিষ্ঠানের নাম ") for r in got)
