@@ -8,14 +8,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._batches import groups
 from ._components import components
-from ._io import table
+from ._io import release, shuffle_partitions, table
+from ._joins import common_keys, count_keys, salted_join
 from ._unions import Forest
 
 #: Leading dimensions of the grid, and of the test before the exact cosine.
 GRID, LEADING = 4, 24
-#: Bytes of a block of the sequence, vectors of a leaf of the recursion, and blocks that a node of the tree above holds.
-BLOCK_BYTES, LEAF, FAN = 4 << 20, 1024, 8
+#: Bytes of a block of the sequence, vectors of a leaf of the recursion, and groups that a node of the tree above holds.
+BLOCK_BYTES, LEAF, FAN = 1 << 20, 1024, 8
+#: Blocks of a group at most; a task holds two groups.
+GROUP = 16
 #: Room for rounding in tests that only exclude.
 SLACK = 1e-4
 
@@ -24,33 +28,43 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """Rows (id, n_links, component_id, kept) for each row of vectors; links are pairs with cosine >= least.
 
     Equal vectors are one class. Classes are rotated to principal dimensions, ordered by their grid cells of edge
-    epsilon, and cut into blocks. Pairs of intervals of that sequence are halved down to leaves, and left out as soon
-    as their bounding boxes are further apart than epsilon: between blocks by joins over a tree of boxes, inside a pair
-    of blocks by recursion. What remains is compared in double precision. A task returns counts and a spanning forest
-    of its links, so a group of n vectors yields about n rows, not n**2. No pair is left out.
+    epsilon, and cut into blocks and groups of blocks. Pairs of intervals of that sequence are halved down to leaves,
+    and left out as soon as their bounding boxes are further apart than epsilon: between groups by joins over a tree of
+    boxes, inside a pair of groups by recursion. A block is sent once for each pair of groups, not for each pair of
+    blocks. What remains is compared in double precision. A task returns counts and a spanning forest of its links, so
+    a group of n vectors yields about n rows, not n**2. No pair is left out.
 
     Vectors that are null, empty, zero, or hold null, NaN or infinity link with nothing, nor do vectors of different
-    lengths. Null ids: the row counts as a vector, and component ids are the smallest ids that aren't null. Repeated
-    rows link with each other. Empty table: no rows. Other columns of vectors are left out.
+    lengths (lengths up to each power of two are joined in one go, padded with zeros). Null ids: the row counts as a
+    vector, and component ids are the smallest ids that aren't null. Repeated rows link with each other. Empty table: no
+    rows. Other columns of vectors are left out.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = table(rows.withColumn("good", _good(F.col("v"))), "vectors")
-    classes = rows.filter("good").groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("least_id"))
+    rows = rows.withColumn("good", _good(F.col("v"))).withColumn("h", F.xxhash64("v"))
+    rows = table(rows, "vectors")
+    classes = rows.filter("good").groupBy("h", "v").agg(F.count("*").alias("n"), F.min("id").alias("least_id"))
     classes = table(classes.withColumn("uid", F.monotonically_increasing_id()), "vector-classes")
-    found = None
-    for (size,) in classes.select(F.size("v")).distinct().collect():
-        part = _links(classes.filter(F.size("v") == size).select("uid", "v", "n"), size, least)
-        found = part if found is None else found.union(part)
-    if found is None:
+    level = F.ceil(F.log2(F.size("v"))).cast("int")
+    levels = [tuple(r) for r in classes.groupBy(level.alias("k")).agg(F.max(F.size("v")), F.count("*")).collect()]
+    if not levels:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    found, used = None, []
+    for k, size, count in levels:
+        part, made = _links(classes.filter(level == k).select("uid", "v", "n"), size, count, least)
+        used += made
+        found = part if found is None else found.union(part)
     found = table(found, "vector-links")
+    release(*used)
     counts = found.filter("b is null").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n_others"))
     joined = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("id", "uid")
     joined = classes.select("uid", "least_id").join(joined, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    joined = table(joined, "vector-components")
     least_ids = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_class = classes.join(joined.select("uid", "component"), "uid").join(least_ids, "component").join(counts, "uid", "left")
-    by_class = by_class.select("v", (F.coalesce("n_others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    linked = rows.filter("good").join(by_class, "v").select("id", "n_links", "component_id")
+    named = salted_join(joined.select("uid", "component"), least_ids, "component", count_keys(joined, "component"))
+    by_class = classes.join(named.select("uid", "component_id"), "uid").join(counts, "uid", "left")
+    by_class = by_class.select("h", F.col("v").alias("w"), (F.coalesce("n_others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    common = common_keys(classes.select("h", "n"), "h", "n", rows.count())
+    linked = salted_join(rows.filter("good"), by_class, "h", common).filter("v = w").select("id", "n_links", "component_id")
     alone = rows.filter("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(
         F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
@@ -62,20 +76,26 @@ def _good(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    """Rows of length 1, padded with zeros to d components."""
+    sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    x = flat.reshape(len(column), -1)
+    if (sizes == d).all():
+        x = flat.reshape(-1, d)
+    else:
+        x = np.zeros((len(sizes), d))
+        x[np.arange(d) < sizes[:, None]] = flat
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _axes(classes: DataFrame, d: int) -> np.ndarray:
+def _axes(classes: DataFrame, d: int, count: int) -> np.ndarray:
     """The principal axes, the leading one first; the executors sum the products, the driver gets d * d numbers."""
 
     def products(batches):
         total = np.zeros((d + 1, d))
         for batch in batches:
-            x = _matrix(batch.column("v"))
+            x = _matrix(batch.column("v"), d)
             total[:d] += x.T @ x
             total[d] += x.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(range(d + 1), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["k", "row"])
@@ -86,39 +106,48 @@ def _axes(classes: DataFrame, d: int) -> np.ndarray:
 
     shape = "k int, row array<double>"
     got = sorted(classes.select("v").mapInArrow(products, shape).groupBy("k").applyInArrow(add, shape).collect())
-    m, n = np.array([r.row for r in got]), classes.count()
-    return np.linalg.eigh(m[:d] / n - np.outer(m[d], m[d]) / n**2)[1][:, ::-1].copy()
+    m = np.array([r.row for r in got])
+    return np.linalg.eigh(m[:d] / count - np.outer(m[d], m[d]) / count**2)[1][:, ::-1].copy()
+
 
+def _links(classes: DataFrame, d: int, count: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b, n): n links of a class to vectors of other classes where b is null, else a link of a spanning forest.
 
-def _links(classes: DataFrame, d: int, least: float) -> DataFrame:
-    """(a, b, n): n links of a class to vectors of other classes where b is null, else a link of a spanning forest."""
+    Also the written tables that are of no use once those rows are written.
+    """
     spark, lead = classes.sparkSession, min(d, LEADING)
-    axes = spark.sparkContext.broadcast(_axes(classes, d))
+    axes = spark.sparkContext.broadcast(_axes(classes, d, count))
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK
     grid, per_block = min(d, GRID), max(LEAF, BLOCK_BYTES // (8 * d))
+    partitions = shuffle_partitions(spark)
+    n_blocks = -(-count // per_block)
+    # Groups are small enough for a task, and so many that their pairs keep all tasks busy.
+    group = max(1, min(GROUP, n_blocks // int(np.ceil(np.sqrt(2 * partitions)))))
 
     def turned(batches):
         for batch in batches:
-            x = _matrix(batch.column("v"))
-            r = x @ axes.value
+            r = _matrix(batch.column("v"), d) @ axes.value
+            sizes = np.diff(batch.column("v").offsets.to_numpy())
             cells = np.floor(r[:, :grid] / eps).astype(np.int32)
             columns = [pa.array(c) for c in cells.T]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("n"), pa.array([y.tobytes() for y in r]), *columns], ["uid", "n", "r", *names])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("uid"), batch.column("n"), pa.array(sizes, pa.int32()), pa.array([y.tobytes() for y in r]), *columns], ["uid", "n", "size", "r", *names]
+            )
 
     def cut(batches):
         at, held = TaskContext.get().partitionId() << 32, []
 
         def block(rows):
-            uid, n, r = zip(*rows, strict=True)
+            uid, n, size, r = zip(*rows, strict=True)
             x = np.frombuffer(b"".join(r)).reshape(-1, d)
             return pa.RecordBatch.from_arrays(
-                [pa.array([at], pa.int64()), *(pa.array([np.array(c, np.int64).tobytes()]) for c in (uid, n)), pa.array([x.tobytes()])]
+                [pa.array([at], pa.int64()), pa.array([at // group], pa.int64()), *(pa.array([np.array(c, np.int64).tobytes()]) for c in (uid, n, size)), pa.array([x.tobytes()])]
                 + [pa.array([list(f(x[:, :lead], axis=0))], pa.list_(pa.float64())) for f in (np.min, np.max)],
-                ["at", "uids", "ns", "xs", "lo", "hi"],
+                ["at", "grp", "uids", "ns", "sizes", "xs", "lo", "hi"],
             )
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("uid", "n", "r")), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in ("uid", "n", "size", "r")), strict=True):
                 held.append(row)
                 if len(held) == per_block:
                     yield block(held)
@@ -127,65 +156,87 @@ def _links(classes: DataFrame, d: int, least: float) -> DataFrame:
             yield block(held)
 
     names = [f"c{i}" for i in range(grid)]
-    shape = "uid long, n long, r binary, " + ", ".join(f"{c} int" for c in names)
-    count = classes.count()
-    ordered = classes.mapInArrow(turned, shape).repartitionByRange(max(1, -(-count // per_block)), *names, "uid").sortWithinPartitions(*names, "uid")
-    blocks = ordered.select("uid", "n", "r").mapInArrow(cut, "at long, uids binary, ns binary, xs binary, lo array<double>, hi array<double>")
-    blocks = table(blocks, "vector-blocks")
-    pairs = _block_pairs(blocks.select("at", "lo", "hi"), eps)
-    one, two = (blocks.select(*(F.col(c).alias(f"{c}{k}") for c in ("at", "uids", "ns", "xs"))) for k in "12")
-    tiles = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "a", "b").join(one, F.col("a") == F.col("at1"))
-    tiles = tiles.join(two, F.col("b") == F.col("at2")).select("a", "b", "uids1", "ns1", "xs1", "uids2", "ns2", "xs2")
+    shape = "uid long, n long, size int, r binary, " + ", ".join(f"{c} int" for c in names)
+    ranges = max(1, -(-count // (per_block * group)))
+    ordered = classes.mapInArrow(turned, shape).repartitionByRange(ranges, *names, "uid").sortWithinPartitions(*names, "uid")
+    shape = "at long, grp long, uids binary, ns binary, sizes binary, xs binary, lo array<double>, hi array<double>"
+    blocks = table(ordered.select("uid", "n", "size", "r").mapInArrow(cut, shape), "vector-blocks")
+    boxes = blocks.groupBy("grp").agg(*_ends(lead)).withColumnRenamed("grp", "at")
+    pairs, made = _box_pairs(table(boxes, "boxes"), eps)
+    pairs = table(pairs, "group-pairs")
+    release(*made)
+    # each group with all pairs that it is in; then its blocks go to each of them
+    tile = F.xxhash64("a", "b").alias("tile")
+    sides = pairs.select(F.col("a").alias("grp"), tile).union(pairs.filter("a <> b").select(F.col("b").alias("grp"), tile))
+    wanted = sides.groupBy("grp").agg(F.collect_list("tile").alias("tiles"))
+    tiles = blocks.join(wanted, "grp").select(F.explode("tiles").alias("tile"), "grp", "at", "uids", "ns", "sizes", "xs")
+    tiles = tiles.repartition(max(partitions, pairs.count()), "tile").sortWithinPartitions("tile", "grp", "at")
 
     def compare(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield _compare({k: batch.column(k)[i].as_py() for k in batch.schema.names}, d, least, eps)
+        for t in groups((part for batch in batches for part in (batch.slice(i, 1) for i in range(batch.num_rows))), "tile"):
+            yield from _compare_groups(t, d, least, eps)
+
+    return tiles.mapInArrow(compare, "a long, b long, n long"), [blocks, pairs]
+
 
-    return tiles.mapInArrow(compare, "a long, b long, n long")
+def _ends(size: int) -> list[Column]:
+    """The box around boxes."""
+    return [F.array(*(f(F.element_at(c, i + 1)) for i in range(size))).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]
 
 
-def _block_pairs(boxes: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b), a <= b, of blocks whose boxes are within eps, found by descending a tree over the sequence."""
+def _box_pairs(boxes: DataFrame, eps: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b), a <= b, of boxes (at, lo, hi) within eps, found by descending a tree over the sequence; and the written tables."""
     from pyspark.sql import Window
 
     n = boxes.count()
-    bounded = boxes.withColumn("part", F.shiftright("at", 32))
+    size = len(boxes.first().lo)
+    bounded = boxes.withColumn("part", F.shiftright("at", 16))
     first = bounded.groupBy("part").agg(F.count("*").alias("k"))
     first = first.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    node = bounded.join(first, "part").select("at", (F.col("before") + F.col("at") % (1 << 32)).alias("node"), "lo", "hi")
+    ranked = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
+    node = bounded.withColumn("own", ranked).join(first, "part").select("at", (F.col("before") + F.col("own")).alias("node"), "lo", "hi")
     levels = [table(node, "boxes")]
-    while n > 1:
+    while n > FAN:
         n = -(-n // FAN)
-        up = levels[-1].groupBy(F.floor(F.col("node") / FAN).alias("node"))
-        size = len(boxes.select("lo").first()[0]) if n else 0
-        ends = [F.array(*(f(F.element_at(c, i + 1)) for i in range(size))).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]
-        levels.append(table(up.agg(*ends), "boxes"))
-    pairs = levels[-1].select(F.col("node").alias("x"), F.col("node").alias("y"))
+        levels.append(table(levels[-1].groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(*_ends(size)), "boxes"))
     gap = F.aggregate(F.zip_with(F.zip_with("lo1", "hi2", lambda p, q: p - q), F.zip_with("lo2", "hi1", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    for level in levels[-2::-1] if len(levels) > 1 else levels:
-        if len(levels) > 1:
+    made = [boxes, *levels]
+    top = levels[-1].select("node")
+    pairs = top.select(F.col("node").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("y")).filter("x <= y")  # FAN nodes at most
+    for i, level in enumerate(levels[::-1]):
+        if i:
             kids = F.sequence(F.lit(0), F.lit(FAN - 1))
             pairs = pairs.select((F.col("x") * FAN).alias("x"), (F.col("y") * FAN).alias("y"), F.explode(kids).alias("i")).select((F.col("x") + F.col("i")).alias("x"), F.explode(F.transform(kids, lambda j: F.col("y") + j)).alias("y")).filter("x <= y")
         left = level.select(F.col("node").alias("x"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
         right = level.select(F.col("node").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-        pairs = table(pairs.join(left, "x").join(right, "y").filter(gap <= eps * eps).select("x", "y"), "box-pairs")
+        pairs = pairs.join(left, "x").join(right, "y").filter(gap <= eps * eps).select("x", "y")
+        if i + 1 < len(levels):
+            pairs = table(pairs, "box-pairs")
+            made.append(pairs)
     names = levels[0]
     pairs = pairs.join(names.select(F.col("node").alias("x"), F.col("at").alias("a")), "x")
-    return pairs.join(names.select(F.col("node").alias("y"), F.col("at").alias("b")), "y").select("a", "b")
+    return pairs.join(names.select(F.col("node").alias("y"), F.col("at").alias("b")), "y").select("a", "b"), made
 
 
-def _compare(t: dict, d: int, least: float, eps: float) -> pa.RecordBatch:
-    """Links between two blocks, or inside one."""
-    same = t["a"] == t["b"]
+def _compare_groups(t: pa.Table, d: int, least: float, eps: float):
+    """Links between the blocks of two groups, or inside one group; each side is stacked once."""
+    grp = t.column("grp").to_numpy()
     sides = []
-    for k in "12":
-        uid, n = (np.frombuffer(t[f"{c}{k}"], np.int64) for c in ("uids", "ns"))
-        x = np.frombuffer(t[f"xs{k}"]).reshape(-1, d)
+    for g in dict.fromkeys(grp.tolist()):
+        own = np.flatnonzero(grp == g)
+        cols = {c: t.column(c).take(pa.array(own)).to_pylist() for c in ("uids", "ns", "sizes", "xs")}
+        uid, n, size = (np.frombuffer(b"".join(cols[c]), np.int64) for c in ("uids", "ns", "sizes"))
+        x = np.frombuffer(b"".join(cols["xs"])).reshape(-1, d)
         lead = min(d, LEADING)
         rest = np.sqrt(np.maximum(0, 1 - (x[:, :lead] ** 2).sum(axis=1)))
-        sides.append((uid, n, x, np.concatenate([x[:, :lead], rest[:, None]], axis=1).astype(np.float32)))
-    (u1, n1, x1, s1), (u2, n2, x2, s2) = sides
+        sides.append((uid, n, size, x, np.concatenate([x[:, :lead], rest[:, None]], axis=1).astype(np.float32)))
+    yield _compare(sides[0], sides[-1], len(sides) == 1, d, least, eps)
+
+
+def _compare(one: tuple, two: tuple, same: bool, d: int, least: float, eps: float) -> pa.RecordBatch:
+    """Links between two sequences, or inside one."""
+    (u1, n1, z1, x1, s1), (u2, n2, z2, x2, s2) = one, two
+    mixed = z1.min() != z2.max() or z1.max() != z2.min()
     shift = 0 if same else len(u1)
     forest, counts = Forest(len(u1) + (0 if same else len(u2))), np.zeros(len(u1) + (0 if same else len(u2)), np.int64)
 
@@ -199,6 +250,8 @@ def _compare(t: dict, d: int, least: float, eps: float) -> pa.RecordBatch:
         else:
             cos = np.concatenate([np.einsum("ij,ij->i", x1[a0 + i[k : k + 65536]], x2[b0 + j[k : k + 65536]]) for k in range(0, len(i), 65536)])
         good = cos >= least
+        if mixed:
+            good &= z1[a0 + i] == z2[b0 + j]
         i, j = a0 + i[good], b0 + j[good]
         if same:
             i, j = i[i < j], j[i < j]

@@ -58,15 +58,15 @@ def vectors():
         rows += [list(map(float, base + rng.normal(size=16) * s)) for s in (0, 0, 0.1, 0.2, 0.3, 0.35, 0.4)]
     rows += [list(map(float, rng.normal(size=16))) for _ in range(60)]
     rows += [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf"), *[1.0] * 15], [None, *[1.0] * 15], [1.0, 0.0], [2.0, 0.0], [1.0], [-1.0], [0.0, 1.0]]
+    rows += [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 0.0], [0.5, 1.0, 1.5], [0.0, -0.0, 1.0], [0.0, 0.0, 2.0]]
     rows += [rows[0], [x * 7 for x in rows[0]]]
     return [(int(i), v) for i, v in zip(rng.permutation(len(rows)), rows)]
 
 
-@pytest.mark.parametrize("leaf, block, fan", [(embedding_join.LEAF, embedding_join.BLOCK_BYTES, embedding_join.FAN), (4, 512, 2)])
-def test_vectors_equal_brute_force(spark, monkeypatch, vectors, leaf, block, fan):
-    monkeypatch.setattr(embedding_join, "LEAF", leaf)
-    monkeypatch.setattr(embedding_join, "BLOCK_BYTES", block)
-    monkeypatch.setattr(embedding_join, "FAN", fan)
+@pytest.mark.parametrize("leaf, block, fan, group", [(embedding_join.LEAF, embedding_join.BLOCK_BYTES, embedding_join.FAN, 16), (4, 512, 2, 16), (4, 512, 2, 1)])
+def test_vectors_equal_brute_force(spark, monkeypatch, vectors, leaf, block, fan, group):
+    for name, value in (("LEAF", leaf), ("BLOCK_BYTES", block), ("FAN", fan), ("GROUP", group)):
+        monkeypatch.setattr(embedding_join, name, value)
     df = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<double>, n_links int")
     assert sorted(map(tuple, embedding_join.near_vectors(df).collect())) == sorted(brute.near_vectors(vectors))
 
