@@ -3,7 +3,7 @@
 OP4 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS key FROM documents),
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')), 1, 15) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1 AS rank FROM s),
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3 * source_size AS cap FROM r),
@@ -14,15 +14,13 @@ l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS
 f AS (SELECT arg_min(level, (ratio, rank)) AS level FROM l WHERE level <= ratio),
 t AS (SELECT l.source, source_size, least(CAST(cap AS DOUBLE), f.level * weight) AS target FROM l CROSS JOIN f),
 v AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS whole FROM t),
-k AS (SELECT source, key, sum(size) AS size FROM d GROUP BY source, key),
-c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
-e AS (SELECT v.source, max(key) AS edge FROM c JOIN v ON c.source IS NOT DISTINCT FROM v.source
-      WHERE target - whole * source_size - before >= 0 GROUP BY v.source),
-u AS (SELECT v.*, e.edge, (target - whole * source_size - c.before) * 2 > c.size AS take_last FROM v
-      JOIN e ON v.source IS NOT DISTINCT FROM e.source JOIN c ON c.source IS NOT DISTINCT FROM e.source AND c.key = e.edge)
-SELECT d.doc_id, d.size, u.source_size, u.target,
-       CAST((u.whole + CASE WHEN u.whole < 3 AND (d.key < u.edge OR (d.key = u.edge AND u.take_last)) THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
-FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+c AS (SELECT d.*, v.source_size, v.target, v.whole, target - whole * v.source_size AS budget,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
+e AS (SELECT *, before <= budget AS inside, lead(before) OVER (PARTITION BY source ORDER BY key, doc_id, before) AS after FROM c)
+SELECT doc_id, size, source_size, target,
+       CAST((whole + CASE WHEN whole < 3 AND inside AND ((after IS NOT NULL AND after <= budget) OR (budget - before) * 2 > size) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM e
 """
 
 OP10 = r"""

@@ -154,3 +154,23 @@ def test_toxicity_odd_rows(spark):
     empty = toxicity.fit(docs, labels.limit(0))
     assert {r.predicted for r in toxicity.score(docs, empty).collect()} == {0}
     assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_mix_of_repeated_and_null_ids_comes_near_its_target(spark):
+    """Rows of one id, or of none, and equal rows: each source is within half a document of its target."""
+    rows = [(5, " ".join(["w"] * (10 + i % 3)) + f" {i}", "a") for i in range(400)] + [(None, f"x{i} y z", "b") for i in range(500)]
+    rows += [(7, "same words here", "c")] * 900 + [(None, None, "d")] * 3 + [(8, "one two", None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, weights=(1, 1, 8)).collect()
+    words = [(s, len((t or "").split())) for _, t, s in rows]
+    size, target = brute.mix(words, (1, 1, 8))
+    taken, ids = dict.fromkeys(size, 0), {5: "a", 7: "c", 8: None}
+    for r in got:
+        source = next(s for s in size if size[s] == r.source_size)
+        taken[source] += r.taken
+        assert r.doc_id is None or ids[r.doc_id] == source
+    assert len(got) == len(rows) and target["c"] > size["c"]
+    for s in size:
+        assert abs(taken[s] - target[s]) <= 13 / 2
+    again = mixing.mix(df.repartition(2), weights=(1, 1, 8)).collect()
+    assert sorted(map(repr, map(tuple, again))) == sorted(map(repr, map(tuple, got)))
