@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 
 from ._batches import groups, pieces, texts_of
 from ._components import components
-from ._io import table
+from ._io import free_name, release, shuffle_partitions, table
+from ._joins import common_keys, count_keys, salted_join
 from ._unions import Forest
 from ._words import mix, shingle_sets
 
-#: 32 bands of 4 minima: a pair of similarity 0.75 shares no band with a chance of 5e-6. 8 low bits of each minimum stay.
-BANDS, DEPTH, BITS = 32, 4, 8
+#: 32 bands of 4 minima: a pair of similarity 0.75 shares no band with a chance of 5e-6. 4 low bits of each minimum stay,
+#: packed in 64-bit words.
+BANDS, DEPTH, BITS = 32, 4, 4
 HASHES = BANDS * DEPTH
+WORDS = HASHES * BITS // 64
 #: Estimates this far under the similarity are still confirmed: 5 standard errors of 128 minima at 0.75.
-MARGIN = 0.19
-#: Shingles of a block of a bucket; larger buckets are compared block by block.
-BLOCK_SHINGLES = 400_000
+MARGIN = 0.2
+#: Shingles and members of a block of a bucket; larger buckets are compared block by block.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 1024
 
 _rng = np.random.Generator(np.random.PCG64(20240602))
 _A = _rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -32,14 +35,31 @@ _ROW = _rng.integers(0, 2**64, DEPTH, dtype=np.uint64) | np.uint64(1)
 
 
 def signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed low bits (texts, 128) and band keys (texts, 32) of the sets h[at[i]:at[i+1]], none of them empty."""
+    """Packed low bits (texts, WORDS) and band keys (texts, 32) of the sets h[at[i]:at[i+1]], none of them empty."""
     x = (h >> np.uint64(32)).astype(np.uint32)
     low = np.empty((HASHES, len(at) - 1), np.uint32)
     for k in range(HASHES):
         low[k] = np.minimum.reduceat(x * _A[k] + _B[k], at[:-1])
     rows = low.astype(np.uint64).reshape(BANDS, DEPTH, -1)
     bands = mix((mix(rows + np.uint64(1)) * _ROW[None, :, None]).sum(axis=1, dtype=np.uint64) + _BAND[:, None])
-    return low.astype(np.uint8).T.copy(), bands.T.astype(np.uint64).view(np.int64).copy()
+    bits = (low & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(WORDS, 64 // BITS, -1)
+    shifts = (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))[None, :, None]
+    packed = np.bitwise_or.reduce(bits << shifts, axis=1)
+    return packed.T.copy(), bands.T.astype(np.uint64).view(np.int64).copy()
+
+
+#: The lowest bit of each entry.
+_LOWEST = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+
+
+def equal_entries(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the 128 packed entries agree: those whose exclusive or has no bit set."""
+    apart = x ^ y
+    shift = BITS // 2
+    while shift:
+        apart = apart | (apart >> np.uint64(shift))
+        shift //= 2
+    return HASHES - np.bitwise_count(apart & _LOWEST).sum(axis=-1, dtype=np.int64)
 
 
 def estimate(equal: np.ndarray) -> np.ndarray:
@@ -83,29 +103,31 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = table(texts.mapInArrow(sign, f"id {kind}, n long, digest binary, sig binary, bands array<long>"), "signatures")
     classes = rows.filter("digest is not null").groupBy("digest").agg(
-        F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+        F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
     )
     classes = table(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
+    n_classes = classes.count()
     every = classes.select("uid", F.explode("bands").alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    members = table(every.join(shared, "key"), "buckets")
+    shared = table(every.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shared-bands")
+    crowded = common_keys(shared, "key", "m", BANDS * n_classes)  # bands of large groups, dealt over many tasks
+    members = table(salted_join(every, shared, "key", crowded), "buckets")
     weight = members.groupBy("uid").agg(F.sum("m").alias("weight"))
     hubs = members.join(weight, "uid").groupBy("key").agg(F.max_by("uid", F.struct("weight", "uid")).alias("hub"))
-    pairs = members.join(hubs, "key").filter("uid <> hub").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct()
+    pairs = table(salted_join(members, hubs, "key", crowded).filter("uid <> hub").select("uid", "hub").distinct(), "hub-pairs")
     light = classes.select("uid", "n", "sig")
-    sides = pairs.join(light.toDF("a", "n1", "sig1"), "a").join(light.toDF("b", "n2", "sig2"), "b")
+    busy = count_keys(pairs, "hub")  # hubs of large groups
+    sides = salted_join(pairs.join(light.toDF("uid", "n1", "sig1"), "uid"), light.toDF("hub", "n2", "sig2"), "hub", busy)
 
     def likely(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sig1", "sig2"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("sig1", "sig2"))
             n1, n2 = (batch.column(c).to_numpy() for c in ("n1", "n2"))
-            good = (estimate((x == y).sum(axis=1)) >= percent / 100 - MARGIN) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            good = (estimate(equal_entries(x, y)) >= percent / 100 - MARGIN) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+            yield batch.select(["uid", "hub"]).filter(pa.array(good))
 
-    pairs = table(sides.mapInArrow(likely, "a long, b long"), "pairs")
-    del sides
-    crowded = members.filter("m > 2").select("uid")
-    need = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).union(crowded).distinct()
+    hubbed = table(sides.select("uid", "hub", "n1", "n2", "sig1", "sig2").mapInArrow(likely, "uid long, hub long"), "pairs")
+    release(pairs, shared)
+    need = hubbed.select("uid").union(hubbed.select(F.col("hub").alias("uid"))).union(members.filter("m > 2").select("uid")).distinct()
     need = classes.join(need, "uid").select("uid", "least_id", "digest")
     wanted = texts.join(need, F.col("id").eqNullSafe(F.col("least_id"))).select("uid", "digest", "text")
 
@@ -118,34 +140,53 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield out.filter(pa.array(right))
 
     sets = table(wanted.mapInArrow(take, "uid long, shingles binary").dropDuplicates(["uid"]), "shingle-sets")
+    shuffle = shuffle_partitions(spark)
+    # A hub's set is sent once to each task that has partners of it, and stands before theirs.
+    busy = count_keys(hubbed, "hub")
+    parts = F.lit(1)
+    if busy is not None:
+        hubbed_, parts = hubbed.join(F.broadcast(busy), "hub", "left"), F.coalesce("parts", F.lit(1))
+    else:
+        hubbed_ = hubbed
+    dealt = hubbed_.select("uid", "hub", F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part"))
+    heads = dealt.select(F.col("hub").alias("uid"), "hub", "part").distinct()
+    held = dealt.join(sets, "uid").union(_of_hubs(heads, sets, busy)).select("hub", "part", "uid", "shingles", (F.col("uid") != F.col("hub")).alias("partner"))
 
     def confirm(batches):
-        for batch in pieces(batches, "s1"):
-            good = []
-            for x, y in zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
+        last, own = None, np.zeros(0, np.uint64)
+        for batch in pieces(batches, "shingles"):
+            a, b = [], []
+            for hub, part, uid, raw, partner in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "uid", "shingles", "partner")), strict=True):
+                one = np.frombuffer(raw, np.uint64)
+                if not partner:
+                    last, own = (hub, part), one
+                    continue
+                assert last == (hub, part)
+                both = np.sort(np.concatenate([own, one]))
                 inside = int((both[1:] == both[:-1]).sum())
-                good.append(100 * inside >= percent * (len(both) - inside))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                if 100 * inside >= percent * (len(both) - inside):
+                    a.append(min(uid, hub))
+                    b.append(max(uid, hub))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    first = pairs.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b")
+    first = held.repartition(shuffle, "hub", "part").sortWithinPartitions("hub", "part", "partner")
     first = table(first.mapInArrow(confirm, "a long, b long"), "links")
     labels = table(components(first), "labels")
     named = members.filter("m > 2").join(labels.withColumnRenamed("id", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid"))
-    named = named.join(classes.select("uid", "n"), "uid").select("key", "uid", "label", "n")
-    split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.sum("n").alias("total")).filter("x <> y")
-    parts = (F.floor(F.col("total") / BLOCK_SHINGLES) + 1).cast("int")
-    open_ = named.join(split.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("uid"), "parts").cast("int"))
+    named = table(named.join(classes.select("uid", "n"), "uid").select("key", "uid", "label", "n"), "labelled-buckets")
+    split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.sum("n").alias("total"), F.count("*").alias("m")).filter("x <> y")
+    cut = F.floor(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("m") / BLOCK_MEMBERS)) + 1
+    open_ = salted_join(named, split.select("key", cut.cast("int").alias("parts")), "key", crowded)
+    open_ = open_.withColumn("part", F.pmod(F.xxhash64("uid"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     tiles = open_.select("key", "uid", "label", "part", other).select(
         F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "key", "uid", "label", "part", (F.col("part") == F.col("other")).alias("own")
     )
     tiles = table(tiles, "tiles")
+    release(members, labels, named, hubbed)
     # Only classes with a likely partner across components need their sets.
     light = classes.select("uid", "n", "sig", "bands")
     work = tiles.join(light, "uid")
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def flag(batches):
         for t in groups(batches, "tile"):
@@ -155,6 +196,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     shape = "tile long, key long, uid long, label long, part int, own boolean"
     left = table(work.repartition(shuffle, "tile").sortWithinPartitions("tile").mapInArrow(flag, shape), "likely")
+    release(tiles)
     work = left.join(light, "uid").join(sets, "uid")
 
     def check(batches):
@@ -163,17 +205,26 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     second = table(work.repartition(shuffle, "tile").sortWithinPartitions("tile").mapInArrow(check, "a long, b long"), "more-links")
+    release(left, sets)
     joined = components(first.union(second)).withColumnRenamed("id", "uid")
-    joined = classes.select("uid", "digest", "least_id").join(joined, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    joined = classes.select("uid", "digest", "copies", "least_id").join(joined, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    joined = table(joined, "class-components")
+    release(first, second, classes)
     least = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = joined.join(least, "component").select("digest", "component_id")
-    linked = rows.filter("digest is not null").select("id", "n", "digest").join(named, "digest").select("id", "n", "component_id")
+    named = salted_join(joined.select("digest", "component"), least, "component", count_keys(joined, "component")).select("digest", "component_id")
+    copied = common_keys(joined, "digest", "copies", rows.count())
+    linked = salted_join(rows.filter("digest is not null").select("id", "n", "digest"), named, "digest", copied).select("id", "n", "component_id")
     alone = rows.filter("digest is null").select("id", "n", F.col("id").alias("component_id"))
     return linked.union(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
+def _of_hubs(heads: DataFrame, sets: DataFrame, busy: DataFrame | None) -> DataFrame:
+    """(uid, hub, part, shingles) of hubs; a hub with many parts is joined from several tasks."""
+    return salted_join(heads, sets, "uid", None if busy is None else busy.withColumnRenamed("hub", "uid")).select("uid", "hub", "part", "shingles")
+
+
 class _Tile:
     """Members of one or two blocks of a bucket."""
 
@@ -182,7 +233,7 @@ class _Tile:
         self.uid, self.key, self.part = (t.column(c).to_numpy() for c in ("uid", "key", "part"))
         self.n = t.column("n").to_numpy()
         self.label = np.unique(t.column("label").to_numpy(), return_inverse=True)[1]
-        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(-1, WORDS)
         self.bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
 
     def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
@@ -200,7 +251,7 @@ class _Tile:
             js = js[100 * np.minimum(self.n[js], self.n[i]) >= self.percent * np.maximum(self.n[js], self.n[i])]
             if not len(js):
                 continue
-            js = js[estimate((self.sig[js] == self.sig[i]).sum(axis=1)) >= least]
+            js = js[estimate(equal_entries(self.sig[js], self.sig[i])) >= least]
             if len(js):
                 same = self.bands[js] == self.bands[i]
                 js = js[self.bands[i][same.argmax(axis=1)] == self.key[i]]
@@ -243,13 +294,18 @@ class _Tile:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
     """docs, all columns, with one row of each group of linked texts: the one of smallest id.
 
-    Rows without shingles stay. Where ids repeat, rows are told apart by numbers in order of the ids, nulls last.
+    Null, empty and blank texts have no shingles and stay, each row of them. Where ids repeat or several are null, rows
+    are told apart by numbers in order of the ids, nulls last; of repeated rows one stays. Empty table: no rows. Columns
+    of any name, their order and their values stay as they are.
     """
     if docs.select(id_col).count() != docs.select(id_col).distinct().count():
-        numbered = table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
-        groups_ = near_texts(numbered.select("_row", text_col), "_row", text_col, percent, k).select("_row", "component_id")
-        least = numbered.select("_row", order.alias("order")).join(groups_, "_row").groupBy("component_id").agg(F.min_by("_row", "order").alias("_row"))
-        return numbered.join(least.select("_row"), "_row", "left_semi").drop("_row")
-    kept = near_texts(docs, id_col, text_col, percent, k).filter("kept").select(F.col(id_col).alias("_kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+        row = free_name(docs, "row")
+        numbered = table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        # near_texts numbers components by their smallest row; the row to keep is the one of smallest id among them.
+        found = near_texts(numbered.select(row, text_col), row, text_col, percent, k).select(F.col(row).alias("at"), "component_id")
+        ids = numbered.select(F.col(row).alias("at"), F.col(id_col).alias("id")).join(found, "at")
+        least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("least"))
+        kept = least.select(F.col("least.at").alias("at"))
+        return numbered.join(kept, numbered[row] == kept["at"], "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    kept = near_texts(docs, id_col, text_col, percent, k).filter("kept").select(F.col(id_col).alias(free_name(docs, "kept")))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[kept.columns[0]]), "left_semi")

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from lectern.llm import embedding_join, minhash
+from lectern.llm import _joins, embedding_join, minhash
 
 
 def edited(rng, words, share):
@@ -23,9 +23,11 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK_SHINGLES, 1500])
-def test_texts_equal_brute_force(spark, monkeypatch, texts, block):
+@pytest.mark.parametrize("block, split", [(minhash.BLOCK_SHINGLES, 2), (1500, 1000)])
+def test_texts_equal_brute_force(spark, monkeypatch, texts, block, split):
+    """Also with small blocks, and with many keys taken for common ones."""
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(_joins, "SPLIT", split)
     rows = [(i * 3 + 1, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string")
     assert sorted(map(tuple, minhash.near_texts(df).collect())) == sorted(brute.near_texts(rows))
@@ -41,6 +43,30 @@ def test_texts_null_and_repeated_ids(spark):
     assert kept == [(False, 2, ""), (False, 4, "a b c d e f"), (False, 9, "other words stand here now"), (True, 0, "")]
 
 
+def test_keep_one_leaves_columns_of_any_name(spark):
+    text = "a b c d e f"
+    rows = [(4, text, 1, 2, 3), (4, text, 1, 2, 3), (None, text, 5, 6, 7), (9, "other words stand here now", 8, 9, 10), (9, None, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, row int, `a.b` int")
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+    one = spark.createDataFrame([(1, text, 5, 6), (2, text, 5, 6)], "doc_id long, text string, _kept int, kept int")
+    assert [tuple(r) for r in minhash.keep_one(one).collect()] == [(1, text, 5, 6)]
+    assert minhash.keep_one(df.limit(0)).collect() == []
+
+
+def test_packed_entries_are_counted_by_bits():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 2**64, (2, 50, minhash.WORDS), dtype=np.uint64)
+    y[:25] = np.where(rng.random((25, minhash.WORDS)) < 0.5, x[:25], y[:25])
+    entries = lambda a: [[(int(w) >> s) & ((1 << minhash.BITS) - 1) for w in row for s in range(0, 64, minhash.BITS)] for row in a]
+    assert minhash.equal_entries(x, y).tolist() == [sum(p == q for p, q in zip(a, b)) for a, b in zip(entries(x), entries(y))]
+    h = np.sort(rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    both = np.concatenate([h[:2000], h[500:2500]])
+    sig, _ = minhash.signatures(both, np.array([0, 2000, 4000]))
+    assert abs(float(minhash.estimate(minhash.equal_entries(sig[0], sig[1]))) - 1500 / 2500) < 0.2
+
+
 def test_keep_one_of_each_group(spark, texts):
     rows = [(i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
