@@ -26,6 +26,35 @@ def buckets(total_bytes: int, partitions: int, each: int = 16 << 20) -> int:
     return int(max(partitions, total_bytes // each + 1))
 
 
+class Known:
+    """Hashes that a map task has seen in two texts, with the smallest id of each; a bounded number of them.
+
+    What is known to be shared needs no entry of its own, so a hash that very many texts share costs an entry for each
+    map task, not for each piece of its input. A hash that does not fit is sent again; results don't depend on it.
+    """
+
+    def __init__(self, most: int = 1 << 18):
+        self.h, self.least, self.most = np.zeros(0, np.uint64), np.zeros(0, np.int64), most
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is known, and its smallest id (of no meaning where it is not)."""
+        if not len(self.h):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return self.h[at] == h, self.least[at]
+
+    def add(self, h: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct sorted hashes with ids; smaller ids replace held ones."""
+        held, _ = self.find(h)
+        at = np.searchsorted(self.h, h[held])
+        self.least[at] = np.minimum(self.least[at], ids[held])
+        new = np.flatnonzero(~held)[: self.most - len(self.h)]
+        if len(new):
+            both, least = np.concatenate([self.h, h[new]]), np.concatenate([self.least, ids[new]])
+            order = np.argsort(both, kind="stable")
+            self.h, self.least = both[order], least[order]
+
+
 def pack(n_buckets: int, h: np.ndarray, place: np.ndarray, text: np.ndarray, keys: np.ndarray, ids: np.ndarray | None, sure: np.ndarray, narrow: bool = False) -> pa.RecordBatch:
     """Entries as rows, one for each bucket, in order of texts and places, so that they compress.
 

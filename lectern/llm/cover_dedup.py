@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import pieces, texts_of
-from ._exchange import ANSWERS, ENTRIES, Entries, buckets, merged, pack, places_of
-from ._io import table
+from ._exchange import ANSWERS, ENTRIES, Entries, Known, buckets, merged, pack, places_of
+from ._io import release, shuffle_partitions, table, text_bytes
+from ._joins import count_keys, salted_join
 from ._words import Words
 
 #: Any difference modulo 7 is one of two members: two places can be moved by the same step below 7 into the cover.
@@ -26,14 +27,17 @@ def _starts(w: Words, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     return text, np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
-    """Rows (id, n_words, n_removed, kept_sha256, kept_text) for each row of docs.
+def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = True) -> DataFrame:
+    """Rows (id, n_words, n_removed, kept_sha256, kept_text) for each row of docs; without with_text no kept_text.
 
     A word goes if a window of `window` consecutive words covers it whose words also begin in a document with a smaller
     id; kept words are joined by one space. Windows of `window` words that occur twice share an anchor: `window` - 6
     words at a place of the cover in both. First exchange: anchors that two texts hold. Second: windows around those
     anchors are compared by hash, and the smallest id of each is found. All windows of all texts are judged.
 
+    A hash that very many texts share costs an entry for each map task; texts with very many copies are dealt over
+    several tasks in the joins, whose number of partitions follows the bytes of text.
+
     ids must be integers. Null or empty text: no words. A null id counts as larger than all others and removes nothing
     from them; rows with equal ids remove nothing from one another. Empty table: no rows. Other columns are left out.
     """
@@ -42,11 +46,14 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark, anchor = docs.sparkSession, window - PERIOD + 1
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = buckets(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, partitions)
+    n_bytes = text_bytes(rows, "text")
+    n_buckets, tasks = buckets(n_bytes, shuffle_partitions(spark)), shuffle_partitions(spark, n_bytes)
+    copied = count_keys(rows, "key")  # texts with very many copies under one id
 
     def send_anchors(batches):
+        shared_before = Known()
         for batch in pieces(batches, "text"):
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
             w = Words(texts_of(batch, "text"))
             text, place = _starts(w, anchor, window)
             chosen = np.isin(place % PERIOD, COVER)
@@ -54,7 +61,13 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
             if not len(text):
                 continue
             h = w.windows(anchor)[w.first[text] + place] & np.uint64(~0xFF & (2**64 - 1))
-            # What two texts of the piece share is known to be shared; one entry stands for it.
+            # What two texts of the task's input share is known to be shared; one entry stands for it.
+            held, _ = shared_before.find(h)
+            if held.any():
+                yield _told(keys, text[held], place[held], n_buckets, True)
+                text, place, h = text[~held], place[~held], h[~held]
+                if not len(text):
+                    continue
             order = np.lexsort((text, h))
             hs, ts = h[order], text[order]
             first = np.concatenate([[True], hs[1:] != hs[:-1]])
@@ -64,7 +77,8 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
             known[group[many]] = True
             sure = known[group]
             alone = ~sure | first
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            told_once = hs[first & sure]
+            shared_before.add(told_once, np.zeros(len(told_once), np.int64))
             yield pack(n_buckets, hs[alone], place[order][alone], ts[alone], keys, None, sure[alone], True)
             rest = order[~alone]
             yield _told(keys, text[rest], place[rest], n_buckets, True)
@@ -87,6 +101,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     anchors = table(merged(anchors, n_buckets), "anchors")
 
     def send_windows(batches):
+        sent = Known()
         for batch in pieces(batches, "text"):
             w = Words(texts_of(batch, "text"))
             begin, at = [np.zeros(0, np.int64)], batch.column("places")
@@ -103,11 +118,17 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
             h = w.windows(window)[w.first[text] + place] | np.uint64(1)
             ids = np.array([LAST if x is None else x for x in batch.column("id").to_pylist()], np.int64)
             keys = batch.column("key").to_numpy()
+            # Only texts of the smallest id that the task has seen for a window have to ask.
             order = np.lexsort((ids[text], h))
             hs, ts = h[order], text[order]
-            group = np.cumsum(np.concatenate([[True], hs[1:] != hs[:-1]])) - 1
-            least = ids[ts[np.concatenate([[True], hs[1:] != hs[:-1]])]][group]
-            smallest = ids[ts] == least
+            first = np.concatenate([[True], hs[1:] != hs[:-1]])
+            group = np.cumsum(first) - 1
+            least = ids[ts[first]]
+            held, before = sent.find(hs[first])
+            least = np.where(held, np.minimum(least, before), least)
+            repeated = held | (np.bincount(group) > 1)
+            sent.add(hs[first][repeated], least[repeated])
+            smallest = ids[ts] == least[group]
             yield pack(n_buckets, hs[smallest], place[order][smallest], ts[smallest], keys, ids, np.zeros(int(smallest.sum()), bool))
             rest = order[~smallest]
             yield _told(keys, text[rest], place[rest], n_buckets)
@@ -124,9 +145,10 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
             least = ids[order[first]][np.cumsum(first) - 1]
             yield e.answers(order[ids[order] > least], n_buckets)
 
-    sides = rows.join(anchors, "key")
+    sides = salted_join(rows, anchors, "key", copied, tasks=tasks)
     windows = sides.mapInArrow(send_windows, ENTRIES).repartition(n_buckets, "bucket").mapInArrow(match_windows, ANSWERS)
     windows = table(merged(windows, n_buckets), "windows")
+    release(anchors)
 
     def remove(batches):
         for batch in pieces(batches, "text"):
@@ -145,14 +167,14 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     kept = b" ".join(raw[a:b] for a, b in zip((w.starts[stays] - shift).tolist(), (w.ends[stays] - shift).tolist()))
                 out[0].append(int(w.counts[i] - len(stays)))
                 out[1].append(hashlib.sha256(kept).hexdigest())
-                out[2].append(kept.decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(w.counts, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])],
-                ["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-            )
-
-    shape = "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return rows.join(windows, "key", "left").mapInArrow(remove, shape).withColumnRenamed("id", id_col)
+                if with_text:
+                    out[2].append(kept.decode())
+            columns = [batch.column("id"), pa.array(w.counts, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(out[2], pa.string())] * with_text, names)
+
+    names = ["id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
+    shape = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return salted_join(rows, windows, "key", copied, "left", tasks).mapInArrow(remove, shape).withColumnRenamed("id", id_col)
 
 
 def _told(keys: np.ndarray, text: np.ndarray, place: np.ndarray, n_buckets: int, narrow: bool = False) -> pa.RecordBatch:

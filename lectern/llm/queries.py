@@ -56,7 +56,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover_dedup.drop_repeated_windows(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return cover_dedup.drop_repeated_windows(_table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import pieces, texts_of
-from ._exchange import ANSWERS, answers, buckets, merged
-from ._io import table
+from ._exchange import ANSWERS, Known, answers, buckets, merged
+from ._io import release, shuffle_partitions, table, text_bytes
+from ._joins import count_keys, salted_join
 from ._words import mix
 from .run_index import RunIndex
 
@@ -24,7 +25,8 @@ _rng = np.random.Generator(np.random.PCG64(20240603))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_PLACE = np.uint64(28)
+#: Bits of a place in a piece; a text has less than 2**31 bytes.
+_PLACE = np.uint64(31)
 _SIZE = np.uint64(0xA0761D6478BD642F)
 
 _ROW = "bucket int, keys binary, texts binary, h binary, c binary, v binary"
@@ -159,16 +161,19 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null or empty text: 0 bytes, the digest of nothing. Repeated rows and copies lose everything from `window` bytes
     on. Null ids: a row each. Empty table: no rows. Other columns are left out.
     """
+    if not 2 <= window < 1 << 14:
+        raise ValueError("a window has 2 to 16,383 bytes")  # contexts are up to twice as long, and their lengths have 15 bits
     spark, gram = docs.sparkSession, window // 2
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # Equal texts are one class of known size, so a key stands for one text.
     rows = rows.withColumn("key", F.xxhash64(F.lit(7), "text"))
     kind = rows.schema["id"].dataType.simpleString()
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = buckets(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, partitions)
-    hot = HOT
+    n_bytes = text_bytes(rows, "text")
+    n_buckets, tasks = buckets(n_bytes, shuffle_partitions(spark)), shuffle_partitions(spark, n_bytes)
+    copied, hot = count_keys(rows, "key"), HOT
 
     def send_contexts(batches):
+        sent = Known()  # contexts that the task has told to be repeated
         for batch in pieces(batches, "text"):
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             texts = Bytes(texts_of(batch, "text"))
@@ -179,9 +184,12 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             c = texts.hash(start, length) + mix((anchor - start).astype(np.uint64))
             order, _, same = _combined(h, c)
             first = np.concatenate([[True], same[1:] != same[:-1]])
-            sure = np.bincount(same)[same] > 1
+            held, _ = sent.find(mix(h[order] ^ mix(c[order])))
+            sure = held | (np.bincount(same)[same] > 1)
             v = _packed(start - texts.offsets[text], length, anchor - start, np.zeros(len(text)))[order] | sure.astype(np.uint64)
-            yield _rows(n_buckets, keys, text[order], np.where(first, h[order], 0), c[order], v)
+            yield _rows(n_buckets, keys, text[order], np.where(first & ~held, h[order], 0), c[order], v)
+            new = np.sort(mix(h[order] ^ mix(c[order]))[first & sure & ~held])
+            sent.add(new, np.zeros(len(new), np.int64))
 
     def match_contexts(batches):
         e = _Received(batches)
@@ -204,7 +212,13 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = rows.select("key", "text").mapInArrow(send_contexts, _ROW).repartition(n_buckets, "bucket").mapInArrow(match_contexts, _ANSWER)
     found = table(found, "contexts")
     asked = [merged(found.filter(F.col("kind") == k), n_buckets, np.uint64).withColumn("kind", F.lit(k)) for k in (ASK, ASK_HOT)]
-    unique = [rows.select("key", "text").join(a, "key").dropDuplicates(["key"]) for a in asked]
+    # One copy of each text speaks for all; of texts with very many copies only those of one id are sent at all.
+    one = rows.select("id", "key", "text")
+    if copied is not None:
+        first = rows.join(F.broadcast(copied), "key").groupBy("key").agg(F.min("id").alias("first"))
+        one = one.join(F.broadcast(first), "key", "left").filter("first is null or first = id").drop("first")
+    one = one.select("key", "text")
+    unique = [one.repartition(tasks, "key").join(a.repartition(tasks, "key"), "key").dropDuplicates(["key"]) for a in asked]
 
     def send_bytes(batches):
         for batch in pieces(batches, "text"):
@@ -294,11 +308,14 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             twice = (np.bincount(same) > 1) | (np.bincount(same, weights=(e.v[at[order]] & np.uint64(1)).astype(float)) > 0)
             yield e.answers(at[order][twice[same]], FULL, n_buckets)
 
-    spans = found.filter(F.col("kind") == FULL).union(table(marked, "marked"))
+    written = [table(marked, "marked")]
+    spans = found.filter(F.col("kind") == FULL).union(written[0])
     if found.filter(F.col("kind") == ASK_HOT).limit(1).count():
         windows = unique[1].mapInArrow(send_windows, _ROW).repartition(n_buckets, "bucket").mapInArrow(match_windows, _ANSWER)
-        spans = spans.union(table(windows, "hot-windows"))
-    spans = merged(spans.drop("kind"), n_buckets, np.uint64)
+        written.append(table(windows, "hot-windows"))
+        spans = spans.union(written[-1])
+    spans = table(merged(spans.drop("kind"), n_buckets, np.uint64), "spans")
+    release(found, *written)
 
     def remove(batches):
         for batch in pieces(batches, "text"):
@@ -318,4 +335,4 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     shape = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.join(spans, "key", "left").mapInArrow(remove, shape).withColumnRenamed("id", id_col)
+    return salted_join(rows, spans, "key", copied, "left", tasks).mapInArrow(remove, shape).withColumnRenamed("id", id_col)
