@@ -169,8 +169,7 @@ def label_key(value: Column | str) -> Column:
 
 def amounts(text: Column | str) -> Column:
     """Money-looking numbers of a row as written; bare numbers of one or two digits are quantities."""
-    pattern = r"(?i)(?<![\w.,-])(?:[$€£]|rp\.?|tk\.?|bdt|usd)?\s?\d{1,3}(?:[.,] ?\d{3})+(?:[.,]\d{1,2})?(?![\w%]|[.,]\d)|(?<![\w.,-])\d+(?:[.,]\d{1,2})?(?![\w%]|[.,]\d)"
-    found = F.transform(F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(0)), lambda m: F.btrim(m))
+    found = F.transform(F.regexp_extract_all(_col(text), F.lit(_ci(W.MONEY)), F.lit(0)), lambda m: F.btrim(m))
     return F.filter(found, lambda m: ~m.rlike(r"^\d{1,2}$"))
 
 

@@ -26,11 +26,22 @@ ROLE_WORDS = frozenset(
 )
 # What forms call something that a question names otherwise.
 FORM_SYNONYMS = {
-    "work": "employer organization organisation company occupation profession business employed", "designation": "position title post occupation rank profession",
-    "number": "no nr num nbr id", "tax": "vat gst ppn pb1 gross net", "subtotal": "sub total net", "seller": "from vendor supplier seller sold",
-    "client": "bill buyer customer to billed ship", "total": "sum due balance grand", "phone": "tel telephone mobile cell", "address": "addr street",
-    "date": "dated issued", "invoice": "inv bill", "id": "tax no number", "worth": "gross net total", "name": "seller client from to bill",
-}
+    "work": ("employer", "organization", "organisation", "company", "occupation", "profession", "business", "employed"),
+    "designation": ("position", "title", "post", "occupation", "rank", "profession"),
+    "number": ("no", "nr", "num", "nbr", "id"),
+    "tax": ("vat", "gst", "ppn", "pb1", "gross", "net"),
+    "subtotal": ("sub", "total", "net"),
+    "seller": ("from", "vendor", "supplier", "seller", "sold"),
+    "client": ("bill", "buyer", "customer", "to", "billed", "ship"),
+    "total": ("sum", "due", "balance", "grand"),
+    "phone": ("tel", "telephone", "mobile", "cell"),
+    "address": ("addr", "street"),
+    "date": ("dated", "issued"),
+    "invoice": ("inv", "bill"),
+    "id": ("tax", "no", "number"),
+    "worth": ("gross", "net", "total"),
+    "name": ("seller", "client", "from", "to", "bill"),
+}
 # Constants of ranking, chunking, grounding and caching.
 K1, B = 1.4, 0.75
 CHUNK_TARGET, GATEWAY_SIZE, GATEWAY_OVERLAP, LINES_PER_PAGE = 450, 700, 120, 45
@@ -55,3 +66,35 @@ OPTION_SKIP = frozenset("the of what which are all different those these availab
 BOX_GLYPHS = "[■-◿☐-☒•·]"
 # Glyphs that only legacy-encoded Bengali text holds, and how many mark such a text.
 LEGACY_SIGNATURE, LEGACY_LEAST, LEGACY_SHARE = "†‡¨ªÖ¯³µÿÎËÄÝô¤‚…„›šˆ‰©·", 6, 0.03
+# Amounts of money, and what receipts call the rows that hold them.
+MONEY = r"(?<![\w.,-])(?:[$€£]|rp\.?|tk\.?|bdt|usd)?\s?\d{1,3}(?:[.,] ?\d{3})+(?:[.,]\d{1,2})?(?![\w%]|[.,]\d)|(?<![\w.,-])\d+(?:[.,]\d{1,2})?(?![\w%]|[.,]\d)"
+TOTAL_LABELS = ("grand total", "total", "total sales", "net total", "total payable", "amount due", "balance due", "total due", "jumlah", "total amount")
+SUB_LABELS = ("sub total", "subtotal", "subttl", "sub ttl", "sub-total", "total before tax", "net amount")
+TAX_LABELS = ("tax", "vat", "gst", "ppn", "pb1", "pb-1", "pb", "pb 1", "pajak", "pajak resto", "sales tax", "service charge")
+SUBWORD = r"\bsub|sub ?t|discount|before|items?|qty"
+NOT_SUB = r"\btotal\b.*\btotal\b|sub ?total.*\btotal\b|\btax\b|\bpajak\b"
+# Questions that are answered from a receipt's rows.
+SIMPLE_Q = r"^\s*(?:what|how much)\s+(?:is|was|are)\s+the\s+((?:grand |net |final |sub ?)?total|subtotal|sub-total|tax|vat|gst|service charge|amount due|balance due)(?:\s+(?:amount|due|payable|price|value))?\s*\??\s*$"
+PRICE_Q = r"^\s*(?:what|how much)\s+(?:is|was)\s+the\s+(?:price|cost|amount)\s+(?:of|for)\s+(.+?)\s*\??\s*$"
+COLUMN_Q = r"^\s*(?:what|how much)\s+(?:is|was)\s+the\s+total\s+([a-z][a-z %\[\]]{1,30}?)\s*\??\s*$"
+TAX_WORDS, NOT_COLUMNS = ("tax", "vat", "gst", "servicecharge"), ("amount", "price", "value", "due", "sum")
+# Least spelling ratios of row labels, item words, quoted labels, a row's words and near misses; share of an item's words.
+LABEL_RATIO, WORD_RATIO, QUOTED_RATIO, ROW_RATIO, NEAR_MISS, ITEM_SHARE = 0.82, 0.80, 0.84, 0.85, 0.78, 0.6
+# How questions name a form's label, and what ends or spoils its value.
+QUOTED = r"['\"‘“](.{1,60})['\"’”]"
+VALUE_OF = r"\bvalue (?:of|for)\b"
+PLAIN = r"^\s*what(?:'s| is| was)\s+(?:the\s+)?([a-z][a-z0-9 '#&/.()-]{1,48}?)\s*\??\s*$"
+WHO = r"^\s*who(?:'s| is| was)\s+the\s+([a-z][a-z0-9 '#&/.()-]{1,48}?)\s*\??\s*$"
+BOXES = "[■-◿☐-☒✓✔✗✘]"
+NEXT_LABEL = r"(?<=[\s0-9a-z])[A-Z][A-Za-z'#&/.]*(?: [A-Za-z'#&/.]+){0,3} ?:(?!\d)"
+GENERIC = ("name", "date", "value", "number", "type", "amount", "total", "address", "title", "status")
+# How follow-up questions begin, words with which a question stands alone, and small talk.
+LEAD = r"^\s*(?:ok(?:ay)?,?\s*|then\s+|so\s+)?(?:and|also|what about|how about|and what about|and how about)\s+(.+?)\s*\??\s*$"
+QWORD = r"^\s*(what|which|who|whom|whose|when|where|why|how|is|are|was|were|do|does|did|can|could|would|will|should|list|show|give|tell|describe|summari[sz]e|extract|find|explain|compare|please)\b"
+PRON = r"\b(his|her|their|its)\b"
+FRAME = r"^\s*((?:what|which|who|when|where|how much|how many)\s+(?:is|are|was|were)\s+)"
+NAME = r"(?<![A-Za-z])[A-Z][a-z'’-]+(?:\s+[A-Z][a-z'’-]+)+"
+SMALL_TALK = ("thanks", "thank you", "thank you so much", "thx", "ok", "okay", "hi", "hello", "bye", "yes", "no", "great", "cool", "nice", "good", "fine", "sure", "got it")
+NOT_NAMES = ("What", "Which", "Who", "When", "Where", "Why", "How", "Is", "Are", "Was", "The")
+# Words too common to find a row by.
+ROW_GENERIC = ("what", "which", "applicant", "customer", "client", "form", "document", "this", "that", "the", "loan", "name")

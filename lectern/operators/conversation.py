@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import words as W
-from ..functions.readers import resolve
+from ..functions.readers import follow_up
 
 #: Messages kept as chat context and documents' history, and memory items kept.
 CONTEXT, CHAT_HISTORY, HISTORY, MEMORY = 8, 20, 100, 500
@@ -17,25 +15,21 @@ CONTEXT, CHAT_HISTORY, HISTORY, MEMORY = 8, 20, 100, 500
 def resolve_turns(turns: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """(by, order, text, resolved): each question in the light of the one before as it was resolved, not as it was asked.
 
-    A fold over a conversation's turns, each conversation one group; conversations are short, and many.
+    A fold over a conversation's ordered turns, in the JVM; conversations are short, and many. Null questions stay null,
+    and what follows them stands alone; turns of equal order are folded by their text.
     """
-    kinds = ", ".join(f"{k} {turns.schema[k].dataType.simpleString()}" for k in (by, order, text))
-
-    def run(key, pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        out, before = [], None
-        for q in pdf[text]:
-            before = None if q is None else resolve(q, before)
-            out.append(before)
-        return pdf.assign(resolved=out)
-
-    return turns.select(by, order, text).groupBy(by).applyInPandas(run, f"{kinds}, resolved string")
-
-
-@F.pandas_udf(StringType())
-def resolved(question: pd.Series, before: pd.Series) -> pd.Series:
-    """A single step: the question in the light of the one before."""
-    return pd.Series([None if q is None else resolve(q, b) for q, b in zip(question, before)], dtype=object)
+    each = turns.select(by, F.struct(F.col(order).alias("order"), F.col(text).alias("text")).alias("turn"))
+    listed = each.groupBy(by).agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    kind = turns.schema[order].dataType.simpleString()
+    start = F.struct(F.lit(None).cast("string").alias("before"), F.array().cast(f"array<struct<order:{kind},text:string,resolved:string>>").alias("out"))
+
+    def step(state: Column, turn: Column) -> Column:
+        resolved = follow_up(turn["text"], state["before"])
+        done = F.struct(turn["order"].alias("order"), turn["text"].alias("text"), resolved.alias("resolved"))
+        return F.struct(resolved.alias("before"), F.concat(state["out"], F.array(done)).alias("out"))
+
+    folded = listed.select(by, F.explode(F.aggregate("turns", start, step, lambda s: s["out"])).alias("t"))
+    return folded.select(by, F.col("t.order").alias(order), F.col("t.text").alias(text), F.col("t.resolved").alias("resolved"))
 
 
 def context(turns: DataFrame, by: str, order: str, keep: int = CONTEXT) -> DataFrame:

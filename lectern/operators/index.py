@@ -225,6 +225,27 @@ def unread_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id", "kind").agg(F.count("*").alias("pages"), F.count_if(unread).alias("unread_pages"))
 
 
+def unseen_terms(queries: DataFrame, units: DataFrame) -> DataFrame:
+    """(query_id, term): terms of queries (query_id, q) with no counterpart among the units' tokens.
+
+    A counterpart is the term, or a token that begins with the term's stem, or with five letters of it, or four where it
+    has no more than five: tokens count with their first three, four and five letters. Terms of five letters or more in
+    -ed or -ing prove nothing. Only tokens and beginnings that some term asks for are exchanged.
+    """
+    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(T.nfc("q")))).alias("term"))
+    terms = terms.filter(~((F.length("term") > 4) & (F.col("term").endswith("ed") | F.col("term").endswith("ing"))))
+    stem = T.stem("term")
+    heads = F.array(stem, F.substring(stem, 1, 5), F.when(F.length(stem) <= 5, F.substring(stem, 1, 4)))
+    asked = terms.select("term", F.explode(F.array_append(F.transform(heads, lambda h: F.struct(h.alias("part"), F.lit(True).alias("head"))), F.struct(F.col("term").alias("part"), F.lit(False).alias("head")))).alias("a"))
+    asked = asked.select("term", "a.part", "a.head").filter("part is not null").distinct()
+    parts = lambda t: F.array(F.struct(t.alias("part"), F.lit(False).alias("head")), *(F.struct(x.alias("part"), F.lit(True).alias("head")) for x in (t, *(F.substring(t, 1, k) for k in (3, 4, 5)))))
+    there = units.select(F.explode(F.array_distinct("toks")).alias("t")).select(F.explode(F.array_distinct(parts(F.col("t")))).alias("p")).select("p.*")
+    small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    wanted = asked.select("part", "head").distinct()
+    seen = there.join(F.broadcast(wanted) if small else wanted, ["part", "head"], "left_semi").distinct()
+    return terms.join(asked.join(seen, ["part", "head"], "left_semi").select("term").distinct(), "term", "left_anti").select("query_id", "term")
+
+
 def absent_terms(units: DataFrame, question: str, fuzzy_least: float = 0.82) -> DataFrame:
     """(term, idf, role): question terms with no counterpart in the units.
 
@@ -248,7 +269,7 @@ def absent_terms(units: DataFrame, question: str, fuzzy_least: float = 0.82) ->
         seen = starts(w)
         if len(w) >= 4:
             seen = seen | F.contains(F.lower("text"), F.lit(w))
-        for other in W.FORM_SYNONYMS.get(w, "").split():
+        for other in W.FORM_SYNONYMS.get(w, ()):
             seen = seen | starts(other)
         seen = seen | starts(s) | starts(s[:5]) | (starts(s[:4]) if len(s) <= 5 else F.lit(False))
         flags += [F.coalesce(F.max(seen), F.lit(False)).alias(f"s{i}"), F.coalesce(F.sum(F.array_contains("toks", w).cast("int")), F.lit(0)).alias(f"d{i}")]

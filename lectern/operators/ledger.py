@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import words as W
+
 # Resources, preset limits, router actions and weights, priors of trust, token defaults.
 RESOURCES = ("llm_tokens", "seconds", "tool_calls", "vlm_looks", "ocr_pages")
 PRESETS = {"frugal": (1500, 20, 4, 0, 2), "balanced": (4000, 60, 8, 4, 6), "thorough": (12000, 180, 20, 10, 20)}
@@ -29,6 +32,21 @@ def limits(rows: DataFrame, preset: str = "preset", overrides: dict[str, str] |
     return rows
 
 
+def change_limits(rows: DataFrame, asked: str) -> DataFrame:
+    """rows (limit_*) with the limits of a map column set, all or none, and changed.
+
+    A change must name something, known resources only, and give numbers of 0 or more, whole ones but for seconds. What is
+    used is not touched.
+    """
+    changes = F.col(asked)
+    fits = lambda name, n: name.isin(*RESOURCES) & n.isNotNull() & ~F.isnan(n) & (n >= 0) & (n < float("inf")) & ((name == "seconds") | (n == F.floor(n)))
+    valid = F.coalesce((F.size(changes) > 0) & F.forall(F.map_entries(changes), lambda e: F.coalesce(fits(e["key"], e["value"]), F.lit(False))), F.lit(False))
+    out = rows.withColumn("changed", valid)
+    for r in RESOURCES:
+        out = out.withColumn(f"limit_{r}", F.when(F.col("changed"), F.coalesce(F.try_element_at(changes, F.lit(r)), F.col(f"limit_{r}"))).otherwise(F.col(f"limit_{r}")))
+    return out
+
+
 def left(limit: Column, allowance: Column, used: Column) -> Column:
     """What is left under the smaller of the limit and the agent's own allowance, if it has set one."""
     return F.greatest(F.lit(0.0), F.least(F.coalesce(allowance, limit), limit) - used)
@@ -73,10 +91,76 @@ def _dot(weights: tuple[float, ...], x: Column) -> Column:
     return F.aggregate(F.zip_with(F.array(*(F.lit(float(w)) for w in weights)), x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def route(rows: DataFrame, features: str = "x", digits: int = 9) -> DataFrame:
-    """rows with actions: the strategies, best score first, ties in their fixed order. No shuffle."""
+def label_match(questions: DataFrame, lexicon: DataFrame, least: int = 3) -> DataFrame:
+    """(query_id): questions (query_id, q) that hold all tokens of a label that the lexicon (label, n) has often enough."""
+    labels = lexicon.filter((F.col("n") >= least) & (F.length("label") > 2)).select("label", F.array_distinct(T.tokens("label")).alias("_t")).filter(F.size("_t") > 0)
+    asked = questions.select("query_id", F.explode(F.array_distinct(T.tokens(T.nfc("q")))).alias("_w"))
+    held = asked.join(labels.select("label", F.size("_t").alias("_n"), F.explode("_t").alias("_w")), "_w")
+    return held.groupBy("query_id", "label").agg(F.count("*").alias("_k"), F.first("_n").alias("_n")).filter("_k = _n").select("query_id").distinct()
+
+
+def router_features(questions: DataFrame, pages: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """questions (query_id, q, vlm_left, tokens_left, tokens_limit) with x, the router's features in the order of FEATURES.
+
+    pages: units with tokens and source. The share of unread pages and the best score of each question are those of all
+    pages; a label only counts where a page scores.
+    """
+    from .index import search_many
+
+    need = pages.agg(F.coalesce(F.avg(F.col("source").isin("none", "scan-text").cast("double")), F.lit(0.0)).alias("_need"))
+    best = search_many(pages, questions.select("query_id", "q"), ["doc_id", "page"], 1).select("query_id", F.col("score").alias("_top"))
+    named = label_match(questions, lexicon).withColumn("_label", F.lit(1.0))
+    rows = questions.crossJoin(F.broadcast(need)).join(best, "query_id", "left").join(named, "query_id", "left")
+    flag = lambda pattern: F.coalesce(F.col("q").rlike("(?i)" + pattern), F.lit(False)).cast("double")
+    share = lambda c, most: F.least(c / F.lit(most), F.lit(1.0))
+    x = F.array(
+        F.lit(1.0), F.col("_need"), flag(W.LOOK_Q), flag(W.EXTRACT_Q), share(F.length("q"), 120.0), share(F.coalesce("_top", F.lit(0.0)), 10.0),
+        can(F.col("vlm_left"), F.lit(1.0)).cast("double"), F.col("tokens_left") / F.greatest("tokens_limit", F.lit(1.0)),
+        F.when(F.col("_top").isNotNull(), F.coalesce("_label", F.lit(0.0))).otherwise(0.0),
+    )
+    return rows.withColumn("x", x).drop("_need", "_top", "_label")
+
+
+def route(rows: DataFrame, features: str = "x", digits: int = 9, explore: float = 0.0, by: str | None = None) -> DataFrame:
+    """rows with actions: the strategies, best score first, ties in their fixed order. No shuffle.
+
+    A share `explore` of the rows, chosen by the hash of column `by`, so that reruns agree, gets another strategy first.
+    """
     scored = F.array(*(F.struct(F.round(-_dot(PRIOR[a], F.col(features)), digits).alias("s"), F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in enumerate(ACTIONS)))
-    return rows.withColumn("actions", F.transform(F.array_sort(scored), lambda s: s["a"]))
+    actions = F.transform(F.array_sort(scored), lambda s: s["a"])
+    if explore and by:
+        drawn = F.crc32(F.col(by).cast("string").cast("binary"))
+        first = F.element_at(actions, (F.floor(drawn / 10_000) % len(ACTIONS) + 1).cast("int"))
+        actions = F.when(drawn % 10_000 < explore * 10_000, F.array_distinct(F.concat(F.array(first), actions))).otherwise(actions)
+    return rows.withColumn("actions", actions)
+
+
+def feedback(events: DataFrame) -> DataFrame:
+    """(request, effect, what, value): what verdicts on answers change, one row an effect.
+
+    events: request, verdict, correction, answer, action, and the reading that was used (kind, used, ocr, vision), kind
+    null if there was none. evict: the answer leaves the cache, unless the verdict is good. remember: the answer, or the
+    correction of a bad one. reward: 1 or -1 for a router's action. trust: a source read right or wrong; with a good
+    verdict the used one was right and one that disagrees wrong, with a correction those that equal it were right.
+    """
+    good = F.col("verdict") == "good"
+    corrected = ~good & (F.coalesce("correction", F.lit("")) != "")
+    effect = lambda when, name, what, value: F.when(when, F.struct(F.lit(name).alias("effect"), what.cast("string").alias("what"), value.cast("string").alias("value")))
+    effects = [
+        effect(~good, "evict", F.lit("cache"), F.lit(None)),
+        effect(good, "remember", F.lit("answer"), F.col("answer")),
+        effect(corrected, "remember", F.lit("correction"), F.col("correction")),
+        effect(F.col("action").isin(*ACTIONS), "reward", F.col("action"), F.when(good, 1).otherwise(-1)),
+    ]
+    used = F.when(F.col("used") == "ocr", F.col("ocr")).otherwise(F.col("vision"))
+    for source in ("ocr", "vision"):
+        read = F.coalesce(source, F.lit("")) != ""
+        own = F.col("used") == source
+        differs = read & ~T.same_value(F.coalesce(source, F.lit("")), F.coalesce(used, F.lit("")))
+        right = F.when(good & own, True).when(good & differs, False).when(corrected & read, T.same_value(F.col(source), F.col("correction")))
+        effects.append(effect(F.col("kind").isNotNull() & right.isNotNull(), "trust", F.concat_ws(":", "kind", F.lit(source)), right))
+    rows = events.select("request", F.explode(F.filter(F.array(*effects), lambda e: e.isNotNull())).alias("e"))
+    return rows.select("request", "e.*")
 
 
 def learn_router(feedback: DataFrame, by: list[str], order: list[str], features: str = "x", reward: str = "reward", rate: float = RATE_FEEDBACK) -> DataFrame:

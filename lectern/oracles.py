@@ -6,7 +6,7 @@ from .functions import words as W
 from .functions.bengali import _ALL as GLYPHS
 from .functions.text import tokens_of
 from .operators.ledger import ACTIONS, PRIOR
-from .queries import PHRASE, QUESTION
+from .queries import LABEL_QUESTIONS, PHRASE, QUESTION
 
 
 def _list(values) -> str:
@@ -76,18 +76,70 @@ fold(doc_id, page, lines, i, chunk, open, n, whole) AS (
     CASE WHEN whole THEN 0 ELSE n END + length(lines[i + 1]) >= {W.CHUNK_TARGET}
   FROM fold WHERE i < len(lines)),
 ck AS (SELECT doc_id, page, chunk, array_to_string(arg_max(open, i), ' ') AS text FROM fold WHERE i > 0 GROUP BY doc_id, page, chunk)"""
-FORMS = f"""f AS (SELECT c_custkey AS doc_id, 'Name: ' || c_name || {NL} || 'Nation: ' || n_name || {NL} || 'Market Segment: ' || c_mktsegment || {NL} || 'https://example.com' AS text,
-  c_name, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+FORMS = f"""f AS (SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 0 THEN 'ocr' ELSE 'text' END AS source, array_to_string(list_filter([
+  'Name: ' || c_name, 'Nation:' || CASE WHEN c_custkey % 5 = 0 THEN {NL} || {NL} ELSE ' ' END || n_name, CASE WHEN c_custkey % 7 <> 0 THEN 'Market Segment: ' || c_mktsegment END,
+  CASE WHEN c_custkey % 11 = 0 THEN 'Market Segment: OTHER' END, CASE WHEN c_custkey % 3 = 0 THEN 'Key: ' || c_custkey || ' Region Code: R' || (c_custkey % 4) END,
+  CASE WHEN c_custkey % 13 = 0 THEN 'note ' || c_custkey || ' - see: below' END, 'https://example.com'], lambda b: b IS NOT NULL), {NL} || {NL}) AS text FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+LINE_FIELD = r"(?m)^\s*([A-Za-z][A-Za-z0-9 /()_.-]{1,50}):[ \t]*(\S[^\n]*)$"
+LINE_FIELDS = rf"""{FORMS}, lf0 AS (SELECT doc_id, source, CAST(unnest(range(0, len(l))) AS INTEGER) AS n, trim(unnest(l)) AS label, trim(unnest(v)) AS value
+  FROM (SELECT *, regexp_extract_all(text, '{LINE_FIELD}', 1) AS l, regexp_extract_all(text, '{LINE_FIELD}', 2) AS v FROM f)),
+lf AS (SELECT * FROM lf0 WHERE len(regexp_split_to_array(label, '\s+')) <= 4 AND lower(label) NOT IN ('http', 'https', 'ftp'))"""
+# Pieces of blocks between colons, the runs of words that end them, and how often each run stands.
+RUNS = rf"""{LINE_FIELDS}, bk AS (SELECT doc_id, source, unnest(bs) AS block, unnest(range(0, len(bs))) AS b, bs FROM (SELECT *, string_split(text, {NL} || {NL}) AS bs FROM f)),
+pc AS (SELECT *, ps[i + 1] AS piece, CAST(list_sum(list_prepend(i, list_transform(ps[1:i], lambda p: length(p)))) AS BIGINT) AS begins FROM (SELECT *, unnest(range(0, len(ps) - 1)) AS i FROM (SELECT *, string_split(block, ':') AS ps FROM bk))),
+wd AS (SELECT *, w[coalesce(list_max(list_filter(range(1, len(w) + 1), lambda j: NOT regexp_matches(w[j], '[A-Za-z0-9]'))), 0) + 1:] AS tail FROM (SELECT *, regexp_extract_all(piece, '\S+') AS w FROM pc)),
+rn AS (SELECT *, array_to_string(tail[len(tail) - k + 1:], ' ') AS run FROM (SELECT *, unnest(range(1, least(4, len(tail)) + 1)) AS k FROM wd)),
+lx AS (SELECT lower(run) AS label, count(*) AS n FROM rn GROUP BY 1)"""
+LEXICON_FIELDS = rf"""{RUNS}, bs0 AS (SELECT doc_id, b, coalesce(sum(length(block) + 2) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM bk),
+lb AS (SELECT doc_id, b, i, arg_max(run, k) AS label, any_value(source) AS source, any_value(block) AS block, any_value(bs) AS bs, any_value(begins) AS begins, any_value(piece) AS piece
+  FROM rn JOIN lx ON lower(run) = lx.label AND n >= 3 GROUP BY doc_id, b, i),
+vl AS (SELECT *, begins + length(rtrim(piece)) - length(label) AS spot, begins + length(piece) + 1 AS from_, lead(begins + length(rtrim(piece)) - length(label)) OVER (PARTITION BY doc_id, b ORDER BY i) AS upto FROM lb),
+vs AS (SELECT *, trim(regexp_replace(substr(block, from_ + 1, coalesce(upto, length(block)) - from_), '\s+', ' ', 'g'), ' -|' || chr(9)) AS own, bs[b + 2] AS following FROM vl),
+vt AS (SELECT *, CASE WHEN own = '' AND upto IS NULL AND NOT contains(coalesce(following, ':'), ':') THEN trim(regexp_replace(following, '\s+', ' ', 'g')) ELSE own END AS value FROM vs),
+fl AS (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b, i) - 1 AS INTEGER) AS n, label, value, CAST(base + spot AS INTEGER) AS pos FROM vt JOIN bs0 USING (doc_id, b) WHERE value <> '')"""
 CENTS = "CAST(round(o_totalprice * 10) AS BIGINT)"
+RECEIPTS = f"""rc AS (SELECT o_orderkey AS doc_id, o_orderpriority AS priority, c, array_to_string(list_filter([
+  '2 ITEM ' || o_orderpriority || ' ' || format('{{:,}}', c * 2) || ' ' || format('{{:,}}', c), 'DELIVERY FEE ' || (o_orderkey % 90) || ' KM ' || format('{{:,}}', o_orderkey + 100),
+  CASE WHEN o_orderkey % 4 <> 0 THEN (['SUBTOTAL ', 'Sub Total ', 'net amount '])[o_orderkey % 3 + 1] || format('{{:,}}', c) END, CASE WHEN o_orderkey % 8 IN (1, 4) THEN 'SUBTOTAL ' || format('{{:,}}', c + 1) END,
+  CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'TAX ' ELSE 'PB-1 10% ' END || format('{{:,}}', CASE WHEN o_orderkey % 9 = 0 THEN c * 3 ELSE c // 20 END) END,
+  CASE o_orderkey % 6 WHEN 0 THEN 'TOTAL' || {NL} || format('{{:,}}', c + c // 20) WHEN 1 THEN 'TOTAL ' || format('{{:,}}', c) || {NL} || 'GRAND TOTAL ' || format('{{:,}}', c + c // 20) WHEN 5 THEN NULL ELSE 'Total due ' || format('{{:,}}', c + c // 20) END,
+  'TOTAL ITEMS 2'], lambda r: r IS NOT NULL), {NL}) AS text FROM (SELECT *, {CENTS} AS c FROM orders))"""
+# Rows of receipts: the words before the first amount, the amounts, and those that a row of numbers alone lends the row above.
+RECEIPT_ROWS = rf"""{RECEIPTS}, rl AS (SELECT doc_id, priority, i, string_split(row, ' ') AS w FROM (SELECT doc_id, priority, unnest(rs) AS row, unnest(range(0, len(rs))) AS i FROM (SELECT *, string_split(text, {NL}) AS rs FROM rc))),
+rm AS (SELECT *, list_filter(w, lambda x: regexp_full_match(x, '\d{{1,3}}(,\d{{3}})+|\d{{3,}}')) AS money,
+  list_transform(list_filter(w, lambda x: NOT regexp_full_match(x, '\d{{1,3}}(,\d{{3}})+|\d{{3,}}|.*%')), lambda x: replace(lower(x), '-', '')) AS words FROM rl),
+rn AS (SELECT *, CASE WHEN len(lead(w) OVER o) = 1 THEN lead(money) OVER o ELSE [] END AS lent FROM rm WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+rr AS (SELECT *, len(money) > 0 AS own, replace(coalesce(coalesce(money[1], CASE WHEN len(lent) = 1 THEN lent[1] END), ''), ',', '') AS first, replace(coalesce(coalesce(money[-1], lent[-1]), ''), ',', '') AS last, array_to_string(words, ' ') AS label FROM rn),
+rk AS (SELECT doc_id, own, first, i, CASE WHEN label IN ('total', 'grand total', 'total due') THEN 'total' WHEN label IN ('subtotal', 'sub total', 'net amount') THEN 'sub' WHEN label IN ('tax', 'pb1') THEN 'tax' END AS kind FROM rr WHERE first <> ''),
+rp AS (SELECT doc_id, kind, CASE WHEN kind = 'total' THEN arg_max(first, (own, i)) ELSE arg_max(first, (own, -i)) END AS value FROM rk WHERE kind IS NOT NULL GROUP BY doc_id, kind)"""
 SCANS = f"""{UNITS}, sn AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' ELSE 'text' END AS kind,
   CASE doc_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'scan-text' ELSE 'text' END AS source FROM u)"""
-ANSWERS = """a AS (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 'How many ' ELSE 'Who has ' END) || substr(text, 1, 30) || '?' AS question, substr(text, 20, 80) AS answer,
-  substr(text, 40, 400) AS evidence, text AS page_text, (doc_id % 10) / 10.0 AS coverage FROM documents)"""
+ANSWERS = """a AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'How many ' ELSE 'Who has ' END || l[1] || '?' AS question, l[-1] AS answer, coalesce(array_to_string(l[1:len(l) - 1], chr(10)), '') AS evidence,
+  text AS page_text, (doc_id % 10) / 10.0 AS coverage FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"""
 EVENTS = "e AS (SELECT *, CAST(floor(value) AS BIGINT) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
 BOXES = """b AS (SELECT l_orderkey AS doc_id, 'Heading ' || l_partkey AS text, 0.1::DOUBLE AS x0, 0.5::DOUBLE AS x1, l_linenumber * 0.07::DOUBLE AS y0, l_linenumber * 0.07::DOUBLE + l_quantity / 1000 AS y1,
   round(1.0 - l_discount, 2) AS score, l_linenumber AS line, l_partkey FROM lineitem)"""
 
 
+ASKED = r"""qs AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN reverse(q) WHEN 1 THEN regexp_replace(q, '(\w{4})\w*', '\1quoxing', 'g') ELSE regexp_replace(q, '(\w{5})(\W|$)', '\1ers zyxw\2', 'g') END AS q
+  FROM (SELECT item_id, array_to_string((regexp_split_to_array(trim(text), '\s+'))[1:6], ' ') AS q FROM benchmark))"""
+
+
+def _many(questions: str) -> str:
+    """r: (query_id, doc_id, page, score) of the units u for the questions (query_id, q)."""
+    return f"""q AS (SELECT query_id, unnest(list_distinct(k)) AS term FROM (SELECT query_id, {tok("q")} AS k FROM {questions})),
+      n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(toks)) AS DOUBLE) / count(*) AS av FROM u),
+      tf AS (SELECT doc_id, page, n_toks, term, count(*) AS f FROM (SELECT doc_id, page, len(toks) AS n_toks, unnest(toks) AS term FROM u) GROUP BY ALL),
+      d AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+      w AS (SELECT query_id, q.term, av, {IDF.replace("df", "coalesce(df, 0)")} AS idf FROM q LEFT JOIN d ON q.term = d.term CROSS JOIN n),
+      t AS (SELECT query_id, sum(idf) AS total FROM w GROUP BY query_id),
+      h AS (SELECT query_id, doc_id, page, w.term, idf, idf * f * {W.K1 + 1}::DOUBLE / (f + {W.K1}::DOUBLE * ({1 - W.B}::DOUBLE + {W.B}::DOUBLE * n_toks / av)) AS part FROM tf JOIN w ON tf.term = w.term
+            UNION ALL SELECT DISTINCT query_id, doc_id, page, w.term, idf, 0.0::DOUBLE FROM tf JOIN w ON length(w.term) >= 5 AND length(tf.term) >= 4 AND substr(tf.term, 1, 4) = substr(w.term, 1, 4)),
+      e AS (SELECT query_id, doc_id, page, term, max(idf) AS idf, max(part) AS part FROM h GROUP BY ALL),
+      s AS (SELECT query_id, doc_id, page, sum(part) AS bm25, sum(idf) AS covered FROM e GROUP BY ALL),
+      r AS (SELECT query_id, doc_id, page, round(bm25 * (0.25::DOUBLE + 0.75::DOUBLE * covered / total), 6) AS score FROM s JOIN t USING (query_id) WHERE bm25 > 0)"""
+
+
 def pick(expr: str, *values: str) -> str:
     return f"({_list(values)})[({expr}) % {len(values)} + 1]"
 
@@ -111,6 +163,11 @@ MEMORY = "m AS (SELECT text AS q, 'a' || item_id AS a, item_id % 3 <> 0 AS verif
 RESULTS = "SELECT lang AS category, quality = 1 OR doc_id % {k} = 0 AS ok FROM labels JOIN documents USING (doc_id)"
 CACHE_WORDS = "list_filter(regexp_extract_all(replace(lower({x}), 'what''s', 'what is'), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]+'), lambda w: NOT list_contains(" + _list(W.CACHE_FILLER) + ", w))"
 
+NUMBERS = r"list_sort(list_filter(list_transform(range(1, len(regexp_extract_all(x, '\d[\d,.]*')) + 1), lambda i: {'c': -length(regexp_replace(regexp_extract_all(x, '\d[\d,.]*')[i], '\D', '', 'g')), 'i': i, 'w': regexp_extract_all(x, '\d[\d,.]*')[i]}), lambda s: s.c <= -LEAST))[1].w"
+DATES = r"list_filter(list_transform(regexp_extract_all(x || ' ', '(?:^|[^0-9])(\d{1,2}\s*[/.-]\s*\d{1,2}\s*[/.-]\s*(?:\d{4}|\d{2}))[^0-9]', 1), lambda m: regexp_replace(regexp_replace(m, '\s+', '', 'g'), '[.-]', '/', 'g')), lambda m: CAST(string_split(m, '/')[1] AS INT) BETWEEN 1 AND 31 AND CAST(string_split(m, '/')[2] AS INT) BETWEEN 1 AND 12)[1]"
+DAY = "day(o_orderdate) || '{0}' || month(o_orderdate) || '{0}' || year(o_orderdate)"
+FIGURES = r"list_transform(regexp_extract_all({x}, '\d[\d,.]*%?'), lambda g: rtrim(g, ',.'))"
+
 SENTENCES = r"""se AS (SELECT doc_id, page, CAST(unnest(range(0, len(s))) AS INTEGER) AS n, unnest(s) AS sentence FROM (SELECT doc_id, page,
   list_filter(list_transform(flatten(list_transform(string_split(text, chr(10) || chr(10)), lambda b: string_split(regexp_replace(b, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: length(p) > 0) AS s FROM tx))"""
 ROUTE = {a: " + ".join(f"{w}::DOUBLE * " + ("1" if k == 0 else f"((event_id * {k}) % 11 / 10.0::DOUBLE)") for k, w in enumerate(PRIOR[a])) for a in ACTIONS}
@@ -129,7 +186,7 @@ ORACLES: dict[str, str] = {
       CASE WHEN verified THEN 'true' ELSE 'false' END AS verified FROM r""",
     "snk2_page_export": f"""WITH {PAGES} SELECT doc_id, page, 'Document: d' || doc_id || {NL} || 'Page: ' || page || ' of ' || count(*) OVER (PARTITION BY doc_id) || {NL} || 'Source: text' || {NL} ||
       'Note: Extracted document text; original page formatting is not preserved.' || {NL} || {NL} || text AS content FROM tx""",
-    "snk5_history": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3",
+    "snk5_history": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 20",
     "fn1_tokens": f"SELECT doc_id, coalesce(array_to_string(k, ' '), '') AS tokens, CAST(len(k) AS INTEGER) AS n_toks FROM (SELECT doc_id, {tok('text')} AS k FROM documents)",
     "fn3_stem": f"SELECT term, {STEM} AS stem FROM (SELECT DISTINCT unnest({tok('text')}) AS term FROM documents)",
     "fn4_chunks": f"WITH {CHUNKS} SELECT doc_id, page, CAST(chunk AS INTEGER) AS chunk, text FROM ck",
@@ -137,23 +194,28 @@ ORACLES: dict[str, str] = {
       SELECT doc_id, CAST(i / 580 AS INTEGER) AS n, substr(t, CAST(i + 1 AS BIGINT), 700) AS piece FROM (SELECT doc_id, t, unnest(range(0, length(t), 580)) AS i FROM f)""",
     "fn8_entities": f"""SELECT conv_id, turn, coalesce(array_to_string(list_filter(list_transform(regexp_extract_all(' ' || text, '[^A-Za-z][A-Z][a-z''’-]+(?:\\s+[A-Z][a-z''’-]+)+'), lambda e: substr(e, 2)), lambda e: NOT list_contains({_list(W.QUESTION_WORDS)}, regexp_extract(e, '^(\\S+)', 1))), '|'), '') AS entities FROM conversations""",
     "fn9_has_entities": "SELECT doc_id, contains(lower(text), 'the and') AND contains(lower(text), 'thea') AS named, true AS vacuous FROM documents",
-    "fn10_script": f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ঋণের পরিমাণ ' || substr(text, 1, 12) ELSE text END AS m FROM documents),
-      s AS (SELECT doc_id, CAST(len(list_filter(regexp_extract_all(m, '\\p{{L}}'), lambda c: regexp_matches(c, '[{W.BENGALI}]'))) AS DOUBLE) / greatest(len(regexp_extract_all(m, '\\p{{L}}')), 1) AS s FROM x)
-      SELECT doc_id, round(s, 6) AS share, s >= 0.5 AS mismatch FROM s""",
+    "fn10_script": f"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(m, '\\p{{L}}'), lambda c: regexp_matches(c, '[{W.BENGALI}]'))) AS DOUBLE) / greatest(len(regexp_extract_all(m, '\\p{{L}}')), 1) >= 0.5 AS mismatch FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN repeat('ঋণের পরিমাণ ', CAST(doc_id % 400 AS BIGINT)) || text ELSE text END AS m FROM documents)""",
     "fn11_item_refs": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 20) || '.' || (o_custkey % 30) ELSE '' END AS refs FROM orders",
     "fn12_fix_dates": r"SELECT o_orderkey, regexp_replace('on ' || day(o_orderdate) || '/' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') || '12024 ' || o_orderpriority, '\b(\d{1,2})/(\d{2})[12lI|](20\d\d)\b', '\1/\2/\3', 'g') AS fixed FROM orders",
-    "fn13_find_date": "SELECT o_orderkey, day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) AS date FROM orders",
+    "fn13_find_date": f"""WITH m AS (SELECT *, (['/', ' - ', '.', ' /'])[o_orderkey % 4 + 1] AS mark FROM orders), x AS (SELECT o_orderkey, 'ref ' || (o_orderkey % 40) || mark || (o_orderkey % 15) || mark || (['2024', '99', '202'])[o_orderkey % 3 + 1] || ', due ' ||
+      CASE WHEN o_orderkey % 5 < 3 THEN {DAY.format('-')} ELSE 'soon' END AS x FROM m) SELECT o_orderkey, {DATES} AS date FROM x""",
     "fn14_find_number": "SELECT o_orderkey, CASE WHEN length(CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR)) >= length(CAST(o_custkey AS VARCHAR)) AND round(o_totalprice) >= 100 THEN format('{:,}', CAST(round(o_totalprice) AS BIGINT)) WHEN o_custkey >= 100 THEN CAST(o_custkey AS VARCHAR) END AS number FROM orders",
-    "fn15_extract_value": "SELECT o_orderkey, kind, CASE kind WHEN 'date' THEN day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) WHEN 'word' THEN NULL WHEN 'amount' THEN CASE WHEN nd >= 3 AND nd > ld THEN num WHEN ld >= 3 THEN ds END ELSE CASE WHEN nd > ld THEN num ELSE ds END END AS value FROM (SELECT *, "
-    + pick("o_orderkey", "date", "amount", "number", "word")
-    + " AS kind, format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS num, length(CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR)) AS nd, day(o_orderdate) || '.' || month(o_orderdate) || '.' || year(o_orderdate) AS ds, length(day(o_orderdate) || '' || month(o_orderdate) || year(o_orderdate)) AS ld FROM orders)",
-    "fn16_same_value": "SELECT o_orderkey, o_orderkey % 3 <> 0 AS same FROM orders",
+    "fn15_extract_value": f"""WITH x AS (SELECT o_orderkey, {pick("o_orderkey", "date", "amount", "number", "word")} AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'no day' ELSE {DAY.format('.')} END || ' item ' || (o_orderkey % 120) || ' total ' ||
+      CASE WHEN o_orderkey % 5 = 0 THEN 'open' ELSE format('{{:,}}', CAST(round(o_totalprice / 1000) AS BIGINT)) END AS x FROM orders)
+      SELECT o_orderkey, kind, CASE kind WHEN 'date' THEN {DATES} WHEN 'amount' THEN rtrim({NUMBERS.replace("LEAST", "3")}, ',.') WHEN 'number' THEN rtrim({NUMBERS.replace("LEAST", "1")}, ',.') END AS value FROM x""",
+    "fn16_same_value": r"""WITH x AS (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS n FROM orders), y AS (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN n + 1 WHEN 1 THEN n * 10 ELSE n END AS other FROM x),
+      z AS (SELECT *, format('{:,}', n) AS a, CASE o_orderkey % 7 WHEN 0 THEN ' ' || other || '.' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE CAST(other AS VARCHAR) END AS b FROM y)
+      SELECT o_orderkey, coalesce(length(b) > 0 AND regexp_replace(lower(a), '[\s,.]', '', 'g') = regexp_replace(lower(b), '[\s,.]', '', 'g'), false) AS same FROM z""",
     "fn17_kind_of": f"SELECT conv_id, turn, {kind('q')} AS kind FROM (SELECT *, {pick('conv_id', 'What is the issue date of ', 'What is the total of ', 'How many ', 'Who is ')} || text AS q FROM conversations)",
     "fn18_question_class": f"""SELECT conv_id, turn, CASE WHEN regexp_matches(q, '(?i){W.VISUAL_Q}') THEN 'visual' WHEN regexp_matches(q, '(?i){W.META_Q}') OR regexp_matches(q, '(?i){W.EXTRACT_Q}') THEN 'open'
       WHEN regexp_matches(q, '(?i){W.LIST_Q}') THEN 'list' ELSE 'lookup' END AS class FROM (SELECT *, {pick('conv_id', 'Describe the photo ', 'Summarise ', 'Which loan types ', 'Who is ')} || text AS q FROM conversations)""",
-    "fn19_money_text": "SELECT o_orderkey, '$' || format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS tidy, CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) AS digits FROM orders",
-    "fn20_amounts": "SELECT o_orderkey AS doc_id, array_to_string(list_filter([format('{:,}', c), format('{:,}', c), format('{:,}', c // 20), format('{:,}', c + c // 20)], lambda m: length(m) > 2), '|') AS amounts FROM (SELECT o_orderkey, " + CENTS + " AS c FROM orders)",
-    "fn23_is_legacy": f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'cÖwZôv‡bi evwl©K weµq (cÖ‡hvR¨ †ÿ‡Î) ' || substr(text, 1, 60) ELSE text END AS m FROM documents),
+    "fn19_money_text": r"""WITH x AS (SELECT o_orderkey, format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS n FROM orders), y AS (SELECT o_orderkey, (['$ ', '€', '£  ', ''])[o_orderkey % 4 + 1] || CASE o_orderkey % 3 WHEN 0 THEN replace(n, ',', ', ') WHEN 1 THEN replace(n, ',', ' ') ELSE n END
+      || CASE WHEN o_orderkey % 5 = 0 THEN ' 20' ELSE '' END AS t FROM x), a AS (SELECT o_orderkey, t, regexp_replace(trim(t), '([.,]) (\d)', '\1\2', 'g') AS v FROM y), b AS (SELECT o_orderkey, t, regexp_replace(v, '(\d) (\d{3})(\D|$)', '\1\2\3', 'g') AS v FROM a),
+      c AS (SELECT o_orderkey, t, regexp_replace(v, '(\d) (\d{3})(\D|$)', '\1\2\3', 'g') AS v FROM b) SELECT o_orderkey, regexp_replace(v, '^([$€£]) (\d)', '\1\2') AS tidy, regexp_replace(t, '[^0-9]', '', 'g') AS digits FROM c""",
+    "fn20_amounts": r"""WITH x AS (SELECT o_orderkey, (o_orderkey % 30) || ' x ' || format('{:,}', o_orderkey) || ' A' || o_orderkey || ' ' || (o_orderkey % 100) || '% ' || (['Rp', '$', ''])[o_orderkey % 3 + 1] || format('{:,}', o_orderkey * 1000 + 999)
+      || CASE WHEN o_orderkey % 2 = 0 THEN '.50' ELSE '' END || ' total ' || (o_orderkey % 7 * 111) AS t FROM orders)
+      SELECT o_orderkey, coalesce(array_to_string(list_transform(list_filter(string_split(t, ' '), lambda w: regexp_full_match(w, '(([$]|Rp)?\d{1,3}(,\d{3})+|\d+)(\.\d{1,2})?') AND NOT regexp_full_match(w, '\d{1,2}')), lambda w: replace(w, '$', '$ ')), '|'), '') AS amounts FROM x""",
+    "fn23_is_legacy": f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN repeat('cÖwZôv‡bi evwl©K weµq (cÖ‡hvR¨ †ÿ‡Î) ', CAST(doc_id % 50 AS BIGINT)) || text || CASE WHEN doc_id % 10 = 0 THEN 'ঋ' ELSE '' END ELSE text END AS m FROM documents),
       y AS (SELECT doc_id, m, len(regexp_extract_all(m, '[{W.LEGACY_SIGNATURE}]')) AS g, greatest(len(regexp_extract_all(m, '\\p{{L}}')), 1) AS l FROM x)
       SELECT doc_id, NOT regexp_matches(m, '[{W.BENGALI}]') AND g >= {W.LEGACY_LEAST} AND CAST(g AS DOUBLE) / l >= {W.LEGACY_SHARE} AS legacy FROM y""",
     "fn27_estimate_tokens": "SELECT conv_id, CAST(floor(sum(length(coalesce(text, '')) / 3.2::DOUBLE + 4) + 350) AS BIGINT) AS estimate FROM conversations GROUP BY conv_id",
@@ -165,18 +227,7 @@ ORACLES: dict[str, str] = {
     "rk5_search": f"WITH {_scored()} SELECT doc_id, page, round(score, 6) AS score FROM sc WHERE bm25 > 0 ORDER BY 3 DESC, 1, 2 LIMIT 10",
     "rk6_scoped_search": f"WITH {_scored()} SELECT doc_id, page, round(score, 6) AS score FROM sc WHERE bm25 > 0 AND doc_id % 2 = 0 ORDER BY 3 DESC, 1, 2 LIMIT 10",
     "rk7_best_coverage": f"WITH {_scored()} SELECT round(max(coverage), 6) AS coverage FROM sc",
-    "rk5_search_many": f"""WITH {UNITS},
-      q AS (SELECT item_id AS query_id, unnest(list_distinct(k)) AS term FROM (SELECT item_id, {tok("array_to_string((regexp_split_to_array(trim(text), '\\s+'))[1:6], ' ')")} AS k FROM benchmark)),
-      n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(toks)) AS DOUBLE) / count(*) AS av FROM u),
-      tf AS (SELECT doc_id, page, n_toks, term, count(*) AS f FROM (SELECT doc_id, page, len(toks) AS n_toks, unnest(toks) AS term FROM u) GROUP BY ALL),
-      d AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-      w AS (SELECT query_id, q.term, av, {IDF.replace("df", "coalesce(df, 0)")} AS idf FROM q LEFT JOIN d ON q.term = d.term CROSS JOIN n),
-      t AS (SELECT query_id, sum(idf) AS total FROM w GROUP BY query_id),
-      h AS (SELECT query_id, doc_id, page, w.term, idf, idf * f * {W.K1 + 1}::DOUBLE / (f + {W.K1}::DOUBLE * ({1 - W.B}::DOUBLE + {W.B}::DOUBLE * n_toks / av)) AS part FROM tf JOIN w ON tf.term = w.term
-            UNION ALL SELECT DISTINCT query_id, doc_id, page, w.term, idf, 0.0::DOUBLE FROM tf JOIN w ON length(w.term) >= 5 AND length(tf.term) >= 4 AND substr(tf.term, 1, 4) = substr(w.term, 1, 4)),
-      e AS (SELECT query_id, doc_id, page, term, max(idf) AS idf, max(part) AS part FROM h GROUP BY ALL),
-      s AS (SELECT query_id, doc_id, page, sum(part) AS bm25, sum(idf) AS covered FROM e GROUP BY ALL),
-      r AS (SELECT query_id, doc_id, page, round(bm25 * (0.25::DOUBLE + 0.75::DOUBLE * covered / total), 6) AS score FROM s JOIN t USING (query_id) WHERE bm25 > 0),
+    "rk5_search_many": f"""WITH {UNITS}, bq AS (SELECT item_id AS query_id, array_to_string((regexp_split_to_array(trim(text), '\\s+'))[1:6], ' ') AS q FROM benchmark), {_many("bq")},
       k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, page) AS INTEGER) AS rank FROM r)
       SELECT * FROM k WHERE rank <= 5""",
     "rk9_trigram_scores": f"WITH {_trigrams()} SELECT doc_id, page, round(fuzzy, 6) AS fuzzy FROM fz",
@@ -190,19 +241,32 @@ ORACLES: dict[str, str] = {
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC) AS INTEGER) AS rank FROM p) SELECT * FROM r WHERE rank <= 3""",
     "rk19_unread_counts": f"WITH {SCANS} SELECT doc_id, kind, count(*) AS pages, count(*) FILTER (kind IN ('pdf', 'image') AND source IN ('none', 'scan-text')) AS unread_pages FROM sn GROUP BY doc_id, kind",
     "rk20_name_filter": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'cold')",
-    "ex1_line_fields": f"WITH {FORMS} SELECT doc_id, CAST(n AS INTEGER) AS n, label, value FROM (SELECT doc_id, unnest([0, 1, 2]) AS n, unnest(['Name', 'Nation', 'Market Segment']) AS label, unnest([c_name, n_name, c_mktsegment]) AS value FROM f)",
-    "ex2_learn_labels": f"WITH {FORMS} SELECT label, count(*) AS n FROM (SELECT unnest(['name', 'nation', 'segment', 'market segment', 'https']) AS label FROM f) GROUP BY label",
-    "ex3_lexicon_fields": f"""WITH {FORMS}, p AS (SELECT *, length('Name: ' || c_name) + 2 AS p1, length('Nation: ' || n_name) + 2 AS p2, length('Market Segment: ' || c_mktsegment) + 2 AS p3 FROM f)
-      SELECT doc_id, CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS n, unnest(['Name', 'Nation', 'Market Segment', 'https']) AS label, unnest([c_name, n_name, c_mktsegment, '//example.com']) AS value,
-      CAST(unnest([0, p1, p1 + p2, p1 + p2 + p3]) AS INTEGER) AS pos FROM p""",
-    "ex5_extract_all": f"WITH {FORMS} SELECT doc_id, unnest(['Name', 'Nation', 'Market Segment', 'https']) AS label, unnest([c_name, n_name, c_mktsegment, '//example.com']) AS value, true AS verified FROM f",
-    "ex7_field_answers": f"WITH {FORMS} SELECT doc_id, CAST(2 AS INTEGER) AS matched, CAST(1 AS BIGINT) AS n_values, c_mktsegment AS answer FROM f",
-    "ex4_question_has_label": "SELECT count(*) >= 3 AS has_label FROM customer",
-    "ex8_receipt_total": f"SELECT o_orderkey AS doc_id, CAST(c + c // 20 AS VARCHAR) AS total, CAST(c AS VARCHAR) AS subtotal, CAST(c // 20 AS VARCHAR) AS tax FROM (SELECT o_orderkey, {CENTS} AS c FROM orders)",
-    "ex9_item_price": f"SELECT o_orderkey AS doc_id, CAST({CENTS} AS VARCHAR) AS price FROM orders",
-    "ex10_column_total": f"SELECT o_orderkey AS doc_id, CAST({CENTS} * 2 AS VARCHAR) AS total FROM orders",
-    "ex11_label_value": f"WITH {FORMS} SELECT doc_id, c_mktsegment AS value FROM f",
-    "ex12_option_rows": "SELECT c_custkey AS doc_id, c_mktsegment || ' Grid' AS answer FROM customer",
+    "ex1_line_fields": f"WITH {LINE_FIELDS} SELECT doc_id, n, label, value FROM lf",
+    "ex2_learn_labels": f"WITH {RUNS} SELECT label, n FROM lx",
+    "ex3_lexicon_fields": f"WITH {LEXICON_FIELDS} SELECT doc_id, n, label, value, pos FROM fl",
+    "ex5_extract_all": f"""WITH {LEXICON_FIELDS} SELECT doc_id, label, substr(value, 1, 120) AS value, source = 'text' AS verified FROM (SELECT doc_id, source, label, value FROM lf
+      UNION ALL SELECT doc_id, source, label, value FROM fl WHERE (doc_id, lower(label)) NOT IN (SELECT (doc_id, lower(label)) FROM lf))""",
+    "ex7_field_answers": rf"""WITH {LEXICON_FIELDS}, m AS (SELECT doc_id, regexp_replace(lower(value), '\s+', '', 'g') AS bare, min({{'pos': pos, 'value': substr(value, 1, 80)}}) AS v FROM fl WHERE lower(label) = 'market segment' GROUP BY 1, 2),
+      g AS (SELECT doc_id, count(*) AS n_values, list_sort(list(v)) AS vs FROM m GROUP BY doc_id)
+      SELECT doc_id, 2 AS matched, n_values, CASE WHEN n_values > 1 THEN 'Multiple matches: ' || array_to_string(list_transform(vs[1:3], lambda s: substr(s.value, 1, 60)), '; ') ELSE trim(vs[1].value) END AS answer FROM g""",
+    "ex4_question_has_label": f"""WITH {RUNS}, k AS (SELECT {tok("label")} AS k FROM lx WHERE n >= 3 AND length(label) > 2), q(n, t) AS (VALUES {", ".join(f"({i}, CAST({_list(tokens_of(x))} AS VARCHAR[]))" for i, x in enumerate(LABEL_QUESTIONS))})
+      SELECT q.n, EXISTS (SELECT 1 FROM k WHERE len(k) > 0 AND list_has_all(q.t, k)) AS has_label FROM q""",
+    "ex8_receipt_total": f"""WITH {RECEIPT_ROWS}, p AS (SELECT doc_id, max(value) FILTER (kind = 'total') AS total, max(value) FILTER (kind = 'sub') AS subtotal, max(value) FILTER (kind = 'tax') AS tax FROM rp GROUP BY doc_id)
+      SELECT rc.doc_id, total, subtotal, CASE WHEN coalesce(CAST(tax AS BIGINT) >= least(CAST(total AS BIGINT), CAST(subtotal AS BIGINT)), false) THEN NULL ELSE tax END AS tax FROM rc LEFT JOIN p ON rc.doc_id = p.doc_id""",
+    "ex9_item_price": f"""WITH {RECEIPT_ROWS}, q AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN string_split('item ' || replace(lower(priority), '-', ''), ' ') WHEN 1 THEN ['delivery', 'fee', 'ship'] WHEN 2 THEN ['delivery', 'by', 'ship'] ELSE ['gift', 'card'] END AS q FROM rc),
+      h AS (SELECT rr.doc_id, i, last, len(list_filter(q, lambda x: list_contains(words, x))) / CAST(len(q) AS DOUBLE) AS share FROM rr JOIN q ON rr.doc_id = q.doc_id),
+      b AS (SELECT doc_id, arg_max(last, (share, -i)) AS last, max(share) AS share FROM h GROUP BY doc_id) SELECT doc_id, CASE WHEN share >= 0.6 AND last <> '' THEN last END AS price FROM b""",
+    "ex10_column_total": f"""WITH {RECEIPTS}, p AS (SELECT doc_id, c, CASE WHEN doc_id % 7 = 0 THEN 5 ELSE doc_id % 3 + 1 END AS r, CASE WHEN doc_id % 5 = 0 THEN 0.09 ELSE 0.01 END AS shift FROM rc),
+      b AS (SELECT doc_id, unnest([{{'r': 0, 't': 'Net worth', 'x': 0.55}}, {{'r': 0, 't': CASE WHEN doc_id % 11 = 0 THEN 'Gross' ELSE 'Gross worth' END, 'x': 0.80}}, {{'r': r, 't': CASE WHEN doc_id % 4 = 0 THEN 'Sum' ELSE 'Total' END, 'x': 0.30}},
+        {{'r': r, 't': CAST(c AS VARCHAR), 'x': 0.55}}, {{'r': r, 't': CAST(c * 2 AS VARCHAR), 'x': 0.80 + shift}}, {{'r': r, 't': CASE WHEN doc_id % 6 = 0 THEN '7' ELSE '' END, 'x': 0.82}}], recursive := true) FROM p),
+      h AS (SELECT doc_id, r, x FROM b WHERE lower(replace(t, ' ', '')) = 'grossworth'), f AS (SELECT doc_id, r, arg_min(t, x) AS t, min(x) AS x FROM b WHERE t <> '' GROUP BY doc_id, r),
+      u AS (SELECT b.doc_id, min(b.t) AS t, count(*) AS n FROM b JOIN f ON b.doc_id = f.doc_id AND b.r = f.r AND f.t = 'Total' JOIN h ON h.doc_id = b.doc_id AND b.r - h.r BETWEEN 1 AND 3 WHERE b.x > f.x AND regexp_matches(b.t, '[0-9]') AND abs(b.x - h.x) < 0.06 GROUP BY b.doc_id)
+      SELECT doc_id, t AS total FROM u WHERE n = 1""",
+    "ex11_label_value": f"""WITH {FORMS}, l AS (SELECT doc_id, list_distinct(list_transform(list_filter(string_split(text, {NL}), lambda x: starts_with(x, 'Market Segment: ')), lambda x: substr(x, 17))) AS v FROM f) SELECT doc_id, CASE WHEN len(v) = 1 THEN v[1] END AS value FROM l""",
+    "ex12_option_rows": rf"""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '1.1 (a) ' ELSE '' END || 'Application Type: ☐ ' || c_mktsegment || CASE WHEN c_custkey % 4 <> 0 THEN ' ■ Grid' ELSE '' END AS line FROM customer),
+      l AS (SELECT k, unnest([line, CASE k % 5 WHEN 0 THEN line WHEN 1 THEN 'application type - Other • Kind' ELSE 'other line' END]) AS line FROM c),
+      r AS (SELECT k, trim(regexp_replace(trim(regexp_replace(substr(line, strpos(lower(line), 'application type') + 16), '{W.BOX_GLYPHS}', ' ', 'g'), ' :-|'), '\s+', ' ', 'g')) AS rest FROM l WHERE strpos(lower(line), 'application type') BETWEEN 1 AND 7)
+      SELECT k AS doc_id, min(rest) AS answer FROM r WHERE len(string_split(rest, ' ')) >= 2 AND NOT starts_with(rest, '(') GROUP BY k HAVING min(rest) = max(rest)""",
     "ex13_item_rows": """WITH x AS (SELECT l_orderkey AS doc_id, (l_linenumber % 3 + 1) || '.' || (l_linenumber % 7 + 1) AS ref, l_linenumber FROM lineitem),
       y AS (SELECT doc_id, ref, ref || ') row ' || l_linenumber AS answer FROM x WHERE ref IN ('2.2', '3.3')) SELECT doc_id, ref, min(answer) AS answer FROM y GROUP BY doc_id, ref HAVING min(answer) = max(answer)""",
     "ex14_titles": f"""WITH {BOXES}, v AS (SELECT *, y1 - y0 AS h FROM b WHERE y0 < 0.6), m AS (SELECT doc_id, max(h) AS h FROM v GROUP BY doc_id)
@@ -219,22 +283,29 @@ ORACLES: dict[str, str] = {
       near AS (SELECT doc_id, page FROM sc WHERE bm25 > 0 ORDER BY round(score, 6) DESC, doc_id, page LIMIT 2)
       SELECT doc_id, page, CAST(chunk AS INTEGER) AS chunk, round(score, 6) AS score FROM cs SEMI JOIN near USING (doc_id, page) WHERE bm25 > 0 ORDER BY 4 DESC, 1, 2, 3 LIMIT 3""",
     "lr1_route": "SELECT event_id, array_to_string(list_transform(list_sort([" + ", ".join(f"{{'s': round(-({ROUTE[a]}), 9), 'i': {i}, 'a': '{a}'}}" for i, a in enumerate(ACTIONS)) + "]), lambda s: s.a), ',') AS actions FROM events",
-    "vf3_invented": "SELECT o_orderkey, o_orderkey % 2 = 1 AND o_custkey + 1 >= 10 AS invented FROM orders",
+    "vf3_invented": f"""WITH x AS (SELECT o_orderkey, 'page ' || o_custkey || ', ' || format('{{:,}}', o_orderkey) || ' and 5%. How much is ' || (o_orderkey % 50) || '?' AS known,
+      'it is ' || ([o_custkey, o_custkey + 1, o_orderkey % 50, o_orderkey % 10, o_orderkey % 8])[o_orderkey % 5 + 1] || CASE WHEN o_orderkey % 3 = 0 THEN '%' ELSE '' END || ' or ' || format('{{:,}}', o_orderkey) || '.' AS answer FROM orders),
+      y AS (SELECT o_orderkey, list_filter({FIGURES.format(x='answer')}, lambda g: ends_with(g, '%') OR length(regexp_replace(g, '[^0-9]', '', 'g')) >= 2) AS said, {FIGURES.format(x='known')} AS there FROM x)
+      SELECT o_orderkey, NOT list_has_all(there, said) AS invented FROM y""",
     "vf5_ocr_warnings": f"""WITH {BOXES}, w AS (SELECT doc_id, CAST(l_partkey AS VARCHAR) AS v FROM b WHERE line = 1 AND l_partkey >= 10),
       h AS (SELECT b.doc_id, min(score) AS low, min(CASE WHEN line = 5 THEN 'other' END) AS other FROM b JOIN w ON b.doc_id = w.doc_id AND contains(replace(lower(b.text), ' ', ''), w.v) GROUP BY b.doc_id, w.v)
       SELECT doc_id, min(low) AS low, min(other) AS other FROM h GROUP BY doc_id HAVING min(low) < 0.9 OR min(other) IS NOT NULL""",
-    "vf6_refine": """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS ocr, CASE o_orderkey % 3 WHEN 0 THEN o_custkey || '0' WHEN 1 THEN CAST(o_custkey AS VARCHAR) END AS vision FROM orders),
-      s AS (SELECT *, CASE WHEN vision IS NULL THEN 'ocr only' WHEN ocr IS NULL THEN 'filled' WHEN ocr = vision THEN 'agree' ELSE 'disputed' END AS state FROM r)
-      SELECT o_orderkey, state, CASE WHEN state = 'filled' THEN 'vision' ELSE 'ocr' END AS used, CASE WHEN state = 'filled' THEN vision ELSE ocr END AS reading,
-      CASE state WHEN 'agree' THEN 0.9::DOUBLE WHEN 'filled' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS support FROM s""",
+    "vf6_refine": r"""WITH r AS (SELECT o_orderkey, (['number', 'date', 'amount_hw'])[o_orderkey % 3 + 1] AS kind, (o_orderkey % 11) / 10.0::DOUBLE AS support, CASE o_orderkey % 4 WHEN 1 THEN ' ' || o_custkey WHEN 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS ocr,
+        CASE WHEN o_orderkey % 5 = 0 THEN o_custkey || '0' WHEN o_orderkey % 5 < 3 THEN CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 5 = 3 THEN '' END AS vision, o_orderkey % 2 = 0 AS is_ocr, o_custkey % 3 = 0 AS ok FROM orders),
+      c AS (SELECT kind, count(*) FILTER (is_ocr AND ok) AS a, count(*) FILTER (is_ocr) AS b, count(*) FILTER (NOT is_ocr AND ok) AS c, count(*) FILTER (NOT is_ocr) AS d FROM r GROUP BY kind),
+      p AS (SELECT kind, CASE WHEN CASE WHEN ends_with(kind, '_hw') THEN (3.6::DOUBLE + a) / (6 + b) ELSE (1.0::DOUBLE + a) / (1 + b) END >= CASE WHEN ends_with(kind, '_hw') THEN (3.0::DOUBLE + c) / (6 + d) ELSE (0.5::DOUBLE + c) / (1 + d) END THEN 'ocr' ELSE 'vision' END AS prefer FROM c),
+      s AS (SELECT r.*, prefer, CASE WHEN coalesce(vision, '') = '' THEN 'ocr only' WHEN coalesce(ocr, '') = '' THEN 'filled' WHEN trim(ocr) = trim(vision) THEN 'agree' ELSE 'disputed' END AS state FROM r JOIN p USING (kind)),
+      t AS (SELECT *, CASE state WHEN 'filled' THEN 'vision' WHEN 'disputed' THEN prefer ELSE 'ocr' END AS used FROM s)
+      SELECT o_orderkey, state, used, CASE WHEN used = 'ocr' THEN ocr ELSE vision END AS reading, round(CASE state WHEN 'agree' THEN greatest(support, 0.9) WHEN 'filled' THEN greatest(support, 0.6) ELSE support END, 6) AS support FROM t""",
     "cv2_context": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 8",
     "ca1_cache_lookup": f"""WITH c AS (SELECT * FROM conversations WHERE text IS NOT NULL), h AS (SELECT DISTINCT {CACHE_WORDS.format(x="text")} AS w, role FROM c WHERE turn % 2 = 0)
       SELECT conv_id, turn, CASE WHEN h.role IS NOT NULL THEN 'held' END AS cached FROM c LEFT JOIN h ON {CACHE_WORDS.format(x="'Please ' || c.text")} = h.w AND c.role = h.role""",
-    "ca2_evidence_there": rf"""WITH {ANSWERS} SELECT doc_id, contains(trim(regexp_replace(page_text, '\s+', ' ', 'g')), substr(trim(regexp_replace(substr(CASE WHEN doc_id % 2 = 0 THEN evidence || 'x' ELSE evidence END, 1, 150), '\s+', ' ', 'g')), 1, 200)) AS there FROM a""",
+    "ca2_evidence_there": rf"""WITH {ANSWERS} SELECT doc_id, contains(trim(regexp_replace(page_text, '\s+', ' ', 'g')), substr(trim(regexp_replace(CASE doc_id % 3 WHEN 0 THEN 'x' || evidence WHEN 1 THEN evidence || 'x' ELSE evidence END, '\s+', ' ', 'g')), 1, 200)) AS there FROM a""",
     "ca4_recall": f"""WITH {MEMORY}, o AS (SELECT *, {JACCARD_WORDS.format(x="q")} AS w FROM m WHERE verified), q AS (SELECT item_id AS query_id, {JACCARD_WORDS.format(x="'What is ' || text")} AS w FROM benchmark),
       p AS (SELECT query_id, a, ts, CAST(len(list_intersect(q.w, o.w)) AS DOUBLE) / greatest(len(list_distinct(list_concat(q.w, o.w))), 1) AS j FROM q, o),
       b AS (SELECT query_id, arg_min(a, (-j, ts)) AS recalled FROM p WHERE j >= 0.85 GROUP BY query_id) SELECT q.query_id, recalled FROM q LEFT JOIN b USING (query_id)""",
-    "ca5_remember": f"WITH {MEMORY} SELECT q, CASE WHEN ts < 10 THEN 'new' ELSE a END AS a, CASE WHEN ts < 10 THEN ts + 1000 ELSE ts END AS ts FROM m ORDER BY 3 DESC, 1 LIMIT 30",
+    "ca5_remember": """WITH c AS (SELECT *, CAST(conv_id * 1000 + turn AS DOUBLE) AS ts FROM conversations WHERE text IS NOT NULL), n AS (SELECT text AS q, 'new' AS a, ts + 0.5 AS ts FROM c WHERE role = 'assistant')
+      SELECT q, a, ts FROM (SELECT text AS q, 'a' || conv_id AS a, ts FROM c WHERE text NOT IN (SELECT q FROM n) UNION ALL SELECT * FROM n) ORDER BY ts DESC, q LIMIT 500""",
     "bg1_limits": """SELECT event_id, (['frugal', 'balanced', 'thorough'])[event_id % 3 + 1] AS preset, ([1500.0, 4000.0, 12000.0])[event_id % 3 + 1]::DOUBLE AS limit_llm_tokens, ([20.0, 60.0, 180.0])[event_id % 3 + 1]::DOUBLE AS limit_seconds,
       CASE WHEN event_id % 4 = 0 THEN 99.0 ELSE ([4.0, 8.0, 20.0])[event_id % 3 + 1] END::DOUBLE AS limit_tool_calls, ([0.0, 4.0, 10.0])[event_id % 3 + 1]::DOUBLE AS limit_vlm_looks, ([2.0, 6.0, 20.0])[event_id % 3 + 1]::DOUBLE AS limit_ocr_pages FROM events""",
     "bg2_left": "SELECT event_id, round(l, 6) AS left, l >= 5 - 1e-9 AS can FROM (SELECT event_id, greatest(0.0::DOUBLE, CASE WHEN event_id % 2 = 0 THEN 20.0 ELSE 50.0 END::DOUBLE - value) AS l FROM events)",
@@ -246,7 +317,12 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT s.user_id, e.i, granted + CASE WHEN e.n <= room_left THEN 1 ELSE 0 END, waiting + CASE WHEN e.n <= room_left THEN 0 ELSE 1 END, room_left - CASE WHEN e.n <= room_left THEN e.n ELSE 0 END
       FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
       SELECT user_id, arg_max(granted, i) AS granted, arg_max(waiting, i) AS waiting, arg_max(room_left, i) AS room_left FROM s GROUP BY user_id""",
-    "lr3_features": f"SELECT conv_id, turn, CAST(regexp_matches(text, '(?i){W.LOOK_Q}') AS DOUBLE) AS visual_kw, CAST(regexp_matches(text, '(?i){W.EXTRACT_Q}') AS DOUBLE) AS extract_kw, least(length(text) / 120.0::DOUBLE, 1.0::DOUBLE) AS q_len FROM conversations",
+    "lr3_features": f"""WITH {RUNS.replace("WITH ", "")}, {SCANS}, {ASKED}, q2 AS (SELECT query_id, CASE WHEN query_id % 4 = 0 THEN 'List all fields of the photo: market segment, ' || q ELSE q END AS q FROM qs), {_many("q2")},
+      top AS (SELECT query_id, max(score) AS top FROM r GROUP BY query_id), nd AS (SELECT avg(CAST(source IN ('none', 'scan-text') AS DOUBLE)) AS need FROM sn),
+      kx AS (SELECT {tok("label")} AS k FROM lx WHERE n >= 3 AND length(label) > 2)
+      SELECT q2.query_id, 1.0::DOUBLE AS bias, round(need, 6) AS need_ocr, CAST(regexp_matches(q, '(?i){W.LOOK_Q}') AS DOUBLE) AS visual_kw, CAST(regexp_matches(q, '(?i){W.EXTRACT_Q}') AS DOUBLE) AS extract_kw, round(least(length(q) / 120.0::DOUBLE, 1.0), 6) AS q_len,
+      round(least(coalesce(top, 0) / 10.0::DOUBLE, 1.0), 6) AS top_score, CAST(q2.query_id % 3 >= 1 AS DOUBLE) AS vlm_left, round((q2.query_id * 100 % 5000) / 4000.0::DOUBLE, 6) AS tokens_left,
+      CASE WHEN top IS NOT NULL AND EXISTS (SELECT 1 FROM kx WHERE len(kx.k) > 0 AND list_has_all({tok("q")}, kx.k)) THEN 1.0 ELSE 0.0 END::DOUBLE AS label_match FROM q2 CROSS JOIN nd LEFT JOIN top ON q2.query_id = top.query_id""",
     "lr4_promote": f"""WITH c AS ({RESULTS.format(k=3)}), l AS ({RESULTS.format(k=9)}), x AS (SELECT category, avg(CAST(ok AS DOUBLE)) AS v FROM c GROUP BY category), y AS (SELECT category, avg(CAST(ok AS DOUBLE)) AS v FROM l GROUP BY category)
       SELECT (SELECT bool_and(coalesce(x.v, 0) >= y.v - 1e-9) FROM y LEFT JOIN x USING (category)) AND (SELECT avg(CAST(ok AS DOUBLE)) FROM c) >= (SELECT avg(CAST(ok AS DOUBLE)) FROM l) AS promoted""",
     "lr6_trust": """WITH e AS (SELECT event_type || CASE WHEN user_id % 2 = 0 THEN '_hw' ELSE '' END AS kind, event_id % 2 = 0 AS ocr, value > 30 AS ok FROM events),
@@ -258,19 +334,52 @@ ORACLES: dict[str, str] = {
       s(cls, i, ema) AS (SELECT cls, 0::BIGINT, used FROM e WHERE i = 1 UNION ALL SELECT s.cls, e.i, 0.8::DOUBLE * ema + 0.2::DOUBLE * e.used FROM s JOIN e ON e.cls = s.cls AND e.i = s.i + 1),
       f AS (SELECT cls, CAST(max(i) AS INTEGER) AS n, arg_max(ema, i) AS ema FROM s GROUP BY cls), d AS (SELECT *, CASE cls WHEN 'lookup' THEN 1600.0 WHEN 'open' THEN 2600.0 ELSE 2000.0 END::DOUBLE AS d FROM f)
       SELECT cls, n, round(ema, 3) AS ema, CAST(floor(least(4000.0::DOUBLE, CASE WHEN n < 5 THEN d ELSE greatest(0.6::DOUBLE * d, 2.0::DOUBLE * ema) END)) AS BIGINT) AS allowance FROM d""",
-    "lr8_feedback": f"WITH {MEMORY} SELECT q, a FROM m WHERE q NOT IN (SELECT q FROM m WHERE CAST(ts AS BIGINT) % 4 = 0)",
-    "ev1_correct": rf"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN substr(text, 5, 10) END AS g, CASE WHEN doc_id % 2 = 0 THEN upper(text) ELSE 'No information.' END AS a FROM documents)
+    "lr8_feedback": r"""WITH e AS (SELECT o_orderkey AS request, o_orderkey % 3 = 0 AS good, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_custkey AS VARCHAR) END AS correction, 'a' || o_custkey AS answer, (['text', 'ocr', 'other'])[o_orderkey % 3 + 1] AS action,
+        o_orderkey % 2 = 0 AS read, CASE WHEN o_orderkey % 4 = 0 THEN 'vision' ELSE 'ocr' END AS used, CAST(o_custkey AS VARCHAR) AS ocr, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN o_custkey || '0' ELSE o_custkey || '.' END AS vision FROM orders),
+      s AS (SELECT *, 'ocr' AS source, ocr AS own, vision AS other FROM e WHERE read UNION ALL SELECT *, 'vision', vision, ocr FROM e WHERE read),
+      j AS (SELECT *, replace(own, '.', '') = replace(coalesce(CASE WHEN used = source THEN own ELSE other END, ''), '.', '') AS like_used, replace(own, '.', '') = correction AS like_correction FROM s)
+      SELECT request, 'evict' AS effect, 'cache' AS what, NULL AS value FROM e WHERE NOT good UNION ALL SELECT request, 'remember', 'answer', answer FROM e WHERE good UNION ALL SELECT request, 'remember', 'correction', correction FROM e WHERE NOT good AND correction IS NOT NULL
+      UNION ALL SELECT request, 'reward', action, CASE WHEN good THEN '1' ELSE '-1' END FROM e WHERE action IN ('text', 'ocr')
+      UNION ALL SELECT request, 'trust', 'number:' || source, CASE WHEN source = used THEN 'true' ELSE 'false' END FROM j WHERE good AND (source = used OR (own IS NOT NULL AND NOT like_used))
+      UNION ALL SELECT request, 'trust', 'number:' || source, CAST(like_correction AS VARCHAR) FROM j WHERE NOT good AND correction IS NOT NULL AND own IS NOT NULL""",
+    "ev1_correct": rf"""WITH y AS (SELECT doc_id, text, string_split(text, chr(10))[-1] AS last FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN reverse(last) ELSE last END AS g,
+      CASE WHEN doc_id % 4 <> 0 THEN upper(text) ELSE 'No information.' END AS a FROM y)
       SELECT doc_id, CASE WHEN g IS NULL THEN regexp_matches(a, '(?i){W.NOT_FOUND}') ELSE contains(regexp_replace(lower(a), '[\s,]', '', 'g'), regexp_replace(lower(g), '[\s,]', '', 'g')) END AS "right" FROM x""",
     "ev2_gold_lists": """WITH x AS (SELECT doc_id, ' ' || regexp_replace(trim(regexp_replace(replace(lower(text), ',', ''), '\\s+', ' ', 'g')), '[^a-z]', ' ', 'g') || ' ' AS p FROM documents)
       SELECT doc_id, (contains(p, ' the ') OR contains(p, ' der ')) AND contains(p, ' in ') AND NOT contains(p, ' idiot ') AS "right" FROM x""",
     "ev4_accuracy": f"WITH c AS ({RESULTS.format(k=3)}) SELECT category, count(*) AS n, round(avg(CAST(ok AS DOUBLE)), 6) AS accuracy FROM c GROUP BY ROLLUP (category)",
-    "ev5_digit_gold": "SELECT o_orderkey AS doc_id, true AS \"right\" FROM orders",
+    "ev5_digit_gold": rf"""WITH {RECEIPTS} SELECT doc_id, list_contains(list_transform(regexp_extract_all(text, '\d[\d.,/-]*'), lambda n: regexp_replace(n, '[^0-9]', '', 'g')), CAST(c + CASE WHEN doc_id % 10 = 3 THEN 1 ELSE 0 END AS VARCHAR)) AS "right" FROM rc""",
     "ev6_word_outcomes": f"""WITH {BOXES}, w AS (SELECT doc_id, l_partkey * 10 + line AS id, CASE WHEN line % 3 = 0 THEN 'heading' ELSE CAST(l_partkey AS VARCHAR) END AS word, 0.25 AS cx, y0 + 0.002 AS cy FROM b),
-      h AS (SELECT w.doc_id, w.id, w.word, lower(string_agg(text, ' ')) AS t FROM w JOIN (SELECT * FROM b WHERE line % 2 = 1) b ON b.doc_id = w.doc_id AND cx BETWEEN x0 - 0.005 AND x1 + 0.005 AND cy BETWEEN y0 - 0.004 AND y1 + 0.004 GROUP BY ALL),
+      h AS (SELECT w.doc_id, w.id, w.word, lower(string_agg(text, ' ')) AS t FROM w JOIN (SELECT * REPLACE (x0 + CASE WHEN line % 2 = 0 THEN 0.4 ELSE 0 END AS x0, x1 + CASE WHEN line % 2 = 0 THEN 0.4 ELSE 0 END AS x1) FROM b) b ON b.doc_id = w.doc_id AND cx BETWEEN x0 - 0.005 AND x1 + 0.005 AND cy BETWEEN y0 - 0.004 AND y1 + 0.004 GROUP BY ALL),
       o AS (SELECT w.doc_id, w.id, CASE WHEN regexp_matches(w.word, '[0-9]') THEN 'num' ELSE 'word' END AS kind, CASE WHEN t IS NULL THEN 'missed'
         WHEN list_contains(regexp_split_to_array(t, '[^a-z0-9]+'), w.word) OR (length(w.word) >= 3 AND contains(regexp_replace(t, '[^a-z0-9]', '', 'g'), w.word)) THEN 'exact' ELSE 'misread' END AS outcome
         FROM w LEFT JOIN h ON h.doc_id = w.doc_id AND h.id = w.id AND h.word = w.word) SELECT kind, outcome, count(*) AS n FROM o GROUP BY ALL""",
     "ev7_nearest_values": """WITH s AS (SELECT l_orderkey AS doc_id, 'L' || l_linenumber || ':' AS label, CAST(l_partkey AS VARCHAR) AS value, 60 + l_quantity AS x0, l_linenumber * 40.0 AS y FROM lineitem)
       SELECT a.doc_id, a.label, arg_min(b.value, (b.x0, b.value)) AS value FROM (SELECT DISTINCT doc_id, label, y FROM s) a JOIN s b ON a.doc_id = b.doc_id AND abs(a.y - b.y) <= 9.6 AND b.x0 >= 52 GROUP BY a.doc_id, a.label""",
     "ev8_dev_split": "SELECT item_id, row_number() OVER (ORDER BY item_id) <= floor(count(*) OVER () * 0.6) AS dev FROM benchmark",
+    "src3_docx_lines": r"""WITH l AS (SELECT page_id, unnest(ls) AS line, CAST(unnest(range(0, len(ls))) AS INTEGER) AS n FROM (SELECT page_id, string_split(coalesce(html, ''), chr(10)) AS ls FROM pages))
+      SELECT page_id, n, regexp_replace('<w:p><w:r>' || line || '</w:r></w:p>', '<[^>]+>', '', 'g') AS line FROM l""",
+    "src4_pdf_pages": r"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id % 2 = 0),
+      p AS (SELECT doc_id, p, list_filter(list_transform(ls[p * 20 + 1:p * 20 + 20], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS lines FROM (SELECT *, unnest(range(0, CAST(ceil(len(ls) / 20.0) AS BIGINT))) AS p FROM l))
+      SELECT 'd' || doc_id || '.pdf' AS name, CAST(p + 1 AS INTEGER) AS page, CASE WHEN length(coalesce(array_to_string(lines, ''), '')) >= 40 THEN 'text' ELSE 'none' END AS source,
+      coalesce(array_to_string(lines, chr(10) || chr(10)), '') AS text FROM p""",
+    "src8_gateway_text": r"""WITH f AS (SELECT 'd' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.txt' END AS path, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents)
+      SELECT path, CAST(i / 580 AS INTEGER) AS n, substr(t, CAST(i + 1 AS BIGINT), 700) AS piece FROM (SELECT path, t, unnest(range(0, length(t), 580)) AS i FROM f)""",
+    "src10_upload_modes": f"""WITH {SCANS}, c AS (SELECT doc_id, (['background', 'lazy', 'all'])[doc_id % 3 + 1] AS mode, count(*) FILTER (kind IN ('pdf', 'image') AND source IN ('none', 'scan-text')) AS unread FROM sn GROUP BY doc_id, kind)
+      SELECT doc_id, mode, CASE WHEN mode = 'all' THEN least(unread, 3) ELSE 0 END AS read_now, CASE WHEN mode = 'background' THEN least(3, unread, doc_id % 7) ELSE 0 END AS in_background,
+      unread - CASE WHEN mode = 'all' THEN least(unread, 3) ELSE 0 END AS still_unread FROM c""",
+    "snk3_traces": "SELECT event_id, event_type AS strategy, CAST(floor(value) AS BIGINT) AS tokens, value > 30 AS verified FROM events",
+    "snk4_policy_files": "SELECT * FROM (VALUES (0, 'promote', true, 1, 1), (1, 'promote', true, 2, 2), (2, 'promote', true, 3, 3), (3, 'rollback', true, 2, 2), (4, 'rollback', true, 1, 1), (5, 'rollback', false, 1, 1)) AS v(step, what, done, version, w)",
+    "fn2_stop_words": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE list_contains({_list(sorted(W.STOP))}, word) GROUP BY word",
+    "fn26_bengali_share": f"""SELECT doc_id, round(CAST(len(list_filter(regexp_extract_all(m, '\\p{{L}}'), lambda c: regexp_matches(c, '[{W.BENGALI}]'))) AS DOUBLE) / greatest(len(regexp_extract_all(m, '\\p{{L}}')), 1), 6) AS share FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN repeat('ঋণের পরিমাণ ', CAST(doc_id % 400 AS BIGINT)) || text ELSE text END AS m FROM documents)""",
+    "rk8_unseen_terms": f"""WITH {UNITS}, {ASKED}, q AS (SELECT query_id, unnest(list_distinct(k)) AS term FROM (SELECT query_id, {tok("q")} AS k FROM qs)),
+      s AS (SELECT query_id, term, {STEM} AS st FROM q WHERE NOT (length(term) > 4 AND (ends_with(term, 'ed') OR ends_with(term, 'ing')))),
+      g AS (SELECT DISTINCT unnest(toks) AS t FROM u), p AS (SELECT t AS p FROM g UNION SELECT substr(t, 1, 3) FROM g UNION SELECT substr(t, 1, 4) FROM g UNION SELECT substr(t, 1, 5) FROM g)
+      SELECT query_id, term FROM s WHERE term NOT IN (SELECT t FROM g) AND st NOT IN (SELECT p FROM p) AND substr(st, 1, 5) NOT IN (SELECT p FROM p) AND NOT (length(st) <= 5 AND substr(st, 1, 4) IN (SELECT p FROM p))""",
+    "bg6_change_limits": """WITH x AS (SELECT event_id, event_id % 7 = 0 AS none, (['llm_tokens', 'seconds', 'pages'])[event_id % 3 + 1] AS name, CASE event_id % 5 WHEN 0 THEN -1.0 WHEN 1 THEN floor(value) + 0.5 ELSE floor(value) END AS v, event_id % 9 AS calls FROM events),
+      y AS (SELECT *, NOT none AND name <> 'pages' AND v >= 0 AND (name = 'seconds' OR v = floor(v)) AS changed FROM x)
+      SELECT event_id, changed, CASE WHEN changed AND name = 'llm_tokens' THEN v ELSE 4000 END::DOUBLE AS limit_llm_tokens, CASE WHEN changed AND name = 'seconds' THEN v ELSE 60 END::DOUBLE AS limit_seconds,
+      CASE WHEN changed THEN calls ELSE 8 END::DOUBLE AS limit_tool_calls FROM y""",
+    "md5_chat_within": """WITH c AS (SELECT conv_id, CAST(floor(sum(length(coalesce(text, '')) / 3.2::DOUBLE + 4)) AS BIGINT) AS estimate, length(coalesce(arg_max(coalesce(text, ''), turn), '')) // 4 AS used, CAST(conv_id % 600 AS DOUBLE) AS l FROM conversations GROUP BY conv_id),
+      r AS (SELECT *, estimate + 32 > l AS refused FROM c) SELECT conv_id, estimate, refused, CASE WHEN refused THEN 0 ELSE used END AS used, round(greatest(l - CASE WHEN refused THEN 0 ELSE used END, 0.0), 3) AS left_after FROM r""",
 }

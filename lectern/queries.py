@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 #: The fixed question of single-question queries, and the phrase that find_text looks for.
 QUESTION = "What is the thonnt of the ererwh than inheat and theaon retion?"
 PHRASE = "the er"
+LABEL_QUESTIONS = ("What is the market segment of this customer?", "Which segment?", "Where is the code of its region?", "Who is the owner?", "")
 
 
 def query(f: Query) -> Query:
@@ -51,21 +53,43 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forms(spark: SparkSession, d: str) -> DataFrame:
-    """A form for each customer, one labelled value a block."""
+    """A form for each customer, in blocks: some lack a label, give two values, put the value in the next block or two labels
+    in one block."""
     c, n = t(spark, d, "customer"), t(spark, d, "nation")
-    text = F.concat_ws("\n\n", F.concat(F.lit("Name: "), "c_name"), F.concat(F.lit("Nation: "), "n_name"), F.concat(F.lit("Market Segment: "), "c_mktsegment"), F.lit("https://example.com"))
-    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("doc_id"), text.alias("text"), F.lit("text").alias("source"))
+    k = F.col("c_custkey")
+    blocks = F.array(
+        F.concat(F.lit("Name: "), "c_name"),
+        F.when(k % 5 == 0, F.concat(F.lit("Nation:\n\n"), "n_name")).otherwise(F.concat(F.lit("Nation: "), "n_name")),
+        F.when(k % 7 != 0, F.concat(F.lit("Market Segment: "), "c_mktsegment")),
+        F.when(k % 11 == 0, "Market Segment: OTHER"),
+        F.when(k % 3 == 0, F.concat(F.lit("Key: "), k.cast("string"), F.lit(" Region Code: R"), (k % 4).cast("string"))),
+        F.when(k % 13 == 0, F.concat(F.lit("note "), k.cast("string"), F.lit(" - see: below"))),
+        F.lit("https://example.com"),
+    )
+    text = F.array_join(F.filter(blocks, lambda b: b.isNotNull()), "\n\n")
+    source = F.when(k % 4 == 0, "ocr").otherwise("text")
+    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(k.alias("doc_id"), text.alias("text"), source.alias("source"))
 
 
 def receipts(spark: SparkSession, d: str) -> DataFrame:
-    """A receipt for each order, with an item row, subtotal, tax and total, in whole units of thousands with commas."""
-    cents = F.round(F.col("o_totalprice") * 10).cast("long")
+    """A receipt for each order: two items, subtotal, tax and total, in several forms. Rows may be missing, named otherwise,
+    stand twice, or have their amount on the row below; some taxes are larger than the total."""
+    k, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 10).cast("long")
     money = lambda c: F.format_number(c, 0)
-    text = F.concat_ws(
-        "\n", F.concat(F.lit("ITEM "), F.col("o_orderpriority"), F.lit(" "), money(cents)), F.concat(F.lit("SUBTOTAL "), money(cents)),
-        F.concat(F.lit("TAX "), money(F.floor(cents / 20))), F.concat(F.lit("TOTAL "), money(cents + F.floor(cents / 20))),
+    tax = F.when(k % 9 == 0, cents * 3).otherwise(F.floor(cents / 20))
+    total = cents + F.floor(cents / 20)
+    rows = F.array(
+        F.concat(F.lit("2 ITEM "), "o_orderpriority", F.lit(" "), money(cents * 2), F.lit(" "), money(cents)),
+        F.concat(F.lit("DELIVERY FEE "), (k % 90).cast("string"), F.lit(" KM "), money(k + 100)),
+        F.when(k % 4 != 0, F.concat(F.element_at(F.array(F.lit("SUBTOTAL "), F.lit("Sub Total "), F.lit("net amount ")), (k % 3 + 1).cast("int")), money(cents))),
+        F.when((k % 8).isin(1, 4), F.concat(F.lit("SUBTOTAL "), money(cents + 1))),
+        F.when(k % 5 != 0, F.concat(F.when(k % 2 == 0, "TAX ").otherwise("PB-1 10% "), money(tax))),
+        F.when(k % 6 == 0, F.concat(F.lit("TOTAL\n"), money(total))).when(k % 6 == 1, F.concat(F.lit("TOTAL "), money(cents), F.lit("\nGRAND TOTAL "), money(total)))
+        .when(k % 6 != 5, F.concat(F.lit("Total due "), money(total))),
+        F.lit("TOTAL ITEMS 2"),
     )
-    return t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), cents.alias("cents"), text.alias("text"))
+    text = F.array_join(F.filter(rows, lambda r: r.isNotNull()), "\n")
+    return t(spark, d, "orders").select(k.alias("doc_id"), cents.alias("cents"), text.alias("text"), F.col("o_orderpriority").alias("priority"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +97,12 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("q"))
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of which some words are changed, so that they stand nowhere, or begin like words that do."""
+    q = F.when(F.col("query_id") % 3 == 0, F.reverse("q")).when(F.col("query_id") % 3 == 1, F.regexp_replace("q", r"(\w{4})\w*", "$1quoxing"))
+    return questions(spark, d).select("query_id", F.coalesce(q, F.regexp_replace("q", r"(\w{5})(\W|$)", "$1ers zyxw$2")).alias("q"))
+
+
 # ---- sources and sinks ---------------------------------------------------------------------------------------------
 
 
@@ -88,23 +118,42 @@ def src2_pages(spark, d):
 
 @query
 def src3_docx_lines(spark, d):
-    """Rows only: each page's HTML packed as DOCX paragraphs and read again."""
+    """Each page's HTML packed as a DOCX file, a paragraph for each line, and read again."""
     import io
     import zipfile
 
     import pandas as pd
 
+    def packed(lines):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            z.writestr("word/document.xml", "".join(f"<w:p><w:r>{line}</w:r></w:p>" for line in lines))
+        return buffer.getvalue()
+
     def run(batches):
         for pdf in batches:
-            out = []
-            for key, url in zip(pdf["page_id"], pdf["url"]):
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w") as z:
-                    z.writestr("word/document.xml", f"<w:p><w:r>{url or ''}</w:r></w:p>")
-                out += [(key, line) for line in src.docx_lines(buffer.getvalue())]
-            yield pd.DataFrame(out, columns=["page_id", "line"])
+            out = [(k, n, x) for k, html in zip(pdf["page_id"], pdf["html"]) for n, x in enumerate(src.docx_lines(packed((html or "").split("\n"))))]
+            yield pd.DataFrame(out, columns=["page_id", "n", "line"])
+
+    return t(spark, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, n int, line string")
 
-    return t(spark, d, "pages").select("page_id", F.split("url", "[?#]")[0].alias("url")).mapInPandas(run, "page_id long, line string")
+
+def _contents(spark, d):
+    """Files of both kinds: documents as text, and as what the stub decoder takes for a PDF."""
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".pdf").otherwise(".txt"))
+    return t(spark, d, "documents").select(name.alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+@query
+def src4_pdf_pages(spark, d):
+    """Pages of text layers by a stub decoder (a page for each 20 lines); those with less than 40 characters hold no text."""
+    pdf = src.pages_of_contents(_contents(spark, d).filter("path like '%.pdf'"), models.stub_decoder)
+    return pdf.select("name", "page", "source", src.page_text().alias("text"))
+
+
+@query
+def src8_gateway_text(spark, d):
+    return src.gateway_texts(_contents(spark, d), models.stub_decoder).select("path", F.posexplode(T.windows("text")).alias("n", "piece"))
 
 
 @query
@@ -135,6 +184,13 @@ def src10_pending_limit(spark, d):
     return ix.pending_pages(_scans(spark, d), limit=60).select("doc_id", "page", "source")
 
 
+@query
+def src10_upload_modes(spark, d):
+    """What an upload in each mode reads now, reads in the background and leaves unread, by document."""
+    counts = ix.unread_counts(_scans(spark, d)).withColumn("mode", F.element_at(F.array(*(F.lit(m) for m in src.MODES)), (F.col("doc_id") % 3 + 1).cast("int")))
+    return src.upload_plan(counts, F.col("mode"), F.col("doc_id") % 7, most=3).select("doc_id", "mode", "read_now", "in_background", "still_unread")
+
+
 def _scans(spark, d):
     """Pages with kinds and sources spread by document, as stand-ins for scans."""
     kind = F.when(F.col("doc_id") % 3 == 0, "pdf").when(F.col("doc_id") % 3 == 1, "image").otherwise("text")
@@ -160,9 +216,33 @@ def snk2_page_export(spark, d):
     return p.join(total, "doc_id").select("doc_id", "page", text.alias("content"))
 
 
+@query
+def snk3_traces(spark, d):
+    """Traces appended as JSON lines in two goes, and read again."""
+    e = t(spark, d, "events").select("event_id", F.col("event_type").alias("strategy"), F.floor("value").cast("long").alias("tokens"), (F.col("value") > 30).alias("verified"))
+    with sinks.scratch(spark, "traces") as folder:
+        for k in (0, 1):
+            sinks.append_traces(e.filter(F.col("event_id") % 2 == k), folder)
+        return spark.read.schema(e.schema).json(folder)
+
+
+@query
+def snk4_policy_files(spark, d):
+    """Versions of a policy's file after each promotion and rollback; a rollback without a backup changes nothing."""
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own files
+        steps, done = [("promote", {"w": 1}), ("promote", {"w": 2}), ("promote", {"w": 3}), ("rollback", None), ("rollback", None), ("rollback", None)], []
+        for i, (step, policy) in enumerate(steps):
+            ok = sinks.promote_policy(folder, policy) if step == "promote" else sinks.rollback_policy(folder)
+            live = sinks.load_policy(folder) or {}
+            done.append((i, step, bool(ok), live.get("version"), live.get("w")))
+    return spark.createDataFrame(done, "step int, what string, done boolean, version int, w int")
+
+
 @query
 def snk5_history(spark, d):
-    return src.latest(t(spark, d, "conversations"), ["conv_id"], [F.desc("turn")], 3).select("conv_id", "turn", "role")
+    return src.latest(t(spark, d, "conversations"), ["conv_id"], [F.desc("turn")], cv.CHAT_HISTORY).select("conv_id", "turn", "role")
 
 
 # ---- text functions ------------------------------------------------------------------------------------------------
@@ -173,6 +253,13 @@ def fn1_tokens(spark, d):
     return ix.add_tokens(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join("toks", " ").alias("tokens"), "n_toks")
 
 
+@query
+def fn2_stop_words(spark, d):
+    """Lower-case words of the texts that are in the stop list, with their count."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")
+    return t(spark, d, "documents").select(words).filter(F.col("word").isin(*sorted(W.STOP))).groupBy("word").agg(F.count("*").alias("n"))
+
+
 @query
 def fn3_stem(spark, d):
     terms = ix.add_tokens(t(spark, d, "documents").select("text")).select(F.explode("toks").alias("term")).distinct()
@@ -213,10 +300,20 @@ def fn9_has_entities(spark, d):
     return t(spark, d, "documents").select("doc_id", T.has_entities(named, "text").alias("named"), T.has_entities(F.array().cast("array<string>"), "text").alias("vacuous"))
 
 
+def _partly_bengali(spark, d):
+    """Whole texts, half of them after a Bengali phrase that is repeated up to 399 times."""
+    phrase = F.repeat(F.lit("ঋণের পরিমাণ "), (F.col("doc_id") % 400).cast("int"))
+    return t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(phrase, "text")).otherwise(F.col("text")).alias("mixed"))
+
+
 @query
 def fn10_script(spark, d):
-    mixed = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("ঋণের পরিমাণ "), F.substring("text", 1, 12))).otherwise(F.col("text"))
-    return t(spark, d, "documents").select("doc_id", F.round(T.bengali_share(mixed), 6).alias("share"), T.script_mismatch(mixed, F.lit("plain text")).alias("mismatch"))
+    return _partly_bengali(spark, d).select("doc_id", T.script_mismatch("mixed", F.lit("plain text")).alias("mismatch"))
+
+
+@query
+def fn26_bengali_share(spark, d):
+    return _partly_bengali(spark, d).select("doc_id", F.round(T.bengali_share("mixed"), 6).alias("share"))
 
 
 def _orders_text(spark, d):
@@ -238,7 +335,12 @@ def fn12_fix_dates(spark, d):
 
 @query
 def fn13_find_date(spark, d):
-    text = F.concat(F.lit("ref 45/13/2020, due "), F.date_format("o_orderdate", "d-M-yyyy"), F.lit(" or 1.2.99"))
+    """Days up to 39, months up to 14, years of two, three or four digits, with and without a second date."""
+    n = F.col("o_orderkey")
+    part = lambda x: x.cast("string")
+    year = F.element_at(F.array(F.lit("2024"), F.lit("99"), F.lit("202")), (n % 3 + 1).cast("int"))
+    mark = F.element_at(F.array(F.lit("/"), F.lit(" - "), F.lit("."), F.lit(" /")), (n % 4 + 1).cast("int"))
+    text = F.concat(F.lit("ref "), part(n % 40), mark, part(n % 15), mark, year, F.lit(", due "), F.when(n % 5 < 3, F.date_format("o_orderdate", "d-M-yyyy")).otherwise("soon"))
     return t(spark, d, "orders").select("o_orderkey", T.find_date(text).alias("date"))
 
 
@@ -250,16 +352,21 @@ def fn14_find_number(spark, d):
 
 @query
 def fn15_extract_value(spark, d):
-    kinds = F.element_at(F.array(F.lit("date"), F.lit("amount"), F.lit("number"), F.lit("word")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    text = F.concat(F.date_format("o_orderdate", "d.M.yyyy"), F.lit(" total "), F.format_number(F.round(F.col("o_totalprice")), 0))
+    """Texts with or without a date and numbers, by the kind that is looked for."""
+    n = F.col("o_orderkey")
+    kinds = F.element_at(F.array(F.lit("date"), F.lit("amount"), F.lit("number"), F.lit("word")), (n % 4 + 1).cast("int"))
+    date = F.when(n % 3 == 0, "no day").otherwise(F.date_format("o_orderdate", "d.M.yyyy"))
+    text = F.concat(date, F.lit(" item "), (n % 120).cast("string"), F.lit(" total "), F.when(n % 5 == 0, "open").otherwise(F.format_number(F.round(F.col("o_totalprice") / 1000), 0)))
     return t(spark, d, "orders").select("o_orderkey", kinds.alias("kind"), T.extract_value(kinds, text).alias("value"))
 
 
 @query
 def fn16_same_value(spark, d):
-    number = F.round(F.col("o_totalprice")).cast("long")
-    other = F.when(F.col("o_orderkey") % 3 == 0, number + 1).otherwise(number)
-    return t(spark, d, "orders").select("o_orderkey", T.same_value(F.format_number(number, 0), other.cast("string")).alias("same"))
+    """Numbers written with commas, points, blanks or other digits, and empty ones."""
+    n, number = F.col("o_orderkey"), F.round(F.col("o_totalprice")).cast("long")
+    other = F.when(n % 5 == 0, number + 1).when(n % 5 == 1, number * 10).otherwise(number).cast("string")
+    shown = F.when(n % 7 == 0, F.concat(F.lit(" "), other, F.lit("."))).when(n % 7 == 1, "").when(n % 7 == 2, F.lit(None)).otherwise(other)
+    return t(spark, d, "orders").select("o_orderkey", T.same_value(F.format_number(number, 0), shown).alias("same"))
 
 
 @query
@@ -276,14 +383,22 @@ def fn18_question_class(spark, d):
 
 @query
 def fn19_money_text(spark, d):
-    grouped = F.regexp_replace(F.format_number(F.round(F.col("o_totalprice")), 0), ",", ", ")
-    return t(spark, d, "orders").select("o_orderkey", T.tidy_amount(F.concat(F.lit("$ "), grouped)).alias("tidy"), T.only_digits(grouped).alias("digits"))
+    """Amounts with and without a currency sign, grouped by commas, blanks or both."""
+    n, number = F.col("o_orderkey"), F.format_number(F.round(F.col("o_totalprice")), 0)
+    grouped = F.when(n % 3 == 0, F.replace(number, F.lit(","), F.lit(", "))).when(n % 3 == 1, F.replace(number, F.lit(","), F.lit(" "))).otherwise(number)
+    text = F.concat(F.when(n % 4 == 0, "$ ").when(n % 4 == 1, "€").when(n % 4 == 2, "£  ").otherwise(""), grouped, F.when(n % 5 == 0, " 20").otherwise(""))
+    return t(spark, d, "orders").select("o_orderkey", T.tidy_amount(text).alias("tidy"), T.only_digits(text).alias("digits"))
 
 
 @query
 def fn20_amounts(spark, d):
-    """Rows only in DuckDB, whose expressions have no lookaround."""
-    return receipts(spark, d).select("doc_id", F.array_join(T.amounts("text"), "|").alias("amounts"))
+    """Rows with quantities, percentages, years, codes and amounts in several forms."""
+    n = F.col("o_orderkey")
+    text = F.concat(
+        (n % 30).cast("string"), F.lit(" x "), F.format_number(n, 0), F.lit(" A"), n.cast("string"), F.lit(" "), (n % 100).cast("string"), F.lit("% "),
+        F.when(n % 3 == 0, "Rp").when(n % 3 == 1, "$ ").otherwise(""), F.format_number(n * 1000 + 999, 0), F.when(n % 2 == 0, ".50").otherwise(""), F.lit(" total "), (n % 7 * 111).cast("string"),
+    )
+    return t(spark, d, "orders").select("o_orderkey", F.array_join(T.amounts(text), "|").alias("amounts"))
 
 
 @query
@@ -299,7 +414,9 @@ def fn22_legacy_bengali(spark, d):
 
 @query
 def fn23_is_legacy(spark, d):
-    mixed = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("cÖwZôv‡bi evwl©K weµq (cÖ‡hvR¨ †ÿ‡Î) "), F.substring("text", 1, 60))).otherwise(F.col("text"))
+    """Whole texts, half of them after a legacy phrase that is repeated up to 49 times, some with a Bengali letter."""
+    phrase = F.repeat(F.lit("cÖwZôv‡bi evwl©K weµq (cÖ‡hvR¨ †ÿ‡Î) "), (F.col("doc_id") % 50).cast("int"))
+    mixed = F.when(F.col("doc_id") % 2 == 0, F.concat(phrase, "text", F.when(F.col("doc_id") % 10 == 0, "ঋ").otherwise(""))).otherwise(F.col("text"))
     return t(spark, d, "documents").select("doc_id", T.is_legacy(mixed).alias("legacy"))
 
 
@@ -375,6 +492,11 @@ def rk7_best_coverage(spark, d):
     return ix.best_coverage(units(spark, d), QUESTION).select(F.round("coverage", 6).alias("coverage"))
 
 
+@query
+def rk8_unseen_terms(spark, d):
+    return ix.unseen_terms(_asked(spark, d), units(spark, d))
+
+
 @query
 def rk9_trigram_scores(spark, d):
     return ix.trigram_scores(units(spark, d), QUESTION).select("doc_id", "page", F.round("fuzzy", 6).alias("fuzzy"))
@@ -459,7 +581,9 @@ def ex3_lexicon_fields(spark, d):
 
 @query
 def ex4_question_has_label(spark, d):
-    return ex.question_has_label(ex.learn_labels(forms(spark, d)), "What is the market segment of this customer?")
+    """Whether each of some questions names a label that the forms have often enough."""
+    lexicon = ex.learn_labels(forms(spark, d))
+    return reduce(DataFrame.union, (ex.question_has_label(lexicon, q).select(F.lit(i).alias("n"), "has_label") for i, q in enumerate(LABEL_QUESTIONS)))
 
 
 @query
@@ -476,42 +600,53 @@ def ex7_field_answers(spark, d):
 
 @query
 def ex8_receipt_total(spark, d):
-    r = receipts(spark, d)
-    ask = {"total": "What is the total amount?", "subtotal": "What is the subtotal?", "tax": "What is the tax?"}
-    return r.select("doc_id", *(T.only_digits(readers.amount_answer(F.lit(q), "text")).alias(n) for n, q in ask.items()))
+    found = readers.receipt_amounts(readers.receipt_rows("text"))
+    return receipts(spark, d).select("doc_id", *(T.only_digits(found[kind]["first"]).alias(name) for kind, name in (("total", "total"), ("sub", "subtotal"), ("tax", "tax"))))
 
 
 @query
 def ex9_item_price(spark, d):
-    q = F.concat(F.lit("What is the price of item "), F.regexp_replace(F.element_at(F.split("text", "\n"), 1), r"^ITEM | [\d,]+$", ""), F.lit("?"))
-    return receipts(spark, d).select("doc_id", T.only_digits(readers.amount_answer(q, "text")).alias("price"))
+    """Items are asked for by all of their words, by half of them, or by others."""
+    k = F.col("doc_id") % 4
+    words = F.when(k == 0, F.concat(F.lit("item "), F.col("priority"))).when(k == 1, "delivery fee ship").when(k == 2, "delivery by ship").otherwise("gift card")
+    q = F.concat(F.lit("What is the price of "), words, F.lit("?"))
+    return receipts(spark, d).select("doc_id", T.only_digits(readers.amount_answer(q, F.col("text"))).alias("price"))
 
 
 def _table_boxes(spark, d):
-    """Order tables: a head row, and a Total row with boxes under two columns."""
-    o = receipts(spark, d)
-    cell = lambda row, text, x: F.struct(F.lit(row).alias("row"), text.alias("text"), F.lit(x).alias("x0"), F.lit(x + 0.08).alias("x1"))
+    """Order tables: a head row and a Total row, some too far below, called otherwise, or with boxes beside or twice under a column."""
+    k = F.col("doc_id")
+    shift, row = F.when(k % 5 == 0, 0.09).otherwise(0.01), F.when(k % 7 == 0, 5).otherwise((k % 3 + 1).cast("int"))
+
+    def cell(row, text, x):
+        return F.struct(row.cast("int").alias("row"), text.cast("string").alias("text"), x.cast("double").alias("x0"), (x + 0.08).cast("double").alias("x1"))
+
     cells = F.array(
-        cell(0, F.lit("Net worth"), 0.55), cell(0, F.lit("Gross worth"), 0.80), cell(1, F.lit("Total"), 0.30), cell(1, F.col("cents").cast("string"), 0.55),
-        cell(1, (F.col("cents") * 2).cast("string"), 0.81),
+        cell(F.lit(0), F.lit("Net worth"), F.lit(0.55)), cell(F.lit(0), F.when(k % 11 == 0, "Gross").otherwise("Gross worth"), F.lit(0.80)),
+        cell(row, F.when(k % 4 == 0, "Sum").otherwise("Total"), F.lit(0.30)), cell(row, F.col("cents"), F.lit(0.55)), cell(row, F.col("cents") * 2, F.lit(0.80) + shift),
     )
-    return o.select("doc_id", F.explode(cells).alias("c")).select("doc_id", "c.*")
+    cells = F.when(k % 6 == 0, F.concat(cells, F.array(cell(row, F.lit("7"), F.lit(0.82))))).otherwise(cells)
+    return receipts(spark, d).select("doc_id", F.explode(cells).alias("c")).select("doc_id", "c.*")
 
 
 @query
 def ex10_column_total(spark, d):
-    return geo.column_totals(_table_boxes(spark, d), ["doc_id"], "gross worth")
+    return geo.column_totals(_table_boxes(spark, d), ["doc_id"], readers.column_asked("What is the total gross worth?"))
 
 
 @query
 def ex11_label_value(spark, d):
-    return forms(spark, d).select("doc_id", readers.label_answer(F.lit("What is the market segment?"), "text").alias("value"))
+    """Also of forms without the label, or with two values of it."""
+    return forms(spark, d).select("doc_id", readers.label_answer(F.lit("What is the market segment?"), F.col("text")).alias("value"))
 
 
 @query
 def ex12_option_rows(spark, d):
-    line = F.concat(F.lit("Application Type: ☐ "), F.col("c_mktsegment"), F.lit(" ■ Grid"))
-    lines = t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(line, F.lit("other line"))).alias("line"))
+    """Rows of options: with box glyphs, twice, with different options, too far to the right, or too short."""
+    k = F.col("c_custkey")
+    line = F.concat(F.when(k % 3 == 0, "1.1 (a) ").otherwise(""), F.lit("Application Type: ☐ "), F.col("c_mktsegment"), F.when(k % 4 != 0, " ■ Grid").otherwise(""))
+    again = F.when(k % 5 == 0, line).when(k % 5 == 1, "application type - Other • Kind").otherwise("other line")
+    lines = t(spark, d, "customer").select(k.alias("doc_id"), F.explode(F.array(line, again)).alias("line"))
     return ex.option_rows(lines, ex.option_key("What are the application types?"), ["doc_id"])
 
 
@@ -538,8 +673,11 @@ def ex14_titles(spark, d):
 
 @query
 def ex15_answer_rows(spark, d):
+    """Answers that are a page's last line, or a question of that line's words."""
     p = src.pages_of_table(t(spark, d, "documents")).filter(F.size("lines") > 0)
-    return geo.answer_rows(p.withColumn("answer", F.substring(F.element_at("lines", -1), 1, 12)).withColumn("question", F.lit("")), ["doc_id", "page"])
+    last = F.element_at("lines", -1)
+    even = F.col("doc_id") % 2 == 0
+    return geo.answer_rows(p.withColumn("answer", F.when(even, last)).withColumn("question", F.when(~even, last)), ["doc_id", "page"])
 
 
 @query
@@ -551,11 +689,13 @@ def ex16_rows_of_boxes(spark, d):
 
 
 def _answers(spark, d):
-    """Chunk pairs as question, answer, evidence and page."""
-    text = t(spark, d, "documents").select("doc_id", "text")
-    return text.select(
-        "doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "How many ").otherwise("Who has "), F.substring("text", 1, 30), F.lit("?")).alias("question"), F.substring("text", 20, 80).alias("answer"),
-        F.substring("text", 40, 400).alias("evidence"), F.col("text").alias("page_text"), ((F.col("doc_id") % 10) / F.lit(10.0)).alias("coverage"),
+    """The last line of each text as answer, the first one as question, all lines but the last as evidence."""
+    lines = F.split("text", "\n")
+    first, last = F.element_at(lines, 1), F.element_at(lines, -1)
+    rest = F.array_join(F.slice(lines, F.lit(1), F.size(lines) - 1), "\n")
+    return t(spark, d, "documents").filter("text is not null").select(
+        "doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "How many ").otherwise("Who has "), first, F.lit("?")).alias("question"), last.alias("answer"),
+        rest.alias("evidence"), F.col("text").alias("page_text"), ((F.col("doc_id") % 10) / F.lit(10.0)).alias("coverage"),
     )
 
 
@@ -571,10 +711,13 @@ def vf2_grounded(spark, d):
 
 @query
 def vf3_invented(spark, d):
-    o = t(spark, d, "orders")
-    page = F.concat(F.lit("page "), F.col("o_custkey").cast("string"))
-    answer = F.concat(F.lit("it is "), (F.col("o_custkey") + F.col("o_orderkey") % 2).cast("string"), F.lit("."))
-    return o.select("o_orderkey", vf.invented(F.lit("How much?"), answer, page).alias("invented"))
+    """Answers with figures of the page, of the question, of neither, percentages and single digits."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    page = F.concat(F.lit("page "), c.cast("string"), F.lit(", "), F.format_number(k, 0), F.lit(" and 5%."))
+    question = F.concat(F.lit("How much is "), (k % 50).cast("string"), F.lit("?"))
+    figure = F.element_at(F.array(c, c + 1, k % 50, k % 10, k % 8), (k % 5 + 1).cast("int"))
+    answer = F.concat(F.lit("it is "), figure.cast("string"), F.when(k % 3 == 0, "%").otherwise(""), F.lit(" or "), F.format_number(k, 0), F.lit("."))
+    return t(spark, d, "orders").select("o_orderkey", vf.invented(question, answer, page).alias("invented"))
 
 
 @query
@@ -591,13 +734,15 @@ def vf5_ocr_warnings(spark, d):
 
 @query
 def vf6_refine(spark, d):
-    o = t(spark, d, "orders")
+    """Two readings of each of three kinds; the source to prefer in a dispute is the one of more trust for the kind."""
+    o, k = t(spark, d, "orders"), F.col("o_orderkey")
     number = F.col("o_custkey").cast("string")
-    rows = o.select(
-        "o_orderkey", F.lit("number").alias("kind"), F.lit(0.5).alias("support"), F.when(F.col("o_orderkey") % 4 != 0, number).alias("ocr"),
-        F.when(F.col("o_orderkey") % 3 == 0, F.concat(number, F.lit("0"))).when(F.col("o_orderkey") % 3 == 1, number).alias("vision"), F.lit("ocr").alias("prefer"),
-    )
-    return vf.refine(rows).select("o_orderkey", "state", "used", "reading", "support")
+    kind = F.element_at(F.array(F.lit("number"), F.lit("date"), F.lit("amount_hw")), (k % 3 + 1).cast("int"))
+    ocr = F.when(k % 4 == 1, F.concat(F.lit(" "), number)).when(k % 4 != 0, number)
+    vision = F.when(k % 5 == 0, F.concat(number, F.lit("0"))).when(k % 5 < 3, number).when(k % 5 == 3, "")
+    rows = o.select("o_orderkey", kind.alias("kind"), ((k % 11) / F.lit(10.0)).alias("support"), ocr.alias("ocr"), vision.alias("vision"))
+    seen = o.select(kind.alias("kind"), F.when(k % 2 == 0, "ocr").otherwise("vision").alias("source"), (F.col("o_custkey") % 3 == 0).alias("right"))
+    return vf.refine(rows.join(F.broadcast(lg.trust(seen).select("kind", "prefer")), "kind")).select("o_orderkey", "state", "used", "reading", F.round("support", 6).alias("support"))
 
 
 @query
@@ -620,9 +765,9 @@ def ca1_cache_lookup(spark, d):
 
 @query
 def ca2_evidence_there(spark, d):
-    a = _answers(spark, d)
-    changed = F.when(F.col("doc_id") % 2 == 0, F.concat("evidence", F.lit("x"))).otherwise(F.col("evidence"))
-    return a.select("doc_id", cv.evidence_there(F.substring(changed, 1, 150), F.col("page_text")).alias("there"))
+    """Evidence that is unchanged, changed within its first 200 characters, or beyond them."""
+    changed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x"), "evidence")).when(F.col("doc_id") % 3 == 1, F.concat("evidence", F.lit("x"))).otherwise(F.col("evidence"))
+    return _answers(spark, d).select("doc_id", cv.evidence_there(changed, F.col("page_text")).alias("there"))
 
 
 @query
@@ -643,9 +788,13 @@ def ca4_recall(spark, d):
 
 @query
 def ca5_remember(spark, d):
-    m = _memory(spark, d)
-    new = m.filter("ts < 10").withColumn("a", F.lit("new")).withColumn("ts", F.col("ts") + 1000)
-    return cv.remember(m, new, 30).select("q", "a", "ts")
+    """Chat turns as remembered questions; those of assistants come anew."""
+    c = t(spark, d, "conversations").filter("text is not null")
+    ts = (F.col("conv_id") * 1000 + F.col("turn")).cast("double")
+    item = lambda rows, a, ts: rows.select(F.col("text").alias("q"), a.alias("a"), F.array(F.lit("d1")).alias("docs"), F.lit(True).alias("verified"), ts.alias("ts"))
+    old = item(c, F.concat(F.lit("a"), F.col("conv_id").cast("string")), ts)
+    new = item(c.filter("role = 'assistant'"), F.lit("new"), ts + 0.5)
+    return cv.remember(old, new, cv.MEMORY).select("q", "a", "ts")
 
 
 # ---- budgets, learning, evaluation ---------------------------------------------------------------------------------
@@ -683,6 +832,25 @@ def bg5_extensions(spark, d):
     return lg.extensions(_whole_events(spark, d), ["user_id"], ["ts", "event_id"], "n", 150.0)
 
 
+@query
+def bg6_change_limits(spark, d):
+    """Changes of one or two limits, some of unknown resources, negative, or not whole."""
+    k = F.col("event_id")
+    name = F.element_at(F.array(F.lit("llm_tokens"), F.lit("seconds"), F.lit("pages")), (k % 3 + 1).cast("int"))
+    value = F.when(k % 5 == 0, -1.0).when(k % 5 == 1, F.floor("value") + 0.5).otherwise(F.floor("value").cast("double"))
+    asked = F.when(k % 7 == 0, F.create_map().cast("map<string,double>")).otherwise(F.create_map(name, value, F.lit("tool_calls"), (k % 9).cast("double")))
+    held = lg.limits(t(spark, d, "events").select("event_id", F.lit("balanced").alias("preset"), asked.alias("asked")))
+    return lg.change_limits(held, "asked").select("event_id", "changed", *(f"limit_{r}" for r in ("llm_tokens", "seconds", "tool_calls")))
+
+
+@query
+def md5_chat_within(spark, d):
+    """Each conversation as one prompt to the stub, refused where its estimate does not fit the tokens left; real use is charged."""
+    c = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    prompts = c.select("conv_id", F.transform("m", lambda m: F.coalesce(m["text"], F.lit(""))).alias("texts"), (F.col("conv_id") % 600).cast("double").alias("tokens_left"))
+    return models.chat_rows(prompts, "texts", "tokens_left").select("conv_id", "estimate", "refused", "used", F.round("left_after", 3).alias("left_after"))
+
+
 def _features(spark, d):
     e = t(spark, d, "events")
     return e.withColumn("x", F.array(F.lit(1.0), *(((F.col("event_id") * k) % 11 / F.lit(10.0)) for k in range(1, 9))))
@@ -701,9 +869,12 @@ def lr2_learn_router(spark, d):
 
 @query
 def lr3_features(spark, d):
-    c = t(spark, d, "conversations")
-    flag = lambda p: F.col("text").rlike("(?i)" + p).cast("double")
-    return c.select("conv_id", "turn", flag(W.LOOK_Q).alias("visual_kw"), flag(W.EXTRACT_Q).alias("extract_kw"), F.least(F.length("text") / 120, F.lit(1.0)).alias("q_len"))
+    """All nine features of questions on the scans, with what each has left of its budget."""
+    q = _asked(spark, d)
+    left = {"vlm_left": F.col("query_id") % 3, "tokens_left": F.col("query_id") * 100 % 5000, "tokens_limit": F.lit(4000)}
+    q = q.select("query_id", F.when(F.col("query_id") % 4 == 0, F.concat(F.lit("List all fields of the photo: market segment, "), "q")).otherwise(F.col("q")).alias("q"), *(c.cast("double").alias(n) for n, c in left.items()))
+    out = lg.router_features(q, _scans(spark, d), ex.learn_labels(forms(spark, d)))
+    return out.select("query_id", *(F.round(F.get("x", F.lit(i)), 6).alias(n) for i, n in enumerate(lg.FEATURES)))
 
 
 def _results(spark, d, k):
@@ -730,18 +901,27 @@ def lr7_token_allowance(spark, d):
 
 @query
 def lr8_feedback(spark, d):
-    """Bad feedback evicts cached answers, corrections replace remembered ones."""
-    m = _memory(spark, d)
-    bad = m.filter("ts % 4 = 0").select("q", "docs")
-    return cv.evict(m, bad, ["q", "docs"]).select("q", "a")
+    """What good and bad verdicts, with and without corrections, do to the cache, the memory, the router and trust."""
+    k, number = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    events = t(spark, d, "orders").select(
+        k.alias("request"), F.when(k % 3 == 0, "good").otherwise("bad").alias("verdict"), F.when(k % 3 == 1, number).alias("correction"), F.concat(F.lit("a"), number).alias("answer"),
+        F.element_at(F.array(F.lit("text"), F.lit("ocr"), F.lit("other")), (k % 3 + 1).cast("int")).alias("action"), F.when(k % 2 == 0, "number").alias("kind"),
+        F.when(k % 4 == 0, "vision").otherwise("ocr").alias("used"), number.alias("ocr"), F.when(k % 5 != 0, F.concat(number, F.when(k % 5 == 1, "0").otherwise("."))).alias("vision"),
+    )
+    return lg.feedback(events)
+
+
+def _last_line():
+    return F.element_at(F.split("text", "\n"), -1)
 
 
 @query
 def ev1_correct(spark, d):
-    gold = F.when(F.col("doc_id") % 5 != 0, F.substring("text", 5, 10))
-    answer = F.when(F.col("doc_id") % 2 == 0, F.upper("text")).otherwise(F.lit("No information."))
+    """Gold is the last line, that line reversed, or none; answers are whole texts in capitals, or that nothing is known."""
+    gold = F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 0, F.reverse(_last_line())).otherwise(_last_line())
+    answer = F.when(F.col("doc_id") % 4 != 0, F.upper("text")).otherwise(F.lit("No information."))
     right = F.when(gold.isNull(), answer.rlike("(?i)" + W.NOT_FOUND)).otherwise(F.contains(T.normal(answer), T.normal(gold)))
-    return t(spark, d, "documents").select("doc_id", right.alias("right"))
+    return t(spark, d, "documents").filter("text is not null").select("doc_id", right.alias("right"))
 
 
 @query
@@ -763,17 +943,21 @@ def ev4_accuracy(spark, d):
 
 @query
 def ev5_digit_gold(spark, d):
-    r = receipts(spark, d)
+    """The subtotal as gold: not on all receipts, and never but for a digit on some."""
+    gold = (F.col("cents") + F.when(F.col("doc_id") % 10 == 3, 1).otherwise(0)).cast("string")
     numbers = F.transform(F.regexp_extract_all("text", F.lit(r"\d[\d.,/\-]*"), F.lit(0)), lambda n: T.only_digits(n))
-    return r.select("doc_id", F.array_contains(numbers, F.col("cents").cast("string")).alias("right"))
+    return receipts(spark, d).select("doc_id", F.array_contains(numbers, gold).alias("right"))
 
 
 @query
 def ev6_word_outcomes(spark, d):
+    """Words at the boxes of all lines; every second line's box stands beside its word."""
     b = _line_boxes(spark, d)
     mid = F.col("y0") + 0.001
     words = b.select("doc_id", (F.col("part") * 10 + F.col("line")).alias("word_id"), F.when(F.col("line") % 3 == 0, "Heading").otherwise(F.regexp_extract("text", r"(\d+)", 1)).alias("word"), F.lit(0.2).alias("x0"), F.lit(0.3).alias("x1"), mid.alias("y0"), (mid + 0.002).alias("y1"))
-    return geo.words_in_boxes(words, b.filter("line % 2 = 1"), ["doc_id"]).groupBy("kind", "outcome").agg(F.count("*").alias("n"))
+    beside = F.when(F.col("line") % 2 == 0, 0.4).otherwise(0.0)
+    boxes = b.withColumn("x0", F.col("x0") + beside).withColumn("x1", F.col("x1") + beside)
+    return geo.words_in_boxes(words, boxes, ["doc_id"]).groupBy("kind", "outcome").agg(F.count("*").alias("n"))
 
 
 @query
@@ -807,7 +991,7 @@ def md9_embed_chunks(spark, d):
 
 @query
 def md8_answer(spark, d):
-    out = models.answer(units(spark, d), QUESTION, models.Budget.of(), [readers.read_amount])
+    out = models.answer(units(spark, d), QUESTION, models.Budget.of(), [readers.amount_reading])
     return spark.createDataFrame([(QUESTION, out["answer"], float(out["support"]), out["strategy"])], "question string, answer string, support double, strategy string")
 
 

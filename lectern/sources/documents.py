@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -89,40 +90,78 @@ def overlay_cache(pages: DataFrame, cache: DataFrame) -> DataFrame:
     return joined.withColumn("source", F.when(F.col("_cached").isNotNull(), "ocr").otherwise(F.col("source"))).withColumn("lines", F.coalesce("_cached", "lines")).drop("_cached")
 
 
-def read_files(spark: SparkSession, path: str, decode_pdf: Callable[[bytes], list[list[str]]] | None = None) -> DataFrame:
-    """Pages of files: text of any kind, DOCX, images (one unread page) and, with a decoder, PDF.
+#: A page of fewer characters than this has no text layer of use.
+LEAST_CHARS = 40
+
+
+def pages_of_contents(files: DataFrame, decode_pdf: Callable[[bytes], list[list[str]]] | None = None) -> DataFrame:
+    """Pages of files (path, content): text of any kind, DOCX, images (one unread page) and, with a decoder, PDF.
 
-    Contents are read by the executors. decode_pdf gives the lines of each page; without it a PDF is one unread page.
+    Contents are read by the executors. decode_pdf gives the lines of each page; their white space is collapsed, and a
+    page with less than LEAST_CHARS characters is unread. Without a decoder a PDF is one unread page.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
         for pdf in batches:
             out = []
             for where, content in zip(pdf["path"], pdf["content"]):
-                import hashlib
-
                 name = where.rsplit("/", 1)[-1]
                 ext = name.rsplit(".", 1)[-1].lower() if "." in name else ""
-                kind, source = ("image", "none") if ext in IMAGES else (ext, "text") if ext in ("pdf", "docx") else ("text", "text")
+                kind = "image" if ext in IMAGES else ext if ext in ("pdf", "docx") else "text"
                 if kind == "image" or kind == "pdf" and decode_pdf is None:
-                    pages, source = [[]], "none"
+                    pages = [("none", [])]
                 elif kind == "pdf":
-                    pages = decode_pdf(content)
+                    read = [[x for x in (" ".join(line.split()) for line in page) if x] for page in decode_pdf(content)]
+                    pages = [("text" if sum(map(len, page)) >= LEAST_CHARS else "none", page) for page in read]
                 else:
                     lines = docx_lines(content) if kind == "docx" else content.decode("utf-8", "ignore").splitlines()
                     lines = [x.strip() for x in lines if x.strip()]
-                    pages = [lines[i : i + W.LINES_PER_PAGE] for i in range(0, len(lines), W.LINES_PER_PAGE)] or [[]]
+                    pages = [("text", lines[i : i + W.LINES_PER_PAGE]) for i in range(0, len(lines), W.LINES_PER_PAGE)] or [("text", [])]
                 key = hashlib.sha1(content).hexdigest()[:16]
-                out += [(key, name, kind, i + 1, source, p) for i, p in enumerate(pages)]
+                out += [(key, name, kind, i + 1, source, lines) for i, (source, lines) in enumerate(pages)]
             yield pd.DataFrame(out, columns=["doc_id", "name", "kind", "page", "source", "lines"])
 
+    return files.select("path", "content").mapInPandas(run, PAGES)
+
+
+def read_files(spark: SparkSession, path: str, decode_pdf: Callable[[bytes], list[list[str]]] | None = None) -> DataFrame:
+    """Pages of the files of a folder (see pages_of_contents)."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     # The reader passes over files without bytes; each is a document of one empty page.
     short = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
     listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string")
     read = files.select(short(F.col("path")).alias("_read"))
     empty = listed.join(read, short(F.col("path")) == F.col("_read"), "left_anti").select("path", F.lit(bytearray()).alias("content"))
-    return files.unionByName(empty).mapInPandas(run, PAGES)
+    return pages_of_contents(files.unionByName(empty), decode_pdf)
+
+
+def gateway_texts(files: DataFrame, decode_pdf: Callable[[bytes], list[list[str]]]) -> DataFrame:
+    """(path, text) of files (path, content) for retrieval: the decoded pages of a PDF, else UTF-8; nothing is recognised."""
+
+    @F.pandas_udf("string")
+    def decoded(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: None if c is None else "\n".join("\n".join(page) for page in decode_pdf(c)))
+
+    plain = F.try_validate_utf8(F.col("content").cast("string"))
+    text = F.when(F.lower("path").endswith(".pdf"), decoded(F.when(F.lower("path").endswith(".pdf"), F.col("content")))).otherwise(F.coalesce(plain, F.make_valid_utf8(F.col("content").cast("string"))))
+    return files.select("path", text.alias("text"))
+
+
+# What an upload does with pages that must be recognised, and how many at most.
+MODES, MOST_PAGES = ("background", "lazy", "all"), 60
+
+
+def upload_plan(counts: DataFrame, mode: Column, page_limit: Column, most: int = MOST_PAGES) -> DataFrame:
+    """counts (unread_pages) with read_now, in_background and still_unread by upload mode.
+
+    all reads up to `most` pages at once, background as many after the upload, within the session's limit of pages; lazy
+    leaves them until a question needs them. Other modes: null.
+    """
+    known = mode.isin(*MODES)
+    now = F.when(mode == "all", F.least("unread_pages", F.lit(most))).when(known, F.lit(0)).cast("long")
+    left = F.col("unread_pages") - now
+    later = F.when(mode == "background", F.least(F.lit(most), left, page_limit)).when(known, F.lit(0)).cast("long")
+    return counts.withColumn("read_now", now).withColumn("in_background", later).withColumn("still_unread", left)
 
 
 def docx_lines(content: bytes) -> list[str]:

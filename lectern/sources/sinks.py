@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_cell
@@ -51,3 +55,49 @@ def save_policy(path: str, policy: dict) -> bool:
         return True
     except OSError:
         return False
+
+
+def _path(folder: str, name: str = "live.json") -> str:
+    return os.path.join(folder, name)
+
+
+def load_policy(folder: str) -> dict | None:
+    """The live policy; None if there is none."""
+    try:
+        with open(_path(folder)) as f:
+            return json.load(f)
+    except FileNotFoundError:
+        return None
+
+
+def _backups(folder: str) -> dict[int, str]:
+    """Backup files by version."""
+    names = os.listdir(folder) if os.path.isdir(folder) else []
+    return {int(m[1]): _path(folder, m[0]) for m in (re.fullmatch(r"live\.v(\d+)\.bak\.json", n) for n in names) if m}
+
+
+def promote_policy(folder: str, policy: dict) -> bool:
+    """Makes a policy the live one, of the next version; the old one stays as a numbered backup."""
+    old = load_policy(folder)
+    version = old.get("version", 0) if old else 0
+    if old is not None:
+        shutil.copyfile(_path(folder), _path(folder, f"live.v{version}.bak.json"))
+    return save_policy(_path(folder), {**policy, "version": version + 1})
+
+
+def rollback_policy(folder: str) -> bool:
+    """Puts the backup of the highest version back, which is then used up; False if there is none."""
+    held = _backups(folder)
+    if not held:
+        return False
+    os.replace(held[max(held)], _path(folder))
+    return True
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder under the checkpoint folder, which all executors see; a local session without one uses its own."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    yield f"{root.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex[:12]}"

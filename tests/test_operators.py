@@ -152,7 +152,7 @@ def test_answer_plan(spark):
     from lectern.functions import readers
 
     units = ix.add_tokens(spark.createDataFrame([(1, 1, "Burger 12,000\n\nTOTAL 31,000"), (2, 1, "The branch is in Gulshan")], "doc_id long, page int, text string"))
-    got = models.answer(units, "What is the total amount?", models.Budget.of(), [readers.read_amount])
+    got = models.answer(units, "What is the total amount?", models.Budget.of(), [readers.amount_reading])
     assert (got["answer"], got["strategy"], got["doc_id"]) == ("31,000", "rows", 1)
     assert models.answer(units, "zebra giraffe okapi", models.Budget.of(), [])["strategy"] == "abstain"
 
