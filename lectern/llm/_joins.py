@@ -48,3 +48,19 @@ def salted_join(rows: DataFrame, other: DataFrame, key: str, common: DataFrame |
     if tasks:
         rows, other = rows.repartition(tasks, key, *salt), other.repartition(tasks, key, *salt)
     return rows.join(other, [key, *salt], how).drop(*salt)
+
+
+def sieved(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, n: int) -> DataFrame:
+    """The rows whose key may be one of wanted's n keys: all that are, and few others. No row is moved for that.
+
+    A bitmap of hashes, eight bits for each wanted key, but 2**27 at most: 2**21 words of it are broadcast then. With more
+    keys it lets more rows pass.
+    """
+    bits = min(max((8 * n).bit_length(), 16), 27)
+    place = lambda k: F.xxhash64(k).bitwiseAND(F.lit((1 << bits) - 1))
+    word, bit = free_name(rows, "_word"), free_name(rows, "_bits")
+    at = wanted.select(place(wanted_key).alias("p")).select(F.shiftright("p", 6).alias(word), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    words = at.groupBy(word).agg(F.bit_or("b").alias(bit))
+    held = rows.withColumn(word, F.shiftright(place(key), 6)).join(F.broadcast(words), word)
+    mask = F.call_function("shiftright", F.col(bit), place(key).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    return held.filter(mask == 1).drop(word, bit)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._batches import groups, pieces, texts_of
 from ._components import components
 from ._io import free_name, release, shuffle_partitions, table
-from ._joins import common_keys, count_keys, salted_join
+from ._joins import common_keys, count_keys, salted_join, sieved
 from ._unions import Forest
 from ._words import mix, shingle_sets
 
@@ -106,10 +106,9 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
     )
     classes = table(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
-    n_classes = classes.count()
     every = classes.select("uid", F.explode("bands").alias("key"))
     shared = table(every.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shared-bands")
-    crowded = common_keys(shared, "key", "m", BANDS * n_classes)  # bands of large groups, dealt over many tasks
+    crowded = common_keys(shared, "key", "m", shared.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])  # bands of large groups, dealt over many tasks
     members = table(salted_join(every, shared, "key", crowded), "buckets")
     weight = members.groupBy("uid").agg(F.sum("m").alias("weight"))
     hubs = members.join(weight, "uid").groupBy("key").agg(F.max_by("uid", F.struct("weight", "uid")).alias("hub"))
@@ -128,8 +127,9 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hubbed = table(sides.select("uid", "hub", "n1", "n2", "sig1", "sig2").mapInArrow(likely, "uid long, hub long"), "pairs")
     release(pairs, shared)
     need = hubbed.select("uid").union(hubbed.select(F.col("hub").alias("uid"))).union(members.filter("m > 2").select("uid")).distinct()
-    need = classes.join(need, "uid").select("uid", "least_id", "digest")
-    wanted = texts.join(need, F.col("id").eqNullSafe(F.col("least_id"))).select("uid", "digest", "text")
+    need = table(classes.join(need, "uid").select("uid", "least_id", "digest"), "needed")
+    near = sieved(texts, F.col("id"), need, F.col("least_id"), need.count())  # most texts stay where they are
+    wanted = near.join(need, F.col("id").eqNullSafe(F.col("least_id"))).select("uid", "digest", "text")
 
     def take(batches):
         for batch in pieces(batches, "text"):
@@ -140,6 +140,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield out.filter(pa.array(right))
 
     sets = table(wanted.mapInArrow(take, "uid long, shingles binary").dropDuplicates(["uid"]), "shingle-sets")
+    release(need)
     shuffle = shuffle_partitions(spark)
     # A hub's set is sent once to each task that has partners of it, and stands before theirs.
     busy = count_keys(hubbed, "hub")
@@ -176,7 +177,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = table(named.join(classes.select("uid", "n"), "uid").select("key", "uid", "label", "n"), "labelled-buckets")
     split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.sum("n").alias("total"), F.count("*").alias("m")).filter("x <> y")
     cut = F.floor(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("m") / BLOCK_MEMBERS)) + 1
-    open_ = salted_join(named, split.select("key", cut.cast("int").alias("parts")), "key", crowded)
+    open_ = salted_join(named, split.select("key", cut.cast("int").alias("parts")), "key", count_keys(named, "key"))
     open_ = open_.withColumn("part", F.pmod(F.xxhash64("uid"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     tiles = open_.select("key", "uid", "label", "part", other).select(
