@@ -10,15 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import pieces, texts_of
+from ._batches import PIECE_BYTES, pieces, texts_of
+from ._io import release, table
 from ._words import Words
 
 #: Words of a seed, and scores of the alignment.
 GRAM, MATCH, OTHER, GAP = 3, 2, -1, -1
 #: Share of an item's own score from which a text counts as holding it; shorter items must be there as a whole.
 LEAST, WHOLE_BELOW = 0.5, 8
-#: Words of items that are looked for in one pass over the texts; more items take more passes.
+#: Words of items that a task and the driver hold at once; more items are held block after block.
 BLOCK_WORDS = 500_000
+#: Bytes of text that meet a block before the next one is taken.
+HELD_BYTES = 8 << 20
 #: (place, item) pairs of seeds that are looked at together; a text with more is looked at alone.
 PAIRS = 1 << 20
 
@@ -70,8 +73,7 @@ class Items:
         """(word of the batch, hash) of each place where a seed stands inside one text."""
         at, found = [], []
         owner = w.owners()
-        for k in range(1, GRAM + 1):
-            h = w.windows(k) + np.uint64(k)
+        for k, h in _grams(w).items():
             i = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
             i = i[owner[i] == owner[i + k - 1]]
             j = np.minimum(np.searchsorted(self.hashes, h[i]), max(len(self.hashes) - 1, 0))
@@ -80,9 +82,8 @@ class Items:
             found.append(h[i])
         return np.concatenate(at), np.concatenate(found)
 
-    def hits(self, texts: list) -> list[tuple[int, int, float, int, int]]:
+    def hits(self, w: Words) -> list[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, word after the last) of the best alignment of each item that a text holds."""
-        w = Words(texts, lower=True)
         at, h = self.seeds(w)
         if not len(at):
             return []
@@ -122,14 +123,41 @@ class Items:
                 best[t, i] = (score / (MATCH * size), begin + y - back, begin + y)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about BLOCK_WORDS words, dealt by hash; the driver and each task hold one block at a time."""
+def _grams(w: Words) -> dict[int, np.ndarray]:
+    """Hashes of one to GRAM words from each word on, computed once for all blocks."""
+    if not hasattr(w, "grams"):
+        w.grams = {k: w.windows(k) + np.uint64(k) for k in range(1, GRAM + 1)}
+    return w.grams
+
+
+def _shipped(benchmark: DataFrame, id_col: str, text_col: str) -> list:
+    """The items in blocks of about BLOCK_WORDS words, dealt by hash, each a broadcast; the driver holds one at a time."""
+    spark = benchmark.sparkSession
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("t is not null").distinct()
-    n = (rows.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0) // BLOCK_WORDS + 1
+    rows = table(rows.withColumn("words", F.size(F.split("t", r"\s+"))), "benchmark-items")
+    n, out = (rows.agg(F.sum("words")).first()[0] or 0) // BLOCK_WORDS + 1, []
     for b in range(n):
-        block = rows.filter(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == b).collect()
+        block = [(r.id, r.t) for r in rows.filter(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == b).select("id", "t").collect()]
         if block:
-            yield sorted(((r.id, r.t) for r in block), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            out.append(spark.sparkContext.broadcast(Items.of(sorted(block, key=lambda r: (r[0] is None, r[0] or 0, r[1])))))
+    release(rows)
+    return out
+
+
+def _judged(batches, column: str, blocks: list) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int | None, float, int, int]]]]:
+    """Pieces of the batches, each once, with (text, item id, score, first word, end word) over all blocks of items.
+
+    A task holds one block and one piece at a time.
+    """
+    for batch in pieces(batches, column, PIECE_BYTES if len(blocks) == 1 else HELD_BYTES):
+        w, found = Words(texts_of(batch, column), lower=True), []
+        for shared in blocks:
+            items = shared.value
+            found += [(t, items.ids[i], *rest) for t, i, *rest in items.hits(w)]
+            if len(blocks) > 1:
+                del items
+                shared.__dict__.pop("_value", None)  # the worker's copy; the executor keeps the block on its disk
+        yield batch, found
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -140,7 +168,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     aligned with the words around by Smith-Waterman; the score is a share of the item's score with itself. From LEAST on
     the text holds the item; items under WHOLE_BELOW words must be there as a whole. Where they are in the text is given
     by words, the end exclusive.
-    The items are shipped in blocks of bounded size, one pass over the texts for each.
+    Texts are read once; the items are shipped in blocks of bounded size, and each piece of text meets them in turn. An
+    item that fits several places of a text gives its best one, the first of equal ones; each item that a text holds is a
+    row, also where items overlap or are equal.
 
     Null or empty texts and items: no row. Null ids stay null; repeated rows: rows each. Empty tables: no rows. Other
     columns are left out.
@@ -148,35 +178,34 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"id {kind}, item_id long, score double, first_word long, end_word long"
-    out = None
-    for block in _blocks(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Items.of(block))
+    blocks = _shipped(benchmark, item_col, item_text)
+    if not blocks:
+        return docs.sparkSession.createDataFrame([], shape).withColumnRenamed("id", id_col)
 
-        def run(batches, shared=shared):
-            for batch in pieces(batches, "text"):
-                hits = shared.value.hits(texts_of(batch, "text"))
-                own = pa.array([t for t, *_ in hits], pa.int64())
-                cols = [pa.array([h[k] for h in hits], pa.float64() if k == 2 else pa.int64()) for k in (2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(own), pa.array([shared.value.ids[h[1]] for h in hits], pa.int64()), *cols], ["id", "item_id", "score", "first_word", "end_word"])
+    def run(batches):
+        for batch, hits in _judged(batches, "text", blocks):
+            own = pa.array([t for t, *_ in hits], pa.int64())
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            cols = [pa.array([h[k + 1] for h in hits], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(own), *cols], ["id", "item_id", "score", "first_word", "end_word"])
 
-        part = rows.mapInArrow(run, shape)
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], shape)
-    return out.withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, shape).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that hold no item of the benchmark."""
-    schema = docs.schema
-    for block in _blocks(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Items.of(block))
-
-        def run(batches, shared=shared):
-            for batch in pieces(batches, text_col):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[h[0] for h in shared.value.hits(texts_of(batch, text_col))]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    """The rows of docs, all columns, that hold no item of the benchmark, by the rules of benchmark_hits; one pass.
+
+    Null and empty texts stay. Null ids and repeated rows: each row is judged by its text. Empty docs: no rows; an empty
+    benchmark: all rows. Columns of any name stay as they are.
+    """
+    blocks, schema = _shipped(benchmark, item_col, item_text), docs.schema
+    if not blocks:
+        return docs
+
+    def run(batches):
+        for batch, hits in _judged(batches, text_col, blocks):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[h[0] for h in hits]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, schema)

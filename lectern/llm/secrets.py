@@ -141,8 +141,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with each span of a secret replaced by [kind], and n_chars set anew where the text changed.
 
-    Overlapping spans become one mark, of the kind that starts first. Null text stays null. Columns, their order and
-    the number of rows stay; chars_col may be missing.
+    Overlapping spans become one mark, of the kind that starts first. Null text stays null, empty text empty. Null ids
+    and repeated rows: each row is judged by its text. Empty table: no rows. Columns of any name, their order and the
+    number of rows stay; chars_col may be missing.
     """
     schema = docs.schema
     at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1

@@ -10,19 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import pieces, texts_of
+from ._io import release, shuffle_partitions, table
 
-#: Labelled rows that the classifier is fitted on at most, lowest hashes of their ids first.
+#: Labelled rows that the classifier is fitted on at most, those of the lowest hashes.
 MAX_ROWS = 20_000
-#: N-grams are runs of LENGTHS bytes of the lower-cased text, white space as one kind of blank; hashed to 2**BITS places.
+#: N-grams are runs of LENGTHS characters of the lower-cased text, white space as one kind of blank; hashed to 2**BITS
+#: places.
 LENGTHS, BITS = (3, 4, 5, 6), 20
-#: N-grams that are kept: those whose log-count ratio is at least LEAST_Z standard errors from 0, the surest ones first.
-MAX_FEATURES, LEAST_Z, LEAST_DOCS = 4096, 3.5, 4
+#: N-grams that are kept: all whose log-count ratio is at least LEAST_Z standard errors from 0, in LEAST_DOCS texts or more.
+LEAST_Z, LEAST_DOCS = 3.5, 4
 THRESHOLD = 0.7
 #: Bytes of text at once: where all n-grams are held, and where only the kept ones are.
 ALL_BYTES, KEPT_BYTES = 1 << 18, 1 << 19
+#: Entries of the fitted rows that a step of the regression looks at together.
+ENTRIES = 1 << 21
 
 _CHUNKS = 64
-_SPACES = bytes(32 if i in (9, 10, 11, 12, 13, 32) else i for i in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -34,10 +37,10 @@ def held_out(doc_id: Column) -> Column:
 
 def ngram_hits(texts: list, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, place) pairs of a batch, sorted; with keep, only places where it is true."""
-    raw = [b" " + (t or "").lower().encode(errors="replace").translate(_SPACES) + b" " for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    ends = np.cumsum(sizes)
+    raw = [f" {(t or '').lower()} ".encode("utf-32-le", errors="replace") for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint32)
+    data = np.where((data >= 9) & (data <= 13), np.uint32(32), data)
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)
     h, own, place = np.zeros(len(data), np.uint64), [], []
     for j in range(max(LENGTHS)):
         n = len(data) - j
@@ -64,24 +67,55 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def lowest(rows: DataFrame, h: str, most: int) -> DataFrame:
+    """The rows whose hashes h (60 bits) are lowest, at most `most` of them, without a sort.
+
+    Rows are counted by hash, 15 bits at a time; each time only the bucket in which `most` is passed is split.
+    """
+    if rows.count() <= most:
+        return rows
+    cut = 0
+    for shift in (45, 30, 15, 0):
+        inside = rows.filter((F.col(h) >= cut) & (F.col(h) < cut + (1 << (shift + 15))))
+        counts = {r.b: r.n for r in inside.groupBy(F.shiftright(F.col(h) - cut, shift).alias("b")).agg(F.count("*").alias("n")).collect()}
+        for b in sorted(counts):  # 2**15 numbers at most
+            if counts[b] > most:
+                cut += b << shift
+                break
+            most -= counts[b]
+        else:
+            cut += 1 << (shift + 15)
+            break
+    return rows.filter(F.col(h) < cut)
+
+
+def _hash(*columns: str) -> Column:
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 60) - 1))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """A model from labelled rows that aren't held out, max_rows at most.
 
     Counts of documents by n-gram and label are summed over the executors; the driver gets those counts (2**BITS
-    places) and, for the kept n-grams, the places of each fitted row. A document with several labels counts as toxic if
-    one of them says so; null labels and ids are left out. With one label only, every score is that label's share.
+    places) and ships the places that are kept. The regression over the fitted rows, which max_rows bounds, runs in one
+    task; the driver gets the weights. A document with several labels counts as toxic if one of them says so; null
+    labels and ids are left out; repeated rows count once. With one label only, every score is that label's share; with
+    none, or empty tables, every score is 0.5.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
-    known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("y", "text")
+    known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).withColumn("h", _hash("id"))
+    known = lowest(known, "h", max_rows).select("id", "y")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
+    rows = rows.dropDuplicates(["id", "text"]).select("y", _hash("id", "text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    held = table(rows.repartition(shuffle_partitions(spark), "h"), "labelled-texts")
+    rows = lowest(held, "h", max_rows)
 
     def count(batches):
         total = np.zeros((2, 1 << BITS), np.int32)
         n = [0, 0]
         for batch in pieces(batches, "text", ALL_BYTES):
-            y = np.array(batch.column("y").to_pylist(), np.int64)
+            y = np.array(batch.column("y").to_pylist(), np.int64) > 0
             own, place = ngram_hits(texts_of(batch, "text"))
             for k in (0, 1):
                 total[k] += np.bincount(place[y[own] == k], minlength=1 << BITS).astype(np.int32)
@@ -111,47 +145,60 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(np.zeros(1 << BITS, np.float32), prior)
     ratio = np.log((df[1] + 1) / (n1 + 2)) - np.log((df[0] + 1) / (n0 + 2))
     z = np.abs(ratio) / np.sqrt(1 / (df[1] + 1) + 1 / (df[0] + 1))
-    z[(z < LEAST_Z) | (df.sum(0) < LEAST_DOCS)] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[:MAX_FEATURES])
-    chosen = chosen[z[chosen] > 0]
+    chosen = np.flatnonzero((z >= LEAST_Z) & (df.sum(0) >= LEAST_DOCS))
     keep = np.zeros(1 << BITS, bool)
     keep[chosen] = True
-    shared = spark.sparkContext.broadcast(keep)
+    shared = spark.sparkContext.broadcast((keep, chosen, ratio[chosen]))
 
     def places(batches):
         for batch in pieces(batches, "text", KEPT_BYTES):
             texts = texts_of(batch, "text")
-            own, place = ngram_hits(texts, shared.value)
+            own, place = ngram_hits(texts, shared.value[0])
             cut = np.searchsorted(own, np.arange(1, len(texts)))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([p.astype(np.int32).tobytes() for p in np.split(place, cut)])], ["y", "places"])
-
-    got = rows.mapInArrow(places, "y int, places binary").toArrow()
-    y = np.array(got["y"].to_pylist(), float)
-    each = [np.frombuffer(p, np.int32) for p in got["places"].to_pylist()]
-    del got
-    own = np.repeat(np.arange(len(each)), [len(p) for p in each])
-    place = np.searchsorted(chosen, np.concatenate(each)) if len(own) else np.zeros(0, np.int64)
-    del each
-    w, bias = _regress(own, place, ratio[chosen], y, prior)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array([p.astype(np.int32).tobytes() for p in np.split(place, cut)])], ["h", "y", "places"])
+
+    def regress(batches):
+        _, kept, scale = shared.value
+        got = [(h, y, p) for batch in batches for h, y, p in zip(*(batch.column(c).to_pylist() for c in ("h", "y", "places")), strict=True)]
+        if got:
+            got.sort()
+            y = np.array([g[1] for g in got]) > 0
+            counts = np.array([len(g[2]) // 4 for g in got], np.int64)
+            place = np.searchsorted(kept, np.frombuffer(b"".join(g[2] for g in got), np.int32)).astype(np.int32)
+            w, bias = _regress(counts, place, scale, y.astype(float), prior)
+            yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float64).tobytes()]), pa.array([bias])], ["w", "bias"])
+
+    fitted = rows.mapInArrow(places, "h long, y int, places binary").repartition(1).mapInArrow(regress, "w binary, bias double").first()
+    release(held)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[chosen] = w * ratio[chosen]
-    return Model(weights, bias)
+    weights[chosen] = np.frombuffer(fitted.w) * ratio[chosen]
+    return Model(weights, fitted.bias)
 
 
-def _regress(own, place, scale, y, bias, l2: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression with both labels of equal weight, by gradient steps with a momentum and a step for each weight."""
+def _regress(counts: np.ndarray, place: np.ndarray, scale: np.ndarray, y: np.ndarray, bias: float, l2: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Logistic regression with both labels of equal weight, by gradient steps with a momentum and a step for each weight.
+
+    Row i has the next counts[i] entries of place; a step looks at some ENTRIES of them at a time.
+    """
     n, m = len(y), len(scale)
     each = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * n
-    w, b = np.zeros(m), float(bias)
+    ends = np.cumsum(counts)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(ENTRIES, ends[-1] if n else 0, ENTRIES)), [n]]))
+    blocks = [(a, b, np.repeat(np.arange(b - a, dtype=np.int32), counts[a:b]), place[ends[a] - counts[a] : ends[b - 1]]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    w, b0 = np.zeros(m), float(bias)
     g1, g2 = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(own, weights=(w * scale)[place], minlength=n) + b
-        e = each * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.concatenate([np.bincount(place, weights=e[own], minlength=m) * scale + l2 * w, [e.sum()]]) / n
+        v, g, total = w * scale, np.zeros(m), 0.0
+        for a, b, own, at in blocks:
+            z = np.bincount(own, weights=v[at], minlength=b - a) + b0
+            e = each[a:b] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[a:b])
+            g += np.bincount(at, weights=e[own], minlength=m)
+            total += e.sum()
+        g = np.concatenate([g * scale + l2 * w, [total]]) / n
         g1, g2 = 0.9 * g1 + 0.1 * g, 0.99 * g2 + 0.01 * g * g
         step = 0.05 * (g1 / (1 - 0.9**t)) / (np.sqrt(g2 / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:m], b - step[m]
-    return w, b
+        w, b0 = w - step[:m], b0 - step[m]
+    return w, b0
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -174,7 +221,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that the model does not predict to be toxic. Null texts stay."""
+    """The rows of docs, all columns, that the model does not predict to be toxic.
+
+    Null and empty texts get the score of a text without n-grams of note, and so stay unless most texts are toxic. Null
+    ids and repeated rows: each row is judged by its text. Empty table: no rows. Columns of any name stay as they are.
+    """
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches):

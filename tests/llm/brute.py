@@ -114,3 +114,71 @@ def mix(rows, weights=(5, 2, 1), most=3):
         rest -= sum(target[s] for s in over)
         free -= over
     return size, target
+
+
+def toxicity(docs, labelled, lengths=(3, 4, 5, 6), bits=20, least_z=3.5, least_docs=4, rounds=150):
+    """Scores of docs (texts) by a classifier fitted on labelled (text, label) pairs, n-gram by n-gram in plain Python."""
+    odd = dict(zip(lengths, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)))
+
+    def places(text):
+        chars = [32 if 9 <= ord(c) <= 13 else ord(c) for c in f" {(text or '').lower()} "]
+        out = set()
+        for n in lengths:
+            for i in range(len(chars) - n + 1):
+                h = 0
+                for c in chars[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + c + 1) % 2**64
+                out.add(((h ^ (h >> 29)) * odd[n]) % 2**64 >> (64 - bits))
+        return out
+
+    rows = [(places(t), y) for t, y in labelled]
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+    df = {}
+    for held, y in rows:
+        for p in held:
+            df.setdefault(p, [0, 0])[y] += 1
+    scale = {}
+    for p, (a, b) in df.items():
+        r = np.log((b + 1) / (n[1] + 2)) - np.log((a + 1) / (n[0] + 2))
+        if a + b >= least_docs and abs(r) / np.sqrt(1 / (b + 1) + 1 / (a + 1)) >= least_z:
+            scale[p] = r
+    kept = sorted(scale)
+    x = np.array([[scale[p] if p in held else 0.0 for p in kept] for held, _ in rows]).reshape(len(rows), len(kept))
+    y = np.array([float(v) for _, v in rows])
+    each = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
+    w, b, g1, g2 = np.zeros(len(kept)), np.log((n[1] + 1) / (n[0] + 1)), 0.0, 0.0
+    for t in range(1, rounds + 1):
+        e = each * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        g = np.append(x.T @ e + w, e.sum()) / len(y)
+        g1, g2 = 0.9 * g1 + 0.1 * g, 0.99 * g2 + 0.01 * g * g
+        step = 0.05 * (g1 / (1 - 0.9**t)) / (np.sqrt(g2 / (1 - 0.99**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    place = dict(zip(kept, w))
+    return [1 / (1 + np.exp(-(b + sum(place[p] * scale[p] for p in places(t) if p in place)))) for t in docs], len(kept)
+
+
+def align(a, b):
+    """Best Smith-Waterman score of two lists of words: 2 for a match, -1 for others and gaps."""
+    best, above = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, above[j] + (2 if x == y else -1), above[j + 1] - 1, row[j] - 1))
+        best, above = max(best, max(row)), row
+    return best
+
+
+def benchmark_hits(docs, items, least=0.5, whole_below=8, gram=3):
+    """{(doc, item): score} over all pairs of a document and an item that share a run of `gram` words (all, in shorter items)."""
+    out = {}
+    for d, text in docs:
+        b = WORD.findall((text or "").translate(LOW))
+        for i, item in items:
+            a = WORD.findall((item or "").translate(LOW))
+            k = min(gram, len(a))
+            runs = {tuple(b[s : s + k]) for s in range(len(b) - k + 1)}
+            if a and any(tuple(a[s : s + k]) in runs for s in range(len(a) - k + 1)):
+                score = align(a, b) / (2 * len(a))
+                if score >= (1.0 if len(a) < whole_below else least):
+                    out[d, i] = score
+    return out

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import brute
 import pytest
@@ -93,15 +94,6 @@ def test_item_blocks_give_the_same(spark, monkeypatch, sf):
     assert sorted(decontaminate.benchmark_hits(docs, bench).collect()) == one
 
 
-def align_plain(a, b):
-    best, h = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a)):
-        for j in range(len(b)):
-            h[i + 1][j + 1] = max(0, h[i][j] + (2 if a[i] == b[j] else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
-            best = max(best, h[i + 1][j + 1])
-    return best
-
-
 def test_part_of_an_item_in_many_texts(spark, monkeypatch):
     """60 texts hold the first 22 of an item's 40 words: their seeds are common, and no text holds the item's others."""
     rng = random.Random(6)
@@ -109,24 +101,57 @@ def test_part_of_an_item_in_many_texts(spark, monkeypatch):
     filler = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     items = [(i, filler(40)) for i in range(4)]
     texts = [(i, filler(10) + (items[0][1][:22] if i < 60 else items[1][1][5:30] if i < 65 else []) + filler(10)) for i in range(80)]
-    want = {(d, i): align_plain(a, b) / 80 for d, b in texts for i, a in items}
+    want = {(d, i): brute.align(a, b) / 80 for d, b in texts for i, a in items}
     want = {k: v for k, v in want.items() if v >= 0.5}
     assert len(want) >= 65
     df = spark.createDataFrame([(d, " ".join(b)) for d, b in texts], "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame([(i, " ".join(a)) for i, a in items], "item_id long, text string")
     for pairs in (1 << 20, 50):
-        monkeypatch.setattr(decontaminate, "PAIRS", pairs, raising=False)
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
         assert {(r.doc_id, r.item_id): r.score for r in decontaminate.benchmark_hits(df, bench).collect()} == want
     assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {d for d, _ in texts} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 60])
+def test_hits_equal_all_pairs(spark, monkeypatch, block_words):
+    """Every document with every item, among them edited, equal and overlapping items and a very long text."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(150)]
+    filler = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, filler(rng.randint(1, 40))) for i in range(14)]
+    items += [(20, items[3][1]), (21, items[4][1][:10] + items[5][1]), (22, items[6][1] + items[6][1])]
+
+    def edited(words):
+        out = []
+        for x in words:
+            r = rng.random()
+            out += [] if r < 0.06 else [x, rng.choice(vocabulary)] if r < 0.12 else [rng.choice(vocabulary)] if r < 0.2 else [x]
+        return out
+
+    docs = []
+    for i in range(70):
+        words = filler(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(words))
+            words[at:at] = edited(rng.choice(items)[1])
+        docs.append((i, " ".join(words).upper() if i % 2 else "\n".join(words)))
+    docs += [(100, " ".join(filler(20_000) + items[7][1] + filler(20_000))), (101, None), (102, docs[3][1]), (102, docs[3][1])]
+    named = [(i, " ".join(a)) for i, a in items]
+    df = spark.createDataFrame([(d, t, 0.5, 1) for d, t in docs], "doc_id long, text string, score double, item_id int").repartition(3)
+    got = decontaminate.benchmark_hits(df, spark.createDataFrame(named, "item_id long, text string")).collect()
+    want = brute.benchmark_hits(docs, named)
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(want) > 40
+    assert len(got) == len(want) + sum(d == 102 for d, _ in want)
+
+
 def test_alignment_equals_plain_table():
     import numpy as np
 
     rng = np.random.default_rng(3)
     for _ in range(60):
         a, b = (rng.integers(0, 4, rng.integers(1, 25)).astype(np.uint64) for _ in "ab")
-        assert decontaminate.align(a, b)[0] == align_plain(a.tolist(), b.tolist())
+        assert decontaminate.align(a, b)[0] == brute.align(a.tolist(), b.tolist())
 
 
 def test_toxicity_held_out(spark):
@@ -142,6 +167,60 @@ def test_toxicity_held_out(spark):
     assert abs(again.weights - model.weights).max() < 1e-3
 
 
+def test_toxicity_equals_plain_python(spark, monkeypatch):
+    """Scores equal those of a plain version, for accented and Bengali letters too; with many steps of few entries."""
+    monkeypatch.setattr(toxicity, "ENTRIES", 500)
+    rng = random.Random(8)
+    common, bad = [["".join(rng.choice(letters) for _ in range(rng.randint(3, 6))) for _ in range(n)] for n, letters in ((25, "abcdéüকখ "), (6, "xyzßগঘ"))]
+    rows = []
+    for i in range(260):
+        words = [rng.choice(common) for _ in range(rng.randint(0, 15))] + [rng.choice(bad) for _ in range(4 * (i % 3 == 0))]
+        rng.shuffle(words)
+        rows.append((i, rng.choice(["\t", " ", "\n"]).join(words).upper() if i % 4 else " ".join(words), int(i % 3 == 0)))
+    rows.append((400, None, 0))
+    docs = spark.createDataFrame([(i, t, "toxic", 1) for i, t, _ in rows], "doc_id long, text string, lang string, score int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    learned = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    want, kept = brute.toxicity([t for _, t, _ in rows], learned)
+    assert int((model.weights != 0).sum()) == kept > 50
+    got = {r.doc_id: r for r in toxicity.score(docs.repartition(3), model).collect()}
+    for (i, _, _), s in zip(rows, want):
+        assert got[i].score == pytest.approx(s, abs=2e-4) and got[i].predicted == int(got[i].score >= 0.7)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_toxicity_bounds_rows_not_ids(spark):
+    rows = [(i % 7, f"text {i} of many words", i % 2) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    h = docs.select(toxicity._hash("doc_id", "text").alias("h"))
+    for most in (0, 1, 17, 299, 300, 1000):
+        assert toxicity.lowest(h, "h", most).count() == min(most, 300)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, max_rows=40).scores(["text"]).shape == (1,)
+    assert toxicity.fit(docs.limit(0), labels).bias == 0.0
+
+
+def test_very_long_and_repeated_rows_are_judged_alike(spark):
+    long = "a fine day " * 100_000
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "you idiot scum " + long), (None, ""), (None, None)], "doc_id long, text string")
+    model = toxicity.Model(toxicity.np.zeros(1 << toxicity.BITS, toxicity.np.float32), 2.0)
+    assert [r.predicted for r in toxicity.score(docs, model).collect()] == [1] * 5
+    assert toxicity.drop_toxic(docs, model).count() == 0 and toxicity.drop_toxic(docs.limit(0), model).collect() == []
+    model.bias = -2.0
+    assert sorted(map(repr, toxicity.drop_toxic(docs, model).collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_urls_null_repeated_and_very_long(spark):
+    long = "http://example.com/en/" + "x" * 1_000_000 + "?" + "spam/" * 1000
+    rows = [(None, long), (None, None), (3, long), (3, long), (4, "http://a.org/" + "y/" * 200_000 + "casino/z")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    for inline in (url_rules.INLINE_RULES, 0):
+        got = sorted(((r.page_id, r.rule, r.verdict, len(r.path)) for r in url_rules.judge_urls(df, inline=inline).collect()), key=str)
+        fits = ("example.com/en/", "block", 1_000_004)
+        assert got == sorted([(None, *fits), (None, None, "allow", 0), (3, *fits), (3, *fits), (4, None, "block", 400_009)], key=str)
+
+
 def test_toxicity_odd_rows(spark):
     rows = [(i, ("you idiot scum " if i % 2 else "a fine day ") * 3, i % 2) for i in range(200)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "x"), (900, None), (901, ""), (1, "you idiot scum")], "doc_id long, text string")

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from lectern.llm import secrets
 
 PATTERNS = [
@@ -59,3 +61,26 @@ def test_redact_keeps_columns_and_clean_rows(spark):
     got = sorted(map(tuple, secrets.redact(df).collect()))
     assert got == [(1, "é [assign] and", "s", 14), (2, "clean", "s", 99), (3, None, None, None)]
     assert secrets.redact(df).columns == df.columns
+
+
+def test_null_and_repeated_rows_and_odd_columns(spark):
+    shape = "doc_id long, text string, n_hex long, _text string"
+    rows = [(None, "token: abcdef1", 1, "x"), (None, None, 2, None), (3, "", 3, "y"), (3, "", 3, "y"), (4, "token: abcdef1", 1, "x"), (4, "token: abcdef1", 1, "x")]
+    df = spark.createDataFrame(rows, shape)
+    got = sorted(((r.doc_id, r.n_assign, r.n_hex, r.spans) for r in secrets.secret_scan(df).collect()), key=str)
+    assert got == sorted([(None, 1, 0, "assign:0:14"), (None, 0, 0, ""), (3, 0, 0, ""), (3, 0, 0, ""), (4, 1, 0, "assign:0:14"), (4, 1, 0, "assign:0:14")], key=str)
+    clean = sorted(map(str, map(tuple, secrets.redact(df).collect())))
+    assert clean == sorted(str((i, "[assign]" if t else t, n, x)) for i, t, n, x in rows)
+    assert secrets.redact(df.limit(0)).collect() == [] and secrets.redact(df).columns == df.columns
+
+
+@pytest.mark.parametrize("name", secrets.CHECKED_WORDS)
+def test_extra_kinds(name):
+    """checked: the right checksum only, and nothing longer; pem: each head of a private key."""
+    body = b"A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5"
+    right = name + body.decode() + secrets.crc_digits(body).decode()
+    wrong = right[:-1] + ("0" if right[-1] != "0" else "1")
+    text = f"é {right} {wrong} {right}x -----BEGIN EC PRIVATE KEY----- -----BEGIN PRIVATE KEY----- -----BEGIN PUBLIC KEY-----"
+    heads = [text.index("-----BEGIN EC"), text.index("-----BEGIN PRIVATE")]
+    want = [("checked", 2, 2 + len(right)), *(("pem", a, text.index("-----", a + 5) + 5) for a in heads)]
+    assert [s for s in secrets.scan(text) if s[0] in ("checked", "pem")] == want
