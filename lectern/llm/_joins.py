@@ -11,13 +11,13 @@ from ._io import free_name, shuffle_partitions
 SPLIT = 2
 
 
-def common_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
-    """(key, parts): the keys of counts (key, n) with more than 1 / (SPLIT * tasks) of total rows; None if there is none.
+def common_keys(counts: DataFrame, key: str, n: str, total: int, tasks: int | None = None, least: float = 16.0) -> DataFrame | None:
+    """(key, parts): the keys of counts (key, n) with more than 1 / (SPLIT * tasks) of total; None if there is none.
 
-    At most SPLIT * tasks keys qualify, whatever the data, so they may be collected and broadcast.
+    n counts rows or bytes. At most SPLIT * tasks keys qualify, whatever the data, so they may be collected and broadcast.
     """
     spark = counts.sparkSession
-    each = max(total / (SPLIT * shuffle_partitions(spark)), 16.0)
+    each = max(total / (SPLIT * (tasks or shuffle_partitions(spark))), least)
     found = counts.filter(F.col(n) > each).select(F.col(key), F.ceil(F.col(n) / F.lit(each)).cast("int").alias("parts"))
     rows = found.collect()
     if not rows:
@@ -31,6 +31,12 @@ def count_keys(rows: DataFrame, key: str) -> DataFrame | None:
     return common_keys(counts, key, "_n", rows.count())
 
 
+def heavy_keys(rows: DataFrame, key: str, text: str, n_bytes: int, tasks: int) -> DataFrame | None:
+    """common_keys of rows by the bytes of a text column, where a key has several rows."""
+    sums = rows.groupBy(key).agg(F.sum(F.octet_length(text).cast("long")).alias("_n"), F.count("*").alias("_rows"))
+    return common_keys(sums.filter("_rows > 1"), key, "_n", n_bytes, tasks, 4096.0)
+
+
 def salted_join(rows: DataFrame, other: DataFrame, key: str, common: DataFrame | None, how: str = "inner", tasks: int | None = None) -> DataFrame:
     """rows joined with other on key. Rows of common keys are dealt over several tasks, to which other's rows of them are copied.
 
@@ -50,17 +56,23 @@ def salted_join(rows: DataFrame, other: DataFrame, key: str, common: DataFrame |
     return rows.join(other, [key, *salt], how).drop(*salt)
 
 
-def sieved(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, n: int) -> DataFrame:
-    """The rows whose key may be one of wanted's n keys: all that are, and few others. No row is moved for that.
+def flagged(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, n: int, flag: str) -> DataFrame:
+    """rows with a boolean column: whether their key may be one of wanted's n keys; true for all that are, and few others.
 
-    A bitmap of hashes, eight bits for each wanted key, but 2**27 at most: 2**21 words of it are broadcast then. With more
-    keys it lets more rows pass.
+    No row is moved for that: a bitmap of hashes, eight bits for each wanted key, but 2**27 at most, is broadcast, 2**21
+    words of it then. With more keys it flags more rows.
     """
     bits = min(max((8 * n).bit_length(), 16), 27)
     place = lambda k: F.xxhash64(k).bitwiseAND(F.lit((1 << bits) - 1))
     word, bit = free_name(rows, "_word"), free_name(rows, "_bits")
     at = wanted.select(place(wanted_key).alias("p")).select(F.shiftright("p", 6).alias(word), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
     words = at.groupBy(word).agg(F.bit_or("b").alias(bit))
-    held = rows.withColumn(word, F.shiftright(place(key), 6)).join(F.broadcast(words), word)
-    mask = F.call_function("shiftright", F.col(bit), place(key).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-    return held.filter(mask == 1).drop(word, bit)
+    held = rows.withColumn(word, F.shiftright(place(key), 6)).join(F.broadcast(words), word, "left")
+    mask = F.call_function("shiftright", F.coalesce(bit, F.lit(0).cast("long")), place(key).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    return held.withColumn(flag, mask == 1).select(*rows.columns, flag)
+
+
+def sieved(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, n: int) -> DataFrame:
+    """The rows whose key may be one of wanted's n keys (see flagged)."""
+    flag = free_name(rows, "_may")
+    return flagged(rows, key, wanted, wanted_key, n, flag).filter(F.col(flag)).drop(flag)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ._batches import pieces, texts_of
 from ._exchange import ANSWERS, ENTRIES, Entries, Known, buckets, merged, pack, places_of
 from ._io import release, shuffle_partitions, table, text_bytes
-from ._joins import count_keys, salted_join
+from ._joins import flagged, heavy_keys, salted_join, sieved
 from ._words import Words
 
 #: Any difference modulo 7 is one of two members: two places can be moved by the same step below 7 into the cover.
@@ -48,7 +48,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
     n_bytes = text_bytes(rows, "text")
     n_buckets, tasks = buckets(n_bytes, shuffle_partitions(spark)), shuffle_partitions(spark, n_bytes)
-    copied = count_keys(rows, "key")  # texts with very many copies under one id
+    copied = heavy_keys(rows, "key", "text", n_bytes, tasks)  # texts with very many copies under one id
 
     def send_anchors(batches):
         shared_before = Known()
@@ -145,7 +145,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
             least = ids[order[first]][np.cumsum(first) - 1]
             yield e.answers(order[ids[order] > least], n_buckets)
 
-    sides = salted_join(rows, anchors, "key", copied, tasks=tasks)
+    sides = salted_join(sieved(rows, F.col("key"), anchors, F.col("key"), anchors.count()), anchors, "key", copied, tasks=tasks)
     windows = sides.mapInArrow(send_windows, ENTRIES).repartition(n_buckets, "bucket").mapInArrow(match_windows, ANSWERS)
     windows = table(merged(windows, n_buckets), "windows")
     release(anchors)
@@ -174,7 +174,10 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     names = ["id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     shape = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return salted_join(rows, windows, "key", copied, "left", tasks).mapInArrow(remove, shape).withColumnRenamed("id", id_col)
+    parted = flagged(rows, F.col("key"), windows, F.col("key"), windows.count(), "marked")
+    marked = salted_join(parted.filter("marked").drop("marked"), windows, "key", copied, "left", tasks).select("id", "text", "places")
+    clean = parted.filter("not marked").select("id", "text", F.lit(None).cast("binary").alias("places"))  # these need not meet any
+    return marked.mapInArrow(remove, shape).union(clean.mapInArrow(remove, shape)).withColumnRenamed("id", id_col)
 
 
 def _told(keys: np.ndarray, text: np.ndarray, place: np.ndarray, n_buckets: int, narrow: bool = False) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ._batches import pieces, texts_of
 from ._exchange import ANSWERS, Known, answers, buckets, merged
 from ._io import release, shuffle_partitions, table, text_bytes
-from ._joins import count_keys, salted_join
+from ._joins import flagged, heavy_keys, salted_join, sieved
 from ._words import mix
 from .run_index import RunIndex
 
@@ -170,7 +170,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["id"].dataType.simpleString()
     n_bytes = text_bytes(rows, "text")
     n_buckets, tasks = buckets(n_bytes, shuffle_partitions(spark)), shuffle_partitions(spark, n_bytes)
-    copied, hot = count_keys(rows, "key"), HOT
+    copied, hot = heavy_keys(rows, "key", "text", n_bytes, tasks), HOT
 
     def send_contexts(batches):
         sent = Known()  # contexts that the task has told to be repeated
@@ -211,14 +211,15 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     found = rows.select("key", "text").mapInArrow(send_contexts, _ROW).repartition(n_buckets, "bucket").mapInArrow(match_contexts, _ANSWER)
     found = table(found, "contexts")
-    asked = [merged(found.filter(F.col("kind") == k), n_buckets, np.uint64).withColumn("kind", F.lit(k)) for k in (ASK, ASK_HOT)]
+    asked = [table(merged(found.filter(F.col("kind") == k), n_buckets, np.uint64), f"asked{k}") for k in (ASK, ASK_HOT)]
     # One copy of each text speaks for all; of texts with very many copies only those of one id are sent at all.
     one = rows.select("id", "key", "text")
     if copied is not None:
         first = rows.join(F.broadcast(copied), "key").groupBy("key").agg(F.min("id").alias("first"))
         one = one.join(F.broadcast(first), "key", "left").filter("first is null or first = id").drop("first")
     one = one.select("key", "text")
-    unique = [one.repartition(tasks, "key").join(a.repartition(tasks, "key"), "key").dropDuplicates(["key"]) for a in asked]
+    near = [sieved(one, F.col("key"), a, F.col("key"), a.count()) for a in asked]  # most texts stay where they are
+    unique = [texts.repartition(tasks, "key").join(a.repartition(tasks, "key"), "key").dropDuplicates(["key"]) for texts, a in zip(near, asked)]
 
     def send_bytes(batches):
         for batch in pieces(batches, "text"):
@@ -310,12 +311,12 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     written = [table(marked, "marked")]
     spans = found.filter(F.col("kind") == FULL).union(written[0])
-    if found.filter(F.col("kind") == ASK_HOT).limit(1).count():
+    if asked[1].limit(1).count():
         windows = unique[1].mapInArrow(send_windows, _ROW).repartition(n_buckets, "bucket").mapInArrow(match_windows, _ANSWER)
         written.append(table(windows, "hot-windows"))
         spans = spans.union(written[-1])
     spans = table(merged(spans.drop("kind"), n_buckets, np.uint64), "spans")
-    release(found, *written)
+    release(found, *written, *asked)
 
     def remove(batches):
         for batch in pieces(batches, "text"):
@@ -335,4 +336,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     shape = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return salted_join(rows, spans, "key", copied, "left", tasks).mapInArrow(remove, shape).withColumnRenamed("id", id_col)
+    parted = flagged(rows, F.col("key"), spans, F.col("key"), spans.count(), "marked")
+    marked = salted_join(parted.filter("marked").drop("marked"), spans, "key", copied, "left", tasks).select("id", "text", "places")
+    clean = parted.filter("not marked").select("id", "text", F.lit(None).cast("binary").alias("places"))  # these need not meet any
+    return marked.mapInArrow(remove, shape).union(clean.mapInArrow(remove, shape)).withColumnRenamed("id", id_col)

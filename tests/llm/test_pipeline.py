@@ -56,3 +56,19 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert (r.source_size, round(r.target, 6)) == (size[seen[3][i].source], round(target[seen[3][i].source], 6)) and r.taken <= 3 * r["size"]
     whole = {r.doc_id: tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {i: tuple(r) for i, r in seen[4].items()}
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """No documents at all; repeated rows, null ids and columns whose names the operators use themselves."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long, _row int, key string, `taken` int, hub int"
+    text = "one two three four five six seven eight nine ten password=hunter2222 {}"
+    rows = [(1, text.format(1), "en", "a", 1, 1, "k", 1, 1)] * 3 + [(None, "quite another text with other words in it", "en", None, 1, 1, "k", 1, 1)] * 2
+    rows += [(None, None, None, None, None, None, None, None, None)] * 2 + [(7, "", "", "", 0, 0, "", 0, 0)]
+    for name, given in (("none", []), ("odd", rows)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(given, shape).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)][: len(given)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "an item that nothing here holds at all")][: len(given)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = sorted((r.doc_id is None, r.doc_id or 0, r["size"]) for r in corpus_pipeline.run(spark, folder).collect())
+        # of the repeated rows one stays; those without words all do
+        assert got == ([] if not given else [(False, 1, 11), (False, 7, 0), (True, 0, 0), (True, 0, 0), (True, 0, 8)])
