@@ -141,9 +141,9 @@ def _links(classes: DataFrame, d: int, count: int, least: float) -> tuple[DataFr
             uid, n, size, r = zip(*rows, strict=True)
             x = np.frombuffer(b"".join(r)).reshape(-1, d)
             return pa.RecordBatch.from_arrays(
-                [pa.array([at], pa.int64()), pa.array([at // group], pa.int64()), *(pa.array([np.array(c, np.int64).tobytes()]) for c in (uid, n, size)), pa.array([x.tobytes()])]
+                [pa.array([at], pa.int64()), pa.array([len(uid)], pa.int64()), *(pa.array([np.array(c, np.int64).tobytes()]) for c in (uid, n, size)), pa.array([x.tobytes()])]
                 + [pa.array([list(f(x[:, :lead], axis=0))], pa.list_(pa.float64())) for f in (np.min, np.max)],
-                ["at", "grp", "uids", "ns", "sizes", "xs", "lo", "hi"],
+                ["at", "rows", "uids", "ns", "sizes", "xs", "lo", "hi"],
             )
 
         for batch in batches:
@@ -159,24 +159,23 @@ def _links(classes: DataFrame, d: int, count: int, least: float) -> tuple[DataFr
     shape = "uid long, n long, size int, r binary, " + ", ".join(f"{c} int" for c in names)
     ranges = max(1, -(-count // (per_block * group)))
     ordered = classes.mapInArrow(turned, shape).repartitionByRange(ranges, *names, "uid").sortWithinPartitions(*names, "uid")
-    shape = "at long, grp long, uids binary, ns binary, sizes binary, xs binary, lo array<double>, hi array<double>"
+    shape = "at long, rows long, uids binary, ns binary, sizes binary, xs binary, lo array<double>, hi array<double>"
     blocks = table(ordered.select("uid", "n", "size", "r").mapInArrow(cut, shape), "vector-blocks")
-    boxes = blocks.groupBy("grp").agg(*_ends(lead)).withColumnRenamed("grp", "at")
-    pairs, made = _box_pairs(table(boxes, "boxes"), eps)
+    boxes = table(_grouped(blocks.select("at", "rows", "lo", "hi"), per_block * group), "boxes")
+    pairs, made = _box_pairs(boxes.groupBy("grp").agg(*_ends(lead)), eps)
     pairs = table(pairs, "group-pairs")
-    release(*made)
     # each group with all pairs that it is in; then its blocks go to each of them
     tile = F.xxhash64("a", "b").alias("tile")
     sides = pairs.select(F.col("a").alias("grp"), tile).union(pairs.filter("a <> b").select(F.col("b").alias("grp"), tile))
-    wanted = sides.groupBy("grp").agg(F.collect_list("tile").alias("tiles"))
-    tiles = blocks.join(wanted, "grp").select(F.explode("tiles").alias("tile"), "grp", "at", "uids", "ns", "sizes", "xs")
+    wanted = boxes.select("at", "grp").join(sides.groupBy("grp").agg(F.collect_list("tile").alias("tiles")), "grp")
+    tiles = blocks.join(wanted, "at").select(F.explode("tiles").alias("tile"), "grp", "at", "uids", "ns", "sizes", "xs")
     tiles = tiles.repartition(max(partitions, pairs.count()), "tile").sortWithinPartitions("tile", "grp", "at")
 
     def compare(batches):
         for t in groups((part for batch in batches for part in (batch.slice(i, 1) for i in range(batch.num_rows))), "tile"):
             yield from _compare_groups(t, d, least, eps)
 
-    return tiles.mapInArrow(compare, "a long, b long, n long"), [blocks, pairs]
+    return tiles.mapInArrow(compare, "a long, b long, n long"), [blocks, boxes, pairs, *made]
 
 
 def _ends(size: int) -> list[Column]:
@@ -184,38 +183,43 @@ def _ends(size: int) -> list[Column]:
     return [F.array(*(f(F.element_at(c, i + 1)) for i in range(size))).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]
 
 
-def _box_pairs(boxes: DataFrame, eps: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs (a, b), a <= b, of boxes (at, lo, hi) within eps, found by descending a tree over the sequence; and the written tables."""
+def _grouped(blocks: DataFrame, rows: int) -> DataFrame:
+    """blocks (at, rows) with grp: groups of consecutive blocks with about that many rows, however the sequence was cut.
+
+    Running sums inside the ranges of the sequence, and over the ranges, of which there is one row each.
+    """
     from pyspark.sql import Window
 
-    n = boxes.count()
-    size = len(boxes.first().lo)
-    bounded = boxes.withColumn("part", F.shiftright("at", 16))
-    first = bounded.groupBy("part").agg(F.count("*").alias("k"))
-    first = first.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
-    node = bounded.withColumn("own", ranked).join(first, "part").select("at", (F.col("before") + F.col("own")).alias("node"), "lo", "hi")
-    levels = [table(node, "boxes")]
+    def before(window):
+        return F.coalesce(F.sum("rows").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    own = blocks.withColumn("part", F.shiftright("at", 32)).withColumn("own", before(Window.partitionBy("part").orderBy("at")))
+    parts = own.groupBy("part").agg(F.sum("rows").alias("rows")).select("part", before(Window.orderBy("part")).alias("before"))
+    return own.join(parts, "part").withColumn("grp", F.floor((F.col("before") + F.col("own")) / rows)).drop("part", "own", "before")
+
+
+def _box_pairs(boxes: DataFrame, eps: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b), a <= b, of boxes (grp, lo, hi) within eps, found by descending a tree over the sequence; and the written tables."""
+    levels = [table(boxes.withColumnRenamed("grp", "node"), "boxes")]
+    n, size = levels[0].agg(F.max("node") + 1, F.max(F.size("lo"))).first()
     while n > FAN:
         n = -(-n // FAN)
         levels.append(table(levels[-1].groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(*_ends(size)), "boxes"))
     gap = F.aggregate(F.zip_with(F.zip_with("lo1", "hi2", lambda p, q: p - q), F.zip_with("lo2", "hi1", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    made = [boxes, *levels]
-    top = levels[-1].select("node")
-    pairs = top.select(F.col("node").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("y")).filter("x <= y")  # FAN nodes at most
+    made, pairs = list(levels), None
     for i, level in enumerate(levels[::-1]):
-        if i:
-            kids = F.sequence(F.lit(0), F.lit(FAN - 1))
-            pairs = pairs.select((F.col("x") * FAN).alias("x"), (F.col("y") * FAN).alias("y"), F.explode(kids).alias("i")).select((F.col("x") + F.col("i")).alias("x"), F.explode(F.transform(kids, lambda j: F.col("y") + j)).alias("y")).filter("x <= y")
         left = level.select(F.col("node").alias("x"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
         right = level.select(F.col("node").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-        pairs = pairs.join(left, "x").join(right, "y").filter(gap <= eps * eps).select("x", "y")
+        if pairs is None:  # FAN nodes at most
+            pairs = left.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("y"))
+        else:
+            kids = F.sequence(F.lit(0), F.lit(FAN - 1))
+            pairs = pairs.select((F.col("x") * FAN).alias("x"), (F.col("y") * FAN).alias("y"), F.explode(kids).alias("i")).select((F.col("x") + F.col("i")).alias("x"), F.explode(F.transform(kids, lambda j: F.col("y") + j)).alias("y"))
+        pairs = pairs.filter("x <= y").join(left, "x").join(right, "y").filter(gap <= eps * eps).select("x", "y")
         if i + 1 < len(levels):
             pairs = table(pairs, "box-pairs")
             made.append(pairs)
-    names = levels[0]
-    pairs = pairs.join(names.select(F.col("node").alias("x"), F.col("at").alias("a")), "x")
-    return pairs.join(names.select(F.col("node").alias("y"), F.col("at").alias("b")), "y").select("a", "b"), made
+    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), made
 
 
 def _compare_groups(t: pa.Table, d: int, least: float, eps: float):
