@@ -5,10 +5,11 @@ from __future__ import annotations
 import difflib
 import math
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,6 +19,8 @@ from ..functions import words as W
 BROADCAST_QUERIES = 5_000
 #: Terms that are kept in the plan as a set, so that other tokens don't leave their row.
 LITERAL_TERMS = 10_000
+#: Terms up to which a stored index is asked for each of them; beyond, its postings are read as a whole.
+NEAR_TERMS = 200
 
 
 def add_tokens(units: DataFrame, text: str = "text", compose: bool = True) -> DataFrame:
@@ -26,28 +29,114 @@ def add_tokens(units: DataFrame, text: str = "text", compose: bool = True) -> Da
     return units.withColumn("toks", T.tokens(source)).withColumn("n_toks", F.size("toks"))
 
 
-def term_frequencies(units: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, term, f): one shuffle by unit and term, after partial counts."""
-    return units.select(*keys, F.explode("toks").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("f"))
+@dataclass(frozen=True)
+class Index:
+    """Units (keys, text, toks, n_toks, ...) and, where they are stored, what questions are answered from without the texts.
 
+    postings: (term, keys, n_toks, f), one row a unit and term; grams: (gram, keys), one row a unit and trigram, both sorted
+    by what is looked up, so that a question reads the few row groups that hold it; totals: one row (n, total). Functions
+    take units as a DataFrame as well; then the parts that a question needs are made from it each time.
+    """
 
-def document_frequencies(units: DataFrame) -> DataFrame:
+    units: DataFrame
+    keys: tuple[str, ...] = ("doc_id", "page")
+    postings: DataFrame | None = None
+    grams: DataFrame | None = None
+    totals: DataFrame | None = None
+
+    @staticmethod
+    def of(units: "Index | DataFrame", keys: tuple[str, ...] = ("doc_id", "page")) -> "Index":
+        return units if isinstance(units, Index) else Index(units, tuple(keys))
+
+    @staticmethod
+    def build(units: DataFrame, keys: tuple[str, ...], folder: str) -> "Index":
+        """Writes units with tokens, postings, trigrams and totals to a folder that all executors see."""
+        spark = units.sparkSession
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        units.write.parquet(f"{folder}/units")
+        held = spark.read.schema(units.schema).parquet(f"{folder}/units")
+        terms = held.select(*keys, "n_toks", F.explode("toks").alias("term")).groupBy("term", *keys, "n_toks").agg(F.count("*").alias("f"))
+        # A range is cut inside a common term too, by the units' keys.
+        terms.repartitionByRange(tasks, "term", *keys).sortWithinPartitions("term", *keys).write.parquet(f"{folder}/postings")
+        size = F.length("_page")
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring("_page", i, F.lit(3)))
+        grams = held.select(*keys, _flat().alias("_page")).select(*keys, F.explode(F.array_distinct(grams)).alias("gram"))
+        grams.repartitionByRange(tasks, "gram", *keys).sortWithinPartitions("gram", *keys).write.parquet(f"{folder}/grams")
+        _totals(held).write.parquet(f"{folder}/totals")
+        return Index.open(spark, keys, folder)
+
+    @staticmethod
+    def open(spark: SparkSession, keys: tuple[str, ...], folder: str) -> "Index":
+        units, *parts = (spark.read.parquet(f"{folder}/{part}") for part in ("units", "postings", "grams", "totals"))
+        return Index(units, tuple(keys), *parts)
+
+    def near(self, terms: list[str]) -> DataFrame:
+        """Postings of terms, and of tokens that share the first four letters of one that may be matched so."""
+        heads = sorted({t[:4] for t in terms if len(t) >= 5})
+        if self.postings is None:
+            rows = self.units.select(*self.keys, "n_toks", F.explode(_near(F.col("toks"), terms)).alias("term"))
+            return rows.groupBy("term", *self.keys, "n_toks").agg(F.count("*").alias("f"))
+        return self.postings.filter(reduce(lambda x, y: x | y, (F.col("term").startswith(h) for h in heads), F.col("term").isin(*terms)))
+
+    def every_posting(self) -> DataFrame:
+        if self.postings is not None:
+            return self.postings
+        return self.units.select(*self.keys, "n_toks", F.explode("toks").alias("term")).groupBy("term", *self.keys, "n_toks").agg(F.count("*").alias("f"))
+
+    def holding(self, grams: list[str]) -> DataFrame:
+        """(gram, keys) of units whose text holds a trigram."""
+        if self.grams is not None:
+            return self.grams.filter(F.col("gram").isin(*grams))
+        asked = F.array(*(F.lit(g) for g in grams)).cast("array<string>")
+        held = self.units.select(*self.keys, _flat().alias("_page"))
+        return held.select(*self.keys, F.explode(F.filter(asked, lambda g: F.contains(F.col("_page"), g))).alias("gram"))
+
+    def total(self) -> DataFrame:
+        return _totals(self.units) if self.totals is None else self.totals
+
+    def without(self, condition: Column) -> "Index":
+        """The index without the units that a condition on the keys is true of; stored totals are counted anew."""
+        kept = lambda df: None if df is None else df.filter(~F.coalesce(condition, F.lit(False)))
+        return Index(kept(self.units), self.keys, kept(self.postings), kept(self.grams), None)
+
+    def rows(self, best: DataFrame, order: list[Column]) -> DataFrame:
+        """The units of a few best rows (keys and scores), in their order. The rows are bounded, and name what is read."""
+        found = best.collect()
+        if not found:
+            return self.units.limit(0).join(best, list(self.keys))
+        held = best.sparkSession.createDataFrame(found, best.schema)
+        named = reduce(lambda x, y: x & y, (F.col(k).isin(*{r[k] for r in found}) for k in self.keys))
+        return self.units.filter(named).join(F.broadcast(held), list(self.keys)).orderBy(*order)
+
+
+def _flat(text: str = "text") -> Column:
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "), F.lit(" "))
+
+
+def _totals(units: DataFrame) -> DataFrame:
+    return units.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_toks"), F.lit(0)).cast("long").alias("total"))
+
+
+def term_frequencies(units: Index | DataFrame, keys: list[str] = ("doc_id", "page")) -> DataFrame:
+    """(keys, term, f): one shuffle by unit and term, after partial counts; none where the index is stored."""
+    return Index.of(units, tuple(keys)).every_posting().select(*keys, "term", "f")
+
+
+def document_frequencies(units: Index | DataFrame) -> DataFrame:
     """(term, df): units that hold a term. A unit's distinct terms are found in its row, so only terms are shuffled."""
-    return units.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    if isinstance(units, Index) and units.postings is not None:
+        return units.postings.groupBy("term").agg(F.count("*").alias("df"))
+    return Index.of(units).units.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def drop_page(units: DataFrame, doc_id, page: int) -> DataFrame:
-    return units.filter(~(F.col("doc_id").eqNullSafe(F.lit(doc_id)) & (F.col("page") == page)))
+def drop_page(units: Index | DataFrame, doc_id, page: int) -> Index:
+    return Index.of(units).without(F.col("doc_id").eqNullSafe(F.lit(doc_id)) & (F.col("page") == page))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-def _held(toks: Column, term: str) -> Column:
-    return F.size(F.filter(toks, lambda t: t == term))
-
-
 def _covers(toks: Column, term: str) -> Column:
     exact = F.array_contains(toks, term)
     if len(term) < 5:
@@ -65,47 +154,62 @@ def _near(toks: Column, terms: list[str]) -> Column:
     return F.filter(toks, lambda t: t.isin(*terms) | F.substring(t, 1, 4).isin(*heads))
 
 
-def _scored(units: DataFrame, question: str) -> tuple[DataFrame, list[str]]:
-    """units with bm25, coverage and score for one question. Statistics are those of all units, whatever is searched.
+def _scored(units: Index | DataFrame, question: str) -> tuple[DataFrame, list[str]]:
+    """(keys, n_toks, bm25, coverage, score) of the units that a term of the question touches; the others' scores are 0.
 
-    The question's terms are known, so a unit is scored from its own row: one pass for the statistics, one for scores.
+    Statistics are those of all units, whatever is searched. The question's terms are known, so both they and a unit's
+    scores are sums over the postings of its few terms.
     """
-    terms = list(dict.fromkeys(T.tokens_of(question)))
-    units = units.withColumn("_near", _near(F.col("toks"), terms))  # the few tokens that matter, so that the row is read once
-    counted = units.select(F.col("n_toks"), *(F.array_contains("_near", t).cast("int").alias(f"h{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(
-        F.greatest(F.count("*"), F.lit(1)).alias("_n"), F.sum("n_toks").alias("_len"), *(F.coalesce(F.sum(f"h{i}"), F.lit(0)).alias(f"_d{i}") for i in range(len(terms)))
+    ix, terms = Index.of(units), list(dict.fromkeys(T.tokens_of(question)))
+    kinds = ", ".join(f"{k} {ix.units.schema[k].dataType.simpleString()}" for k in ix.keys)
+    if not terms:
+        return ix.units.sparkSession.createDataFrame([], f"{kinds}, n_toks int, bm25 double, coverage double, score double"), terms
+    near = ix.near(terms)
+    counts = near.agg(*(F.count_if(F.col("term") == t).alias(f"_d{i}") for i, t in enumerate(terms)))
+    stats = counts.crossJoin(ix.total().select(F.greatest("n", F.lit(1)).alias("_n"), F.col("total").alias("_len")))  # one row each
+    shares = lambda t: (F.col("term") == t) if len(t) < 5 else (F.col("term") == t) | ((F.length("term") >= 4) & F.col("term").startswith(t[:4]))
+    each = near.groupBy(*ix.keys, "n_toks").agg(
+        *(F.sum(F.when(F.col("term") == t, F.col("f")).otherwise(0)).alias(f"_f{i}") for i, t in enumerate(terms)), *(F.max(shares(t)).alias(f"_c{i}") for i, t in enumerate(terms))
     )
-    joined = units.crossJoin(F.broadcast(stats))  # one row
-    weights = [idf(F.col("_n"), F.col(f"_d{i}")) for i in range(len(terms))]
-    average = F.when(F.coalesce("_len", F.lit(0)) > 0, F.col("_len") / F.col("_n")).otherwise(F.lit(1.0))
+    rows = each.crossJoin(F.broadcast(stats))
+    average = F.when(F.col("_len") > 0, F.col("_len") / F.col("_n")).otherwise(F.lit(1.0))
     bm25, total, covered = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-    for term, weight in zip(terms, weights, strict=True):
-        f = _held(F.col("_near"), term)
+    for i in range(len(terms)):
+        f, weight = F.col(f"_f{i}"), idf(F.col("_n"), F.col(f"_d{i}"))
         bm25 = bm25 + weight * f * F.lit(W.K1 + 1) / (f + F.lit(W.K1) * (F.lit(1 - W.B) + F.lit(W.B) * F.col("n_toks") / average))
         total = total + weight
-        covered = covered + F.when(_covers(F.col("_near"), term), weight).otherwise(F.lit(0.0))
-    coverage = covered / F.when(total == 0, F.lit(1.0)).otherwise(total)
-    out = joined.withColumn("bm25", bm25).withColumn("coverage", coverage)
-    out = out.withColumn("score", F.col("bm25") * (F.lit(0.25) + F.lit(0.75) * F.col("coverage")))
-    return out.drop("_n", "_len", "_near", *(f"_d{i}" for i in range(len(terms)))), terms
+        covered = covered + F.when(F.col(f"_c{i}"), weight).otherwise(F.lit(0.0))
+    rows = rows.select(*ix.keys, "n_toks", bm25.alias("bm25"), (covered / F.when(total == 0, F.lit(1.0)).otherwise(total)).alias("coverage"))
+    return rows.withColumn("score", F.col("bm25") * (F.lit(0.25) + F.lit(0.75) * F.col("coverage"))), terms
 
 
-def search(units: DataFrame, question: str, k: int = 4, scope: Column | None = None, order: list[str] = ("doc_id", "page"), digits: int = 6) -> DataFrame:
-    """The k best units by score, above 0, ties by `order`. scope limits what is ranked, not the statistics."""
-    scored, _ = _scored(units, question)
+def _all_units(ix: Index, scores: DataFrame, columns: list[str], others: list[str] = ()) -> DataFrame:
+    """The keys and some columns of all units with scores, 0 where there is none; texts are not read."""
+    left = ix.units.select(*ix.keys, *others).join(scores.select(*ix.keys, *columns), list(ix.keys), "left")
+    return left.select(*ix.keys, *others, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
+
+
+def coverage(units: Index | DataFrame, question: str) -> DataFrame:
+    """(keys, coverage) of all units."""
+    return _all_units(Index.of(units), _scored(units, question)[0], ["coverage"])
+
+
+def search(units: Index | DataFrame, question: str, k: int = 4, scope: Column | None = None, order: list[str] = ("doc_id", "page"), digits: int = 6) -> DataFrame:
+    """The k best units by score, above 0, ties by `order`. scope, a condition on the keys, limits what is ranked, not the statistics."""
+    ix, (scored, _) = Index.of(units), _scored(units, question)
     if scope is not None:
         scored = scored.filter(scope)
-    ranked = scored.filter("bm25 > 0").withColumn("score", F.round("score", digits))
-    return ranked.orderBy(F.desc("score"), *order).limit(k)
+    ranked = scored.filter("bm25 > 0").withColumn("score", F.round("score", digits)).drop("n_toks")
+    by = [F.desc("score"), *map(F.col, order)]
+    return ix.rows(ranked.orderBy(*by).limit(k), by)
 
 
-def best_coverage(units: DataFrame, question: str, scope: Column | None = None) -> DataFrame:
+def best_coverage(units: Index | DataFrame, question: str, scope: Column | None = None) -> DataFrame:
     scored, _ = _scored(units, question)
     return (scored if scope is None else scored.filter(scope)).agg(F.coalesce(F.max("coverage"), F.lit(0.0)).alias("coverage"))
 
 
-def search_many(units: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, digits: int = 6) -> DataFrame:
+def search_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k: int = 10, digits: int = 6) -> DataFrame:
     """(query_id, keys, score, rank): the k best units of each query (query_id, q), ties by keys.
 
     Only tokens that some query has, or whose first four letters it shares, leave a unit's row; the statistics of the
@@ -114,11 +218,11 @@ def search_many(units: DataFrame, queries: DataFrame, keys: list[str], k: int =
     wanted = queries.select("query_id", F.explode(F.array_distinct(T.tokens(T.nfc("q")))).alias("term"))
     small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     hint = F.broadcast if small else (lambda df: df)
-    totals = units.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), (F.sum("n_toks") / F.greatest(F.count("*"), F.lit(1))).alias("avg"))
+    ix = Index.of(units, tuple(keys))
+    totals = ix.total().select(F.greatest("n", F.lit(1)).alias("n"), (F.col("total") / F.greatest("n", F.lit(1))).alias("avg"))
     terms = wanted.select("term").distinct()
     known = [r.term for r in terms.limit(LITERAL_TERMS + 1).collect()] if small else []
-    kept = _near(F.col("toks"), sorted(known)) if 0 < len(known) <= LITERAL_TERMS else F.col("toks")
-    own = units.select(*keys, "n_toks", F.explode(kept).alias("term")).groupBy(*keys, "n_toks", "term").agg(F.count("*").alias("f"))
+    own = ix.near(sorted(known)) if 0 < len(known) <= (LITERAL_TERMS if ix.postings is None else NEAR_TERMS) else ix.every_posting()
     heads = wanted.filter(F.length("term") >= 5).select(F.substring("term", 1, 4).alias("head")).distinct()
     exact = own.join(hint(terms), "term", "left_semi")
     df = exact.groupBy("term").agg(F.count("*").alias("df"))
@@ -140,54 +244,76 @@ def top(rows: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def trigram_scores(units: DataFrame, question: str, text: str = "text") -> DataFrame:
-    """units with fuzzy: for question words of four letters or more, idf times the share of the word's trigrams in the text."""
-    scored, _ = _scored(units, question)
-    page = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "), F.lit(" "))
+def trigram_scores(units: Index | DataFrame, question: str) -> DataFrame:
+    """(keys, bm25, coverage, score, fuzzy) of all units. fuzzy: for question words of four letters or more, idf times the
+    share of the word's trigrams in the text."""
+    ix = Index.of(units)
+    scored, _ = _scored(ix, question)
     words = [w for w in dict.fromkeys(T.tokens_of(question)) if len(w) >= 4]
-    n = units.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"), *(F.coalesce(F.sum(F.array_contains("toks", w).cast("int")), F.lit(0)).alias(f"_w{i}") for i, w in enumerate(words)))
+    if not words:
+        return _all_units(ix, scored.withColumn("fuzzy", F.lit(0.0)), ["bm25", "coverage", "score", "fuzzy"])
+    padded = [f" {re.sub('[^a-z0-9]+', ' ', w)} " for w in words]
+    grams = [sorted({p[j : j + 3] for j in range(len(p) - 2)}) for p in padded]
+    counts = ix.near(words).agg(*(F.count_if(F.col("term") == w).alias(f"_w{i}") for i, w in enumerate(words)))
+    stats = counts.crossJoin(ix.total().select(F.greatest("n", F.lit(1)).alias("_n")))
+    hits = ix.holding(sorted({g for own in grams for g in own}))
+    each = hits.groupBy(*ix.keys).agg(*(F.count_if(F.col("gram").isin(*own)).alias(f"_g{i}") for i, own in enumerate(grams)))
     fuzzy = F.lit(0.0)
-    for i, w in enumerate(words):
-        padded = f" {re.sub('[^a-z0-9]+', ' ', w)} "
-        grams = sorted({padded[j : j + 3] for j in range(len(padded) - 2)})
-        hits = sum((F.contains(page, F.lit(g)).cast("int") for g in grams), F.lit(0))
-        fuzzy = fuzzy + idf(F.col("_n"), F.col(f"_w{i}")) * hits / F.lit(float(max(len(grams), 1)))
-    return scored.crossJoin(F.broadcast(n)).withColumn("fuzzy", fuzzy).drop("_n", *(f"_w{i}" for i in range(len(words))))
+    for i, own in enumerate(grams):
+        fuzzy = fuzzy + idf(F.col("_n"), F.col(f"_w{i}")) * F.col(f"_g{i}") / F.lit(float(max(len(own), 1)))
+    near = each.crossJoin(F.broadcast(stats)).select(*ix.keys, fuzzy.alias("fuzzy"))
+    both = near.join(scored.drop("n_toks"), list(ix.keys), "full")
+    return _all_units(ix, both, ["bm25", "coverage", "score", "fuzzy"])
 
 
-def rank_pages(units: DataFrame, question: str, k: int = 4, scope: Column | None = None, order: list[str] = ("doc_id", "page"), digits: int = 6) -> DataFrame:
-    """The k best pages by BM25 and trigram scores, each as a share of the best; pages that hold the named phrases first."""
-    scored = trigram_scores(units, question)
-    if scope is not None:
-        scored = scored.filter(scope)
+def _relevance(scored: DataFrame, digits: int = 6) -> DataFrame:
+    """scored with relevance: BM25 and trigram scores, each as a share of the best."""
     tops = scored.agg(F.max(F.when(F.col("bm25") > 0, F.col("score"))).alias("_b"), F.max("fuzzy").alias("_f"))
     share = lambda c, m: c / F.when(F.coalesce(m, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(m)
     both = F.round(share(F.col("score"), F.col("_b")) + share(F.col("fuzzy"), F.col("_f")), digits)
-    named = T.has_entities(T.entities(F.lit(question)), "text")
-    return scored.crossJoin(F.broadcast(tops)).withColumn("named", named).withColumn("relevance", both).drop("_b", "_f").orderBy(F.desc("named"), F.desc("relevance"), *order).limit(k)
+    return scored.crossJoin(F.broadcast(tops)).withColumn("relevance", both).drop("_b", "_f")
+
 
+def _named(ix: Index, question: str) -> DataFrame | None:
+    """(keys, named): whether each unit holds the phrases that a question names; None, and no text is read, if it names none."""
+    phrases = ix.units.sparkSession.range(1).select(T.entities(F.lit(question)).alias("e")).first().e
+    if not phrases:
+        return None
+    return ix.units.select(*ix.keys, T.has_entities(F.array(*(F.lit(p) for p in phrases)), "text").alias("named"))
 
-def retrieve(pages: DataFrame, chunks: DataFrame, question: str, k_pages: int = 2, k_chunks: int = 3) -> DataFrame:
+
+def rank_pages(units: Index | DataFrame, question: str, k: int = 4, scope: Column | None = None, order: list[str] = ("doc_id", "page"), digits: int = 6) -> DataFrame:
+    """The k best pages by BM25 and trigram scores, each as a share of the best; pages that hold the named phrases first."""
+    ix = Index.of(units)
+    scored = trigram_scores(ix, question)
+    scored = _relevance(scored if scope is None else scored.filter(scope), digits)
+    named = _named(ix, question)
+    scored = scored.withColumn("named", F.lit(True)) if named is None else scored.join(named, list(ix.keys))
+    by = [F.desc("named"), F.desc("relevance"), *map(F.col, order)]
+    return ix.rows(scored.orderBy(*by).limit(k), by)
+
+
+def retrieve(pages: Index | DataFrame, chunks: Index | DataFrame, question: str, k_pages: int = 2, k_chunks: int = 3) -> DataFrame:
     """The best chunks inside the best pages: candidates by score, those with the named phrases first."""
+    inner = Index.of(chunks, ("doc_id", "page", "chunk"))
     near = search(pages, question, k_pages * 4)
     named = T.has_entities(T.entities(F.lit(question)), "text")
     chosen = near.orderBy(F.desc(named), F.desc("score"), "doc_id", "page").limit(k_pages).select("doc_id", "page")
-    scored, _ = _scored(chunks, question)
-    inside = scored.filter("bm25 > 0").join(F.broadcast(chosen), ["doc_id", "page"], "left_semi")
-    return inside.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id", "page", "chunk").limit(k_chunks)
+    scored, _ = _scored(inner, question)
+    inside = scored.filter("bm25 > 0").drop("n_toks").join(F.broadcast(chosen), ["doc_id", "page"], "left_semi")
+    by = [F.desc("score"), F.col("doc_id"), F.col("page"), F.col("chunk")]
+    return inner.rows(inside.withColumn("score", F.round("score", 6)).orderBy(*by).limit(k_chunks), by)
 
 
-def pending_pages(pages: DataFrame, question: str | None = None, limit: int | None = None) -> DataFrame:
+def pending_pages(pages: Index | DataFrame, question: str | None = None, limit: int | None = None) -> DataFrame:
     """Unread pages of PDF and image documents; with a question the most relevant first."""
+    ix = Index.of(pages)
     unread = F.col("kind").isin("pdf", "image") & F.col("source").isin("none", "scan-text")
     if question is None:
-        out = pages.filter(unread).orderBy("doc_id", "page")
+        out = ix.units.filter(unread).orderBy("doc_id", "page")
     else:
-        scored = trigram_scores(pages, question)
-        tops = scored.agg(F.max("score").alias("_b"), F.max("fuzzy").alias("_f"))
-        share = lambda c, m: c / F.when(F.coalesce(m, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(m)
-        scored = scored.crossJoin(F.broadcast(tops)).withColumn("relevance", F.round(share(F.col("score"), F.col("_b")) + share(F.col("fuzzy"), F.col("_f")), 6))
-        out = scored.filter(unread).drop("_b", "_f").orderBy(F.desc("relevance"), "doc_id", "page")
+        ranked = _relevance(trigram_scores(ix, question)).select(*ix.keys, "relevance")
+        out = ix.units.filter(unread).join(ranked, list(ix.keys)).orderBy(F.desc("relevance"), "doc_id", "page")
     return out if limit is None else out.limit(limit)
 
 
@@ -219,13 +345,14 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 3, per_block: in
     return reduce(DataFrame.union, parts)
 
 
-def unread_counts(pages: DataFrame) -> DataFrame:
+def unread_counts(pages: Index | DataFrame) -> DataFrame:
     """Documents with their pages and those not read yet."""
+    pages = Index.of(pages).units
     unread = F.col("kind").isin("pdf", "image") & F.col("source").isin("none", "scan-text")
     return pages.groupBy("doc_id", "kind").agg(F.count("*").alias("pages"), F.count_if(unread).alias("unread_pages"))
 
 
-def unseen_terms(queries: DataFrame, units: DataFrame) -> DataFrame:
+def unseen_terms(queries: DataFrame, units: Index | DataFrame) -> DataFrame:
     """(query_id, term): terms of queries (query_id, q) with no counterpart among the units' tokens.
 
     A counterpart is the term, or a token that begins with the term's stem, or with five letters of it, or four where it
@@ -239,14 +366,14 @@ def unseen_terms(queries: DataFrame, units: DataFrame) -> DataFrame:
     asked = terms.select("term", F.explode(F.array_append(F.transform(heads, lambda h: F.struct(h.alias("part"), F.lit(True).alias("head"))), F.struct(F.col("term").alias("part"), F.lit(False).alias("head")))).alias("a"))
     asked = asked.select("term", "a.part", "a.head").filter("part is not null").distinct()
     parts = lambda t: F.array(F.struct(t.alias("part"), F.lit(False).alias("head")), *(F.struct(x.alias("part"), F.lit(True).alias("head")) for x in (t, *(F.substring(t, 1, k) for k in (3, 4, 5)))))
-    there = units.select(F.explode(F.array_distinct("toks")).alias("t")).select(F.explode(F.array_distinct(parts(F.col("t")))).alias("p")).select("p.*")
+    there = document_frequencies(units).select(F.col("term").alias("t")).select(F.explode(F.array_distinct(parts(F.col("t")))).alias("p")).select("p.*")
     small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     wanted = asked.select("part", "head").distinct()
     seen = there.join(F.broadcast(wanted) if small else wanted, ["part", "head"], "left_semi").distinct()
     return terms.join(asked.join(seen, ["part", "head"], "left_semi").select("term").distinct(), "term", "left_anti").select("query_id", "term")
 
 
-def absent_terms(units: DataFrame, question: str, fuzzy_least: float = 0.82) -> DataFrame:
+def absent_terms(units: Index | DataFrame, question: str, fuzzy_least: float = 0.82) -> DataFrame:
     """(term, idf, role): question terms with no counterpart in the units.
 
     A counterpart is the term inside any text (four letters or more), a token or its first three to five letters, a
@@ -254,6 +381,7 @@ def absent_terms(units: DataFrame, question: str, fuzzy_least: float = 0.82) ->
     flags are one aggregate over the units; only tokens of similar length are compared by spelling, in Python.
     """
     terms = list(dict.fromkeys(T.tokens_of(question)))
+    units = Index.of(units).units
     spark = units.sparkSession
     if not terms:
         return spark.createDataFrame([], "term string, idf double, role boolean")
@@ -291,8 +419,9 @@ def absent_terms(units: DataFrame, question: str, fuzzy_least: float = 0.82) ->
     return spark.createDataFrame(rows, "term string, idf double, role boolean")
 
 
-def absent_share(units: DataFrame, question: str) -> float:
+def absent_share(units: Index | DataFrame, question: str) -> float:
     """Share of the question's weight, role words aside, on terms without counterpart."""
+    units = Index.of(units).units
     terms = [w for w in dict.fromkeys(T.tokens_of(question)) if w not in W.ROLE_WORDS]
     if not terms:
         return 0.0
@@ -304,13 +433,14 @@ def absent_share(units: DataFrame, question: str) -> float:
     return absent / total if total else 0.0
 
 
-def should_abstain(units: DataFrame, question: str, pages: int) -> bool:
+def should_abstain(units: Index | DataFrame, question: str, pages: int) -> bool:
     """Whether terms that are nowhere carry much of the question and no unit covers it.
 
     Not judged across scripts, for quoted labels on few pages, or for item numbers that the first texts hold.
     """
-    spark = units.sparkSession
-    sample = " ".join(r.text for r in units.orderBy("doc_id", "page").select(F.substring("text", 1, 3000).alias("text")).limit(20).collect())[:3000]
+    ix = Index.of(units)
+    spark = ix.units.sparkSession
+    sample = " ".join(r.text for r in ix.units.orderBy("doc_id", "page").select(F.substring("text", 1, 3000).alias("text")).limit(20).collect())[:3000]
     row = spark.range(1).select(T.script_mismatch(F.lit(question), F.lit(sample)).alias("cross"), T.item_refs(F.lit(question)).alias("refs")).first()
     if row.cross or re.search(r"['\"][^'\"]{2,40}['\"]", question) and pages < W.BIG_CORPUS_PAGES:
         return False

@@ -99,15 +99,15 @@ def label_match(questions: DataFrame, lexicon: DataFrame, least: int = 3) -> Dat
     return held.groupBy("query_id", "label").agg(F.count("*").alias("_k"), F.first("_n").alias("_n")).filter("_k = _n").select("query_id").distinct()
 
 
-def router_features(questions: DataFrame, pages: DataFrame, lexicon: DataFrame) -> DataFrame:
+def router_features(questions: DataFrame, pages, lexicon: DataFrame) -> DataFrame:
     """questions (query_id, q, vlm_left, tokens_left, tokens_limit) with x, the router's features in the order of FEATURES.
 
-    pages: units with tokens and source. The share of unread pages and the best score of each question are those of all
+    pages: an index of units with source, or units with tokens and source. The share of unread pages and the best score of each question are those of all
     pages; a label only counts where a page scores.
     """
-    from .index import search_many
+    from .index import Index, search_many
 
-    need = pages.agg(F.coalesce(F.avg(F.col("source").isin("none", "scan-text").cast("double")), F.lit(0.0)).alias("_need"))
+    need = Index.of(pages).units.agg(F.coalesce(F.avg(F.col("source").isin("none", "scan-text").cast("double")), F.lit(0.0)).alias("_need"))
     best = search_many(pages, questions.select("query_id", "q"), ["doc_id", "page"], 1).select("query_id", F.col("score").alias("_top"))
     named = label_match(questions, lexicon).withColumn("_label", F.lit(1.0))
     rows = questions.crossJoin(F.broadcast(need)).join(best, "query_id", "left").join(named, "query_id", "left")

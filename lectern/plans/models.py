@@ -206,7 +206,7 @@ def embed(chunks: DataFrame, text: str, embedder: Embedder = stub_embedder) -> D
     return chunks.withColumn("embedding", vectors(F.col(text)))
 
 
-def extract_named(pages: DataFrame, chunks: DataFrame, names: list[str], chat: Chat, budget: Budget) -> list[dict]:
+def extract_named(pages: index.Index | DataFrame, chunks: index.Index | DataFrame, names: list[str], chat: Chat, budget: Budget) -> list[dict]:
     """Values of named fields from the best chunks for each, one model call; a value counts as verified if its chunk holds it."""
     if not budget.can("tool_calls", len(names)):
         raise BudgetExceeded("tool_calls", len(names), budget.left("tool_calls"))
@@ -231,14 +231,14 @@ def extract_named(pages: DataFrame, chunks: DataFrame, names: list[str], chat: C
     return [{"field": n, "value": values.get(n), "verified": any(share(str(values[n]), t) >= 0.8 for t in held) if values.get(n) else False} for n in names]
 
 
-def answer(pages: DataFrame, question: str, budget: Budget, readers: list[Callable[[Column, Column], Column]], chat: Chat = stub_chat, most: int = 4) -> dict:
+def answer(pages: index.Index | DataFrame, question: str, budget: Budget, readers: list[Callable[[Column, Column], Column]], chat: Chat = stub_chat, most: int = 4) -> dict:
     """The plan of an answer: rule readers on the best page, then the model page by page until its answer is supported.
 
     pages: units with doc_id, page, text and tokens. readers give struct(value, row) for a question and a text; they run
     where the pages are ranked. Only the few best pages come to the driver.
     """
     budget.spend("tool_calls", 1, "search")
-    if index.should_abstain(pages, question, pages.select("doc_id", "page").distinct().count()):
+    if index.should_abstain(pages, question, index.Index.of(pages).total().first().n):
         return {"answer": "Not found in the documents.", "support": 0.0, "verified": False, "strategy": "abstain"}
     rows = F.replace(F.col("text"), F.lit("\n\n"), F.lit("\n"))
     read = F.coalesce(F.lit(None).cast("string"), *(reader(F.lit(question), rows)["value"] for reader in readers))
@@ -255,7 +255,7 @@ def answer(pages: DataFrame, question: str, budget: Budget, readers: list[Callab
         except BudgetExceeded as e:
             budget.ask_for(e.resource, max(e.need - e.left, 1), "more pages")
             break
-        row = pages.sparkSession.createDataFrame([(question, text, evidence, page.text, float(page.coverage))], "question string, answer string, evidence string, page_text string, coverage double")
+        row = index.Index.of(pages).units.sparkSession.createDataFrame([(question, text, evidence, page.text, float(page.coverage))], "question string, answer string, evidence string, page_text string, coverage double")
         got = verify(row).first()
         if got.support > found["support"]:
             found = {"answer": got.final_answer, "support": got.support, "verified": got.verified, "strategy": "text", "doc_id": page.doc_id, "page": page.page}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -94,10 +96,36 @@ def rollback_policy(folder: str) -> bool:
     return True
 
 
+_LEFT: set[str] = set()
+
+
+def _root(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors see; a local session without one uses a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/lectern-kept-{spark.sparkContext.applicationId}"
+
+
+def _removed_at_end(spark: SparkSession, folder: str) -> str:
+    if folder not in _LEFT:
+        _LEFT.add(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def kept(spark: SparkSession, source: str, name: str) -> str:
+    """A folder for what is derived from a file or folder in its present state; it goes with the application."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = f"{source} {system.getFileStatus(path).getModificationTime()} {system.getContentSummary(path).getLength()}"
+    return _removed_at_end(spark, f"{_root(spark)}-{name}-{hashlib.sha1(state.encode()).hexdigest()[:12]}")
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[str]:
-    """A new folder under the checkpoint folder, which all executors see; a local session without one uses its own."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    yield f"{root.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder of the application."""
+    yield _removed_at_end(spark, f"{_root(spark)}-{name}-{uuid.uuid4().hex[:12]}")

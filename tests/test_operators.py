@@ -96,6 +96,22 @@ def test_search_ties_scope_and_nothing_found(spark):
     assert [r.score for r in near.orderBy("rank").collect()] == [r.score for r in ix.search(units, "loan amount", 3).collect()]
 
 
+def test_stored_index_gives_the_same(spark, tmp_path):
+    rows = [(1, 1, "loan amount approved"), (2, 1, "loan amount of Karim Rahman"), (3, 1, "loans and the loan loan"), (4, 1, "nothing of note"), (4, 2, "")]
+    units = ix.add_tokens(spark.createDataFrame(rows, "doc_id long, page int, text string"))
+    held = ix.Index.build(units, ("doc_id", "page"), f"{tmp_path}/index")
+    flat = lambda df: [tuple(r[c] for c in sorted(df.columns) if c != "toks") for r in df.collect()]
+    for q in ("loan amount", "What did Karim Rahman loan?", "zebra", "the of"):
+        assert flat(ix.search(held, q, 3)) == flat(ix.search(units, q, 3))
+        assert flat(ix.rank_pages(held, q, 3)) == flat(ix.rank_pages(units, q, 3))
+        assert sorted(flat(ix.trigram_scores(held, q))) == sorted(flat(ix.trigram_scores(units, q)))
+        assert flat(ix.best_coverage(held, q)) == flat(ix.best_coverage(units, q))
+    assert ix.rank_pages(held, "What did Karim Rahman loan?", 1).first().doc_id == 2
+    assert sorted(flat(ix.document_frequencies(ix.drop_page(held, 1, 1)))) == sorted(flat(ix.document_frequencies(units.filter("doc_id > 1"))))
+    asked = spark.createDataFrame([("q", "loaned lender amounts approving zebra"), ("n", None)], "query_id string, q string")
+    assert sorted(map(tuple, ix.unseen_terms(asked, held).collect())) == sorted(map(tuple, ix.unseen_terms(asked, units).collect())) == [("q", "lender"), ("q", "zebra")]
+
+
 def test_absent_terms(spark):
     units = ix.add_tokens(spark.createDataFrame([(1, 1, "the applicant signature and employer 1993DEPARTMENT")], "doc_id long, page int, text string"))
     terms = {r.term for r in ix.absent_terms(units, "Was the department work signed by a zebra applicants employerr?").collect()}
