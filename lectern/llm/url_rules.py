@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._joins import common_keys, salted_join
+
 #: Rules that are kept in the plan as a literal map; more of them are joined by token.
 INLINE_RULES = 256
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,7 +108,9 @@ def judge_urls(
         F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("token").alias("t"))).alias("token")
     )
     loose = [(r, w) for r, w in every if not r.tokens]
-    hits = at.join(rarest, "token").filter(F.expr("place rlike pattern")).groupBy("place").agg(
+    # A rule whose rarest literal is common all the same meets its URLs in several tasks.
+    common = common_keys(counts, "token", "n", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    hits = salted_join(at, rarest, "token", common).filter(F.expr("place rlike pattern")).groupBy("place").agg(
         F.max(F.when(~F.col("word"), F.struct("rank", "name", "verdict"))).alias("host"),
         F.max(F.when(F.col("word"), F.struct("rank", "name", "verdict"))).alias("word"),
     )
