@@ -202,13 +202,27 @@ def trust(readings: DataFrame) -> DataFrame:
 
 
 def token_allowance(records: DataFrame, order: list[str], limit: float, cls: str = "cls", used: str = "used") -> DataFrame:
-    """(cls, n, ema, allowance): the running mean of tokens used, begun with the first value, and what a class may use."""
-    listed = records.groupBy(cls).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(used).cast("double").alias("_u")))).alias("e"))
-    ema = F.aggregate("e", F.get("e", F.lit(0))["_u"], lambda s, e: F.lit(1 - EMA) * s + F.lit(EMA) * e["_u"])
+    """(cls, n, ema, allowance): the running mean of tokens used, begun with the first value, and what a class may use.
+
+    The mean is a weighted sum: a run of m values turns a mean e into (1 - EMA)**m * e plus a sum of the run's own values. So
+    records are dealt into ranges of the order, each range of a class is one fold, and only the ranges' sums of a class come
+    together, in order.
+    """
+    kept = F.lit(1 - EMA)
+    value = F.col(used).cast("double")
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = records.select(cls, *order, value.alias("_u")).repartitionByRange(tasks, *order).withColumn("_p", F.spark_partition_id())
+    listed = ranges.groupBy(cls, "_p").agg(F.array_sort(F.collect_list(F.struct(*order, "_u"))).alias("e"))
+    step = lambda s, u: kept * s + F.lit(EMA) * u
+    runs = listed.select(cls, "_p", F.size("e").alias("m"), F.get("e", F.lit(0))["_u"].alias("first"), F.aggregate("e", F.lit(0.0), lambda s, e: step(s, e["_u"])).alias("sum"))
+    joined = runs.groupBy(cls).agg(F.array_sort(F.collect_list(F.struct("_p", "m", "first", "sum"))).alias("r"))
+    # begun with the first value, as if it had stood there before
+    ema = F.aggregate("r", F.get("r", F.lit(0))["first"], lambda s, r: F.pow(kept, r["m"]) * s + r["sum"])
+    n = F.aggregate("r", F.lit(0), lambda s, r: s + r["m"])
     default = F.lit(None).cast("double")
-    for name, n in TOKEN_DEFAULT.items():
-        default = F.when(F.col(cls) == name, F.lit(float(n))).otherwise(default)
-    out = listed.select(cls, F.size("e").alias("n"), ema.alias("ema"))
+    for name, tokens in TOKEN_DEFAULT.items():
+        default = F.when(F.col(cls) == name, F.lit(float(tokens))).otherwise(default)
+    out = joined.select(cls, n.alias("n"), ema.alias("ema"))
     base = F.when(F.col("n") < 5, default).otherwise(F.greatest(F.lit(0.6) * default, F.lit(2.0) * F.col("ema")))
     return out.withColumn("allowance", F.floor(F.least(F.lit(float(limit)), base)).cast("long"))
 
