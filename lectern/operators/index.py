@@ -209,8 +209,8 @@ def best_coverage(units: Index | DataFrame, question: str, scope: Column | None
     return (scored if scope is None else scored.filter(scope)).agg(F.coalesce(F.max("coverage"), F.lit(0.0)).alias("coverage"))
 
 
-def search_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k: int = 10, digits: int = 6) -> DataFrame:
-    """(query_id, keys, score, rank): the k best units of each query (query_id, q), ties by keys.
+def search_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k: int = 10, digits: int = 6, within: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, keys, score, rank): the k best units of each query (query_id, q), ties by keys; within: of each group of units.
 
     Only tokens that some query has, or whose first four letters it shares, leave a unit's row; the statistics of the
     terms are an aggregate over those. Queries are broadcast up to BROADCAST_QUERIES of them, joined by term beyond.
@@ -237,11 +237,11 @@ def search_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k
     sums = each.groupBy("query_id", *keys).agg(F.sum("part").alias("bm25"), F.sum("idf").alias("covered")).filter("bm25 > 0")
     sums = sums.join(hint(total), "query_id")
     score = F.round(F.col("bm25") * (0.25 + 0.75 * F.col("covered") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))), digits)
-    return top(sums.withColumn("score", score), "query_id", [F.desc("score"), *keys], k).select("query_id", *keys, "score", "rank")
+    return top(sums.withColumn("score", score), ["query_id", *within], [F.desc("score"), *keys], k).select("query_id", *keys, "score", "rank")
 
 
-def top(rows: DataFrame, by: str, order: list, k: int) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
+def top(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def trigram_scores(units: Index | DataFrame, question: str) -> DataFrame:
@@ -341,7 +341,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 3, per_block: in
         literal = vectors.sparkSession.createDataFrame(block, f"query_id {kind}, q array<double>")
         dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
         pairs = vectors.select("vec_id", "embedding").join(F.broadcast(literal), how="cross").select("query_id", "vec_id", F.round(dot, digits).alias("score"))
-        parts.append(top(pairs, "query_id", [F.desc("score"), F.desc("vec_id")], k))
+        parts.append(top(pairs, ["query_id"], [F.desc("score"), F.desc("vec_id")], k))
     return reduce(DataFrame.union, parts)
 
 

@@ -382,4 +382,7 @@ ORACLES: dict[str, str] = {
       CASE WHEN changed THEN calls ELSE 8 END::DOUBLE AS limit_tool_calls FROM y""",
     "md5_chat_within": """WITH c AS (SELECT conv_id, CAST(floor(sum(length(coalesce(text, '')) / 3.2::DOUBLE + 4)) AS BIGINT) AS estimate, length(coalesce(arg_max(coalesce(text, ''), turn), '')) // 4 AS used, CAST(conv_id % 600 AS DOUBLE) AS l FROM conversations GROUP BY conv_id),
       r AS (SELECT *, estimate + 32 > l AS refused FROM c) SELECT conv_id, estimate, refused, CASE WHEN refused THEN 0 ELSE used END AS used, round(greatest(l - CASE WHEN refused THEN 0 ELSE used END, 0.0), 3) AS left_after FROM r""",
+    "ex6_targeted": f"""WITH {FORMS}, n AS (SELECT doc_id, text, unnest(['Market Segment', 'Nation', 'Owner']) AS field FROM f WHERE len(list_intersect({tok("text")}, ['market', 'segment', 'nation', 'owner'])) > 0),
+      v AS (SELECT doc_id, field, list_filter(string_split(text, {NL}), lambda x: starts_with(x, field || ': '))[1] AS line FROM n) SELECT doc_id, field, substr(line, length(field) + 3) AS value, line IS NOT NULL AS verified FROM v""",
+    "md2_second_readings": f"WITH {BOXES} SELECT doc_id, line, l_partkey AS part, CASE WHEN score < 0.9 AND line % 3 <> 0 THEN upper(text) END AS alt FROM b",
 }

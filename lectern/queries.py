@@ -609,6 +609,15 @@ def ex5_extract_all(spark, d):
     return ex.extract_all(forms(spark, d), ["doc_id"])
 
 
+FIELDS = ("Market Segment", "Nation", "Owner")
+
+
+@query
+def ex6_targeted(spark, d):
+    """Named fields of each form by the stub model, which reads lines; values that stand in the next block are not seen."""
+    return models.extract_rows(ix.Index.of(ix.add_tokens(forms(spark, d)), ("doc_id",)), list(FIELDS), models.stub_fields)
+
+
 @query
 def ex7_field_answers(spark, d):
     f = forms(spark, d)
@@ -861,6 +870,13 @@ def bg6_change_limits(spark, d):
     return lg.change_limits(held, "asked").select("event_id", "changed", *(f"limit_{r}" for r in ("llm_tokens", "seconds", "tool_calls")))
 
 
+@query
+def md2_second_readings(spark, d):
+    """What the stub makes of boxes that were read with little confidence; some crops are empty."""
+    b = _line_boxes(spark, d).withColumn("crop", F.when(F.col("line") % 3 == 0, "").otherwise(F.col("text")))
+    return models.second_readings(b, models.stub_second).select("doc_id", "line", "part", "alt")
+
+
 @query
 def md5_chat_within(spark, d):
     """Each conversation as one prompt to the stub, refused where its estimate does not fit the tokens left; real use is charged."""
