@@ -116,7 +116,7 @@ def mix(rows, weights=(5, 2, 1), most=3):
     return size, target
 
 
-def toxicity(docs, labelled, lengths=(3, 4, 5, 6), bits=20, least_z=3.5, least_docs=4, rounds=150):
+def toxicity(docs, labelled, lengths=(3, 4, 5, 6), bits=20, least_z=3.5, least_ratio=np.log(2), least_docs=4, rounds=150):
     """Scores of docs (texts) by a classifier fitted on labelled (text, label) pairs, n-gram by n-gram in plain Python."""
     odd = dict(zip(lengths, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)))
 
@@ -140,7 +140,7 @@ def toxicity(docs, labelled, lengths=(3, 4, 5, 6), bits=20, least_z=3.5, least_d
     scale = {}
     for p, (a, b) in df.items():
         r = np.log((b + 1) / (n[1] + 2)) - np.log((a + 1) / (n[0] + 2))
-        if a + b >= least_docs and abs(r) / np.sqrt(1 / (b + 1) + 1 / (a + 1)) >= least_z:
+        if a + b >= least_docs and abs(r) >= least_ratio and abs(r) / np.sqrt(1 / (b + 1) + 1 / (a + 1)) >= least_z:
             scale[p] = r
     kept = sorted(scale)
     x = np.array([[scale[p] if p in held else 0.0 for p in kept] for held, _ in rows]).reshape(len(rows), len(kept))
