@@ -25,7 +25,7 @@ WORDS = HASHES * BITS // 64
 #: Estimates this far under the similarity are still confirmed: 5 standard errors of 128 minima at 0.75.
 MARGIN = 0.2
 #: Shingles and members of a block of a bucket; larger buckets are compared block by block.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 1024
+BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 512
 
 _rng = np.random.Generator(np.random.PCG64(20240602))
 _A = _rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
