@@ -58,9 +58,8 @@ class Index:
         terms = held.select(*keys, "n_toks", F.explode("toks").alias("term")).groupBy("term", *keys, "n_toks").agg(F.count("*").alias("f"))
         # A range is cut inside a common term too, by the units' keys.
         terms.repartitionByRange(tasks, "term", *keys).sortWithinPartitions("term", *keys).write.parquet(f"{folder}/postings")
-        size = F.length("_page")
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring("_page", i, F.lit(3)))
-        grams = held.select(*keys, _flat().alias("_page")).select(*keys, F.explode(F.array_distinct(grams)).alias("gram"))
+        every = F.regexp_extract_all(_flat(), F.lit("(?s)(?=(...))"), F.lit(1))  # at each place, in one scan
+        grams = held.select(*keys, F.explode(F.array_distinct(every)).alias("gram"))
         grams.repartitionByRange(tasks, "gram", *keys).sortWithinPartitions("gram", *keys).write.parquet(f"{folder}/grams")
         _totals(held).write.parquet(f"{folder}/totals")
         return Index.open(spark, keys, folder)
