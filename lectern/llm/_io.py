@@ -74,6 +74,6 @@ def text_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0)
 
 
-def shuffle_partitions(spark: SparkSession, n_bytes: int = 0, each: int = 32 << 20) -> int:
+def shuffle_partitions(spark: SparkSession, n_bytes: int = 0, each: int = 8 << 20) -> int:
     """The session's number of shuffle partitions, or more, so that one holds about `each` bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // each + 1)

@@ -8,19 +8,21 @@ from lectern.llm._components import components
 from lectern.llm._unions import Forest
 
 
-@pytest.mark.parametrize("n, links", [(60, 40), (200, 160), (0, 0)])
-def test_random_edges(spark, n, links):
+@pytest.mark.parametrize("n, links, one_task", [(60, 40, None), (200, 160, 0), (0, 0, 0), (200, 160, 90)])
+def test_random_edges(spark, n, links, one_task):
+    """In one task, in rounds over all tasks, and in rounds until few edges are left."""
     rng = random.Random(n)
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(links)] + [(5, 5)] * bool(n)
     want = brute.components(list(range(n)), edges)
     ids = {x for e in edges if e[0] != e[1] for x in e}
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
     assert got == {i: want[i] for i in ids}
 
 
-def test_chain_and_star(spark):
+@pytest.mark.parametrize("one_task", [None, 0])
+def test_chain_and_star(spark, one_task):
     edges = [(i, i + 1) for i in range(120)] + [(1000, 1000 + i) for i in range(1, 300)]
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
     assert set(got.values()) == {0, 1000} and len(got) == 121 + 300
 
 
