@@ -75,4 +75,51 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, len(w.w) - coalesce(k.n, 0
 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 """
 
-ORACLES = {"op9_cover_dedup": OP9, "op3_minhash": OP3, "op2_near_vectors": OP2, "op4_mixing": OP4, "op10_url_filter": OP10}
+OP12 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+k AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k
+"""
+
+#: The crc32 goes by half bytes; its 16 remainders are fixed values.
+OP13 = r"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, source, lang, n_chars, text, CAST(doc_id AS VARCHAR) AS s,
+         [%s] AS r FROM documents),
+x AS (
+  SELECT *, list_reduce(flatten(list_transform(range(1, length(s) + 1), lambda i: [CAST(ascii(s[i]) AS BIGINT), 0])),
+         lambda a, b: xor(r[(xor(a, b) & 15) + 1], xor(a, b) >> 4), 4294967295) & 1 AS odd FROM c),
+y AS (SELECT *, CASE WHEN odd = 1 THEN replace(text, chr(10), '') ELSE text END AS changed,
+             concat_ws('', coalesce(octet_length(encode(s)) || ':' || s, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                       coalesce(octet_length(encode(lang)) || ':' || lang, '-'),
+                       coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || CAST(n_chars AS VARCHAR), '-')) AS head FROM x),
+z AS (SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+             sha256(head || coalesce(octet_length(encode(changed)) || ':' || changed, '-')) AS forged FROM y),
+l AS (SELECT *, row_number() OVER (ORDER BY doc_id, leaf) AS id, dense_rank() OVER (ORDER BY source COLLATE "C" NULLS FIRST) - 1 AS t,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM z),
+nodes(lvl, t, i, n, h) AS (
+  SELECT 0, t, i, n, leaf FROM l
+  UNION ALL SELECT lvl + 1, t, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lvl, t, i // 3, n),
+subroots AS (SELECT t, h FROM nodes WHERE n = 1),
+top(lvl, i, n, h) AS (
+  SELECT 0, t, (SELECT count(*) FROM subroots), h FROM subroots
+  UNION ALL SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lvl, i // 3, n),
+every AS (SELECT 0 AS kind, * FROM nodes UNION ALL SELECT 1, lvl, 0, i, n, h FROM top),
+s AS (SELECT a.kind, a.lvl, a.t, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+      FROM every a JOIN every b ON a.kind = b.kind AND a.lvl = b.lvl AND a.t = b.t AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY a.kind, a.lvl, a.t, a.i),
+low(id, lvl, t, i, h, proof) AS (
+  SELECT id, 0, t, i, forged, '' FROM l
+  UNION ALL SELECT id, w.lvl + 1, w.t, w.i // 3, sha256(before || h || after), proof || before || after FROM low w JOIN s ON s.kind = 0 AND s.lvl = w.lvl AND s.t = w.t AND s.i = w.i),
+mid AS (SELECT id, t, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM low GROUP BY id, t),
+high(id, lvl, i, h, proof) AS (
+  SELECT id, 0, t, h, proof FROM mid
+  UNION ALL SELECT id, w.lvl + 1, w.i // 3, sha256(before || h || after), proof || before || after FROM high w JOIN s ON s.kind = 1 AND s.lvl = w.lvl AND s.i = w.i),
+done AS (SELECT id, arg_max(h, lvl) AS folded, arg_max(proof, lvl) AS proof FROM high GROUP BY id),
+root AS (SELECT h FROM top WHERE n = 1)
+SELECT l.doc_id, l.leaf, subroots.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.h AS verified
+FROM l JOIN subroots ON l.t = subroots.t JOIN done ON l.id = done.id CROSS JOIN root
+""" % (
+    "0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108"
+)
+
+ORACLES = {"op12_exact_dedup": OP12, "op13_merkle_manifest": OP13, "op9_cover_dedup": OP9, "op3_minhash": OP3, "op2_near_vectors": OP2, "op4_mixing": OP4, "op10_url_filter": OP10}

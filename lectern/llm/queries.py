@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cover_dedup, decontaminate, embedding_join, minhash, mixing, secrets, suffix_dedup, token_counts, toxicity, url_rules
+from . import alignment, cover_dedup, decontaminate, embedding_join, exact_dedup, merkle, minhash, mixing, secrets, suffix_dedup, token_counts, toxicity, url_rules
 
 #: The file of the tokenizer that op1 counts with; the folder is a parameter.
 TOKENIZER = os.environ.get("LECTERN_TOKENIZER", "")
@@ -63,6 +64,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, checked against texts that lost their line breaks where 2 divides the id's crc32."""
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.verified(_table(spark, sf_dir, "documents"), changed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_near_vectors": op2_near_vectors,
@@ -74,4 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_cover_dedup": op9_cover_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
