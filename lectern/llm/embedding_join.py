@@ -20,8 +20,14 @@ GRID, LEADING = 4, 24
 BLOCK_BYTES, LEAF, FAN = 1 << 20, 1024, 8
 #: Blocks of a group at most; a task holds two groups.
 GROUP = 16
+#: Groups of each side of a tile at most; the groups of the first side are held, those of the second pass by.
+TILE = 4
+#: Bytes of blocks that a task of the comparison reads on the mean; it holds one side of a tile at a time.
+TASK_BYTES = 256 << 20
 #: Room for rounding in tests that only exclude.
 SLACK = 1e-4
+#: Cosines of turned vectors that are as near to the threshold are decided by the vectors as they are.
+TIE = 1e-9
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9) -> DataFrame:
@@ -30,9 +36,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Equal vectors are one class. Classes are rotated to principal dimensions, ordered by their grid cells of edge
     epsilon, and cut into blocks and groups of blocks. Pairs of intervals of that sequence are halved down to leaves,
     and left out as soon as their bounding boxes are further apart than epsilon: between groups by joins over a tree of
-    boxes, inside a pair of groups by recursion. A block is sent once for each pair of groups, not for each pair of
-    blocks. What remains is compared in double precision. A task returns counts and a spanning forest of its links, so
-    a group of n vectors yields about n rows, not n**2. No pair is left out.
+    boxes, inside a pair of groups by recursion. Pairs of groups are compared in tiles of up to TILE by TILE groups; a
+    block is sent once for each tile. What remains is compared in double precision; cosines within 1e-9 of the threshold
+    are taken from the vectors as given, dot / sqrt(square * square), so pairs that meet it exactly are links. A task
+    returns counts and a spanning forest of its links, so a group of n vectors yields about n rows, not n**2. No pair is
+    left out.
 
     Vectors that are null, empty, zero, or hold null, NaN or infinity link with nothing, nor do vectors of different
     lengths (lengths up to each power of two are joined in one go, padded with zeros). Null ids: the row counts as a
@@ -76,26 +84,36 @@ def _good(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    """Rows of length 1, padded with zeros to d components."""
+def _padded(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows padded with zeros to d components, and their sizes."""
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if (sizes == d).all():
-        x = flat.reshape(-1, d)
-    else:
-        x = np.zeros((len(sizes), d))
-        x[np.arange(d) < sizes[:, None]] = flat
+        return flat.reshape(-1, d), sizes
+    x = np.zeros((len(sizes), d))
+    x[np.arange(d) < sizes[:, None]] = flat
+    return x, sizes
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows; powers of two that scale a row change nothing but keep squares from running over."""
+    x, y = (v * np.exp2(-np.floor(np.log2(np.abs(v).max(axis=1, keepdims=True)))) for v in (x, y))
+    return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+
+
 def _axes(classes: DataFrame, d: int, count: int) -> np.ndarray:
     """The principal axes, the leading one first; the executors sum the products, the driver gets d * d numbers."""
 
     def products(batches):
         total = np.zeros((d + 1, d))
         for batch in batches:
-            x = _matrix(batch.column("v"), d)
+            x = _unit(_padded(batch.column("v"), d)[0])
             total[:d] += x.T @ x
             total[d] += x.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(range(d + 1), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["k", "row"])
@@ -126,28 +144,29 @@ def _links(classes: DataFrame, d: int, count: int, least: float) -> tuple[DataFr
 
     def turned(batches):
         for batch in batches:
-            r = _matrix(batch.column("v"), d) @ axes.value
-            sizes = np.diff(batch.column("v").offsets.to_numpy())
-            cells = np.floor(r[:, :grid] / eps).astype(np.int32)
+            given, sizes = _padded(batch.column("v"), d)
+            r = _unit(given) @ axes.value[:, :grid]
+            cells = np.floor(r / eps).astype(np.int32)
             columns = [pa.array(c) for c in cells.T]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("n"), pa.array(sizes, pa.int32()), pa.array([y.tobytes() for y in r]), *columns], ["uid", "n", "size", "r", *names]
+                [batch.column("uid"), batch.column("n"), pa.array(sizes, pa.int32()), pa.array([y.tobytes() for y in given]), *columns], ["uid", "n", "size", "v", *names]
             )
 
     def cut(batches):
         at, held = TaskContext.get().partitionId() << 32, []
 
         def block(rows):
-            uid, n, size, r = zip(*rows, strict=True)
-            x = np.frombuffer(b"".join(r)).reshape(-1, d)
+            uid, n, size, v = zip(*rows, strict=True)
+            given = b"".join(v)
+            x = _unit(np.frombuffer(given).reshape(-1, d)) @ axes.value[:, :lead]
             return pa.RecordBatch.from_arrays(
-                [pa.array([at], pa.int64()), pa.array([len(uid)], pa.int64()), *(pa.array([np.array(c, np.int64).tobytes()]) for c in (uid, n, size)), pa.array([x.tobytes()])]
-                + [pa.array([list(f(x[:, :lead], axis=0))], pa.list_(pa.float64())) for f in (np.min, np.max)],
-                ["at", "rows", "uids", "ns", "sizes", "xs", "lo", "hi"],
+                [pa.array([at], pa.int64()), pa.array([len(uid)], pa.int64()), *(pa.array([np.array(c, np.int64).tobytes()]) for c in (uid, n, size)), pa.array([given])]
+                + [pa.array([list(f(x, axis=0))], pa.list_(pa.float64())) for f in (np.min, np.max)],
+                ["at", "rows", "uids", "ns", "sizes", "vs", "lo", "hi"],
             )
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("uid", "n", "size", "r")), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in ("uid", "n", "size", "v")), strict=True):
                 held.append(row)
                 if len(held) == per_block:
                     yield block(held)
@@ -156,28 +175,55 @@ def _links(classes: DataFrame, d: int, count: int, least: float) -> tuple[DataFr
             yield block(held)
 
     names = [f"c{i}" for i in range(grid)]
-    shape = "uid long, n long, size int, r binary, " + ", ".join(f"{c} int" for c in names)
+    shape = "uid long, n long, size int, v binary, " + ", ".join(f"{c} int" for c in names)
     ranges = max(1, -(-count // (per_block * group)))
     ordered = classes.mapInArrow(turned, shape).repartitionByRange(ranges, *names, "uid").sortWithinPartitions(*names, "uid")
-    shape = "at long, rows long, uids binary, ns binary, sizes binary, xs binary, lo array<double>, hi array<double>"
-    blocks = table(ordered.select("uid", "n", "size", "r").mapInArrow(cut, shape), "vector-blocks")
+    shape = "at long, rows long, uids binary, ns binary, sizes binary, vs binary, lo array<double>, hi array<double>"
+    blocks = table(ordered.select("uid", "n", "size", "v").mapInArrow(cut, shape), "vector-blocks")
     boxes = table(_grouped(blocks.select("at", "rows", "lo", "hi"), per_block * group), "boxes")
     pairs, made = _box_pairs(boxes.groupBy("grp").agg(*_ends(lead)), eps)
     pairs = table(pairs, "group-pairs")
-    # each group with all pairs that it is in; then its blocks go to each of them
-    tile = F.xxhash64("a", "b").alias("tile")
-    sides = pairs.select(F.col("a").alias("grp"), tile).union(pairs.filter("a <> b").select(F.col("b").alias("grp"), tile))
-    wanted = boxes.select("at", "grp").join(sides.groupBy("grp").agg(F.collect_list("tile").alias("tiles")), "grp")
-    tiles = blocks.join(wanted, "at").select(F.explode("tiles").alias("tile"), "grp", "at", "uids", "ns", "sizes", "xs")
-    tiles = tiles.repartition(max(partitions, pairs.count()), "tile").sortWithinPartitions("tile", "grp", "at")
+    # Tiles of pairs, so many that all tasks have some; a group's blocks go to a tile once for each side that it is on.
+    n_groups = -(-n_blocks // group)
+    width = max(1, min(TILE, n_groups // int(np.ceil(np.sqrt(4 * partitions)))))
+    of = pairs.select("a", "b", F.floor(F.col("a") / width).alias("s"), F.floor(F.col("b") / width).alias("t")).withColumn("tile", F.xxhash64("s", "t"))
+    second = of.groupBy("tile", "b").agg(F.collect_list("a").alias("others")).select("tile", F.lit(1).alias("side"), F.col("b").alias("grp"), "others")
+    sides = of.select("tile", F.lit(0).alias("side"), F.col("a").alias("grp"), F.array().cast("array<long>").alias("others")).distinct().union(second)
+    wanted = boxes.select("at", "grp").join(sides.groupBy("grp").agg(F.collect_list(F.struct("tile", "side", "others")).alias("tiles")), "grp")
+    tiles = blocks.join(wanted, "at").select(F.explode("tiles").alias("e"), "grp", "at", "uids", "ns", "sizes", "vs").select("e.*", "grp", "at", "uids", "ns", "sizes", "vs")
+    # A task holds one side of one tile, whatever its partition holds: its number follows the bytes, not the pairs.
+    sent = of.select("tile").distinct().count() * 2 * width * group * BLOCK_BYTES
+    tiles = tiles.repartition(max(partitions, min(of.count(), sent // TASK_BYTES)), "tile").sortWithinPartitions("tile", "side", "grp", "at")
 
     def compare(batches):
-        for t in groups((part for batch in batches for part in (batch.slice(i, 1) for i in range(batch.num_rows))), "tile"):
-            yield from _compare_groups(t, d, least, eps)
+        tile, held = None, {}
+        for t in groups(_numbered(batches), "run"):
+            run = {c: t.column(c)[0].as_py() for c in ("tile", "side", "grp")}
+            one = _side(t, d, axes.value)
+            if run["tile"] != tile:
+                tile, held = run["tile"], {}
+            if run["side"] == 0:
+                held[run["grp"]] = one
+                continue
+            for other in t.column("others")[0].as_py():
+                same = other == run["grp"]
+                yield _compare(one if same else held[other], one, same, d, least, eps)
 
     return tiles.mapInArrow(compare, "a long, b long, n long"), [blocks, boxes, pairs, *made]
 
 
+def _numbered(batches):
+    """Single rows with a number for each run of equal tile, side and group."""
+    last, run = None, -1
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            now = tuple(row.column(c)[0].as_py() for c in ("tile", "side", "grp"))
+            if now != last:
+                last, run = now, run + 1
+            yield row.append_column("run", pa.array([run], pa.int64()))
+
+
 def _ends(size: int) -> list[Column]:
     """The box around boxes."""
     return [F.array(*(f(F.element_at(c, i + 1)) for i in range(size))).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]
@@ -222,24 +268,20 @@ def _box_pairs(boxes: DataFrame, eps: float) -> tuple[DataFrame, list[DataFrame]
     return pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), made
 
 
-def _compare_groups(t: pa.Table, d: int, least: float, eps: float):
-    """Links between the blocks of two groups, or inside one group; each side is stacked once."""
-    grp = t.column("grp").to_numpy()
-    sides = []
-    for g in dict.fromkeys(grp.tolist()):
-        own = np.flatnonzero(grp == g)
-        cols = {c: t.column(c).take(pa.array(own)).to_pylist() for c in ("uids", "ns", "sizes", "xs")}
-        uid, n, size = (np.frombuffer(b"".join(cols[c]), np.int64) for c in ("uids", "ns", "sizes"))
-        x = np.frombuffer(b"".join(cols["xs"])).reshape(-1, d)
-        lead = min(d, LEADING)
-        rest = np.sqrt(np.maximum(0, 1 - (x[:, :lead] ** 2).sum(axis=1)))
-        sides.append((uid, n, size, x, np.concatenate([x[:, :lead], rest[:, None]], axis=1).astype(np.float32)))
-    yield _compare(sides[0], sides[-1], len(sides) == 1, d, least, eps)
+def _side(t: pa.Table, d: int, axes: np.ndarray) -> tuple:
+    """The vectors of a group: ids, multiplicities, sizes, turned, their leading part, as given, and squares of lengths."""
+    cols = {c: t.column(c).to_pylist() for c in ("uids", "ns", "sizes", "vs")}
+    uid, n, size = (np.frombuffer(b"".join(cols[c]), np.int64) for c in ("uids", "ns", "sizes"))
+    given = np.frombuffer(b"".join(cols["vs"])).reshape(-1, d)
+    x = _unit(given) @ axes
+    lead = min(d, LEADING)
+    rest = np.sqrt(np.maximum(0, 1 - (x[:, :lead] ** 2).sum(axis=1)))
+    return uid, n, size, x, np.concatenate([x[:, :lead], rest[:, None]], axis=1).astype(np.float32), given
 
 
 def _compare(one: tuple, two: tuple, same: bool, d: int, least: float, eps: float) -> pa.RecordBatch:
     """Links between two sequences, or inside one."""
-    (u1, n1, z1, x1, s1), (u2, n2, z2, x2, s2) = one, two
+    (u1, n1, z1, x1, s1, v1), (u2, n2, z2, x2, s2, v2) = one, two
     mixed = z1.min() != z2.max() or z1.max() != z2.min()
     shift = 0 if same else len(u1)
     forest, counts = Forest(len(u1) + (0 if same else len(u2))), np.zeros(len(u1) + (0 if same else len(u2)), np.int64)
@@ -254,6 +296,10 @@ def _compare(one: tuple, two: tuple, same: bool, d: int, least: float, eps: floa
         else:
             cos = np.concatenate([np.einsum("ij,ij->i", x1[a0 + i[k : k + 65536]], x2[b0 + j[k : k + 65536]]) for k in range(0, len(i), 65536)])
         good = cos >= least
+        tied = np.flatnonzero(np.abs(cos - least) <= TIE)
+        for k in range(0, len(tied), 65536):
+            at = tied[k : k + 65536]
+            good[at] = _cosines(v1[a0 + i[at]], v2[b0 + j[at]]) >= least
         if mixed:
             good &= z1[a0 + i] == z2[b0 + j]
         i, j = a0 + i[good], b0 + j[good]
