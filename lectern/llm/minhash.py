@@ -84,6 +84,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
+    # What a text is found by in the second pass, whatever its id: 96 bits, so that no two texts of a corpus share them.
+    hashed = texts.withColumn("h", F.xxhash64("text")).withColumn("h2", F.hash("text"))
 
     def sign(batches):
         for batch in pieces(batches, "text"):
@@ -97,13 +99,13 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     digests[i] = hashlib.blake2b(h[at[i] : at[i + 1]].tobytes(), digest_size=16).digest()
                     sigs[i], bands[i] = low[j].tobytes(), keys[j]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["id", "n", "digest", "sig", "bands"],
+                [batch.column("id"), batch.column("h"), batch.column("h2"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["id", "h", "h2", "n", "digest", "sig", "bands"],
             )
 
-    rows = table(texts.mapInArrow(sign, f"id {kind}, n long, digest binary, sig binary, bands array<long>"), "signatures")
+    rows = table(hashed.mapInArrow(sign, f"id {kind}, h long, h2 int, n long, digest binary, sig binary, bands array<long>"), "signatures")
     classes = rows.filter("digest is not null").groupBy("digest").agg(
-        F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+        F.min("id").alias("least_id"), F.min(F.struct("h", "h2")).alias("found_by"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
     )
     classes = table(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
     every = classes.select("uid", F.explode("bands").alias("key"))
@@ -127,9 +129,9 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hubbed = table(sides.select("uid", "hub", "n1", "n2", "sig1", "sig2").mapInArrow(likely, "uid long, hub long"), "pairs")
     release(pairs, shared)
     need = hubbed.select("uid").union(hubbed.select(F.col("hub").alias("uid"))).union(members.filter("m > 2").select("uid")).distinct()
-    need = table(classes.join(need, "uid").select("uid", "least_id", "digest"), "needed")
-    near = sieved(texts, F.col("id"), need, F.col("least_id"), need.count())  # most texts stay where they are
-    wanted = near.join(need, F.col("id").eqNullSafe(F.col("least_id"))).select("uid", "digest", "text")
+    need = table(classes.join(need, "uid").select("uid", "found_by.h", "found_by.h2", "digest"), "needed")
+    near = sieved(hashed, F.col("h"), need, F.col("h"), need.count())  # most texts stay where they are
+    wanted = near.select("h", "h2", "text").dropDuplicates(["h", "h2"]).join(need, ["h", "h2"]).select("uid", "digest", "text")
 
     def take(batches):
         for batch in pieces(batches, "text"):
@@ -139,7 +141,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(sets, pa.binary())], ["uid", "shingles"])
             yield out.filter(pa.array(right))
 
-    sets = table(wanted.mapInArrow(take, "uid long, shingles binary").dropDuplicates(["uid"]), "shingle-sets")
+    sets = table(wanted.mapInArrow(take, "uid long, shingles binary"), "shingle-sets")
     release(need)
     shuffle = shuffle_partitions(spark)
     # A hub's set is sent once to each task that has partners of it, and stands before theirs.

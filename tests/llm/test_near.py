@@ -103,3 +103,44 @@ def test_vectors_null_ids_and_empty(spark):
     got = sorted(map(tuple, embedding_join.near_vectors(df).collect()), key=str)
     assert got == sorted([(None, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (5, 0, 5, True)], key=str)
     assert embedding_join.near_vectors(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: 7 if i % 2 else None])
+def test_texts_of_one_id_are_joined_by_their_text(spark, monkeypatch, ids):
+    """Rows that share an id, or have none, cost what others do: each text is moved once."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(100)]
+    rows = [(ids(i), edited(rng, base, 0.02 * (i % 4))) for i in range(120)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    moved, wrapped = [], minhash.table
+    monkeypatch.setattr(minhash, "table", lambda d, name: moved.append((name, out := wrapped(d, name), out.count())[::2]) or out)
+    got = sorted(map(tuple, minhash.near_texts(df).collect()), key=str)
+    assert got == sorted(brute.near_texts(rows), key=str)
+    assert dict(moved)["shingle-sets"] <= 120
+
+
+def test_texts_of_over_one_piece(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(9000)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[1000:])), (3, " ".join(long[:150_000])), (4, "short text of a few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r)[2:] for r in sorted(minhash.near_texts(df).collect())] == [(1, True), (1, False), (3, True), (4, True)]
+
+
+def tied():
+    """Vectors with cosines of exactly 0.9: a unit vector and the orders of (9, 3, 3, 1), at several scales."""
+    import itertools
+
+    units = [[float(i == k) for i in range(4)] for k in range(4)]
+    orders = sorted(set(itertools.permutations((9.0, 3.0, 3.0, 1.0))))
+    return units + [list(o) for o in orders] + [[3 * x for x in o] for o in orders[:4]] + [[0.25 * x for x in units[2]]]
+
+
+@pytest.mark.parametrize("block", [embedding_join.BLOCK_BYTES, 64])
+def test_vectors_that_meet_the_threshold_exactly(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_join, "BLOCK_BYTES", block)
+    monkeypatch.setattr(embedding_join, "LEAF", 2 if block == 64 else embedding_join.LEAF)
+    rows = list(enumerate(tied()))
+    got = sorted(map(tuple, embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == brute.near_vectors(rows)
+    assert got[0][1] >= 3
