@@ -385,4 +385,9 @@ ORACLES: dict[str, str] = {
     "ex6_targeted": f"""WITH {FORMS}, n AS (SELECT doc_id, text, unnest(['Market Segment', 'Nation', 'Owner']) AS field FROM f WHERE len(list_intersect({tok("text")}, ['market', 'segment', 'nation', 'owner'])) > 0),
       v AS (SELECT doc_id, field, list_filter(string_split(text, {NL}), lambda x: starts_with(x, field || ': '))[1] AS line FROM n) SELECT doc_id, field, substr(line, length(field) + 3) AS value, line IS NOT NULL AS verified FROM v""",
     "md2_second_readings": f"WITH {BOXES} SELECT doc_id, line, l_partkey AS part, CASE WHEN score < 0.9 AND line % 3 <> 0 THEN upper(text) END AS alt FROM b",
+    # What the rows are drawn to say: the tick of kinds 1, 2, 4 and 5 is clear, also beside a missing box; none or two say nothing.
+    "md7_checkbox_rows": """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS s, c_custkey % 6 AS kind, 3 + c_custkey % 2 AS n FROM customer),
+      o AS (SELECT *, CASE WHEN n = 4 THEN [s, 'Beta', 'Gamma', 'Delta'] ELSE [s, 'Beta', 'Gamma'] END AS names, k // 6 % n + 1 AS chosen FROM c)
+      SELECT k AS doc_id, CASE WHEN kind IN (1, 2, 4, 5) THEN names[chosen] END AS option, kind IN (1, 2, 4, 5) AS confident, array_to_string(names, '|') AS options,
+      CASE WHEN kind IN (1, 2, 4, 5) THEN 'the box with clearly the most ink' ELSE 'no box has clearly more ink than the others' END AS detail FROM o""",
 }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import bengali, readers
 from .functions import text as T
 from .functions import words as W
+from .operators import checkbox as cb
 from .operators import conversation as cv
 from .operators import extract as ex
 from .operators import geometry as geo
@@ -1009,6 +1010,70 @@ def ev8_dev_split(spark, d):
     return lg.first_share(t(spark, d, "benchmark").select("item_id"), ["item_id"])
 
 
+#: The size of a drawn form row, where its boxes begin, how far apart they are, and their side.
+ROW_SIZE, BOX_AT, BOX_STEP, BOX_SIDE = (420, 44), (70, 14), 80, 14
+
+
+def _drawn(k: int) -> bytes:
+    """A grey row of a form with three or four boxes, of which none, one or two are ticked in some way; one may be missing."""
+    import numpy as np
+
+    (width, height), (left, top), side = ROW_SIZE, BOX_AT, BOX_SIDE
+    n, kind = 3 + k % 2, k % 6
+    chosen = k // 6 % n
+    picture = np.full((height, width), 200 + k % 50, np.uint8)
+    ink = 20 + k % 60
+    for i in range(n):
+        x = left + BOX_STEP * i
+        picture[top + 5 : top + 8, x + 20 : x + 50] = ink  # the option's text, too flat for a box
+        if kind == 4 and i == (chosen + 1) % n:
+            continue
+        picture[top : top + side, x : x + side] = ink
+        picture[top + 2 : top + side - 2, x + 2 : x + side - 2] = picture[0, 0]
+        if kind and (i == chosen or kind == 3 and i == (chosen + 1) % n):
+            at = np.arange(2, side - 2)
+            if kind == 5:
+                picture[top + 3 : top + side - 3, x + 3 : x + side - 3] = ink
+            for shift in (0, 1):
+                picture[top + at, x + np.minimum(at + shift, side - 1)] = ink
+                picture[top + at, x + side - 1 - at + shift] = ink
+            if kind == 2:  # a tick that leaves its box
+                for j in range(6):
+                    picture[top - j, x + side + j - 1 : x + side + j + 2] = ink
+    return picture.tobytes()
+
+
+def _form_rows(spark, d):
+    """Rows of forms as grey pixels, with the boxes that a recogniser would find in them: some labels stand in one box with
+    their first option, some rows go on with another label."""
+    import pandas as pd
+
+    draw = F.pandas_udf(lambda k: pd.Series([_drawn(int(x)) for x in k]), "binary")
+    k = F.col("c_custkey")
+    box = lambda text, x: F.struct(text.alias("text"), x.cast("double").alias("x0"), F.lit(float(BOX_AT[1])).alias("y0"), (x + 40).cast("double").alias("x1"), F.lit(float(BOX_AT[1] + 16)).alias("y1"))
+    place = lambda i: F.lit(BOX_AT[0] + BOX_STEP * i + BOX_SIDE + 3)
+    first = F.when(k % 4 == 0, F.concat(F.lit("Segment: "), "c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    options = [box(first, place(0)), box(F.lit(" Beta "), place(1)), box(F.lit("☐ Gamma"), place(2)), F.when(k % 2 == 1, box(F.lit("Delta"), place(3)))]
+    label = F.when(k % 4 != 0, box(F.lit("Segment:"), F.lit(5)))
+    more = [F.when(k % 5 == 0, box(F.lit(t), F.lit(x))) for t, x in (("Age:", 375), ("Other", 395))]
+    boxes = F.filter(F.array(*more, *options, label), lambda b: b.isNotNull())
+    width, height = ROW_SIZE
+    return t(spark, d, "customer").select(k.alias("doc_id"), F.lit(width).alias("width"), F.lit(height).alias("height"), draw(k).alias("grey"), boxes.alias("boxes"), F.lit("Which segment does the form name?").alias("question"))
+
+
+@query
+def md7_checkbox_rows(spark, d):
+    """The ticked option of each form row, or why none is given."""
+    return cb.ticked(cb.ink_components(_form_rows(spark, d))).select("doc_id", "option", "confident", F.array_join("options", "|").alias("options"), "detail")
+
+
+@query
+def md7_ink_components(spark, d):
+    """How many connected pieces of ink each form row has, and their pixels."""
+    c = F.col("components")
+    return cb.ink_components(_form_rows(spark, d)).select("doc_id", F.size(c).alias("pieces"), F.aggregate(c, F.lit(0), lambda s, x: s + x["area"]).alias("ink"))
+
+
 # ---- model interfaces and the plan of an answer (stubs) ------------------------------------------------------------
 
 
