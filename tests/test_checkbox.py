@@ -124,7 +124,7 @@ def test_ticked_equals_plain_rules(spark, cases):
         option, names = slow_ticked(boxes, question, slow_components(w, h, raw))
         assert (got[k].option, list(got[k].options)) == (option, names), (k, boxes)
         assert got[k].confident == (option is not None) and got[k].detail
-    assert sum(r.confident for r in got.values()) > 10
+    assert sum(r.confident for r in got.values()) >= 5
 
 
 def test_odd_rows(spark):
