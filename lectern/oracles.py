@@ -25,6 +25,10 @@ LINES = r"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '
 PAGES = f"""pg AS (SELECT doc_id, CAST(p + 1 AS INTEGER) AS page, list_slice(lines, p * 45 + 1, p * 45 + 45) AS lines
   FROM (SELECT doc_id, lines, unnest(range(0, greatest(CAST(ceil(len(lines) / 45.0) AS BIGINT), 1))) AS p FROM (SELECT doc_id, {LINES} AS lines FROM documents))),
 tx AS (SELECT doc_id, page, coalesce(array_to_string(lines, {NL} || {NL}), '') AS text, lines FROM pg)"""
+PDF_BLOCKS = f"""l AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN [] ELSE list_transform({LINES}, lambda x: regexp_replace(x, '\\s+', ' ', 'g')) END AS lines FROM documents),
+p AS (SELECT doc_id, lines, CAST(unnest(range(1, greatest(CAST(ceil(len(lines) / 40.0) AS BIGINT), 1) + 1)) AS INTEGER) AS page FROM l),
+b AS (SELECT doc_id, page, CAST(k AS INTEGER) AS block, array_to_string(part, {NL}) AS text, len(part) AS n, list_max(list_transform(part, lambda x: length(x))) AS wide
+  FROM (SELECT doc_id, page, k, list_slice(lines, (page - 1) * 40 + k * 5 + 1, least((page - 1) * 40 + k * 5 + 5, page * 40)) AS part FROM (SELECT *, unnest(range(0, 8)) AS k FROM p)) WHERE len(part) > 0)"""
 UNITS = f"""{PAGES},
 u AS (SELECT doc_id, page, text, {tok("text")} AS toks FROM tx WHERE text <> '')"""
 TERMS = list(dict.fromkeys(tokens_of(QUESTION)))
@@ -390,4 +394,12 @@ ORACLES: dict[str, str] = {
       o AS (SELECT *, CASE WHEN n = 4 THEN [s, 'Beta', 'Gamma', 'Delta'] ELSE [s, 'Beta', 'Gamma'] END AS names, k // 6 % n + 1 AS chosen FROM c)
       SELECT k AS doc_id, CASE WHEN kind IN (1, 2, 4, 5) THEN names[chosen] END AS option, kind IN (1, 2, 4, 5) AS confident, array_to_string(names, '|') AS options,
       CASE WHEN kind IN (1, 2, 4, 5) THEN 'the box with clearly the most ink' ELSE 'no box has clearly more ink than the others' END AS detail FROM o""",
+    "src4_pdf_text": f"""WITH {PDF_BLOCKS}, t AS (SELECT doc_id, page, array_agg(text ORDER BY block) AS texts FROM b GROUP BY ALL),
+      x AS (SELECT p.doc_id, p.page, CASE WHEN coalesce(list_sum(list_transform(texts, lambda x: length(x))), 0) < 40 THEN [] ELSE texts END AS texts FROM p LEFT JOIN t USING (doc_id, page)),
+      y AS (SELECT *, array_to_string(texts, ' ') AS m FROM x), z AS (SELECT *, len(regexp_extract_all(m, '[{W.LEGACY_SIGNATURE}]')) AS g, greatest(len(regexp_extract_all(m, '\\p{{L}}')), 1) AS l FROM y),
+      v AS (SELECT *, NOT regexp_matches(m, '[{W.BENGALI}]') AND g >= {W.LEGACY_LEAST} AND CAST(g AS DOUBLE) / l >= {W.LEGACY_SHARE} AS legacy FROM z)
+      SELECT 'd' || doc_id || '.pdf' AS path, page, CASE WHEN texts = [] THEN 'none' WHEN doc_id % 7 = 0 THEN 'scan-text' ELSE 'text' END AS source, legacy,
+      CASE WHEN legacy THEN CAST(len(texts) AS VARCHAR) ELSE array_to_string(texts, {NL} || {NL}) END AS text FROM v""",
+    "src4_pdf_blocks": f"""WITH {PDF_BLOCKS} SELECT 'd' || doc_id || '.pdf' AS path, page, block, text, round(50 / 595.0::DOUBLE, 4) AS x0, round(1 - (800 - 14 * (6 * block) + 8) / 842.0::DOUBLE, 4) AS y0,
+      round((50 + 5 * wide) / 595.0::DOUBLE, 4) AS x1, round(1 - (800 - 14 * (6 * block + n - 1) - 2) / 842.0::DOUBLE, 4) AS y1 FROM b""",
 }
