@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
-import math
 import re
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
+from ..functions.readers import similarity
 
 #: Queries that are shipped to every executor at once; more of them are joined by term.
 BROADCAST_QUERIES = 5_000
@@ -208,8 +206,8 @@ def best_coverage(units: Index | DataFrame, question: str, scope: Column | None
     return (scored if scope is None else scored.filter(scope)).agg(F.coalesce(F.max("coverage"), F.lit(0.0)).alias("coverage"))
 
 
-def search_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k: int = 10, digits: int = 6, within: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, keys, score, rank): the k best units of each query (query_id, q), ties by keys; within: of each group of units.
+def scores_many(units: Index | DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, keys, bm25, coverage) of the units that a term of a query (query_id, q) touches.
 
     Only tokens that some query has, or whose first four letters it shares, leave a unit's row; the statistics of the
     terms are an aggregate over those. Queries are broadcast up to BROADCAST_QUERIES of them, joined by term beyond.
@@ -233,10 +231,15 @@ def search_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k
     long = weights.filter(F.length("term") >= 5).select("query_id", "term", "idf", F.substring("term", 1, 4).alias("head"))
     also = near.join(hint(long), "head").select("query_id", *keys, "term", "idf", F.lit(0.0).alias("part"))
     each = hits.union(also).groupBy("query_id", *keys, "term").agg(F.max("idf").alias("idf"), F.max("part").alias("part"))
-    sums = each.groupBy("query_id", *keys).agg(F.sum("part").alias("bm25"), F.sum("idf").alias("covered")).filter("bm25 > 0")
-    sums = sums.join(hint(total), "query_id")
-    score = F.round(F.col("bm25") * (0.25 + 0.75 * F.col("covered") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))), digits)
-    return top(sums.withColumn("score", score), ["query_id", *within], [F.desc("score"), *keys], k).select("query_id", *keys, "score", "rank")
+    sums = each.groupBy("query_id", *keys).agg(F.sum("part").alias("bm25"), F.sum("idf").alias("covered")).join(hint(total), "query_id")
+    return sums.select("query_id", *keys, "bm25", (F.col("covered") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("coverage"))
+
+
+def search_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k: int = 10, digits: int = 6, within: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, keys, score, rank): the k best units of each query (query_id, q), ties by keys; within: of each group of units."""
+    score = F.round(F.col("bm25") * (0.25 + 0.75 * F.col("coverage")), digits)
+    scored = scores_many(units, queries, keys).filter("bm25 > 0").withColumn("score", score)
+    return top(scored, ["query_id", *within], [F.desc("score"), *keys], k).select("query_id", *keys, "score", "rank")
 
 
 def top(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
@@ -372,80 +375,160 @@ def unseen_terms(queries: DataFrame, units: Index | DataFrame) -> DataFrame:
     return terms.join(asked.join(seen, ["part", "head"], "left_semi").select("term").distinct(), "term", "left_anti").select("query_id", "term")
 
 
-def absent_terms(units: Index | DataFrame, question: str, fuzzy_least: float = 0.82) -> DataFrame:
-    """(term, idf, role): question terms with no counterpart in the units.
+#: The runs of characters that tokens are cut from, as they stand in a text.
+RUN = W.TOKEN
+
+
+def _words(units: Index | DataFrame) -> DataFrame:
+    """(run): the distinct runs of token characters of all texts in lower case; a token stands in a text only inside a run."""
+    runs = F.regexp_extract_all(F.lower(F.col("text")), F.lit(RUN), F.lit(0))
+    return Index.of(units).units.select(F.explode(F.array_distinct(runs)).alias("run")).distinct()
+
+
+def _inside(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """(term): terms of four letters or more that stand inside some run: found by their first four characters, then compared."""
+    asked = terms.filter(F.length("term") >= 4).select("term", F.substring("term", 1, 4).alias("head"))
+    fours = F.transform(F.sequence(F.lit(1), F.length("run") - 3), lambda i: F.substr("run", i, F.lit(4)))
+    held = words.filter(F.length("run") >= 4).select("run", F.explode(F.array_distinct(fours)).alias("head"))
+    return held.join(asked, "head").filter(F.contains("run", F.col("term"))).select("term").distinct()
+
+
+def _begun(terms: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(term): terms that a token equals or begins with, in one of the forms that count: the term, its synonyms, its stem.
+
+    Tokens count whole and with their first three, four and five letters. Only forms that some term asks for are exchanged.
+    """
+    synonyms = F.create_map(*(x for w, others in sorted(W.FORM_SYNONYMS.items()) for x in (F.lit(w), F.array(*map(F.lit, others)))))
+    stem = T.stem("term")
+    forms = F.concat(F.array(F.col("term"), stem, F.substring(stem, 1, 5), F.when(F.length(stem) <= 5, F.substring(stem, 1, 4))), F.coalesce(F.try_element_at(synonyms, F.col("term")), F.array().cast("array<string>")))
+    asked = terms.select("term", F.explode(F.array_distinct(forms)).alias("part")).filter("part is not null")
+    heads = F.array(F.col("token"), *(F.substring("token", 1, k) for k in (3, 4, 5)))
+    held = tokens.select(F.explode(F.array_distinct(heads)).alias("part")).join(asked.select("part").distinct(), "part", "left_semi").distinct()
+    return asked.join(held, "part", "left_semi").select("term").distinct()
+
+
+def _spelt(terms: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """(term): terms of five letters or more that some token is spelt like: about as long, and of at least that ratio.
+
+    A ratio of r takes M >= r / 2 * s matching letters of s letters of both. Their blocks are at most one more than the
+    letters that don't match, so term and token share 3 * M - s - 1 pairs of letters or more. That many fewer of a term's
+    pairs, the rarest ones, need be looked up; pairs with too few in common are left out, and only the rest is compared.
+    """
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2)))
+
+    def numbered(c: str) -> Column:
+        """Each pair with how many equal ones stand before it."""
+        p = pairs(F.col(c))
+        return F.transform(p, lambda x, i: F.concat(x, F.size(F.filter(F.slice(p, F.lit(1), i), lambda y: y == x)).cast("string")))
+
+    def shared(n: Column, m: Column) -> Column:
+        """Pairs that words of n and m letters must share."""
+        both = n + m
+        return F.lit(3) * F.ceil(both * F.lit(least / 2) - F.lit(1e-9)) - both - 1
+
+    asked = terms.filter(F.length("term") >= 5).select("term", F.length("term").alias("n"), numbered("term").alias("pairs"))
+    lengths = asked.select(F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("m")).distinct()
+    near = tokens.withColumn("m", F.length("token")).join(F.broadcast(lengths), "m", "left_semi")
+    held = near.select("token", "m", F.explode(numbered("token")).alias("pair")).join(asked.select(F.explode("pairs").alias("pair")).distinct(), "pair", "left_semi")
+    common = held.groupBy("pair").agg(F.count("*").alias("d"))
+    fewest = F.array_min(F.transform(F.sequence(F.col("n") - 2, F.col("n") + 2), lambda m: F.greatest(shared(F.col("n"), m), F.lit(1))))
+    each = asked.select("term", "n", F.explode("pairs").alias("pair")).join(common, "pair", "left")
+    listed = each.groupBy("term", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "pair"))).alias("p"))
+    rare = listed.select("term", "n", F.explode(F.slice("p", F.lit(1), (F.size("p") - fewest + 1).cast("int"))).alias("r")).select("term", "n", "r.pair")
+    found = held.join(rare, "pair").filter(F.abs(F.col("m") - F.col("n")) <= 2).select("term", "token").distinct()
+    enough = F.size(F.array_intersect(numbered("term"), numbered("token"))) >= shared(F.length("term"), F.length("token"))
+    return found.filter(enough).filter(similarity(F.col("term"), F.col("token")) >= least).select("term").distinct()
+
+
+def absent_many(units: Index | DataFrame, queries: DataFrame, fuzzy_least: float | None = 0.82) -> DataFrame:
+    """(query_id, term, idf, role): terms of queries (query_id, q) with no counterpart in the units.
 
     A counterpart is the term inside any text (four letters or more), a token or its first three to five letters, a
-    synonym that forms use, the stem, or a token of about the same length and spelling. Verb forms prove nothing. The
-    flags are one aggregate over the units; only tokens of similar length are compared by spelling, in Python.
+    synonym that forms use, the stem, or a token of about the same length and spelling. Verb forms prove nothing. Each
+    distinct term is asked once; joins go over the distinct tokens and runs of the texts, never over the texts again.
     """
-    terms = list(dict.fromkeys(T.tokens_of(question)))
-    units = Index.of(units).units
-    spark = units.sparkSession
-    if not terms:
-        return spark.createDataFrame([], "term string, idf double, role boolean")
-
-    def starts(word: str) -> Column:
-        """Whether some token is the word or begins with its letters, three to five of them."""
-        exact = F.array_contains("toks", word)
-        return exact | F.exists("toks", lambda t: t.startswith(word)) if 3 <= len(word) <= 5 else exact
-
-    flags = []
-    for i, w in enumerate(terms):
-        s = T.stem_of(w)
-        seen = starts(w)
-        if len(w) >= 4:
-            seen = seen | F.contains(F.lower("text"), F.lit(w))
-        for other in W.FORM_SYNONYMS.get(w, ()):
-            seen = seen | starts(other)
-        seen = seen | starts(s) | starts(s[:5]) | (starts(s[:4]) if len(s) <= 5 else F.lit(False))
-        flags += [F.coalesce(F.max(seen), F.lit(False)).alias(f"s{i}"), F.coalesce(F.sum(F.array_contains("toks", w).cast("int")), F.lit(0)).alias(f"d{i}")]
-    row = units.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), *flags).first()
-    left = [w for i, w in enumerate(terms) if not row[f"s{i}"] and not (len(w) > 4 and w.endswith(("ed", "ing")))]
-    long = [w for w in left if len(w) >= 5]
-    spelt: set[str] = set()
-    if long:
-        lengths = {n for w in long for n in range(len(w) - 2, len(w) + 3)}
-
-        def close(batches):
-            for pdf in batches:
-                found = [w for w in long if any(abs(len(t) - len(w)) <= 2 and difflib.SequenceMatcher(None, w, t).ratio() >= fuzzy_least for t in pdf["t"])]
-                yield pd.DataFrame({"t": pd.Series(found, dtype=object)})
-
-        tokens = units.select(F.explode(F.array_distinct("toks")).alias("t")).filter(F.length("t").isin(*lengths)).distinct()
-        spelt = {r.t for r in tokens.mapInPandas(close, "t string").distinct().collect()}
-    rows = [(w, math.log(1 + (row.n - row[f"d{terms.index(w)}"] + 0.5) / (row[f"d{terms.index(w)}"] + 0.5)), w in W.ROLE_WORDS) for w in left if w not in spelt]
-    return spark.createDataFrame(rows, "term string, idf double, role boolean")
+    wanted = queries.select("query_id", F.explode(F.array_distinct(T.tokens(T.nfc("q")))).alias("term"))
+    tokens = document_frequencies(units)
+    verbs = (F.length("term") > 4) & (F.col("term").endswith("ed") | F.col("term").endswith("ing"))
+    terms = wanted.select("term").distinct().filter(~verbs)
+    names = tokens.select(F.col("term").alias("token"))
+    left = terms.join(_begun(terms, names), "term", "left_anti")
+    left = left.join(_inside(left, _words(units)), "term", "left_anti")
+    if fuzzy_least is not None:
+        left = left.join(_spelt(left, names, fuzzy_least), "term", "left_anti")
+    n = Index.of(units).total().select(F.greatest("n", F.lit(1)).alias("n"))
+    weighed = left.join(tokens, "term", "left").crossJoin(F.broadcast(n)).select("term", idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("idf"))
+    return wanted.join(weighed, "term").select("query_id", "term", "idf", F.col("term").isin(*sorted(W.ROLE_WORDS)).alias("role"))
 
 
-def absent_share(units: Index | DataFrame, question: str) -> float:
-    """Share of the question's weight, role words aside, on terms without counterpart."""
-    units = Index.of(units).units
-    terms = [w for w in dict.fromkeys(T.tokens_of(question)) if w not in W.ROLE_WORDS]
-    if not terms:
-        return 0.0
-    counts = units.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.array_contains("toks", w).cast("int")), F.lit(0)).alias(f"d{i}") for i, w in enumerate(terms))).first()
-    if not counts.n:
-        return 0.0
-    total = sum(math.log(1 + (counts.n - counts[f"d{i}"] + 0.5) / (counts[f"d{i}"] + 0.5)) for i in range(len(terms)))
-    absent = absent_terms(units, question).filter("not role").agg(F.coalesce(F.sum("idf"), F.lit(0.0))).first()[0]
-    return absent / total if total else 0.0
+def absent_shares(units: Index | DataFrame, queries: DataFrame, fuzzy_least: float | None = 0.82) -> DataFrame:
+    """(query_id, share): how much of each query's weight, role words aside, is on terms without counterpart; 0 without units."""
+    wanted = queries.select("query_id", F.explode(F.array_distinct(T.tokens(T.nfc("q")))).alias("term")).filter(~F.col("term").isin(*sorted(W.ROLE_WORDS)))
+    total = Index.of(units).total()
+    df = document_frequencies(units).join(wanted.select("term").distinct(), "term", "left_semi")
+    weights = wanted.join(df, "term", "left").crossJoin(F.broadcast(total.select("n"))).groupBy("query_id").agg(F.sum(F.when(F.col("n") > 0, idf(F.col("n"), F.coalesce("df", F.lit(0))))).alias("weight"))
+    absent = absent_many(units, queries, fuzzy_least).filter("not role").groupBy("query_id").agg(F.sum("idf").alias("absent"))
+    each = queries.select("query_id").distinct().join(weights, "query_id", "left").join(absent, "query_id", "left")
+    share = F.when(F.coalesce("weight", F.lit(0.0)) > 0, F.coalesce("absent", F.lit(0.0)) / F.col("weight")).otherwise(0.0)
+    return each.select("query_id", share.alias("share"))
+
+
+def best_coverages(units: Index | DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, coverage): the largest share of each query's weight that one unit covers."""
+    best = scores_many(units, queries, list(Index.of(units).keys)).groupBy("query_id").agg(F.max("coverage").alias("coverage"))
+    return queries.select("query_id").distinct().join(best, "query_id", "left").select("query_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+
 
+#: Characters of the texts, in their order, by which the script and item numbers of all of them are judged.
+SAMPLE = 3000
 
-def should_abstain(units: Index | DataFrame, question: str, pages: int) -> bool:
-    """Whether terms that are nowhere carry much of the question and no unit covers it.
 
-    Not judged across scripts, for quoted labels on few pages, or for item numbers that the first texts hold.
+def _sample(ix: Index) -> str:
+    """The first SAMPLE characters of the units' texts, joined by spaces; as many units as that takes, each at least a space."""
+    rows = ix.units.select(*ix.keys, F.substring("text", 1, SAMPLE).alias("text")).orderBy(*ix.keys).limit(SAMPLE)
+    return " ".join(r.text or "" for r in rows.toLocalIterator())[:SAMPLE]
+
+
+def abstain_many(units: Index | DataFrame, queries: DataFrame, pages: int | None = None, fuzzy_least: float | None = 0.82) -> DataFrame:
+    """(query_id, share, coverage, abstain): whether terms that are nowhere carry much of a query and no unit covers it.
+
+    Not judged across scripts, for quoted labels on few pages, or for item numbers that the first texts hold. pages: of
+    the documents that are asked; by default the units.
     """
     ix = Index.of(units)
-    spark = ix.units.sparkSession
-    sample = " ".join(r.text for r in ix.units.orderBy("doc_id", "page").select(F.substring("text", 1, 3000).alias("text")).limit(20).collect())[:3000]
-    row = spark.range(1).select(T.script_mismatch(F.lit(question), F.lit(sample)).alias("cross"), T.item_refs(F.lit(question)).alias("refs")).first()
-    if row.cross or re.search(r"['\"][^'\"]{2,40}['\"]", question) and pages < W.BIG_CORPUS_PAGES:
-        return False
-    if row.refs and all(r in set(T.tokens_of(sample)) for r in row.refs):
-        return False
-    return absent_share(units, question) >= W.ABSENT_SHARE and best_coverage(units, question).first()[0] < W.ABSTAIN_COVERAGE
+    sample = _sample(ix)
+    known = set(T.tokens_of(sample))
+    total = ix.total().select((F.col("n") if pages is None else F.lit(pages)).alias("_pages"))
+    refs = T.item_refs(F.col("q"))
+    tokens = F.array(*map(F.lit, sorted(known))).cast("array<string>")
+    exempt = (
+        T.script_mismatch(F.col("q"), F.lit(sample)) | (F.col("q").rlike(r"['\"][^'\"]{2,40}['\"]") & (F.col("_pages") < W.BIG_CORPUS_PAGES))
+        | ((F.size(refs) > 0) & F.forall(refs, lambda r: F.array_contains(tokens, r)))
+    )
+    judged = queries.crossJoin(F.broadcast(total)).select("query_id", F.coalesce(exempt, F.lit(False)).alias("exempt"))
+    shares = absent_shares(ix, queries, fuzzy_least)
+    each = judged.join(shares, "query_id").join(best_coverages(ix, queries), "query_id")
+    abstain = ~F.col("exempt") & (F.col("share") >= W.ABSENT_SHARE) & (F.col("coverage") < W.ABSTAIN_COVERAGE)
+    return each.select("query_id", "share", "coverage", abstain.alias("abstain"))
+
+
+def _one(units: Index | DataFrame, question: str) -> DataFrame:
+    return Index.of(units).units.sparkSession.createDataFrame([(0, question)], "query_id int, q string")
+
+
+def absent_terms(units: Index | DataFrame, question: str, fuzzy_least: float = 0.82) -> DataFrame:
+    """(term, idf, role): a question's terms with no counterpart in the units (see absent_many)."""
+    return absent_many(units, _one(units, question), fuzzy_least).drop("query_id")
+
+
+def absent_share(units: Index | DataFrame, question: str) -> float:
+    """Share of the question's weight, role words aside, on terms without counterpart."""
+    return absent_shares(units, _one(units, question)).first().share
+
+
+def should_abstain(units: Index | DataFrame, question: str, pages: int | None = None) -> bool:
+    """abstain_many for one question."""
+    return abstain_many(units, _one(units, question), pages).first().abstain
 
 
 def page_evidence(pages: DataFrame, question: str, room: int = W.SHORT_PAGE, k: int = 2, span: int = 420) -> DataFrame:

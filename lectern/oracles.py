@@ -176,6 +176,20 @@ SENTENCES = r"""se AS (SELECT doc_id, page, CAST(unnest(range(0, len(s))) AS INT
   list_filter(list_transform(flatten(list_transform(string_split(text, chr(10) || chr(10)), lambda b: string_split(regexp_replace(b, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: length(p) > 0) AS s FROM tx))"""
 ROUTE = {a: " + ".join(f"{w}::DOUBLE * " + ("1" if k == 0 else f"((event_id * {k}) % 11 / 10.0::DOUBLE)") for k, w in enumerate(PRIOR[a])) for a in ACTIONS}
 
+_SYNONYMS = ", ".join(f"('{w}', '{o}')" for w, others in sorted(W.FORM_SYNONYMS.items()) for o in others)
+#: Questions as queries._absent makes them; their terms with df; those with no counterpart, spelling aside.
+ABSENT = f"""{UNITS}, {ASKED},
+qa AS (SELECT query_id, CASE WHEN query_id % 4 = 0 THEN regexp_replace(q, '([0-9A-Za-z_]{{4}})([0-9A-Za-z_])([0-9A-Za-z_])', '\\1\\3\\2', 'g') ELSE q END
+  || ([' zyxwvut quokka', ' invoiced subtotal designation', ' ''thonnt the''?', ' serial 2.3', ' customer amount', ' কত টাকা লাগবে আমাদের'])[query_id % 6 + 1] AS q FROM qs),
+g AS (SELECT t, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS t FROM u) GROUP BY t), nn AS (SELECT CAST(greatest(count(*), 1) AS DOUBLE) AS n FROM u),
+qd AS (SELECT query_id, term, coalesce(df, 0) AS df, n FROM (SELECT query_id, unnest(list_distinct({tok("q")})) AS term FROM qa) LEFT JOIN g ON t = term CROSS JOIN nn),
+p AS (SELECT t AS p FROM g UNION SELECT substr(t, 1, 3) FROM g UNION SELECT substr(t, 1, 4) FROM g UNION SELECT substr(t, 1, 5) FROM g),
+dt AS (SELECT DISTINCT term, {STEM} AS st FROM qd WHERE NOT (length(term) > 4 AND (ends_with(term, 'ed') OR ends_with(term, 'ing')))),
+d1 AS (SELECT * FROM dt WHERE term NOT IN (SELECT p FROM p) AND st NOT IN (SELECT p FROM p) AND substr(st, 1, 5) NOT IN (SELECT p FROM p) AND NOT (length(st) <= 5 AND substr(st, 1, 4) IN (SELECT p FROM p))
+  AND term NOT IN (SELECT w FROM (VALUES {_SYNONYMS}) s(w, o) WHERE o IN (SELECT p FROM p))),
+d2 AS (SELECT term FROM d1 WHERE length(term) < 4 OR NOT EXISTS (SELECT 1 FROM u WHERE contains(lower(text), term))),
+ab AS (SELECT * FROM qd WHERE term IN (SELECT term FROM d2))"""
+
 ORACLES: dict[str, str] = {
     "src1_content_id": "SELECT doc_id, substr(sha1(text), 1, 16) AS content_id FROM documents",
     "src2_pages": f"WITH {PAGES} SELECT doc_id, page, CAST(len(lines) AS INTEGER) AS n_lines, text FROM tx",
@@ -402,4 +416,13 @@ ORACLES: dict[str, str] = {
       CASE WHEN legacy THEN CAST(len(texts) AS VARCHAR) ELSE array_to_string(texts, {NL} || {NL}) END AS text FROM v""",
     "src4_pdf_blocks": f"""WITH {PDF_BLOCKS} SELECT 'd' || doc_id || '.pdf' AS path, page, block, text, round(50 / 595.0::DOUBLE, 4) AS x0, round(1 - (800 - 14 * (6 * block) + 8) / 842.0::DOUBLE, 4) AS y0,
       round((50 + 5 * wide) / 595.0::DOUBLE, 4) AS x1, round(1 - (800 - 14 * (6 * block + n - 1) - 2) / 842.0::DOUBLE, 4) AS y1 FROM b""",
+    "rk14_unmatched_terms": f"""WITH {ABSENT} SELECT query_id, term, round({IDF}, 6) AS idf, list_contains({_list(sorted(W.ROLE_WORDS))}, term) AS role FROM ab""",
+    "rk15_unmatched_share": f"""WITH {ABSENT}, w AS (SELECT query_id, sum({IDF}) AS weight FROM qd WHERE NOT list_contains({_list(sorted(W.ROLE_WORDS))}, term) GROUP BY query_id),
+      x AS (SELECT query_id, sum({IDF}) AS absent FROM ab WHERE NOT list_contains({_list(sorted(W.ROLE_WORDS))}, term) GROUP BY query_id)
+      SELECT query_id, round(CASE WHEN coalesce(weight, 0) > 0 THEN coalesce(absent, 0.0::DOUBLE) / weight ELSE 0.0::DOUBLE END, 6) AS share FROM qa LEFT JOIN w USING (query_id) LEFT JOIN x USING (query_id)""",
+    "rk16_best_coverage": f"""WITH {ABSENT}, gu AS (SELECT doc_id, page, unnest(list_distinct(toks)) AS t FROM u),
+      hit AS (SELECT DISTINCT query_id, doc_id, page, term, {IDF} AS idf FROM qd JOIN gu ON t = term UNION SELECT DISTINCT query_id, doc_id, page, term, {IDF} FROM qd JOIN gu ON length(term) >= 5 AND length(t) >= 4 AND substr(t, 1, 4) = substr(term, 1, 4)),
+      c AS (SELECT query_id, sum(idf) AS covered FROM hit GROUP BY query_id, doc_id, page), w AS (SELECT query_id, sum({IDF}) AS total FROM qd GROUP BY query_id),
+      b AS (SELECT query_id, max(covered) AS covered FROM c GROUP BY query_id)
+      SELECT query_id, round(coalesce(covered / CASE WHEN total = 0 THEN 1.0::DOUBLE ELSE total END, 0.0::DOUBLE), 6) AS coverage FROM qa LEFT JOIN w USING (query_id) LEFT JOIN b USING (query_id)""",
 }

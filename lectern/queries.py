@@ -613,19 +613,47 @@ def rk13_pending_pages(spark, d):
 
 @query
 def rk14_absent_terms(spark, d):
-    return ix.absent_terms(units(spark, d), QUESTION + " zyxwvut quokka invoiced").select("term", F.round("idf", 6).alias("idf"), "role")
+    return ix.absent_terms(index(spark, d), QUESTION + " zyxwvut quokka invoiced").select("term", F.round("idf", 6).alias("idf"), "role")
+
+
+def _absent(spark, d):
+    """Questions with words that stand nowhere, are misspelt, stand inside others, are role words, synonyms or item numbers."""
+    k, q = F.col("query_id"), F.col("q")
+    misspelt = F.regexp_replace(q, r"(\w{4})(\w)(\w)", "$1$3$2")
+    more = F.element_at(F.array(F.lit(" zyxwvut quokka"), F.lit(" invoiced subtotal designation"), F.lit(" 'thonnt the'?"), F.lit(" serial 2.3"), F.lit(" customer amount"), F.lit(" কত টাকা লাগবে আমাদের")), (k % 6 + 1).cast("int"))
+    return _asked(spark, d).select("query_id", F.concat(F.when(k % 4 == 0, misspelt).otherwise(q), more).alias("q"))
+
+
+@query
+def rk14_absent_many(spark, d):
+    return ix.absent_many(index(spark, d), _absent(spark, d)).select("query_id", "term", F.round("idf", 6).alias("idf"), "role")
+
+
+@query
+def rk14_unmatched_terms(spark, d):
+    """What is left before terms are compared by spelling."""
+    return ix.absent_many(index(spark, d), _absent(spark, d), None).select("query_id", "term", F.round("idf", 6).alias("idf"), "role")
 
 
 @query
 def rk15_absent_share(spark, d):
-    u = index(spark, d)
-    return spark.createDataFrame([(q, round(ix.absent_share(u, q), 6)) for q in (QUESTION, "zyxwvut quokka kumquat")], "question string, share double")
+    return ix.absent_shares(index(spark, d), _absent(spark, d)).select("query_id", F.round("share", 6).alias("share"))
+
+
+@query
+def rk15_unmatched_share(spark, d):
+    """Shares before terms are compared by spelling."""
+    return ix.absent_shares(index(spark, d), _absent(spark, d), None).select("query_id", F.round("share", 6).alias("share"))
 
 
 @query
 def rk16_abstain(spark, d):
-    u = index(spark, d)
-    return spark.createDataFrame([(q, ix.should_abstain(u, q, 10_000)) for q in (QUESTION, "zyxwvut quokka kumquat")], "question string, abstain boolean")
+    return ix.abstain_many(index(spark, d), _absent(spark, d)).select("query_id", "abstain")
+
+
+@query
+def rk16_best_coverage(spark, d):
+    return ix.best_coverages(index(spark, d), _absent(spark, d)).select("query_id", F.round("coverage", 6).alias("coverage"))
 
 
 @query
