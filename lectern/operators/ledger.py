@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
+from .folds import affine_groups, fold_groups
 
 # Resources, preset limits, router actions and weights, priors of trust, token defaults.
 RESOURCES = ("llm_tokens", "seconds", "tool_calls", "vlm_looks", "ocr_pages")
@@ -59,13 +60,25 @@ def can(remaining: Column, n: Column) -> Column:
 def spend(events: DataFrame, by: list[str], order: list[str], amount: str, cap: float) -> DataFrame:
     """(by, accepted, spent): spends in order, each refused if less than it is left; what is refused isn't spent.
 
-    A refusal changes what comes later, so this is a fold over a group's ordered events, in the JVM. A group's events
-    must fit in a row.
+    A refusal changes what comes later, so a group is folded in its order, one state at a time (see folds.fold_groups).
+    Null amounts are passed over.
     """
-    listed = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(amount).cast("double").alias("_n")))).alias("e"))
-    start = F.struct(F.lit(0).cast("long").alias("accepted"), F.lit(0.0).alias("spent"))
-    fold = F.aggregate("e", start, lambda s, e: F.when(F.greatest(F.lit(0.0), F.lit(cap) - s["spent"]) < e["_n"], s).otherwise(F.struct((s["accepted"] + 1).alias("accepted"), (s["spent"] + e["_n"]).alias("spent"))))
-    return listed.select(*by, fold.alias("s")).select(*by, "s.accepted", "s.spent")
+
+    def step(state, rows):
+        accepted, spent = state
+        for n in rows.column(_AMOUNT).to_pylist():
+            if n is not None and max(0.0, cap - spent) >= n:
+                accepted, spent = accepted + 1, spent + n
+        return accepted, spent
+
+    return fold_groups(_amounts(events, by, order, amount), by, order, lambda key: (0, 0.0), step, "accepted long, spent double", tuple)
+
+
+_AMOUNT = "_amount"
+
+
+def _amounts(events: DataFrame, by: list[str], order: list[str], amount: str) -> DataFrame:
+    return events.select(*dict.fromkeys([*by, *order]), F.col(amount).cast("double").alias(_AMOUNT))
 
 
 def charge(events: DataFrame, by: list[str], order: list[str], amount: str, cap: float) -> DataFrame:
@@ -75,16 +88,20 @@ def charge(events: DataFrame, by: list[str], order: list[str], amount: str, cap:
 
 
 def extensions(requests: DataFrame, by: list[str], order: list[str], extra: str, room: float) -> DataFrame:
-    """(by, granted, waiting, room_left): requests in order, granted without asking while the room lasts."""
-    listed = requests.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(extra).cast("double").alias("_n")))).alias("e"))
-    start = F.struct(F.lit(0).cast("long").alias("granted"), F.lit(0).cast("long").alias("waiting"), F.lit(room).alias("room_left"))
-    fold = F.aggregate(
-        "e", start,
-        lambda s, e: F.when(e["_n"] <= s["room_left"], F.struct((s["granted"] + 1).alias("granted"), s["waiting"].alias("waiting"), (s["room_left"] - e["_n"]).alias("room_left"))).otherwise(
-            F.struct(s["granted"].alias("granted"), (s["waiting"] + 1).alias("waiting"), s["room_left"].alias("room_left"))
-        ),
-    )
-    return listed.select(*by, fold.alias("s")).select(*by, "s.*")
+    """(by, granted, waiting, room_left): requests in order, granted without asking while the room lasts; folded as spend()."""
+
+    def step(state, rows):
+        granted, waiting, left = state
+        for n in rows.column(_AMOUNT).to_pylist():
+            if n is None:
+                continue
+            if n <= left:
+                granted, left = granted + 1, left - n
+            else:
+                waiting += 1
+        return granted, waiting, left
+
+    return fold_groups(_amounts(requests, by, order, extra), by, order, lambda key: (0, 0, float(room)), step, "granted long, waiting long, room_left double", tuple)
 
 
 def _dot(weights: tuple[float, ...], x: Column) -> Column:
@@ -164,17 +181,23 @@ def feedback(events: DataFrame) -> DataFrame:
 
 
 def learn_router(feedback: DataFrame, by: list[str], order: list[str], features: str = "x", reward: str = "reward", rate: float = RATE_FEEDBACK) -> DataFrame:
-    """(by, action, theta): weights after the updates of each action, in order: shrunk, then moved along the error."""
-    listed = feedback.groupBy(*by, "action").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(features).alias("_x"), F.col(reward).cast("double").alias("_r")))).alias("e"))
-    start = F.lit(None).cast("array<double>")
-    for a in ACTIONS:
-        start = F.when(F.col("action") == a, F.array(*(F.lit(float(w)) for w in PRIOR[a]))).otherwise(start)
+    """(by, action, theta): weights after the updates of each action, in order: shrunk, then moved along the error.
+
+    Updates are affine maps of the weights, so a long group is composed from ranges (see folds.affine_groups). Rows with
+    null features or reward are passed over; unknown actions have null weights.
+    """
+    import numpy as np
+
+    def update(rows):
+        for x, r in zip(rows.column("_x").to_pylist(), rows.column("_r").to_pylist()):
+            if x is not None and r is not None and None not in x:
+                yield np.array(x), r, DECAY, rate
 
-    def step(w, e):
-        error = e["_r"] - F.aggregate(F.zip_with(w, e["_x"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return F.zip_with(w, e["_x"], lambda a, b: F.lit(DECAY) * a + F.lit(rate) * error * b)
+    def start(key):
+        return np.array(PRIOR[key[-1]]) if key[-1] in PRIOR else None
 
-    return listed.select(*by, "action", F.aggregate("e", start, step).alias("theta"))
+    rows = feedback.select(*dict.fromkeys([*by, "action", *order]), F.col(features).cast("array<double>").alias("_x"), F.col(reward).cast("double").alias("_r"))
+    return affine_groups(rows, [*by, "action"], order, len(FEATURES), start, update)
 
 
 def promote(candidate: DataFrame, live: DataFrame, gain: float = 0.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .functions import words as W
 from .functions.bengali import _ALL as GLYPHS
 from .functions.text import tokens_of
-from .operators.ledger import ACTIONS, PRIOR
+from .operators.ledger import ACTIONS, FEATURES, PRIOR
 from .queries import LABEL_QUESTIONS, PHRASE, QUESTION
 
 
@@ -425,4 +425,17 @@ ORACLES: dict[str, str] = {
       c AS (SELECT query_id, sum(idf) AS covered FROM hit GROUP BY query_id, doc_id, page), w AS (SELECT query_id, sum({IDF}) AS total FROM qd GROUP BY query_id),
       b AS (SELECT query_id, max(covered) AS covered FROM c GROUP BY query_id)
       SELECT query_id, round(coalesce(covered / CASE WHEN total = 0 THEN 1.0::DOUBLE ELSE total END, 0.0::DOUBLE), 6) AS coverage FROM qa LEFT JOIN w USING (query_id) LEFT JOIN b USING (query_id)""",
+    "lr2_learn_router": f"""WITH RECURSIVE e AS (SELECT user_id, ({_list(ACTIONS)})[event_id % 4 + 1] AS action, [1.0::DOUBLE, {", ".join(f"event_id * {k} % 11 / 10.0::DOUBLE" for k in range(1, 9))}] AS x,
+        CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS r, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY ts, event_id) AS n FROM events),
+      f AS (SELECT DISTINCT user_id, action, CAST(0 AS BIGINT) AS n, CASE action {" ".join(f"WHEN '{a}' THEN {[float(w) for w in PRIOR[a]]}::DOUBLE[]" for a in ACTIONS)} END AS w FROM e
+        UNION ALL SELECT f.user_id, f.action, e.n, list_transform(range(1, 10), lambda i: 0.995::DOUBLE * w[i] + 0.15::DOUBLE * (r - list_dot_product(w, x)) * x[i]) FROM f JOIN e ON e.user_id = f.user_id AND e.action = f.action AND e.n = f.n + 1)
+      SELECT user_id, action, {", ".join(f"round(arg_max(w, n)[{i + 1}], 6) AS {n}" for i, n in enumerate(FEATURES))} FROM f GROUP BY user_id, action""",
+    "bg5_live_budgets": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, CASE event_id % 10 WHEN 0 THEN 'limit' WHEN 1 THEN 'extend' WHEN 2 THEN 'turn' ELSE 'spend' END AS op,
+        CAST(CASE WHEN event_id % 20 = 0 THEN -floor(value) WHEN event_id % 10 = 2 THEN floor(value) * 20000 ELSE floor(value) END AS DOUBLE) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+      f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS event_id, '' AS op, '' AS outcome, 0.0::DOUBLE AS spent, 400.0::DOUBLE AS cap, 60.0::DOUBLE AS room, CAST(0 AS BIGINT) AS ends FROM e
+        UNION ALL SELECT user_id, i, event_id, op, outcome, CASE outcome WHEN 'accepted' THEN spent + v ELSE spent END, CASE outcome WHEN 'granted' THEN cap + v WHEN 'changed' THEN v ELSE cap END,
+          CASE outcome WHEN 'granted' THEN room - v ELSE room END, CASE op WHEN 'turn' THEN ms + CAST(v AS BIGINT) * 1000 ELSE ends END
+        FROM (SELECT e.user_id, e.i, e.event_id, e.op, e.ms, e.v, spent, cap, room, ends, CASE e.op WHEN 'spend' THEN CASE WHEN ends > 0 AND ms >= ends THEN 'late' WHEN greatest(0, cap - spent) >= v THEN 'accepted' ELSE 'refused' END
+          WHEN 'extend' THEN CASE WHEN v <= room THEN 'granted' ELSE 'waiting' END WHEN 'limit' THEN CASE WHEN v >= 0 THEN 'changed' ELSE 'invalid' END ELSE 'begun' END AS outcome FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+      SELECT CAST(user_id AS VARCHAR) AS session, event_id, op, outcome, spent, cap, room FROM f WHERE i > 0""",
 }

@@ -23,6 +23,7 @@ from .plans import models
 from .sources import documents as src
 from .sources import pdf
 from .sources import sinks
+from .streaming import budgets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -958,6 +959,23 @@ def bg5_extensions(spark, d):
     return lg.extensions(_whole_events(spark, d), ["user_id"], ["ts", "event_id"], "n", 150.0)
 
 
+def _session_events(spark, d, rows):
+    """Events as spends, some as requests, changes of the limit (some invalid) and beginnings of turns."""
+    k = F.col("event_id")
+    op = F.when(k % 10 == 0, "limit").when(k % 10 == 1, "extend").when(k % 10 == 2, "turn").otherwise("spend")
+    amount = F.when(k % 20 == 0, -F.floor("value")).when(k % 10 == 2, F.floor("value") * 20_000).otherwise(F.floor("value"))
+    return budgets.budget_events(rows, F.col("user_id"), op, amount)
+
+
+@query
+def bg5_live_budgets(spark, d):
+    """What becomes of each event of each session, by a stream over the events that keeps a state for each session."""
+    rows = spark.readStream.schema(t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    with sinks.scratch(spark, "live-budgets") as folder:
+        out = budgets.drain(budgets.live_budgets(_session_events(spark, d, rows), 400.0, 60.0), folder)
+    return out.filter("event_id >= 0")
+
+
 @query
 def bg6_change_limits(spark, d):
     """Changes of one or two limits, some of unknown resources, negative, or not whole."""
@@ -997,7 +1015,7 @@ def lr1_route(spark, d):
 @query
 def lr2_learn_router(spark, d):
     e = _features(spark, d).withColumn("action", F.element_at(F.array(*(F.lit(a) for a in lg.ACTIONS)), (F.col("event_id") % 4 + 1).cast("int"))).withColumn("reward", F.when(F.col("value") > 50, 1.0).otherwise(-1.0))
-    return lg.learn_router(e, ["user_id"], ["ts", "event_id"]).select("user_id", "action", F.array_join(F.transform("theta", lambda w: F.format_number(w, 6)), ",").alias("theta"))
+    return lg.learn_router(e, ["user_id"], ["ts", "event_id"]).select("user_id", "action", *(F.round(F.get("theta", F.lit(i)), 6).alias(n) for i, n in enumerate(lg.FEATURES)))
 
 
 @query
