@@ -431,7 +431,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT f.user_id, f.action, e.n, list_transform(range(1, 10), lambda i: 0.995::DOUBLE * w[i] + 0.15::DOUBLE * (r - list_dot_product(w, x)) * x[i]) FROM f JOIN e ON e.user_id = f.user_id AND e.action = f.action AND e.n = f.n + 1)
       SELECT user_id, action, {", ".join(f"round(arg_max(w, n)[{i + 1}], 6) AS {n}" for i, n in enumerate(FEATURES))} FROM f GROUP BY user_id, action""",
     "bg5_live_budgets": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, CASE event_id % 10 WHEN 0 THEN 'limit' WHEN 1 THEN 'extend' WHEN 2 THEN 'turn' ELSE 'spend' END AS op,
-        CAST(CASE WHEN event_id % 20 = 0 THEN -floor(value) WHEN event_id % 10 = 2 THEN floor(value) * 20000 ELSE floor(value) END AS DOUBLE) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+        CAST(CASE WHEN event_id % 20 = 0 THEN -CAST(floor(value) AS BIGINT) WHEN event_id % 10 = 2 THEN CAST(floor(value) AS BIGINT) * 20000 ELSE CAST(floor(value) AS BIGINT) END AS DOUBLE) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
       f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS event_id, '' AS op, '' AS outcome, 0.0::DOUBLE AS spent, 400.0::DOUBLE AS cap, 60.0::DOUBLE AS room, CAST(0 AS BIGINT) AS ends FROM e
         UNION ALL SELECT user_id, i, event_id, op, outcome, CASE outcome WHEN 'accepted' THEN spent + v ELSE spent END, CASE outcome WHEN 'granted' THEN cap + v WHEN 'changed' THEN v ELSE cap END,
           CASE outcome WHEN 'granted' THEN room - v ELSE room END, CASE op WHEN 'turn' THEN ms + CAST(v AS BIGINT) * 1000 ELSE ends END
