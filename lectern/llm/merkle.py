@@ -167,7 +167,9 @@ def manifest(docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lan
     kept = {f"_carried{k}": c for k, c in enumerate(carry.values())}
     leaf = F.unhex(leaf_hash(*(F.col(c) for c in columns)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), leaf.alias("digest"), F.monotonically_increasing_id().alias("tie"), *(c.alias(k) for k, c in kept.items()))
-    rows = table(_placed(rows, ["source", "id", "digest"], "tie"), "leaves")
+    hashed = table(rows, "leaf-hashes")  # the texts are read once; finding ranges and sorting read their hashes
+    rows = table(_placed(hashed, ["source", "id", "digest"], "tie"), "leaves")
+    release(hashed)
     parts = table(rows.groupBy("part", "source").agg(F.min("place").alias("first"), F.count("*").alias("rows")), "leaf-parts")
     sources = parts.groupBy("source").agg(F.sum("rows").alias("n"))
     sources = table(_placed(sources.withColumn("tie", F.lit(0)), ["source"], "tie"), "sources")
