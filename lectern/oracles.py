@@ -387,7 +387,11 @@ ORACLES: dict[str, str] = {
       SELECT doc_id, mode, CASE WHEN mode = 'all' THEN least(unread, 3) ELSE 0 END AS read_now, CASE WHEN mode = 'background' THEN least(3, unread, doc_id % 7) ELSE 0 END AS in_background,
       unread - CASE WHEN mode = 'all' THEN least(unread, 3) ELSE 0 END AS still_unread FROM c""",
     "snk3_traces": "SELECT event_id, event_type AS strategy, CAST(floor(value) AS BIGINT) AS tokens, value > 30 AS verified FROM events",
-    "snk4_policy_files": "SELECT * FROM (VALUES (0, 'promote', true, 1, 1), (1, 'promote', true, 2, 2), (2, 'promote', true, 3, 3), (3, 'rollback', true, 2, 2), (4, 'rollback', true, 1, 1), (5, 'rollback', false, 1, 1)) AS v(step, what, done, version, w)",
+    "snk4_policy_files": """WITH p AS (SELECT user_id % 3 AS k, event_type, round(avg(value), 6) AS weight FROM events GROUP BY ALL)
+      SELECT step, what, done, event_type, weight FROM (VALUES (0, 'promote', true, 0), (1, 'promote', true, 1), (2, 'promote', true, 2), (3, 'rollback', true, 1), (4, 'rollback', true, 0), (5, 'rollback', false, 0)) AS v(step, what, done, k) JOIN p USING (k)""",
+    "lr5_rollback": "SELECT event_type, round(avg(value), 6) AS weight, 3 AS version FROM events WHERE user_id % 3 = 0 GROUP BY event_type",
+    "src7_cache_store": f"""WITH {PAGES} SELECT doc_id, page, CASE WHEN (doc_id + page) % 3 = 1 OR (doc_id + page) % 2 = 1 THEN 'ocr' ELSE 'text' END AS source,
+      CASE WHEN (doc_id + page) % 3 = 1 THEN 'second ' || page WHEN (doc_id + page) % 2 = 1 THEN 'first ' || page END AS reading FROM tx""",
     "fn2_stop_words": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE list_contains({_list(sorted(W.STOP))}, word) GROUP BY word",
     "fn26_bengali_share": f"""SELECT doc_id, round(CAST(len(list_filter(regexp_extract_all(m, '\\p{{L}}'), lambda c: regexp_matches(c, '[{W.BENGALI}]'))) AS DOUBLE) / greatest(len(regexp_extract_all(m, '\\p{{L}}')), 1), 6) AS share FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN repeat('ঋণের পরিমাণ ', CAST(doc_id % 400 AS BIGINT)) || text ELSE text END AS m FROM documents)""",
     "rk8_unseen_terms": f"""WITH {UNITS}, {ASKED}, q AS (SELECT query_id, unnest(list_distinct(k)) AS term FROM (SELECT query_id, {tok("q")} AS k FROM qs)),

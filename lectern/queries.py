@@ -23,6 +23,7 @@ from .plans import models
 from .sources import documents as src
 from .sources import pdf
 from .sources import sinks
+from .sources.store import Store, upsert
 from .streaming import budgets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,6 +266,18 @@ def src7_cache_overlay(spark, d):
     return src.overlay_cache(base, cache).select("doc_id", "page", "source", F.size("lines").alias("n_lines"))
 
 
+@query
+def src7_cache_store(spark, d):
+    """Readings that were put into the cache by two writers, the second over some of the first's, as pages show them."""
+    base = src.pages_of_table(t(spark, d, "documents"))
+    read = lambda where, what: base.filter(where).select("doc_id", "page", F.array(F.lit(what), F.col("page").cast("string")).alias("lines"))
+    with sinks.scratch(spark, "cache") as folder:
+        held = Store(spark, folder)
+        upsert(held, "readings", read("(doc_id + page) % 2 = 1", "first"), ["doc_id", "page"])
+        upsert(held, "readings", read("(doc_id + page) % 3 = 1", "second"), ["doc_id", "page"])
+        return src.overlay_cache(base, held.table("readings")).select("doc_id", "page", "source", F.when(F.col("source") == "ocr", F.array_join("lines", " ")).alias("reading"))
+
+
 @query
 def src9_first_copies(spark, d):
     return src.first_copies(t(spark, d, "documents"), F.col("text"), "doc_id").select("content_id", "doc_id", "source")
@@ -318,18 +331,34 @@ def snk3_traces(spark, d):
         return spark.read.schema(e.schema).json(folder)
 
 
+def _policy(spark, d, k):
+    """A policy learnt from a third of the users: a weight for each type of event."""
+    events = t(spark, d, "events").filter(F.col("user_id") % 3 == k)
+    return events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("weight"))
+
+
 @query
 def snk4_policy_files(spark, d):
-    """Versions of a policy's file after each promotion and rollback; a rollback without a backup changes nothing."""
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as folder:  # the driver's own files
-        steps, done = [("promote", {"w": 1}), ("promote", {"w": 2}), ("promote", {"w": 3}), ("rollback", None), ("rollback", None), ("rollback", None)], []
-        for i, (step, policy) in enumerate(steps):
-            ok = sinks.promote_policy(folder, policy) if step == "promote" else sinks.rollback_policy(folder)
-            live = sinks.load_policy(folder) or {}
-            done.append((i, step, bool(ok), live.get("version"), live.get("w")))
-    return spark.createDataFrame(done, "step int, what string, done boolean, version int, w int")
+    """The live policy after each of three promotions and three rollbacks, the last of which finds nothing to go back to."""
+    seen = []
+    with sinks.scratch(spark, "policies") as folder:
+        held = Store(spark, folder)
+        for step, what in enumerate(("promote",) * 3 + ("rollback",) * 3):
+            done = sinks.promote_policy(held, _policy(spark, d, step)) if what == "promote" else sinks.rollback_policy(held)
+            live = held.table("policy").select(F.lit(step).alias("step"), F.lit(what).alias("what"), F.lit(done is not None).alias("done"), "event_type", "weight")
+            seen.append(live)
+    return reduce(DataFrame.union, seen)
+
+
+@query
+def lr5_rollback(spark, d):
+    """The policy that stands again after a worse one was promoted and rolled back, read by its version."""
+    with sinks.scratch(spark, "rollback") as folder:
+        held = Store(spark, folder)
+        for k in (0, 1):
+            sinks.promote_policy(held, _policy(spark, d, k))
+        sinks.rollback_policy(held)
+        return held.table("policy").withColumn("version", F.lit(held.read().version))
 
 
 @query

@@ -1,12 +1,8 @@
-"""Writers: extraction CSV, page text, traces and policy files."""
+"""Writers: extraction CSV, page text, traces and policies."""
 
 from __future__ import annotations
 
 import hashlib
-import json
-import os
-import re
-import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_cell
+from .store import Snapshot, Store
 
 
 def extraction_cells(fields: DataFrame) -> DataFrame:
@@ -46,54 +43,15 @@ def append_traces(traces: DataFrame, path: str) -> None:
     traces.write.mode("append").json(path)
 
 
-def save_policy(path: str, policy: dict) -> bool:
-    """Replaces a JSON file whole; False, and the old file stays, if it can't be written."""
-    try:
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        handle, temp = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
-        with os.fdopen(handle, "w") as f:
-            json.dump(policy, f, indent=1)
-        os.replace(temp, path)
-        return True
-    except OSError:
-        return False
+def promote_policy(store: Store, policy: DataFrame) -> Snapshot:
+    """Makes a policy, a table, the live one; the one before stays and can be put back. Readers see one or the other whole."""
+    return store.publish(store.read(), {"policy": store.put(policy)})
 
 
-def _path(folder: str, name: str = "live.json") -> str:
-    return os.path.join(folder, name)
-
-
-def load_policy(folder: str) -> dict | None:
-    """The live policy; None if there is none."""
-    try:
-        with open(_path(folder)) as f:
-            return json.load(f)
-    except FileNotFoundError:
-        return None
-
-
-def _backups(folder: str) -> dict[int, str]:
-    """Backup files by version."""
-    names = os.listdir(folder) if os.path.isdir(folder) else []
-    return {int(m[1]): _path(folder, m[0]) for m in (re.fullmatch(r"live\.v(\d+)\.bak\.json", n) for n in names) if m}
-
-
-def promote_policy(folder: str, policy: dict) -> bool:
-    """Makes a policy the live one, of the next version; the old one stays as a numbered backup."""
-    old = load_policy(folder)
-    version = old.get("version", 0) if old else 0
-    if old is not None:
-        shutil.copyfile(_path(folder), _path(folder, f"live.v{version}.bak.json"))
-    return save_policy(_path(folder), {**policy, "version": version + 1})
-
-
-def rollback_policy(folder: str) -> bool:
-    """Puts the backup of the highest version back, which is then used up; False if there is none."""
-    held = _backups(folder)
-    if not held:
-        return False
-    os.replace(held[max(held)], _path(folder))
-    return True
+def rollback_policy(store: Store) -> DataFrame | None:
+    """Puts the policy before the live one back, and returns it; None, and nothing changes, if there is none before it."""
+    made = store.rollback()
+    return None if made is None else store.table("policy", made)
 
 
 _LEFT: set[str] = set()

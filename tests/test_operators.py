@@ -1,6 +1,5 @@
 """Small cases of columns and operators: nulls, empty texts, ties, scopes and folds."""
 
-import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,11 +186,7 @@ def test_conversation(spark):
     assert {r.question: r.cached for r in cv.cache_lookup(asked, cache).collect()} == {"Please tell me the Loan amount": "5", "What's the loan term": None, "loan amount": None}
 
 
-def test_policy_file_and_traces(spark, tmp_path):
-    path = f"{tmp_path}/p/live.json"
-    assert sinks.save_policy(path, {"a": 1}) and json.load(open(path)) == {"a": 1}
-    (tmp_path / "file").write_text("")
-    assert not sinks.save_policy(f"{tmp_path}/file/x.json", {})
+def test_traces(spark, tmp_path):
     rows = [(f"2026-01-01 00:0{i}:00", "text", 10.0, 1.0, i % 2 == 0) for i in range(6)] + [("2026-01-02 00:00:00", "ocr", 1.0, 1.0, True)]
     df = spark.createDataFrame(rows, "ts string, strategy string, tokens double, seconds double, verified boolean")
     sinks.append_traces(df, f"{tmp_path}/traces")
