@@ -9,9 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import grams
 from ..functions import text as T
 from ..functions import words as W
 from ..functions.readers import similarity
+from ..sources.store import Snapshot, Store
 
 #: Queries that are shipped to every executor at once; more of them are joined by term.
 BROADCAST_QUERIES = 5_000
@@ -31,9 +33,10 @@ def add_tokens(units: DataFrame, text: str = "text", compose: bool = True) -> Da
 class Index:
     """Units (keys, text, toks, n_toks, ...) and, where they are stored, what questions are answered from without the texts.
 
-    postings: (term, keys, n_toks, f), one row a unit and term; grams: (gram, keys), one row a unit and trigram, both sorted
-    by what is looked up, so that a question reads the few row groups that hold it; totals: one row (n, total). Functions
-    take units as a DataFrame as well; then the parts that a question needs are made from it each time.
+    postings: (term, keys, n_toks, f), one row a unit and term; grams: (gram, uids), the packed numbers of units that hold a
+    trigram, a row for each trigram and piece of text, both sorted by what is looked up, so that a question reads the few
+    row groups that hold it; terms: (term, df); runs: (run), see absent_many; totals: one row (n, total). Functions take
+    units as a DataFrame as well; then the parts that a question needs are made from it each time.
     """
 
     units: DataFrame
@@ -41,6 +44,8 @@ class Index:
     postings: DataFrame | None = None
     grams: DataFrame | None = None
     totals: DataFrame | None = None
+    terms: DataFrame | None = None
+    runs: DataFrame | None = None
 
     @staticmethod
     def of(units: "Index | DataFrame", keys: tuple[str, ...] = ("doc_id", "page")) -> "Index":
@@ -48,24 +53,10 @@ class Index:
 
     @staticmethod
     def build(units: DataFrame, keys: tuple[str, ...], folder: str) -> "Index":
-        """Writes units with tokens, postings, trigrams and totals to a folder that all executors see."""
-        spark = units.sparkSession
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        units.write.parquet(f"{folder}/units")
-        held = spark.read.schema(units.schema).parquet(f"{folder}/units")
-        terms = held.select(*keys, "n_toks", F.explode("toks").alias("term")).groupBy("term", *keys, "n_toks").agg(F.count("*").alias("f"))
-        # A range is cut inside a common term too, by the units' keys.
-        terms.repartitionByRange(tasks, "term", *keys).sortWithinPartitions("term", *keys).write.parquet(f"{folder}/postings")
-        every = F.regexp_extract_all(_flat(), F.lit("(?s)(?=(...))"), F.lit(1))  # at each place, in one scan
-        grams = held.select(*keys, F.explode(F.array_distinct(every)).alias("gram"))
-        grams.repartitionByRange(tasks, "gram", *keys).sortWithinPartitions("gram", *keys).write.parquet(f"{folder}/grams")
-        _totals(held).write.parquet(f"{folder}/totals")
-        return Index.open(spark, keys, folder)
-
-    @staticmethod
-    def open(spark: SparkSession, keys: tuple[str, ...], folder: str) -> "Index":
-        units, *parts = (spark.read.parquet(f"{folder}/{part}") for part in ("units", "postings", "grams", "totals"))
-        return Index(units, tuple(keys), *parts)
+        """An index of units with tokens in a folder that all executors see; what was built there before is replaced."""
+        held = IndexStore(units.sparkSession, folder, keys)
+        held.replace(units)
+        return held.open()
 
     def near(self, terms: list[str]) -> DataFrame:
         """Postings of terms, and of tokens that share the first four letters of one that may be matched so."""
@@ -76,25 +67,26 @@ class Index:
         return self.postings.filter(reduce(lambda x, y: x | y, (F.col("term").startswith(h) for h in heads), F.col("term").isin(*terms)))
 
     def every_posting(self) -> DataFrame:
-        if self.postings is not None:
-            return self.postings
-        return self.units.select(*self.keys, "n_toks", F.explode("toks").alias("term")).groupBy("term", *self.keys, "n_toks").agg(F.count("*").alias("f"))
-
-    def holding(self, grams: list[str]) -> DataFrame:
-        """(gram, keys) of units whose text holds a trigram."""
-        if self.grams is not None:
-            return self.grams.filter(F.col("gram").isin(*grams))
-        asked = F.array(*(F.lit(g) for g in grams)).cast("array<string>")
-        held = self.units.select(*self.keys, _flat().alias("_page"))
-        return held.select(*self.keys, F.explode(F.filter(asked, lambda g: F.contains(F.col("_page"), g))).alias("gram"))
+        return _postings(self.units, self.keys) if self.postings is None else self.postings
+
+    def holding(self, lists: list[list[str]]) -> DataFrame:
+        """(keys, _g0, _g1, ...): how many trigrams of each list a unit's text holds; units that hold none have no row."""
+        names = [f"_g{i}" for i in range(len(lists))]
+        if self.grams is None:
+            page = self.units.select(*self.keys, _flat().alias("_page"))
+            counts = [sum((F.contains("_page", F.lit(g)).cast("long") for g in own), F.lit(0).cast("long")).alias(n) for n, own in zip(names, lists)]
+            return page.select(*self.keys, *counts).filter(reduce(lambda x, y: x | y, (F.col(n) > 0 for n in names)))
+        packed = self.grams.filter(F.col("gram").isin(*sorted({g for own in lists for g in own})))
+        sums = packed.mapInArrow(grams.counted(lists), "uid long, " + ", ".join(f"{n} long" for n in names)).groupBy("uid").agg(*(F.sum(n).alias(n) for n in names))
+        return self.units.select("uid", *self.keys).join(sums, "uid").drop("uid")
 
     def total(self) -> DataFrame:
         return _totals(self.units) if self.totals is None else self.totals
 
     def without(self, condition: Column) -> "Index":
-        """The index without the units that a condition on the keys is true of; stored totals are counted anew."""
+        """The index without the units that a condition on the keys is true of; stored statistics are counted anew."""
         kept = lambda df: None if df is None else df.filter(~F.coalesce(condition, F.lit(False)))
-        return Index(kept(self.units), self.keys, kept(self.postings), kept(self.grams), None)
+        return Index(kept(self.units), self.keys, kept(self.postings), self.grams, None)
 
     def rows(self, best: DataFrame, order: list[Column]) -> DataFrame:
         """The units of a few best rows (keys and scores), in their order. The rows are bounded, and name what is read."""
@@ -106,6 +98,132 @@ class Index:
         return self.units.filter(named).join(F.broadcast(held), list(self.keys)).orderBy(*order)
 
 
+def _postings(units: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return units.select(*keys, "n_toks", F.explode("toks").alias("term")).groupBy("term", *keys, "n_toks").agg(F.count("*").alias("f"))
+
+
+#: Bytes of a segment's units for which its postings and trigrams get a partition, and from which all tasks are used.
+PART_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
+#: Segments, and share of the units that are dropped, from which an index is merged into one segment.
+MOST_SEGMENTS, MOST_DROPPED = 8, 0.25
+
+
+class IndexStore:
+    """An index that changes: segments of units, each built once, and what has been dropped from them, in a versioned store.
+
+    Adding or dropping units writes about as much as they are: a segment of the new ones, and the keys of dropped ones with
+    what they take off the terms' counts and the totals. Changes are versions: a build that fails leaves the index as it
+    was, and a reader keeps the version that it has opened. From MOST_SEGMENTS segments, or MOST_DROPPED of the units
+    dropped, the live units become one segment.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: tuple[str, ...] = ("doc_id", "page")):
+        self.spark, self.keys, self.store = spark, tuple(keys), Store(spark, folder)
+
+    def built(self) -> bool:
+        return "segments" in self.store.read().values
+
+    def open(self, snapshot: Snapshot | None = None) -> Index:
+        now = snapshot or self.store.read()
+        table = lambda name: self.store.table(name, now)
+        segments, dropped = now.values["segments"], now.values["dropped"]
+
+        def live(part: str) -> DataFrame:
+            """A part of all segments, without what was dropped from each since."""
+            out = []
+            for s in segments:
+                rows = table(f"{part}-{s}")
+                for d, of in dropped.items():
+                    if s in of["segments"]:
+                        gone = table(f"dropped-{d}")
+                        same = reduce(lambda x, y: x & y, (rows[k].eqNullSafe(gone[k]) for k in self.keys))
+                        rows = rows.join(gone, same, "left_anti")
+                out.append(rows)
+            return reduce(DataFrame.unionByName, out)
+
+        whole = lambda part: reduce(DataFrame.union, (table(f"{part}-{s}") for s in segments))
+        terms = whole("terms")
+        if dropped or len(segments) > 1:
+            less = [table(f"dropped-terms-{d}").withColumn("df", -F.col("df")) for d in dropped]
+            terms = reduce(DataFrame.unionByName, less, terms).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+        n, total = (sum(s[c] for s in segments.values()) - sum(d[c] for d in dropped.values()) for c in ("n", "total"))
+        totals = self.spark.createDataFrame([(n, total)], "n long, total long")
+        runs = whole("runs") if len(segments) == 1 else whole("runs").distinct()
+        # A run that only dropped units hold would pass for one that is there.
+        return Index(live("units"), self.keys, live("postings"), whole("grams"), totals, terms, None if dropped else runs)
+
+    def replace(self, units: DataFrame) -> Snapshot:
+        """Units with tokens as the only segment."""
+        base = self.store.read()
+        tables, values = self._segment(units, 0)
+        gone = dict.fromkeys(n for n in base.tables)
+        return self.store.publish(base, {**gone, **tables}, {"segments": {"0": values}, "dropped": {}, "next": 1})
+
+    def add(self, units: DataFrame) -> Snapshot:
+        """Adds units with tokens; they take the place of units of the same keys."""
+        base = self.store.read()
+        number = base.values["next"]
+        tables, values = self._segment(units, number)
+        dropped = dict(base.values["dropped"])
+        more, what = self._gone(base, self.store.spark.read.parquet(f"{self.store.folder}/{tables[f'units-{number}']['path']}").select(*self.keys), number)
+        if what:
+            dropped[str(number)] = what
+        made = self.store.publish(base, {**tables, **more}, {"segments": {**base.values["segments"], str(number): values}, "dropped": dropped, "next": number + 1})
+        return self._kept_small(made)
+
+    def drop(self, keys: DataFrame) -> Snapshot:
+        """Drops the units of some keys; keys that it doesn't have change nothing."""
+        base = self.store.read()
+        number = base.values["next"]
+        tables, what = self._gone(base, keys.select(*self.keys), number)
+        if not what:
+            return base
+        made = self.store.publish(base, tables, {"dropped": {**base.values["dropped"], str(number): what}, "next": number + 1})
+        return self._kept_small(made)
+
+    def merge(self) -> Snapshot:
+        """The live units as one segment."""
+        return self.replace(self.open().units.drop("uid"))
+
+    def _kept_small(self, made: Snapshot) -> Snapshot:
+        n = sum(s["n"] for s in made.values["segments"].values())
+        gone = sum(d["n"] for d in made.values["dropped"].values())
+        return self.merge() if len(made.values["segments"]) > MOST_SEGMENTS or gone > MOST_DROPPED * n else made
+
+    def _gone(self, base: Snapshot, keys: DataFrame, number: int) -> tuple[dict, dict | None]:
+        """What dropping the live units of keys writes: their keys and their terms' counts."""
+        held = self.open(base).units
+        wanted = keys.distinct().alias("wanted")
+        same = reduce(lambda x, y: x & y, (held[k].eqNullSafe(F.col(f"wanted.`{k}`")) for k in self.keys))
+        own = self.store.put(held.join(wanted, same, "left_semi").select(*self.keys, "n_toks", F.array_distinct("toks").alias("toks")))
+        written = self.spark.read.parquet(f"{self.store.folder}/{own['path']}")
+        sums = _totals(written).first()
+        if not sums.n:
+            return {}, None
+        tables = {f"dropped-{number}": self.store.put(written.select(*self.keys)), f"dropped-terms-{number}": self.store.put(written.select(F.explode("toks").alias("term")).groupBy("term").agg(F.count("*").alias("df")))}
+        return tables, {"n": sums.n, "total": sums.total, "segments": list(base.values["segments"])}
+
+    def _segment(self, units: DataFrame, number: int) -> tuple[dict, dict]:
+        """The tables of a segment, and its totals. Partitions follow its bytes."""
+        uid = (F.monotonically_increasing_id() + F.lit(number << 52)).alias("uid")
+        own = self.store.put(units.select("*", uid))
+        path = f"{self.store.folder}/{own['path']}"
+        held = self.spark.read.parquet(path)
+        folder = self.store._path(own["path"])
+        size = self.store._files.getContentSummary(folder).getLength()
+        tasks = max(size // PART_BYTES + 1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES + 1))
+        # A range is cut inside a common term too, by the units' keys.
+        postings = self.store.put(_postings(held, self.keys).repartitionByRange(tasks, "term", *self.keys).sortWithinPartitions("term", *self.keys))
+        packed = held.select("uid", _flat().alias("flat")).mapInArrow(grams.packed, "gram string, uids binary")
+        trigrams = self.store.put(packed.repartitionByRange(tasks, "gram", F.xxhash64("uids")).sortWithinPartitions("gram"))
+        posted = self.spark.read.parquet(f"{self.store.folder}/{postings['path']}")
+        terms = self.store.put(posted.groupBy("term").agg(F.count("*").alias("df")))
+        runs = self.store.put(_words(Index(held, self.keys)))
+        sums = _totals(held).first()
+        parts = {"units": own, "postings": postings, "grams": trigrams, "terms": terms, "runs": runs}
+        return {f"{name}-{number}": table for name, table in parts.items()}, {"n": sums.n, "total": sums.total}
+
+
 def _flat(text: str = "text") -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "), F.lit(" "))
 
@@ -121,6 +239,8 @@ def term_frequencies(units: Index | DataFrame, keys: list[str] = ("doc_id", "pag
 
 def document_frequencies(units: Index | DataFrame) -> DataFrame:
     """(term, df): units that hold a term. A unit's distinct terms are found in its row, so only terms are shuffled."""
+    if isinstance(units, Index) and units.terms is not None:
+        return units.terms
     if isinstance(units, Index) and units.postings is not None:
         return units.postings.groupBy("term").agg(F.count("*").alias("df"))
     return Index.of(units).units.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -246,26 +366,29 @@ def top(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def trigram_scores(units: Index | DataFrame, question: str) -> DataFrame:
-    """(keys, bm25, coverage, score, fuzzy) of all units. fuzzy: for question words of four letters or more, idf times the
-    share of the word's trigrams in the text."""
-    ix = Index.of(units)
-    scored, _ = _scored(ix, question)
+def _touched(ix: Index, question: str) -> DataFrame:
+    """(keys, bm25, coverage, score, fuzzy) of the units that share a term or a trigram with the question; the others' are 0."""
+    scored = _scored(ix, question)[0].drop("n_toks")
     words = [w for w in dict.fromkeys(T.tokens_of(question)) if len(w) >= 4]
     if not words:
-        return _all_units(ix, scored.withColumn("fuzzy", F.lit(0.0)), ["bm25", "coverage", "score", "fuzzy"])
+        return scored.withColumn("fuzzy", F.lit(0.0))
     padded = [f" {re.sub('[^a-z0-9]+', ' ', w)} " for w in words]
-    grams = [sorted({p[j : j + 3] for j in range(len(p) - 2)}) for p in padded]
+    lists = [sorted({p[j : j + 3] for j in range(len(p) - 2)}) for p in padded]
     counts = ix.near(words).agg(*(F.count_if(F.col("term") == w).alias(f"_w{i}") for i, w in enumerate(words)))
     stats = counts.crossJoin(ix.total().select(F.greatest("n", F.lit(1)).alias("_n")))
-    hits = ix.holding(sorted({g for own in grams for g in own}))
-    each = hits.groupBy(*ix.keys).agg(*(F.count_if(F.col("gram").isin(*own)).alias(f"_g{i}") for i, own in enumerate(grams)))
     fuzzy = F.lit(0.0)
-    for i, own in enumerate(grams):
+    for i, own in enumerate(lists):
         fuzzy = fuzzy + idf(F.col("_n"), F.col(f"_w{i}")) * F.col(f"_g{i}") / F.lit(float(max(len(own), 1)))
-    near = each.crossJoin(F.broadcast(stats)).select(*ix.keys, fuzzy.alias("fuzzy"))
-    both = near.join(scored.drop("n_toks"), list(ix.keys), "full")
-    return _all_units(ix, both, ["bm25", "coverage", "score", "fuzzy"])
+    near = ix.holding(lists).crossJoin(F.broadcast(stats)).select(*ix.keys, fuzzy.alias("fuzzy"))
+    both = near.join(scored, list(ix.keys), "full")
+    return both.select(*ix.keys, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("bm25", "coverage", "score", "fuzzy")))
+
+
+def trigram_scores(units: Index | DataFrame, question: str) -> DataFrame:
+    """(keys, bm25, coverage, score, fuzzy) of all units. fuzzy: for question words of four letters or more, idf times the
+    share of the word's trigrams in the text."""
+    ix = Index.of(units)
+    return _all_units(ix, _touched(ix, question), ["bm25", "coverage", "score", "fuzzy"])
 
 
 def _relevance(scored: DataFrame, digits: int = 6) -> DataFrame:
@@ -277,22 +400,43 @@ def _relevance(scored: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _named(ix: Index, question: str) -> DataFrame | None:
-    """(keys, named): whether each unit holds the phrases that a question names; None, and no text is read, if it names none."""
+    """(keys): the units that hold the phrases that a question names; None if it names none.
+
+    A text that holds a phrase holds its trigrams, so only texts that hold all of them are read.
+    """
     phrases = ix.units.sparkSession.range(1).select(T.entities(F.lit(question)).alias("e")).first().e
     if not phrases:
         return None
-    return ix.units.select(*ix.keys, T.has_entities(F.array(*(F.lit(p) for p in phrases)), "text").alias("named"))
+    flat = [re.sub("[^a-z0-9]+", " ", p.lower()).strip() for p in phrases]
+    own = sorted({p[j : j + 3] for p in flat for j in range(len(p) - 2)})
+    units = ix.units.select(*ix.keys, "text")
+    if own and ix.grams is not None:
+        units = units.join(ix.holding([own]).filter(F.col("_g0") == len(own)).select(*ix.keys), list(ix.keys), "left_semi")
+    return units.filter(T.has_entities(F.array(*(F.lit(p) for p in phrases)), "text")).select(*ix.keys)
 
 
 def rank_pages(units: Index | DataFrame, question: str, k: int = 4, scope: Column | None = None, order: list[str] = ("doc_id", "page"), digits: int = 6) -> DataFrame:
-    """The k best pages by BM25 and trigram scores, each as a share of the best; pages that hold the named phrases first."""
+    """The k best pages by BM25 and trigram scores, each as a share of the best; pages that hold the named phrases first.
+
+    Only the pages that share something with the question are ranked; others, all of score 0, fill up what is left of k.
+    """
     ix = Index.of(units)
-    scored = trigram_scores(ix, question)
-    scored = _relevance(scored if scope is None else scored.filter(scope), digits)
+    within = lambda df: df if scope is None else df.filter(scope)
+    scored = _relevance(within(_touched(ix, question)), digits)
     named = _named(ix, question)
-    scored = scored.withColumn("named", F.lit(True)) if named is None else scored.join(named, list(ix.keys))
+    columns = ("bm25", "coverage", "score", "fuzzy", "relevance")
+    if named is None:
+        scored = scored.select(*ix.keys, *columns, F.lit(True).alias("named"))
+    else:
+        scored = scored.join(within(named).withColumn("named", F.lit(True)), list(ix.keys), "full").select(*ix.keys, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns), F.coalesce("named", F.lit(False)).alias("named"))
     by = [F.desc("named"), F.desc("relevance"), *map(F.col, order)]
-    return ix.rows(scored.orderBy(*by).limit(k), by)
+    best = scored.orderBy(*by).limit(k).collect()
+    held = ix.units.sparkSession.createDataFrame(best, scored.schema)
+    if len(best) < k:
+        zeros = [F.lit(0.0).alias(c) for c in columns]
+        rest = within(ix.units.select(*ix.keys)).join(F.broadcast(held.select(*ix.keys)), list(ix.keys), "left_anti")
+        held = held.union(rest.select(*ix.keys, *zeros, F.lit(named is None).alias("named")).orderBy(*map(F.col, order)).limit(k - len(best)))
+    return ix.rows(held, by)
 
 
 def retrieve(pages: Index | DataFrame, chunks: Index | DataFrame, question: str, k_pages: int = 2, k_chunks: int = 3) -> DataFrame:
@@ -314,8 +458,8 @@ def pending_pages(pages: Index | DataFrame, question: str | None = None, limit:
     if question is None:
         out = ix.units.filter(unread).orderBy("doc_id", "page")
     else:
-        ranked = _relevance(trigram_scores(ix, question)).select(*ix.keys, "relevance")
-        out = ix.units.filter(unread).join(ranked, list(ix.keys)).orderBy(F.desc("relevance"), "doc_id", "page")
+        ranked = _relevance(_touched(ix, question)).select(*ix.keys, F.col("relevance").alias("_r"))
+        out = ix.units.filter(unread).join(ranked, list(ix.keys), "left").withColumn("relevance", F.coalesce("_r", F.lit(0.0))).drop("_r").orderBy(F.desc("relevance"), "doc_id", "page")
     return out if limit is None else out.limit(limit)
 
 
@@ -381,6 +525,8 @@ RUN = W.TOKEN
 
 def _words(units: Index | DataFrame) -> DataFrame:
     """(run): the distinct runs of token characters of all texts in lower case; a token stands in a text only inside a run."""
+    if isinstance(units, Index) and units.runs is not None:
+        return units.runs
     runs = F.regexp_extract_all(F.lower(F.col("text")), F.lit(RUN), F.lit(0))
     return Index.of(units).units.select(F.explode(F.array_distinct(runs)).alias("run")).distinct()
 

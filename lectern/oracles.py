@@ -442,4 +442,8 @@ ORACLES: dict[str, str] = {
         FROM (SELECT e.user_id, e.i, e.event_id, e.op, e.ms, e.v, spent, cap, room, ends, CASE e.op WHEN 'spend' THEN CASE WHEN ends > 0 AND ms >= ends THEN 'late' WHEN greatest(0, cap - spent) >= v THEN 'accepted' ELSE 'refused' END
           WHEN 'extend' THEN CASE WHEN v <= room THEN 'granted' ELSE 'waiting' END WHEN 'limit' THEN CASE WHEN v >= 0 THEN 'changed' ELSE 'invalid' END ELSE 'begun' END AS outcome FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
       SELECT CAST(user_id AS VARCHAR) AS session, event_id, op, outcome, spent, cap, room FROM f WHERE i > 0""",
+    "rk2_changed_index": f"""WITH {PAGES}, c AS (SELECT CASE WHEN doc_id % 89 = 5 THEN text || ' renewed entry' ELSE text END AS text FROM tx WHERE text <> '' AND (doc_id % 97 <> 3 OR doc_id % 89 = 5))
+      SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tok("text")})) AS term FROM c) GROUP BY term""",
+    "rk5_changed_search": f"""WITH {UNITS}, v AS (SELECT * FROM u WHERE (doc_id % 5 <> 0 OR doc_id % 3 <> 0) AND doc_id % 7 <> 1), {_scores("v", "sc")}
+      SELECT doc_id, page, round(score, 6) AS score FROM sc WHERE bm25 > 0 ORDER BY 3 DESC, 1, 2 LIMIT 10""",
 }

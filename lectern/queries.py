@@ -52,7 +52,10 @@ def _stored(spark: SparkSession, d: str, name: str, keys: tuple[str, ...], units
     """The index over a table of documents, built once for an application and state of the table, then read per question."""
     folder = sinks.kept(spark, f"{d}/documents.parquet", name)
     if folder not in _INDEXES:
-        _INDEXES[folder] = ix.Index.build(units(), keys, folder)
+        held = ix.IndexStore(spark, folder, keys)
+        if not held.built():
+            held.replace(units())
+        _INDEXES[folder] = held.open()
     return _INDEXES[folder]
 
 
@@ -579,6 +582,31 @@ def rk2_drop_page(spark, d):
     return ix.document_frequencies(ix.drop_page(index(spark, d), 1, 1))
 
 
+@query
+def rk2_changed_index(spark, d):
+    """The terms' counts of an index in which some pages were dropped and others changed, without building it anew."""
+    own = ix.add_tokens(pages(spark, d).drop("lines").filter("text <> ''"))
+    with sinks.scratch(spark, "changed-index") as folder:
+        held = ix.IndexStore(spark, folder)
+        held.replace(own)
+        held.drop(own.filter("doc_id % 97 = 3"))
+        changed = pages(spark, d).drop("lines").filter("text <> '' AND doc_id % 89 = 5").withColumn("text", F.concat("text", F.lit(" renewed entry")))
+        held.add(ix.add_tokens(changed))
+        return ix.document_frequencies(held.open())
+
+
+@query
+def rk5_changed_search(spark, d):
+    """The best pages of that index for a question about what was changed."""
+    own = ix.add_tokens(pages(spark, d).drop("lines").filter("text <> ''"))
+    with sinks.scratch(spark, "changed-search") as folder:
+        held = ix.IndexStore(spark, folder)
+        held.replace(own.filter("doc_id % 5 <> 0"))
+        held.add(own.filter("doc_id % 5 = 0 AND doc_id % 3 <> 0"))
+        held.drop(own.filter("doc_id % 7 = 1"))
+        return ix.search(held.open(), QUESTION, 10).select("doc_id", "page", "score")
+
+
 @query
 def rk3_idf(spark, d):
     held = index(spark, d)

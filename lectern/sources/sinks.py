@@ -76,10 +76,14 @@ def _removed_at_end(spark: SparkSession, folder: str) -> str:
 
 
 def kept(spark: SparkSession, source: str, name: str) -> str:
-    """A folder for what is derived from a file or folder in its present state; it goes with the application."""
+    """A folder for what is derived from a Parquet file or folder in its present state; it goes with the application.
+
+    The state is the list of its files, their bytes, and when it was changed, as far as the store says so.
+    """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    state = f"{source} {system.getFileStatus(path).getModificationTime()} {system.getContentSummary(path).getLength()}"
+    files = sorted(spark.read.parquet(source).inputFiles())
+    state = f"{source} {system.getFileStatus(path).getModificationTime()} {system.getContentSummary(path).getLength()} {files}"
     return _removed_at_end(spark, f"{_root(spark)}-{name}-{hashlib.sha1(state.encode()).hexdigest()[:12]}")
 
 
