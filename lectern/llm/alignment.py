@@ -20,6 +20,8 @@ from .token_counts import _PLAIN, _ranges
 HEAD = 1 << 20
 #: Distinct words of a side that a worker keeps tokens of, and their characters; beyond it starts anew.
 HELD, HELD_CHARS = 150_000, 8 << 20
+#: Words that are encoded at once, and bytes of text that are aligned at once: the libraries' results are large.
+CHUNK, PIECE = 2048, 1 << 19
 #: Distinct pairs that a task holds before it passes their counts on.
 PAIRS = 1 << 21
 
@@ -63,7 +65,7 @@ class Words:
     def _learn(self, new: list[str]) -> None:
         text = "".join(new)
         self.chars += len(text)
-        got = self.encode(new)
+        got = [ids for i in range(0, len(new), CHUNK) for ids in self.encode(new[i : i + CHUNK])]
         ids = np.fromiter(chain.from_iterable(got), np.int64)
         count = np.fromiter(map(len, got), np.int64, len(got))
         ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.cumsum(count)]
@@ -219,14 +221,14 @@ BLOCK = "row long, ids array<{}>, n_a array<long>, n_b array<long>, n_groups arr
 
 
 def _blocks(docs: DataFrame, spark, a: str, b: str, id_col: str, text_col: str, with_groups: bool) -> tuple[DataFrame, int]:
-    """A row for each piece of about 1 MB of text, with the pairs of its texts; and the number of b's ids."""
+    """A row for each piece of text, with the pairs of its texts; and the number of b's ids."""
     with open(a, encoding="utf-8") as f, open(b, "rb") as g:
         shared = _Shared(spark, f.read(), g.read())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def block(batches):
         sides, at = _both(shared), TaskContext.get().partitionId() << 36
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             found = Aligned(texts_of(batch, "text"), *sides)
             n = found.n
             texts = found.group_texts()
