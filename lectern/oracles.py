@@ -446,4 +446,20 @@ ORACLES: dict[str, str] = {
       SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tok("text")})) AS term FROM c) GROUP BY term""",
     "rk5_changed_search": f"""WITH {UNITS}, v AS (SELECT * FROM u WHERE (doc_id % 5 <> 0 OR doc_id % 3 <> 0) AND doc_id % 7 <> 1), {_scores("v", "sc")}
       SELECT doc_id, page, round(score, 6) AS score FROM sc WHERE bm25 > 0 ORDER BY 3 DESC, 1, 2 LIMIT 10""",
+    "md3_missed_boxes": f"""WITH {BOXES}, f AS (SELECT * FROM b WHERE line % 3 <> 0),
+      s AS (SELECT row_number() OVER () AS id, doc_id, line + 100 AS box_id, text, 0.1 + l_partkey % 5 * 0.1::DOUBLE AS x0, 0.5 + l_partkey % 5 * 0.1::DOUBLE AS x1, y0, y1 FROM b),
+      c AS (SELECT s.id, sum(greatest(0, least(s.x1, 0.5) - greatest(s.x0, 0.1)) * greatest(0, least(s.y1, f.y1) - greatest(s.y0, f.y0)) / greatest((s.x1 - s.x0) * (s.y1 - s.y0), 1e-12)) AS covered FROM s JOIN f ON s.doc_id = f.doc_id GROUP BY ALL)
+      SELECT doc_id, line AS box_id, text, 1 AS look FROM f UNION ALL SELECT s.doc_id, s.box_id, text, 2 FROM s LEFT JOIN c ON s.id = c.id WHERE coalesce(covered, 0) < 0.2""",
+    "md3_sideways_runs": """WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_returnflag AS text, 30 * l_linenumber AS t, l_linenumber = 4 AND l_orderkey % 4 = 0 AS cut FROM lineitem),
+      g AS (SELECT *, CASE WHEN t - lag(t + 20) OVER (PARTITION BY doc_id ORDER BY t) >= 25 THEN 1 ELSE 0 END AS far FROM l WHERE NOT cut),
+      p AS (SELECT *, sum(far) OVER (PARTITION BY doc_id ORDER BY t) AS part FROM g),
+      r AS (SELECT doc_id, part, count(*) AS fragments, string_agg(text, '' ORDER BY t, text) AS text, min(t) AS y0, max(t) + 20 AS y1 FROM p GROUP BY ALL HAVING count(*) >= 3 AND max(t) + 20 - min(t) >= 30)
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) AS INTEGER) AS run, fragments, text, round(y0 / 1000.0::DOUBLE, 4) AS y0, round(y1 / 1000.0::DOUBLE, 4) AS y1 FROM r WHERE doc_id % 5 <> 0""",
+    "md4_command_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '[\r\x0b\x0c\x00]', ' ', 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '[\r\x0b\x0c\x00]', ' ', 'g'), chr(10)), 1) AS n FROM documents),
+      w AS (SELECT doc_id, n, regexp_extract_all(line, '[^ \t]+') AS w FROM l)
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS row, array_to_string(w, ' ') AS text, 10 / 10000.0::DOUBLE AS x0, round(20 * n / 100000.0::DOUBLE, 6) AS y0, round((10 * len(w) + 8) / 10000.0::DOUBLE, 6) AS x1,
+      round((20 * n + 12) / 100000.0::DOUBLE, 6) AS y1, round((90 - n % 5) / 100.0::DOUBLE, 6) AS score FROM w WHERE len(w) > 0""",
+    "src10_background_reading": f"""WITH {SCANS} SELECT doc_id, page, array_to_string(list_filter(list_transform(string_split(text, {NL}), lambda x: trim(x)), lambda x: x <> ''), {NL}) AS reading FROM sn WHERE kind IN ('pdf', 'image') AND source IN ('none', 'scan-text')""",
+    "sql1_chunks": f"WITH {CHUNKS} SELECT doc_id, page, CAST(chunk AS INTEGER) AS chunk, text FROM ck",
+    "sql2_lines": f"""WITH {PAGES} SELECT tx.doc_id, substr(sha1(d.text), 1, 16) AS content_id, page, CAST(len(lines) AS INTEGER) AS n_lines, CAST(list_sum(list_transform(lines, lambda x: length(x))) AS BIGINT) AS chars FROM tx JOIN documents d ON d.doc_id = tx.doc_id WHERE len(lines) > 0""",
 }

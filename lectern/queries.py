@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import bengali, readers
+from .functions import bengali, readers, sql
 from .functions import text as T
 from .functions import words as W
 from .operators import checkbox as cb
@@ -20,11 +20,11 @@ from .operators import index as ix
 from .operators import ledger as lg
 from .operators import verify as vf
 from .plans import models
+from .sources import commands, pdf
 from .sources import documents as src
-from .sources import pdf
 from .sources import sinks
 from .sources.store import Store, upsert
-from .streaming import budgets
+from .streaming import budgets, reading
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1267,6 +1267,76 @@ def md8_answer(spark, d):
     return spark.createDataFrame([(QUESTION, out["answer"], float(out["support"]), out["strategy"])], "question string, answer string, support double, strategy string")
 
 
+@query
+def md3_missed_boxes(spark, d):
+    """Lines that a first look had read, and those that only a second one finds: its boxes stand beside the first ones' to some degree."""
+    b = _line_boxes(spark, d).withColumn("box_id", F.col("line"))
+    shift = F.col("part") % 5 * 0.1
+    second = b.withColumn("box_id", F.col("line") + 100).withColumn("x0", F.col("x0") + shift).withColumn("x1", F.col("x1") + shift)
+    return geo.fill_missed(b.filter("line % 3 <> 0"), second, ["doc_id"]).select("doc_id", "box_id", "text", "look")
+
+
+@query
+def md3_sideways_runs(spark, d):
+    """Columns of single letters on each order's page; some are cut by a wide line, some have quantities' neighbours."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    cut = (n == 4) & (k % 4 == 0)
+    left, top = F.lit(500) + F.col("l_partkey") % 3 * 2, n * 30
+    side = lambda x: x / F.lit(1000.0)
+    letters = t(spark, d, "lineitem").select(k.alias("doc_id"), n.alias("box_id"), F.when(cut, "a line of text").otherwise(F.col("l_returnflag")).alias("text"), side(left).alias("x0"), side(top).alias("y0"), side(left + F.when(cut, 200).otherwise(12)).alias("x1"), side(top + 20).alias("y1"))
+    beside = letters.filter("doc_id % 5 = 0").select("doc_id", (F.col("box_id") + 100).alias("box_id"), F.lit("three pieces").alias("text"), (F.col("x1") + 0.01).alias("x0"), "y0", (F.col("x1") + 0.2).alias("x1"), "y1")
+    boxes = letters.union(beside).withColumn("width", F.lit(1000.0)).withColumn("height", F.lit(1000.0))
+    return geo.sideways_runs(boxes, ["doc_id"]).select("doc_id", "run", "fragments", "text", F.round("y0", 4).alias("y0"), F.round("y1", 4).alias("y1"))
+
+
+#: A program that stands in for a recogniser: each word of its input in a table of places.
+_WORDS_PROGRAM = r"""BEGIN { OFS = "\t"; print "level\tpage\tblock\tpar\tline\tword\tleft\ttop\twidth\theight\tconf\ttext" }
+{ print 4, 1, 1, 1, NR, 0, 0, 20 * NR, 9, 12, -1, ""; for (i = NF; i > 0; i--) print 5, 1, 1, 1, NR, i, 10 * i, 20 * NR, 8, 12, 90 - NR % 5, $i }"""
+
+
+@query
+def md4_command_lines(spark, d):
+    """The lines that a program finds on each page, here each document's text, by places and confidence."""
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\x0b\x0c\x00]", " ")
+    images = t(spark, d, "documents").select("doc_id", F.lit(10_000.0).alias("width"), F.lit(100_000.0).alias("height"), F.encode(body, "UTF-8").alias("content"))
+    read = commands.run_command(images, ["awk", _WORDS_PROGRAM])
+    return commands.lines_of_words(read, ["doc_id"]).select("doc_id", "row", "text", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1", "score")))
+
+
+@query
+def src10_background_reading(spark, d):
+    """Every pending page, read in batches by a run that is stopped after two of them and one that goes on."""
+    pending = ix.pending_pages(_scans(spark, d), QUESTION).select(F.col("doc_id").cast("string").alias("doc_id"), "page", F.encode("text", "UTF-8").alias("content"), "relevance")
+    with sinks.scratch(spark, "background") as folder:
+        held = Store(spark, folder)
+        pages = held.spark.read.parquet(f"{held.folder}/{held.put(pending)['path']}")
+        batch = max(pages.count() // 5, 1)
+        reading.read_pending(held, pages, 2 * batch, batch)
+        reading.read_pending(Store(spark, folder), pages, pages.count(), batch)
+        return reading.readings(held).select(F.col("doc_id").cast("long").alias("doc_id"), "page", F.array_join("lines", "\n").alias("reading"))
+
+
+@query
+def sql1_chunks(spark, d):
+    """fn4_chunks, asked in SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT d.doc_id, c.page, c.chunk, c.chunk_text AS text FROM {docs} d, LATERAL lectern_chunks(d.text) c", docs=t(spark, d, "documents"))
+
+
+@query
+def sql2_lines(spark, d):
+    """Lines of documents by page, asked in SQL; the table function is inlined."""
+    sql.register(spark)
+    return spark.sql("SELECT d.doc_id, lectern_content_id(d.text) AS content_id, l.page, max(l.n) + 1 AS n_lines, sum(length(l.line)) AS chars FROM {docs} d, LATERAL lectern_lines(d.text) l GROUP BY ALL", docs=t(spark, d, "documents"))
+
+
+@query
+def sql3_receipt_totals(spark, d):
+    """What stands in the rows of receipts that are totals, asked in SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT r.doc_id, x.n, x.label, x.last AS amount FROM {r} r, LATERAL lectern_receipt(r.text) x WHERE x.means = 'total' AND x.last IS NOT NULL", r=receipts(spark, d))
+
+
 @query
 def extra_window_neighbours(spark, d):
     """Extra: sentences with their neighbours, by window functions."""
