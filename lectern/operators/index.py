@@ -355,11 +355,16 @@ def scores_many(units: Index | DataFrame, queries: DataFrame, keys: list[str]) -
     return sums.select("query_id", *keys, "bm25", (F.col("covered") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("coverage"))
 
 
-def search_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k: int = 10, digits: int = 6, within: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, keys, score, rank): the k best units of each query (query_id, q), ties by keys; within: of each group of units."""
+def best_of_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k: int = 10, digits: int = 6, within: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, keys, score, rank, coverage): the k best units of each query (query_id, q), ties by keys; within: of each group of units."""
     score = F.round(F.col("bm25") * (0.25 + 0.75 * F.col("coverage")), digits)
     scored = scores_many(units, queries, keys).filter("bm25 > 0").withColumn("score", score)
-    return top(scored, ["query_id", *within], [F.desc("score"), *keys], k).select("query_id", *keys, "score", "rank")
+    return top(scored, ["query_id", *within], [F.desc("score"), *keys], k).select("query_id", *keys, "score", "rank", "coverage")
+
+
+def search_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k: int = 10, digits: int = 6, within: tuple[str, ...] = ()) -> DataFrame:
+    """best_of_many without coverage."""
+    return best_of_many(units, queries, keys, k, digits, within).drop("coverage")
 
 
 def top(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

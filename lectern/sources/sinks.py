@@ -87,7 +87,12 @@ def kept(spark: SparkSession, source: str, name: str) -> str:
     return _removed_at_end(spark, f"{_root(spark)}-{name}-{hashlib.sha1(state.encode()).hexdigest()[:12]}")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the application."""
+    return _removed_at_end(spark, f"{_root(spark)}-{name}-{uuid.uuid4().hex[:12]}")
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[str]:
-    """A new folder of the application."""
-    yield _removed_at_end(spark, f"{_root(spark)}-{name}-{uuid.uuid4().hex[:12]}")
+    """new_folder, for a with statement; what is read from it stays there for the application."""
+    yield new_folder(spark, name)

@@ -143,33 +143,39 @@ def test_ledger(spark):
     assert tuple(lg.extensions(events, ["u"], ["i"], "n", 65.0).first()) == (1, 1, 4, 5.0)
 
 
-def test_budget():
-    b = models.Budget.of("frugal", ocr_pages=1)
-    b.spend("ocr_pages", 1)
-    with pytest.raises(models.BudgetExceeded):
-        b.spend("ocr_pages", 1)
-    assert not b.ask_for("ocr_pages", 2) and b.pending[0]["status"] == "waiting"
-    b.resolve(0, True)
-    assert b.left("ocr_pages") == 2 and b.can("ocr_pages", 2)
-    b.throttle("llm_tokens", 99999)
-    assert b.left("llm_tokens") == 1500
-    with pytest.raises(ValueError):
-        b.set_limits(tool_calls=5, other=3)
-    assert b.limits["tool_calls"] == 4
-    b.charge("tool_calls", 6)
-    assert b.left("tool_calls") == 0 and b.log[-1]["overshoot"] == 2
-    with pytest.raises(models.BudgetExceeded):
-        models.chat_within(models.stub_chat, [{"role": "user", "content": "x" * 9000}], b)
-    assert b.spent["llm_tokens"] == 0
-
-
-def test_answer_plan(spark):
+def test_limits_and_what_is_left(spark):
+    rows = spark.createDataFrame([("frugal", 1.0, {"tool_calls": 5.0, "other": 3.0}, 1.0), ("frugal", None, {"ocr_pages": 3.0}, 0.0), ("odd", None, {}, 0.0)], "preset string, own double, asked map<string,double>, used double")
+    held = lg.change_limits(lg.limits(rows, overrides={"ocr_pages": "own"}), "asked").collect()
+    assert [(r.changed, r.limit_ocr_pages, r.limit_tool_calls) for r in held] == [(False, 1.0, 4.0), (True, 3.0, 4.0), (False, None, None)]
+    left = lg.left(F.col("limit"), F.col("allowance"), F.col("used"))
+    many = spark.createDataFrame([(4.0, None, 1.0), (4.0, 9.0, 1.0), (4.0, 2.0, 1.0), (4.0, None, 6.0)], "limit double, allowance double, used double")
+    assert [(r.left, r.can) for r in many.select(left.alias("left"), lg.can(left, F.lit(2.0)).alias("can")).collect()] == [(3.0, True), (3.0, True), (1.0, False), (0.0, False)]
+
+
+def test_prompts_are_refused_before_they_are_paid(spark):
+    rows = spark.createDataFrame([(["x" * 9000], 1500.0), (["hello"], 1500.0), (["hello"], 20.0), (None, 5.0)], "m array<string>, tokens double")
+    got = models.chat_rows(rows, "m", "tokens").collect()
+    assert [(r.refused, r.used, r.left_after) for r in got] == [(True, 0, 1500.0), (False, 1, 1499.0), (True, 0, 20.0), (None, 0, 5.0)]
+
+
+def test_answers(spark):
     from lectern.functions import readers
 
-    units = ix.add_tokens(spark.createDataFrame([(1, 1, "Burger 12,000\n\nTOTAL 31,000"), (2, 1, "The branch is in Gulshan")], "doc_id long, page int, text string"))
-    got = models.answer(units, "What is the total amount?", models.Budget.of(), [readers.amount_reading])
-    assert (got["answer"], got["strategy"], got["doc_id"]) == ("31,000", "rows", 1)
-    assert models.answer(units, "zebra giraffe okapi", models.Budget.of(), [])["strategy"] == "abstain"
+    units = ix.add_tokens(spark.createDataFrame([(1, 1, "Burger 12,000\n\nTOTAL 31,000"), (2, 1, "The branch office is in Gulshan"), (3, 1, "branch office hours")], "doc_id long, page int, text string"))
+    asked = [(1, "What is the total amount?", 4000, 8), (2, "zebra giraffe okapi", 4000, 8), (3, "Where is the branch office", 4000, 8), (4, "Where is the branch office", 30, 8), (5, "branch office", 4000, 0), (6, None, 4000, 8)]
+    calls = spark.sparkContext.accumulator(0)
+
+    def chat(messages, most):
+        calls.add(1)
+        return ("It is in Gulshan" if "Gulshan\n" in messages[-1]["content"] else "no idea"), 10
+
+    got = {r.query_id: r for r in models.answers(units, spark.createDataFrame(asked, "query_id int, q string, tokens_left int, calls_left int"), [readers.amount_reading], chat).collect()}
+    assert (got[1].answer, got[1].strategy, got[1].support, got[1].tokens_left) == ("31,000", "rows", 1.0, 4000.0)
+    assert (got[2].strategy, got[2].answer, got[2].verified) == ("abstain", models.NOTHING, False)
+    assert (got[3].strategy, got[3].answer, got[3].verified, got[3].place in (1, 2), got[3].tokens_left < 4000.0) == ("text", "It is in Gulshan", True, True, True)
+    assert (got[4].strategy, got[4].answer, got[4].tokens_left) == ("text", models.NOTHING, 30.0)
+    assert (got[5].strategy, got[5].answer) == ("budget", models.NOTHING) and got[6].answer == models.NOTHING
+    assert calls.value >= 1
 
 
 def test_verify_across_scripts(spark):
