@@ -19,7 +19,7 @@ from .token_counts import _PLAIN, _ranges
 #: Pairs whose counts are a broadcast table, the commonest ones: 17 bytes each, 18 MB at most.
 HEAD = 1 << 20
 #: Distinct words of a side that a worker keeps tokens of, and their characters; beyond it starts anew.
-HELD, HELD_CHARS = 100_000, 8 << 20
+HELD, HELD_CHARS = 180_000, 8 << 20
 #: Words that are encoded at once, and bytes of text that are aligned at once: the libraries' results are large.
 CHUNK, PIECE = 2048, 1 << 18
 #: Distinct pairs that a task holds before it passes their counts on.
