@@ -78,7 +78,7 @@ class Index:
             return page.select(*self.keys, *counts).filter(reduce(lambda x, y: x | y, (F.col(n) > 0 for n in names)))
         packed = self.grams.filter(F.col("gram").isin(*sorted({g for own in lists for g in own})))
         sums = packed.mapInArrow(grams.counted(lists), "uid long, " + ", ".join(f"{n} long" for n in names)).groupBy("uid").agg(*(F.sum(n).alias(n) for n in names))
-        return self.units.select("uid", *self.keys).join(sums, "uid").drop("uid")
+        return self.units.select(F.col("_uid").alias("uid"), *self.keys).join(sums, "uid").drop("uid")
 
     def total(self) -> DataFrame:
         return _totals(self.units) if self.totals is None else self.totals
@@ -92,10 +92,10 @@ class Index:
         """The units of a few best rows (keys and scores), in their order. The rows are bounded, and name what is read."""
         found = best.collect()
         if not found:
-            return self.units.limit(0).join(best, list(self.keys))
+            return self.units.limit(0).join(best, list(self.keys)).drop("_uid")
         held = best.sparkSession.createDataFrame(found, best.schema)
         named = reduce(lambda x, y: x & y, (F.col(k).isin(*{r[k] for r in found}) for k in self.keys))
-        return self.units.filter(named).join(F.broadcast(held), list(self.keys)).orderBy(*order)
+        return self.units.filter(named).join(F.broadcast(held), list(self.keys)).drop("_uid").orderBy(*order)
 
 
 def _postings(units: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -183,7 +183,7 @@ class IndexStore:
 
     def merge(self) -> Snapshot:
         """The live units as one segment."""
-        return self.replace(self.open().units.drop("uid"))
+        return self.replace(self.open().units.drop("_uid"))
 
     def _kept_small(self, made: Snapshot) -> Snapshot:
         n = sum(s["n"] for s in made.values["segments"].values())
@@ -205,7 +205,7 @@ class IndexStore:
 
     def _segment(self, units: DataFrame, number: int) -> tuple[dict, dict]:
         """The tables of a segment, and its totals. Partitions follow its bytes."""
-        uid = (F.monotonically_increasing_id() + F.lit(number << 52)).alias("uid")
+        uid = (F.monotonically_increasing_id() + F.lit(number << 52)).alias("_uid")
         own = self.store.put(units.select("*", uid))
         path = f"{self.store.folder}/{own['path']}"
         held = self.spark.read.parquet(path)
@@ -214,7 +214,7 @@ class IndexStore:
         tasks = max(size // PART_BYTES + 1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES + 1))
         # A range is cut inside a common term too, by the units' keys.
         postings = self.store.put(_postings(held, self.keys).repartitionByRange(tasks, "term", *self.keys).sortWithinPartitions("term", *self.keys))
-        packed = held.select("uid", _flat().alias("flat")).mapInArrow(grams.packed, "gram string, uids binary")
+        packed = held.select(F.col("_uid").alias("uid"), _flat().alias("flat")).mapInArrow(grams.packed, "gram string, uids binary")
         trigrams = self.store.put(packed.repartitionByRange(tasks, "gram", F.xxhash64("uids")).sortWithinPartitions("gram"))
         posted = self.spark.read.parquet(f"{self.store.folder}/{postings['path']}")
         terms = self.store.put(posted.groupBy("term").agg(F.count("*").alias("df")))
@@ -465,6 +465,7 @@ def pending_pages(pages: Index | DataFrame, question: str | None = None, limit:
     else:
         ranked = _relevance(_touched(ix, question)).select(*ix.keys, F.col("relevance").alias("_r"))
         out = ix.units.filter(unread).join(ranked, list(ix.keys), "left").withColumn("relevance", F.coalesce("_r", F.lit(0.0))).drop("_r").orderBy(F.desc("relevance"), "doc_id", "page")
+    out = out.drop("_uid")
     return out if limit is None else out.limit(limit)
 
 
