@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import subprocess
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
+#: Bytes of images and what is found in them that leave a worker at once; a larger one leaves it alone.
+PIECE_BYTES = 1 << 20
+
+
 def run_command(images: DataFrame, command: list[str], timeout: float = 180.0, tries: int = 2) -> DataFrame:
     """images (content) with output, what the program writes for each, and failure, why there is none.
 
     A process for each image, on the executors, without a shell. One that takes more than timeout seconds is killed, one
-    that ends with an error is tried again, tries times in all; both cost their own image only. Null images are not sent.
+    that ends with an error is tried again, tries times in all; both cost their own image only. Null images are not sent. What is found leaves a worker in pieces of bounded bytes, whatever
+    the batch holds.
     """
     from pyspark.sql.types import StringType, StructField, StructType
 
@@ -35,12 +39,29 @@ def run_command(images: DataFrame, command: list[str], timeout: float = 180.0, t
             why = f"ended with {done.returncode}"
         return None, why
 
-    def run(batches):
-        for pdf in batches:
-            found = [(None, None) if c is None else one(bytes(c)) for c in pdf["content"]]
-            yield pdf.assign(output=pd.Series([o for o, _ in found], dtype=object, index=pdf.index), failure=pd.Series([f for _, f in found], dtype=object, index=pdf.index))
+    return images.mapInArrow(lambda batches: _in_pieces(batches, one), shape)
+
+
+def _in_pieces(batches, one):
+    """The batches with output and failure, what one(content) gives, as soon as PIECE_BYTES of them are there."""
+    import pyarrow as pa
+
+    def with_outputs(rows: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        columns = [pa.array(list(c), pa.string()) for c in zip(*found)]
+        return pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[*rows.schema.names, "output", "failure"])
 
-    return images.mapInPandas(run, shape)
+    for batch in batches:
+        contents = batch.column("content")
+        begin, size, found = 0, 0, []
+        for i in range(batch.num_rows):
+            content = contents[i].as_py()
+            found.append((None, None) if content is None else one(content))
+            size += len(content or b"") + len(found[-1][0] or "")
+            if size >= PIECE_BYTES:
+                yield with_outputs(batch.slice(begin, i + 1 - begin), found)
+                begin, size, found = i + 1, 0, []
+        if found:
+            yield with_outputs(batch.slice(begin), found)
 
 
 def lines_of_words(read: DataFrame, by: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,23 @@ def test_programs_that_die_or_hang_cost_their_page_only(spark):
     read.unpersist()
 
 
+def test_what_programs_find_leaves_in_pieces():
+    """A batch's outputs were held together until its last image was read."""
+    sizes = [0, 10, commands.PIECE_BYTES, 300_000, 900_000, 5]
+    batch = pa.RecordBatch.from_pydict({"p": list(range(7)), "content": [b"x"] * 6 + [None]})
+    begun = []
+
+    def one(content):
+        begun.append(1)
+        return "y" * sizes[len(begun) - 1], None
+
+    got = []
+    for piece in commands._in_pieces(iter([batch]), one):
+        got.append((piece.num_rows, len(begun)))
+        assert piece.schema.names == ["p", "content", "output", "failure"]
+    assert got == [(3, 3), (2, 5), (2, 6)]
+
+
 def test_background_reading_goes_on_where_it_ended(spark, tmp_path, monkeypatch):
     rows = [(f"d{i}", 1, f"line {i}\nmore".encode() if i % 4 else b"", float(i % 5)) for i in range(23)]
     pages = spark.createDataFrame(rows, "doc_id string, page int, content binary, relevance double")
