@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import grams
 from ..functions import text as T
 from ..functions import words as W
-from ..functions.readers import similarity
+from ..functions.spelling import by_length, spelt
 from ..sources.store import Snapshot, Store
 
 #: Queries that are shipped to every executor at once; more of them are joined by term.
@@ -559,37 +559,28 @@ def _begun(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     return asked.join(held, "part", "left_semi").select("term").distinct()
 
 
-def _spelt(terms: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+#: Terms that tokens are compared with at once, and parts that the tokens of a length are dealt into where blocks aren't broadcast.
+TERM_BLOCK, PARTS = 256, 64
+
+
+def _spelt(terms: DataFrame, tokens: DataFrame, least: float, small: bool = True) -> DataFrame:
     """(term): terms of five letters or more that some token is spelt like: about as long, and of at least that ratio.
 
-    A ratio of r takes M >= r / 2 * s matching letters of s letters of both. Their blocks are at most one more than the
-    letters that don't match, so term and token share 3 * M - s - 1 pairs of letters or more. That many fewer of a term's
-    pairs, the rarest ones, need be looked up; pairs with too few in common are left out, and only the rest is compared.
+    Tokens are packed into lists of one length, terms into blocks for each length that they may be compared with. Lists meet
+    the blocks of their length, which are broadcast if they are few; bounds by shared letters and pairs of letters lose
+    no pair (functions.spelling).
     """
-    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2)))
-
-    def numbered(c: str) -> Column:
-        """Each pair with how many equal ones stand before it."""
-        p = pairs(F.col(c))
-        return F.transform(p, lambda x, i: F.concat(x, F.size(F.filter(F.slice(p, F.lit(1), i), lambda y: y == x)).cast("string")))
-
-    def shared(n: Column, m: Column) -> Column:
-        """Pairs that words of n and m letters must share."""
-        both = n + m
-        return F.lit(3) * F.ceil(both * F.lit(least / 2) - F.lit(1e-9)) - both - 1
-
-    asked = terms.filter(F.length("term") >= 5).select("term", F.length("term").alias("n"), numbered("term").alias("pairs"))
-    lengths = asked.select(F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("m")).distinct()
-    near = tokens.withColumn("m", F.length("token")).join(F.broadcast(lengths), "m", "left_semi")
-    held = near.select("token", "m", F.explode(numbered("token")).alias("pair")).join(asked.select(F.explode("pairs").alias("pair")).distinct(), "pair", "left_semi")
-    common = held.groupBy("pair").agg(F.count("*").alias("d"))
-    fewest = F.array_min(F.transform(F.sequence(F.col("n") - 2, F.col("n") + 2), lambda m: F.greatest(shared(F.col("n"), m), F.lit(1))))
-    each = asked.select("term", "n", F.explode("pairs").alias("pair")).join(common, "pair", "left")
-    listed = each.groupBy("term", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "pair"))).alias("p"))
-    rare = listed.select("term", "n", F.explode(F.slice("p", F.lit(1), (F.size("p") - fewest + 1).cast("int"))).alias("r")).select("term", "n", "r.pair")
-    found = held.join(rare, "pair").filter(F.abs(F.col("m") - F.col("n")) <= 2).select("term", "token").distinct()
-    enough = F.size(F.array_intersect(numbered("term"), numbered("token"))) >= shared(F.length("term"), F.length("token"))
-    return found.filter(enough).filter(similarity(F.col("term"), F.col("token")) >= least).select("term").distinct()
+    asked = terms.filter(F.length("term") >= 5).select("term", F.explode(F.sequence(F.length("term") - 2, F.length("term") + 2)).alias("m"))
+    places = asked.groupBy("m").agg(F.ceil(F.count("*") / TERM_BLOCK).alias("blocks"))
+    blocks = asked.join(F.broadcast(places), "m").groupBy("m", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block")).agg(F.collect_list("term").alias("terms"))
+    near = tokens.withColumn("m", F.length("token")).join(F.broadcast(places.select("m")), "m", "left_semi")
+    lists = near.select("token").mapInArrow(by_length, "m int, tokens array<string>")
+    if small:
+        pairs = lists.join(F.broadcast(blocks), "m")
+    else:
+        dealt = F.pmod(F.xxhash64("tokens"), F.lit(PARTS)).alias("part")
+        pairs = lists.select("*", dealt).join(blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part")), ["m", "part"])
+    return pairs.select("terms", "tokens").mapInArrow(spelt(least), "term string").distinct()
 
 
 def absent_many(units: Index | DataFrame, queries: DataFrame, fuzzy_least: float | None = 0.82) -> DataFrame:
@@ -607,7 +598,8 @@ def absent_many(units: Index | DataFrame, queries: DataFrame, fuzzy_least: float
     left = terms.join(_begun(terms, names), "term", "left_anti")
     left = left.join(_inside(left, _words(units)), "term", "left_anti")
     if fuzzy_least is not None:
-        left = left.join(_spelt(left, names, fuzzy_least), "term", "left_anti")
+        small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+        left = left.join(_spelt(left, names, fuzzy_least, small), "term", "left_anti")
     n = Index.of(units).total().select(F.greatest("n", F.lit(1)).alias("n"))
     weighed = left.join(tokens, "term", "left").crossJoin(F.broadcast(n)).select("term", idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("idf"))
     return wanted.join(weighed, "term").select("query_id", "term", "idf", F.col("term").isin(*sorted(W.ROLE_WORDS)).alias("role"))

@@ -2,9 +2,10 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from lectern.functions import readers
+from lectern.functions import readers, spelling
 from lectern.functions import text as T
 from lectern.functions import words as W
 from lectern.operators import index as ix
@@ -92,6 +93,24 @@ def test_spelling_join_loses_no_pair(spark):
         assert got == {w for w in words[::2] if len(w) >= 5 and any(abs(len(t) - len(w)) <= 2 and readers.ratio(w, t) >= least for t in words[1::2])}
 
 
+def test_few_words_are_compared_by_spelling(spark, monkeypatch):
+    """Pairs with few rare letters in common were compared one by one, so time followed terms times tokens."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeinorstlh") for _ in range(rng.randint(5, 11)))
+    tokens, terms = sorted({word() for _ in range(3000)}), sorted({word() for _ in range(60)} | {"%%%%%", "a" * 40})
+    compared, alike = [], readers.alike
+    monkeypatch.setattr(spelling, "alike", lambda *a: compared.append(1) or alike(*a))
+    got = set()
+    for batch in spelling.by_length(iter([pa.RecordBatch.from_pydict({"token": tokens})])):
+        m, own = batch.column("m")[0].as_py(), batch.column("tokens")[0].as_py()
+        near = [t for t in terms if abs(len(t) - m) <= 2]
+        got |= spelling.alike_terms(near, own, 0.82) if near else set()
+    assert got == {w for w in terms if any(abs(len(t) - len(w)) <= 2 and readers.ratio(w, t) >= 0.82 for t in tokens)}
+    assert len(compared) < 0.01 * len(terms) * len(tokens)
+    df = lambda c, v: spark.createDataFrame([(w,) for w in v], f"{c} string")
+    assert {r.term for r in ix._spelt(df("term", terms), df("token", tokens), 0.82, False).collect()} == got  # also where blocks aren't broadcast
+
+
 @pytest.mark.parametrize("pages", [3, 30])
 def test_abstain_equals_plain_python(spark, case, pages):
     texts, asked = case
