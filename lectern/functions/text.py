@@ -189,9 +189,11 @@ def estimate_tokens(texts: Column, images: Column | int = 0) -> Column:
 
 def support(answer: Column | str, evidence: Column | str, question: Column | str) -> Column:
     """Share of the answer's tokens, those of the question aside, that the evidence holds; repeats count, 0 without any."""
-    echoed, known = tokens(question), tokens(evidence)
-    own = F.filter(tokens(answer), lambda w: ~F.array_contains(echoed, w))
-    return F.when(F.size(own) > 0, F.size(F.filter(own, lambda w: F.array_contains(known, w))) / F.size(own)).otherwise(F.lit(0.0))
+    # Variables of lambdas are evaluated once; inside a lambda, an expression is evaluated for each element.
+    texts = F.array(F.struct(tokens(answer).alias("a"), tokens(question).alias("q"), tokens(evidence).alias("known")))
+    parts = F.transform(texts, lambda s: F.struct(F.filter(s["a"], lambda w: ~F.array_contains(s["q"], w)).alias("own"), s["known"].alias("known")))
+    share = lambda s: F.size(F.filter(s["own"], lambda w: F.array_contains(s["known"], w))) / F.size(s["own"])
+    return F.get(F.transform(parts, lambda s: F.when(F.size(s["own"]) > 0, share(s)).otherwise(F.lit(0.0))), F.lit(0))
 
 
 def normal(value: Column | str) -> Column:

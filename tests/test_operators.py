@@ -206,3 +206,10 @@ def test_extraction_csv(spark, tmp_path):
     sinks.write_extraction(fields.coalesce(1), f"{tmp_path}/csv")
     text = next((tmp_path / "csv").glob("*.csv")).read_text(encoding="utf-8")
     assert text.startswith("﻿field,value,document,page,verified") and "Total,'=1+1,d,1,true" in text
+
+
+def test_support_cuts_each_text_once(spark):
+    """The answer was cut three times, and the evidence again for each token of it."""
+    assert str(T.support("answer_", "evidence_", "question_")).count("answer_") == 1
+    df = spark.createDataFrame([("Alpha beta beta gamma", "beta alpha", "alpha?"), (None, "x", "y"), ("aa bb", None, None)], "a string, e string, q string")
+    assert [r.s for r in df.select(T.support("a", "e", "q").alias("s")).collect()] == [pytest.approx(2 / 3), 0.0, 0.0]
