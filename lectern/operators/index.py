@@ -13,6 +13,7 @@ from ..functions import grams
 from ..functions import text as T
 from ..functions import words as W
 from ..functions.spelling import by_length, spelt
+from ..sources import sinks
 from ..sources.store import Snapshot, Store
 
 #: Queries that are shipped to every executor at once; more of them are joined by term.
@@ -32,6 +33,7 @@ def add_tokens(units: DataFrame, text: str = "text", compose: bool = True) -> Da
 @dataclass(frozen=True)
 class Index:
     """Units (keys, text, toks, n_toks, ...) and, where they are stored, what questions are answered from without the texts.
+    Parts that are not stored are made from the units.
 
     postings: (term, keys, n_toks, f), one row a unit and term; grams: (gram, uids), the packed numbers of units that hold a
     trigram, a row for each trigram and piece of text, both sorted by what is looked up, so that a question reads the few
@@ -106,6 +108,8 @@ def _postings(units: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 PART_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
 #: Segments, and share of the units that are dropped, from which an index is merged into one segment.
 MOST_SEGMENTS, MOST_DROPPED = 8, 0.25
+#: What a segment may hold besides its units.
+PARTS_OF_INDEX = ("postings", "grams", "terms", "runs")
 
 
 class IndexStore:
@@ -120,13 +124,15 @@ class IndexStore:
     def __init__(self, spark: SparkSession, folder: str, keys: tuple[str, ...] = ("doc_id", "page")):
         self.spark, self.keys, self.store = spark, tuple(keys), Store(spark, folder)
 
-    def built(self) -> bool:
-        return "segments" in self.store.read().values
+    def built(self, parts: tuple[str, ...] = ()) -> bool:
+        held = self.store.read().values
+        return "segments" in held and set(parts) <= set(held.get("parts", PARTS_OF_INDEX))
 
     def open(self, snapshot: Snapshot | None = None) -> Index:
         now = snapshot or self.store.read()
         table = lambda name: self.store.table(name, now)
         segments, dropped = now.values["segments"], now.values["dropped"]
+        parts = now.values.get("parts", PARTS_OF_INDEX)
 
         def live(part: str) -> DataFrame:
             """A part of all segments, without what was dropped from each since."""
@@ -141,29 +147,41 @@ class IndexStore:
                 out.append(rows)
             return reduce(DataFrame.unionByName, out)
 
-        whole = lambda part: reduce(DataFrame.union, (table(f"{part}-{s}") for s in segments))
+        whole = lambda part: reduce(DataFrame.union, (table(f"{part}-{s}") for s in segments)) if part in parts else None
         terms = whole("terms")
-        if dropped or len(segments) > 1:
+        if terms is not None and (dropped or len(segments) > 1):
             less = [table(f"dropped-terms-{d}").withColumn("df", -F.col("df")) for d in dropped]
             terms = reduce(DataFrame.unionByName, less, terms).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
         n, total = (sum(s[c] for s in segments.values()) - sum(d[c] for d in dropped.values()) for c in ("n", "total"))
         totals = self.spark.createDataFrame([(n, total)], "n long, total long")
-        runs = whole("runs") if len(segments) == 1 else whole("runs").distinct()
         # A run that only dropped units hold would pass for one that is there.
-        return Index(live("units"), self.keys, live("postings"), whole("grams"), totals, terms, None if dropped else runs)
+        runs = None if dropped or "runs" not in parts else whole("runs") if len(segments) == 1 else whole("runs").distinct()
+        return Index(live("units"), self.keys, live("postings") if "postings" in parts else None, whole("grams"), totals, terms, runs)
 
-    def replace(self, units: DataFrame) -> Snapshot:
-        """Units with tokens as the only segment."""
+    def replace(self, units: DataFrame, parts: tuple[str, ...] = PARTS_OF_INDEX) -> Snapshot:
+        """Units with tokens as the only segment, with some parts; complete() adds others."""
         base = self.store.read()
-        tables, values = self._segment(units, 0)
+        tables, values = self._segment(units, 0, parts)
         gone = dict.fromkeys(n for n in base.tables)
-        return self.store.publish(base, {**gone, **tables}, {"segments": {"0": values}, "dropped": {}, "next": 1})
+        return self.store.publish(base, {**gone, **tables}, {"segments": {"0": values}, "dropped": {}, "next": 1, "parts": list(parts)})
+
+    def complete(self, parts: tuple[str, ...] = PARTS_OF_INDEX) -> Snapshot:
+        """Adds the parts that the segments don't have yet."""
+        base = self.store.read()
+        held = base.values.get("parts", PARTS_OF_INDEX)
+        new = tuple(p for p in parts if p not in held)
+        if not new:
+            return base
+        tables = {}
+        for s in base.values["segments"]:
+            tables |= self._parts(base.tables, s, new)
+        return self.store.publish(base, tables, {"parts": [*held, *new]})
 
     def add(self, units: DataFrame) -> Snapshot:
         """Adds units with tokens; they take the place of units of the same keys."""
         base = self.store.read()
         number = base.values["next"]
-        tables, values = self._segment(units, number)
+        tables, values = self._segment(units, number, tuple(base.values.get("parts", PARTS_OF_INDEX)))
         dropped = dict(base.values["dropped"])
         more, what = self._gone(base, self.store.spark.read.parquet(f"{self.store.folder}/{tables[f'units-{number}']['path']}").select(*self.keys), number)
         if what:
@@ -183,7 +201,7 @@ class IndexStore:
 
     def merge(self) -> Snapshot:
         """The live units as one segment."""
-        return self.replace(self.open().units.drop("_uid"))
+        return self.replace(self.open().units.drop("_uid"), tuple(self.store.read().values.get("parts", PARTS_OF_INDEX)))
 
     def _kept_small(self, made: Snapshot) -> Snapshot:
         n = sum(s["n"] for s in made.values["segments"].values())
@@ -203,25 +221,35 @@ class IndexStore:
         tables = {f"dropped-{number}": self.store.put(written.select(*self.keys)), f"dropped-terms-{number}": self.store.put(written.select(F.explode("toks").alias("term")).groupBy("term").agg(F.count("*").alias("df")))}
         return tables, {"n": sums.n, "total": sums.total, "segments": list(base.values["segments"])}
 
-    def _segment(self, units: DataFrame, number: int) -> tuple[dict, dict]:
-        """The tables of a segment, and its totals. Partitions follow its bytes."""
+    def _segment(self, units: DataFrame, number: int, parts: tuple[str, ...]) -> tuple[dict, dict]:
+        """The tables of a segment, and its totals."""
         uid = (F.monotonically_increasing_id() + F.lit(number << 52)).alias("_uid")
-        own = self.store.put(units.select("*", uid))
-        path = f"{self.store.folder}/{own['path']}"
-        held = self.spark.read.parquet(path)
-        folder = self.store._path(own["path"])
-        size = self.store._files.getContentSummary(folder).getLength()
+        own = {f"units-{number}": self.store.put(units.select("*", uid))}
+        sums = _totals(self._written(own[f"units-{number}"])).first()
+        return {**own, **self._parts(own, str(number), parts)}, {"n": sums.n, "total": sums.total}
+
+    def _written(self, table: dict) -> DataFrame:
+        return self.spark.read.parquet(f"{self.store.folder}/{table['path']}")
+
+    def _parts(self, tables: dict, number: str, parts: tuple[str, ...]) -> dict:
+        """Some parts of a segment whose units are written. Partitions follow its bytes."""
+        own, out = tables[f"units-{number}"], {}
+        held = self._written(own)
+        size = self.store._files.getContentSummary(self.store._path(own["path"])).getLength()
         tasks = max(size // PART_BYTES + 1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES + 1))
-        # A range is cut inside a common term too, by the units' keys.
-        postings = self.store.put(_postings(held, self.keys).repartitionByRange(tasks, "term", *self.keys).sortWithinPartitions("term", *self.keys))
-        packed = held.select(F.col("_uid").alias("uid"), _flat().alias("flat")).mapInArrow(grams.packed, "gram string, uids binary")
-        trigrams = self.store.put(packed.repartitionByRange(tasks, "gram", F.xxhash64("uids")).sortWithinPartitions("gram"))
-        posted = self.spark.read.parquet(f"{self.store.folder}/{postings['path']}")
-        terms = self.store.put(posted.groupBy("term").agg(F.count("*").alias("df")))
-        runs = self.store.put(_words(Index(held, self.keys)))
-        sums = _totals(held).first()
-        parts = {"units": own, "postings": postings, "grams": trigrams, "terms": terms, "runs": runs}
-        return {f"{name}-{number}": table for name, table in parts.items()}, {"n": sums.n, "total": sums.total}
+        if "postings" in parts:
+            # A range is cut inside a common term too, by the units' keys.
+            out["postings"] = self.store.put(_postings(held, self.keys).repartitionByRange(tasks, "term", *self.keys).sortWithinPartitions("term", *self.keys))
+        if "grams" in parts:
+            packed = held.select(F.col("_uid").alias("uid"), _flat().alias("flat")).mapInArrow(grams.packed, "gram string, uids binary")
+            out["grams"] = self.store.put(packed.repartitionByRange(tasks, "gram", F.xxhash64("uids")).sortWithinPartitions("gram"))
+        if "terms" in parts:
+            posted = out.get("postings") or tables.get(f"postings-{number}")
+            rows = Index(held, self.keys, None if posted is None else self._written(posted))
+            out["terms"] = self.store.put(document_frequencies(rows))
+        if "runs" in parts:
+            out["runs"] = self.store.put(_words(Index(held, self.keys)))
+        return {f"{name}-{number}": table for name, table in out.items()}
 
 
 def _flat(text: str = "text") -> Column:
@@ -355,10 +383,13 @@ def scores_many(units: Index | DataFrame, queries: DataFrame, keys: list[str]) -
     return sums.select("query_id", *keys, "bm25", (F.col("covered") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("coverage"))
 
 
-def best_of_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k: int = 10, digits: int = 6, within: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, keys, score, rank, coverage): the k best units of each query (query_id, q), ties by keys; within: of each group of units."""
+def best_of_many(units: Index | DataFrame, queries: DataFrame, keys: list[str], k: int = 10, digits: int = 6, within: tuple[str, ...] = (), scores: DataFrame | None = None) -> DataFrame:
+    """(query_id, keys, score, rank, coverage): the k best units of each query (query_id, q), ties by keys; within: of each group of units.
+
+    scores: what scores_many gave for the queries, if it is there already.
+    """
     score = F.round(F.col("bm25") * (0.25 + 0.75 * F.col("coverage")), digits)
-    scored = scores_many(units, queries, keys).filter("bm25 > 0").withColumn("score", score)
+    scored = (scores_many(units, queries, keys) if scores is None else scores).filter("bm25 > 0").withColumn("score", score)
     return top(scored, ["query_id", *within], [F.desc("score"), *keys], k).select("query_id", *keys, "score", "rank", "coverage")
 
 
@@ -583,23 +614,31 @@ def _spelt(terms: DataFrame, tokens: DataFrame, least: float, small: bool = True
     return pairs.select("terms", "tokens").mapInArrow(spelt(least), "term string").distinct()
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """rows written in the application's folder and read again: a table that several steps read is made once."""
+    folder = sinks.new_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def absent_many(units: Index | DataFrame, queries: DataFrame, fuzzy_least: float | None = 0.82) -> DataFrame:
     """(query_id, term, idf, role): terms of queries (query_id, q) with no counterpart in the units.
 
     A counterpart is the term inside any text (four letters or more), a token or its first three to five letters, a
     synonym that forms use, the stem, or a token of about the same length and spelling. Verb forms prove nothing. Each
-    distinct term is asked once; joins go over the distinct tokens and runs of the texts, never over the texts again.
+    distinct term is asked once; joins go over the distinct tokens and runs of the texts, never over the texts again. What
+    is left after each step is written: the next one names it twice, and plans would double with each.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(T.tokens(T.nfc("q")))).alias("term"))
     tokens = document_frequencies(units)
     verbs = (F.length("term") > 4) & (F.col("term").endswith("ed") | F.col("term").endswith("ing"))
-    terms = wanted.select("term").distinct().filter(~verbs)
+    terms = _written(wanted.select("term").distinct().filter(~verbs), "terms")
     names = tokens.select(F.col("term").alias("token"))
-    left = terms.join(_begun(terms, names), "term", "left_anti")
-    left = left.join(_inside(left, _words(units)), "term", "left_anti")
+    left = _written(terms.join(_begun(terms, names), "term", "left_anti"), "terms")
+    left = _written(left.join(_inside(left, _words(units)), "term", "left_anti"), "terms")
     if fuzzy_least is not None:
         small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-        left = left.join(_spelt(left, names, fuzzy_least, small), "term", "left_anti")
+        left = _written(left.join(_spelt(left, names, fuzzy_least, small), "term", "left_anti"), "terms")
     n = Index.of(units).total().select(F.greatest("n", F.lit(1)).alias("n"))
     weighed = left.join(tokens, "term", "left").crossJoin(F.broadcast(n)).select("term", idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("idf"))
     return wanted.join(weighed, "term").select("query_id", "term", "idf", F.col("term").isin(*sorted(W.ROLE_WORDS)).alias("role"))
@@ -617,9 +656,9 @@ def absent_shares(units: Index | DataFrame, queries: DataFrame, fuzzy_least: flo
     return each.select("query_id", share.alias("share"))
 
 
-def best_coverages(units: Index | DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, coverage): the largest share of each query's weight that one unit covers."""
-    best = scores_many(units, queries, list(Index.of(units).keys)).groupBy("query_id").agg(F.max("coverage").alias("coverage"))
+def best_coverages(units: Index | DataFrame, queries: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """(query_id, coverage): the largest share of each query's weight that one unit covers. scores as in best_of_many."""
+    best = (scores_many(units, queries, list(Index.of(units).keys)) if scores is None else scores).groupBy("query_id").agg(F.max("coverage").alias("coverage"))
     return queries.select("query_id").distinct().join(best, "query_id", "left").select("query_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
@@ -633,11 +672,11 @@ def _sample(ix: Index) -> str:
     return " ".join(r.text or "" for r in rows.toLocalIterator())[:SAMPLE]
 
 
-def abstain_many(units: Index | DataFrame, queries: DataFrame, pages: int | None = None, fuzzy_least: float | None = 0.82) -> DataFrame:
+def abstain_many(units: Index | DataFrame, queries: DataFrame, pages: int | None = None, fuzzy_least: float | None = 0.82, scores: DataFrame | None = None) -> DataFrame:
     """(query_id, share, coverage, abstain): whether terms that are nowhere carry much of a query and no unit covers it.
 
     Not judged across scripts, for quoted labels on few pages, or for item numbers that the first texts hold. pages: of
-    the documents that are asked; by default the units.
+    the documents that are asked; by default the units. scores as in best_of_many.
     """
     ix = Index.of(units)
     sample = _sample(ix)
@@ -651,7 +690,7 @@ def abstain_many(units: Index | DataFrame, queries: DataFrame, pages: int | None
     )
     judged = queries.crossJoin(F.broadcast(total)).select("query_id", F.coalesce(exempt, F.lit(False)).alias("exempt"))
     shares = absent_shares(ix, queries, fuzzy_least)
-    each = judged.join(shares, "query_id").join(best_coverages(ix, queries), "query_id")
+    each = judged.join(shares, "query_id").join(best_coverages(ix, queries, scores), "query_id")
     abstain = ~F.col("exempt") & (F.col("share") >= W.ABSENT_SHARE) & (F.col("coverage") < W.ABSTAIN_COVERAGE)
     return each.select("query_id", "share", "coverage", abstain.alias("abstain"))
 

@@ -187,16 +187,20 @@ def answers(pages: index.Index | DataFrame, questions: DataFrame, readers: list[
 
     ix = index.Index.of(pages)
     keys = list(ix.keys)
-    asked = questions.select("query_id", "q", F.col("tokens_left").cast("double").alias("tokens_left"), F.col("calls_left").cast("double").alias("calls_left"))
-    best = index.best_of_many(ix, asked.select("query_id", "q"), keys, most).join(ix.units.select(*keys, "text"), keys)
+    store = Store(ix.units.sparkSession, sinks.new_folder(ix.units.sparkSession, "answers"))
+    held = lambda df: store.spark.read.schema(df.schema).parquet(f"{store.folder}/{store.put(df)['path']}")
+    asked = held(questions.select("query_id", "q", F.col("tokens_left").cast("double").alias("tokens_left"), F.col("calls_left").cast("double").alias("calls_left")))
+    queries = asked.select("query_id", "q")
+    # What several steps read is written, so that it is made once, and each step is a small plan.
+    scores = held(index.scores_many(ix, queries, keys))
+    best = held(index.best_of_many(ix, queries, keys, most, scores=scores)).join(ix.units.select(*keys, "text"), keys)
     found = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "coverage"))).alias("found"))
-    rows = asked.join(index.abstain_many(ix, asked.select("query_id", "q")).select("query_id", "abstain"), "query_id").join(found, "query_id", "left")
+    abstain = held(index.abstain_many(ix, queries, scores=scores).select("query_id", "abstain"))
+    rows = asked.join(abstain, "query_id").join(found, "query_id", "left")
     first = F.replace(F.get("found", F.lit(0))["text"], F.lit("\n\n"), F.lit("\n"))
     read = F.coalesce(F.lit(None).cast("string"), *(reader(F.col("q"), first)["value"] for reader in readers))
     able = can(F.col("calls_left"), F.lit(1.0))
     strategy = F.when(~able, "budget").when(F.col("abstain"), "abstain").when(F.col("read").isNotNull(), "rows").otherwise("text")
-    store = Store(ix.units.sparkSession, sinks.new_folder(ix.units.sparkSession, "answers"))
-    held = lambda df: store.spark.read.schema(df.schema).parquet(f"{store.folder}/{store.put(df)['path']}")
     rows = held(rows.withColumn("read", read)).withColumn("strategy", strategy).withColumn("open", strategy == "text")
     rows = rows.select("query_id", F.col("q").alias("question"), "found", "strategy", "open", "tokens_left", F.when(F.col("strategy") == "rows", F.col("read")).otherwise(NOTHING).alias("said"), (F.col("strategy") == "rows").cast("double").alias("sure"), F.when(F.col("strategy") == "rows", 1).alias("place"))
     kept = ["query_id", "question", "found", "strategy"]

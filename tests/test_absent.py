@@ -137,3 +137,10 @@ def test_no_units_and_no_queries(spark):
     queries = spark.createDataFrame([(1, "zebra giraffe"), (1, "zebra giraffe"), (2, None)], "query_id long, q string")
     assert sorted(map(tuple, ix.abstain_many(empty, queries.distinct()).collect())) == [(1, 0.0, 0.0, False), (2, 0.0, 0.0, False)]
     assert ix.abstain_many(units_of(spark, ["x y"]), queries.limit(0)).collect() == []
+
+
+def test_plans_of_absent_terms_stay_small(spark):
+    units = ix.add_tokens(spark.createDataFrame([(1, 1, "loan amount of Karim"), (2, 1, "note about entries")], "doc_id long, page int, text string"))
+    asked = spark.createDataFrame([(1, "zyxwvut lones Karin"), (2, "quokka amount")], "query_id int, q string")
+    plan = ix.absent_many(units, asked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") < 6

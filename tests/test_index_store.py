@@ -85,3 +85,21 @@ def test_odd_units(spark, tmp_path):
     store.replace(tokens(spark, rows).limit(0))
     assert ix.search(store.open(), "loan", 9).collect() == [] and ix.document_frequencies(store.open()).collect() == []
     assert store.drop(spark.createDataFrame([(1, 1)], "doc_id long, page int")).values["dropped"] == {}
+
+
+def test_parts_are_built_when_they_are_asked_for(spark, tmp_path):
+    units = tokens(spark, TEXTS)
+    store = ix.IndexStore(spark, f"{tmp_path}/index", KEYS)
+    store.replace(units, ())
+    names = lambda: {n.partition("-")[0] for n in store.store.read().tables}
+    assert names() == {"units"} and store.built() and not store.built(("postings",))
+    same(store.open(), units, spark)
+    store.complete(("postings", "terms"))
+    assert names() == {"units", "postings", "terms"} and store.built(("terms", "postings")) and not store.built(("grams",))
+    same(store.open(), units, spark)
+    store.add(tokens(spark, [(9, 1, "loan changed to amount 5")]))
+    assert {"units-1", "postings-1", "terms-1"} <= set(store.store.read().tables) and not store.built(("runs",))
+    store.complete()
+    assert store.built(ix.PARTS_OF_INDEX) and {"grams-0", "grams-1", "runs-0", "runs-1"} <= set(store.store.read().tables)
+    changed = [r for r in TEXTS if r[:2] != (9, 1)] + [(9, 1, "loan changed to amount 5")]
+    same(store.open(), tokens(spark, changed), spark)
