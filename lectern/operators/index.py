@@ -370,15 +370,16 @@ def scores_many(units: Index | DataFrame, queries: DataFrame, keys: list[str]) -
     own = ix.near(sorted(known)) if 0 < len(known) <= (LITERAL_TERMS if ix.postings is None else NEAR_TERMS) else ix.every_posting()
     heads = wanted.filter(F.length("term") >= 5).select(F.substring("term", 1, 4).alias("head")).distinct()
     exact = own.join(hint(terms), "term", "left_semi")
-    df = exact.groupBy("term").agg(F.count("*").alias("df"))
+    df = exact.groupBy("term").agg(F.count("*").alias("df")) if ix.terms is None else ix.terms.join(hint(terms), "term", "left_semi")
     weights = wanted.join(df, "term", "left").crossJoin(F.broadcast(totals)).select("query_id", "term", "avg", idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("idf"))
     total = weights.groupBy("query_id").agg(F.sum("idf").alias("total"))
     part = F.col("idf") * F.col("f") * (W.K1 + 1) / (F.col("f") + W.K1 * ((1 - W.B) + W.B * F.col("n_toks") / F.col("avg")))
     hits = exact.join(hint(weights), "term").select("query_id", *keys, "term", "idf", part.alias("part"))
-    near = own.filter(F.length("term") >= 4).select(*keys, F.substring("term", 1, 4).alias("head")).join(hint(heads), "head", "left_semi").distinct()
+    near = own.filter(F.length("term") >= 4).select(*keys, F.substring("term", 1, 4).alias("head")).join(hint(heads), "head", "left_semi")
     long = weights.filter(F.length("term") >= 5).select("query_id", "term", "idf", F.substring("term", 1, 4).alias("head"))
     also = near.join(hint(long), "head").select("query_id", *keys, "term", "idf", F.lit(0.0).alias("part"))
-    each = hits.union(also).groupBy("query_id", *keys, "term").agg(F.max("idf").alias("idf"), F.max("part").alias("part"))
+    # One exchange serves both sums; tokens of one beginning that a unit repeats fall together in the first.
+    each = hits.union(also).repartition("query_id", *keys).groupBy("query_id", *keys, "term").agg(F.max("idf").alias("idf"), F.max("part").alias("part"))
     sums = each.groupBy("query_id", *keys).agg(F.sum("part").alias("bm25"), F.sum("idf").alias("covered")).join(hint(total), "query_id")
     return sums.select("query_id", *keys, "bm25", (F.col("covered") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("coverage"))
 
