@@ -282,13 +282,6 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-def _covers(toks: Column, term: str) -> Column:
-    exact = F.array_contains(toks, term)
-    if len(term) < 5:
-        return exact
-    return exact | F.exists(toks, lambda t: (F.length(t) >= 4) & (F.substring(t, 1, 4) == term[:4]))
-
-
 def _near(toks: Column, terms: list[str]) -> Column:
     """Tokens that are terms, or share the first four letters of one that may be matched so."""
     heads = sorted({t[:4] for t in terms if len(t) >= 5})
@@ -724,17 +717,30 @@ def page_evidence(pages: DataFrame, question: str, room: int = W.SHORT_PAGE, k:
     weights = [idf(F.col("_n"), F.col(f"_d{i}")) for i in range(len(terms))]
     total = sum(weights, F.lit(0.0))
     units = pages.filter(~short).crossJoin(F.broadcast(stats)).withColumn("units", T.sentences("text"))
+    # What a term is found by: a sentence without any of these has no token of it, and is not cut into tokens.
+    signs = sorted({t if len(t) < 5 else t[:4] for t in terms})
+    plain = not any(c.isdigit() for t in signs for c in t)
 
-    def cover(u: Column) -> Column:
+    def cut(u: Column) -> Column:
         toks = T.tokens(u)
-        return sum((F.when(_covers(toks, t), w).otherwise(F.lit(0.0)) for t, w in zip(terms, weights, strict=True)), F.lit(0.0)) / F.when(total == 0, F.lit(1.0)).otherwise(total)
-
-    each = units.select("doc_id", "page", "units", F.posexplode("units").alias("i", "u"))
-    if terms:
-        each = units.select("doc_id", "page", "units", "_n", *(f"_d{i}" for i in range(len(terms))), F.posexplode("units").alias("i", "u"))
-    each = each.withColumn("score", (cover(F.col("u")) if terms else F.lit(0.0)) + F.lit(0.001) * F.least(F.length("u"), F.lit(300)))
-    best = each.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("score"), F.desc("i")))).filter(F.col("rank") <= k)
-    gathered = best.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("rank", "i", "score"))).alias("picks"), F.first("units").alias("units"))
+        if plain and signs:
+            low = F.lower(u)
+            toks = F.when(reduce(lambda x, y: x | y, (F.contains(low, F.lit(g)) for g in signs)), toks).otherwise(F.array().cast("array<string>"))
+        return F.struct(toks.alias("toks"), F.least(F.length(u), F.lit(300)).alias("long"))
+
+    def headed(v: Column) -> Column:
+        heads = F.transform(F.filter(v["toks"], lambda t: F.length(t) >= 4), lambda t: F.substring(t, 1, 4))
+        return F.struct(v["toks"].alias("toks"), heads.alias("heads"), v["long"].alias("long"))
+
+    def scored(v: Column, i: Column) -> Column:
+        holds = lambda t: F.array_contains(v["toks"], t) if len(t) < 5 else F.array_contains(v["toks"], t) | F.array_contains(v["heads"], t[:4])
+        cover = sum((F.when(holds(t), w).otherwise(F.lit(0.0)) for t, w in zip(terms, weights, strict=True)), F.lit(0.0)) / F.when(total == 0, F.lit(1.0)).otherwise(total)
+        score = (cover if terms else F.lit(0.0)) + F.lit(0.001) * v["long"]
+        return F.struct((-score).alias("down"), (-i).alias("back"), i.alias("i"), score.alias("score"))
+
+    # A page's sentences are judged in its row, so only pages pass from step to step.
+    picks = F.slice(F.array_sort(F.transform(F.transform(F.transform("units", cut), headed), scored)), 1, k)
+    gathered = units.withColumn("picks", picks).select("doc_id", "page", "units", "picks")
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<i:int,score:double>>").alias("kept"))
     fold = F.aggregate(
         "picks", start,

@@ -213,3 +213,12 @@ def test_support_cuts_each_text_once(spark):
     assert str(T.support("answer_", "evidence_", "question_")).count("answer_") == 1
     df = spark.createDataFrame([("Alpha beta beta gamma", "beta alpha", "alpha?"), (None, "x", "y"), ("aa bb", None, None)], "a string, e string, q string")
     assert [r.s for r in df.select(T.support("a", "e", "q").alias("s")).collect()] == [pytest.approx(2 / 3), 0.0, 0.0]
+
+
+def test_page_evidence_judges_sentences_in_their_row(spark):
+    text = " ".join(f"Sentence number {i} is about {'loan amounts' if i % 7 == 3 else 'other things'} here." for i in range(40))
+    units = ix.add_tokens(spark.createDataFrame([(1, 1, text), (2, 1, "short loan")], "doc_id long, page int, text string"))
+    out = ix.page_evidence(units, "What is the loan amount?")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.doc_id, round(r.score, 3)): r.evidence for r in out.collect()}
+    assert got[2, 1.0] == "short loan" and all("loan amounts" in e for e in got.values() if len(e) > 20) and len(got) >= 2
