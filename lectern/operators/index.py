@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -504,22 +508,94 @@ def find_text(pages: DataFrame, query: str, limit: int = 50) -> DataFrame:
     return hits.withColumn("excerpt", cut).orderBy("doc_id", "page").limit(limit).crossJoin(F.broadcast(total))
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 3, per_block: int = 256, digits: int = 6) -> DataFrame:
+#: Vectors, and queries, that are multiplied at once.
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+
+
+def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """(size, ids, rows): up to `size` keys, largest first, nulls last, with their vectors of one length as packed doubles.
+
+    Vectors that are null or hold nulls have no products and are left out.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            held: dict[int, list] = {}
+            for k, v in zip(batch.column("k").to_pylist(), batch.column("v")):
+                own = v.values.to_numpy(zero_copy_only=False) if v.is_valid and not v.values.null_count else None
+                if own is not None:
+                    held.setdefault(len(own), []).append((k, own))
+            for n, all_ in held.items():
+                for a in range(0, len(all_), size):
+                    part = sorted(all_[a : a + size], key=lambda r: (r[0] is not None, r[0]), reverse=True)
+                    ids = pa.array([[k for k, _ in part]], pa.list_(batch.schema.field("k").type))
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), ids, pa.array([np.array([v for _, v in part], np.float64).tobytes()], pa.binary())], ["size", "ids", "rows"])
+
+    return rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"size int, ids array<{kind}>, rows binary")
+
+
+def _half_up(values: np.ndarray, digits: int) -> np.ndarray:
+    """Values as Spark's round() gives them: by their decimal form, halves away from zero."""
+    distinct, at = np.unique(values, return_inverse=True)
+    step = Decimal(1).scaleb(-digits)
+    return np.array([float(Decimal(repr(x)).quantize(step, ROUND_HALF_UP)) if math.isfinite(x) else x for x in distinct.tolist()])[at]
+
+
+def _best_products(k: int, digits: int, query_kind: pa.DataType, kind: pa.DataType):
+    """For mapInArrow over (size, ids, rows, query_ids, query_rows): each query's k best of a block, as (query_id, vec_id, score).
+
+    A matrix product finds what may be among them, within the rounding; those scores are added up component by component.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, ids, query_ids = batch.column("size")[i].as_py(), batch.column("ids")[i].values, batch.column("query_ids")[i].values
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(len(own), n) for c, own in (("rows", ids), ("query_rows", query_ids)))
+                with np.errstate(all="ignore"):
+                    about = np.nan_to_num(x @ y.T, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+                    slack = 2 * 10.0**-digits + 1e-12 * np.nan_to_num(np.abs(x).max(initial=0) * np.abs(y).max(axis=1, initial=0) * n, nan=np.inf, posinf=np.inf)
+                    least = (np.partition(about, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(len(query_ids), -np.inf)) - slack
+                    least[np.isnan(least)] = -np.inf
+                    queries, own, scores = [], [], []
+                    for j in range(len(query_ids)):
+                        at = np.flatnonzero(about[:, j] >= least[j])
+                        total = np.zeros(len(at))
+                        for c in range(n):
+                            total = total + x[at, c] * y[j, c]
+                        total = _half_up(total, digits)
+                        order = np.lexsort((at, np.where(np.isnan(total), 0, -total), ~np.isnan(total)))[:k]  # not-a-number is the largest
+                        queries.append(np.full(len(order), j))
+                        own.append(at[order])
+                        scores.append(total[order])
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(np.concatenate(queries))).cast(query_kind), ids.take(pa.array(np.concatenate(own))).cast(kind), pa.array(np.concatenate(scores))], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 3, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, score, rank): the k largest dot products with each query vector (query_id, q), ties by larger id.
 
-    A stated set of queries in blocks against all vectors: a block is broadcast (bounded), each partition keeps its own
-    k best in a heap-like aggregate, and only those are shuffled.
+    Blocks of vectors are dealt over PARTS parts, which blocks of queries are sent to; only a block's k best leave a task. Pairs of different lengths, or with
+    nulls, have a null product and come last: only queries that find fewer than k others are paired with all vectors again.
     """
-    held = queries.select("query_id", "q").orderBy("query_id").collect()
-    parts = []
-    for a in range(0, len(held), per_block):
-        block = [(r.query_id, [float(x) for x in r.q]) for r in held[a : a + per_block]]
-        kind = queries.schema["query_id"].dataType.simpleString()
-        literal = vectors.sparkSession.createDataFrame(block, f"query_id {kind}, q array<double>")
-        dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-        pairs = vectors.select("vec_id", "embedding").join(F.broadcast(literal), how="cross").select("query_id", "vec_id", F.round(dot, digits).alias("score"))
-        parts.append(top(pairs, ["query_id"], [F.desc("score"), F.desc("vec_id")], k))
-    return reduce(DataFrame.union, parts)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = queries.schema["query_id"].dataType, vectors.schema["vec_id"].dataType
+    asked = _blocks(queries, "query_id", "q", QUERY_BLOCK).select("size", F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"))
+    parts = max(PARTS, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).repartition(parts, "size", "part")
+    held = _blocks(vectors, "vec_id", "embedding", VECTOR_BLOCK).withColumn("part", F.pmod(F.xxhash64("rows"), F.lit(PARTS)).cast("int")).repartition(parts, "size", "part")
+    tiles = held.join(asked, ["size", "part"]).select("size", "ids", "rows", "query_ids", "query_rows")
+    shape = f"query_id {kinds[0].simpleString()}, vec_id {kinds[1].simpleString()}, score double"
+    order = [F.desc("score"), F.desc("vec_id")]
+    found = _written(top(tiles.mapInArrow(_best_products(k, digits, *map(to_arrow_type, kinds)), shape), ["query_id"], order, k), "products")
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("_full"))
+    short = queries.select("query_id", "q").join(full, F.col("query_id").eqNullSafe(F.col("_full")), "left_anti")
+    dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    rest = top(short.crossJoin(vectors.select("vec_id", "embedding")).select("query_id", "vec_id", F.round(dot, digits).alias("score")), ["query_id"], order, k)
+    return found.join(full, F.col("query_id").eqNullSafe(F.col("_full")), "left_semi").union(rest)
 
 
 def unread_counts(pages: Index | DataFrame) -> DataFrame:
