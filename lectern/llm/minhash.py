@@ -189,7 +189,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(members, labels, named, hubbed)
     # Only classes with a likely partner across components need their sets.
     light = classes.select("uid", "n", "sig", "bands")
-    work = tiles.join(light, "uid")
+    work = tiles.join(_asked_for(light, tiles), "uid")
 
     def flag(batches):
         for t in groups(batches, "tile"):
@@ -200,7 +200,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shape = "tile long, key long, uid long, label long, part int, own boolean"
     left = table(work.repartition(shuffle, "tile").sortWithinPartitions("tile").mapInArrow(flag, shape), "likely")
     release(tiles)
-    work = left.join(light, "uid").join(sets, "uid")
+    work = left.join(_asked_for(light, left), "uid").join(_asked_for(sets, left), "uid")
 
     def check(batches):
         for t in groups(batches, "tile"):
@@ -223,6 +223,11 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _asked_for(rows: DataFrame, by: DataFrame) -> DataFrame:
+    """rows whose uid is in a written table, and few others: signatures and sets that nothing asks for stay where they are."""
+    return sieved(rows, F.col("uid"), by, F.col("uid"), by.count())
+
+
 def _of_hubs(heads: DataFrame, sets: DataFrame, busy: DataFrame | None) -> DataFrame:
     """(uid, hub, part, shingles) of hubs; a hub with many parts is joined from several tasks."""
     return salted_join(heads, sets, "uid", None if busy is None else busy.withColumnRenamed("hub", "uid")).select("uid", "hub", "part", "shingles")

@@ -144,3 +144,12 @@ def test_vectors_that_meet_the_threshold_exactly(spark, monkeypatch, block):
     got = sorted(map(tuple, embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
     assert got == brute.near_vectors(rows)
     assert got[0][1] >= 3
+
+
+def test_what_no_tile_asks_for_is_not_exchanged(spark):
+    from lectern.llm import minhash
+
+    rows = spark.range(4000).selectExpr("id AS uid", "cast(id AS string) AS shingles")
+    asked = spark.range(0, 4000, 100).selectExpr("id AS uid")
+    got = {r.uid for r in minhash._asked_for(rows, asked).collect()}
+    assert {*range(0, 4000, 100)} <= got and len(got) < 1000
