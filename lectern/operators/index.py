@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
@@ -300,12 +300,15 @@ def _scored(units: Index | DataFrame, question: str) -> tuple[DataFrame, list[st
     """(keys, n_toks, bm25, coverage, score) of the units that a term of the question touches; the others' scores are 0.
 
     Statistics are those of all units, whatever is searched. The question's terms are known, so both they and a unit's
-    scores are sums over the postings of its few terms.
+    scores are sums over the postings of its few terms. Where no postings are stored, units are cut into tokens once: of
+    each its keys, its length and its tokens near the terms are written, no text and no other token.
     """
     ix, terms = Index.of(units), list(dict.fromkeys(T.tokens_of(question)))
     kinds = ", ".join(f"{k} {ix.units.schema[k].dataType.simpleString()}" for k in ix.keys)
     if not terms:
         return ix.units.sparkSession.createDataFrame([], f"{kinds}, n_toks int, bm25 double, coverage double, score double"), terms
+    if ix.postings is None:
+        ix = replace(ix, units=_written(ix.units.select(*ix.keys, "n_toks", _near(F.col("toks"), terms).alias("toks")), "near"))
     near = ix.near(terms)
     counts = near.agg(*(F.count_if(F.col("term") == t).alias(f"_d{i}") for i, t in enumerate(terms)))
     stats = counts.crossJoin(ix.total().select(F.greatest("n", F.lit(1)).alias("_n"), F.col("total").alias("_len")))  # one row each

@@ -2,7 +2,9 @@ import os
 
 import pytest
 
+from lectern import queries
 from lectern.operators import index as ix
+from lectern.sources import sinks
 
 KEYS = ("doc_id", "page")
 TEXTS = [(i, p, f"loan amount {i} of Karim Rahman" if i % 9 == 0 else f"note {i * 7} page{p} about item x{i % 5} and entry") for i in range(60) for p in (1, 2)]
@@ -103,3 +105,11 @@ def test_parts_are_built_when_they_are_asked_for(spark, tmp_path):
     assert store.built(ix.PARTS_OF_INDEX) and {"grams-0", "grams-1", "runs-0", "runs-1"} <= set(store.store.read().tables)
     changed = [r for r in TEXTS if r[:2] != (9, 1)] + [(9, 1, "loan changed to amount 5")]
     same(store.open(), tokens(spark, changed), spark)
+
+
+def test_retrieve_writes_no_index(spark, sf, tmp_path, monkeypatch):
+    """One question had all tokens of pages and chunks stored, several times the input in disk."""
+    monkeypatch.setattr(sinks, "_root", lambda spark: f"file://{tmp_path}/kept")
+    text = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("sum(octet_length(text)) AS n").first().n
+    assert len(queries.QUERIES["rk11_retrieve"](spark, sf).collect()) == 3
+    assert 0 < size(tmp_path) < 0.25 * text
