@@ -93,6 +93,12 @@ def bengali_share(text: Column | str) -> Column:
     return F.regexp_count(text, F.lit(rf"(?=\p{{L}})[{W.BENGALI}]")) / F.greatest(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(1))
 
 
+def letter_counts(text: Column | str) -> tuple[Column, Column]:
+    """How many letters a text has, and how many of them are Bengali; both 0 for null. What bengali_share is made of, for sums."""
+    own = F.regexp_replace(_col(text), r"\P{L}+", "")
+    return tuple(F.coalesce(F.length(x), F.lit(0)) for x in (own, F.regexp_replace(own, rf"[^{W.BENGALI}]+", "")))
+
+
 def script_mismatch(question: Column | str, text: Column | str) -> Column:
     return (bengali_share(question) >= 0.5) != (bengali_share(text) >= 0.5)
 

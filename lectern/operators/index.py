@@ -735,33 +735,26 @@ def best_coverages(units: Index | DataFrame, queries: DataFrame, scores: DataFra
     return queries.select("query_id").distinct().join(best, "query_id", "left").select("query_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
-#: Characters of the texts, in their order, by which the script and item numbers of all of them are judged.
-SAMPLE = 3000
-
-
-def _sample(ix: Index) -> str:
-    """The first SAMPLE characters of the units' texts, joined by spaces; as many units as that takes, each at least a space."""
-    rows = ix.units.select(*ix.keys, F.substring("text", 1, SAMPLE).alias("text")).orderBy(*ix.keys).limit(SAMPLE)
-    return " ".join(r.text or "" for r in rows.toLocalIterator())[:SAMPLE]
-
-
 def abstain_many(units: Index | DataFrame, queries: DataFrame, pages: int | None = None, fuzzy_least: float | None = 0.82, scores: DataFrame | None = None) -> DataFrame:
     """(query_id, share, coverage, abstain): whether terms that are nowhere carry much of a query and no unit covers it.
 
-    Not judged across scripts, for quoted labels on few pages, or for item numbers that the first texts hold. pages: of
-    the documents that are asked; by default the units. scores as in best_of_many.
+    Not judged across scripts, for quoted labels on few pages, or for item numbers that the texts hold: the script is that
+    of most letters of all texts, and all their tokens count. pages: of the documents that are asked; by default the units.
+    scores as in best_of_many.
     """
     ix = Index.of(units)
-    sample = _sample(ix)
-    known = set(T.tokens_of(sample))
     total = ix.total().select((F.col("n") if pages is None else F.lit(pages)).alias("_pages"))
+    letters, own = T.letter_counts("text")
+    share = F.coalesce(F.sum(own.cast("long")), F.lit(0)) / F.greatest(F.sum(letters.cast("long")), F.lit(1))
+    script = ix.units.agg((share >= 0.5).alias("_bengali"))
+    # As many as item_refs can name: at most 12,100 of one or two digits on each side.
+    items = document_frequencies(ix).filter(F.col("term").rlike(r"^[0-9]{1,2}\.[0-9]{1,2}$")).agg(F.collect_set("term").alias("_items"))
     refs = T.item_refs(F.col("q"))
-    tokens = F.array(*map(F.lit, sorted(known))).cast("array<string>")
     exempt = (
-        T.script_mismatch(F.col("q"), F.lit(sample)) | (F.col("q").rlike(r"['\"][^'\"]{2,40}['\"]") & (F.col("_pages") < W.BIG_CORPUS_PAGES))
-        | ((F.size(refs) > 0) & F.forall(refs, lambda r: F.array_contains(tokens, r)))
+        ((T.bengali_share("q") >= 0.5) != F.col("_bengali")) | (F.col("q").rlike(r"['\"][^'\"]{2,40}['\"]") & (F.col("_pages") < W.BIG_CORPUS_PAGES))
+        | ((F.size(refs) > 0) & F.forall(refs, lambda r: F.array_contains("_items", r)))
     )
-    judged = queries.crossJoin(F.broadcast(total)).select("query_id", F.coalesce(exempt, F.lit(False)).alias("exempt"))
+    judged = queries.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(script)).crossJoin(F.broadcast(items)).select("query_id", F.coalesce(exempt, F.lit(False)).alias("exempt"))
     shares = absent_shares(ix, queries, fuzzy_least)
     each = judged.join(shares, "query_id").join(best_coverages(ix, queries, scores), "query_id")
     abstain = ~F.col("exempt") & (F.col("share") >= W.ABSENT_SHARE) & (F.col("coverage") < W.ABSTAIN_COVERAGE)

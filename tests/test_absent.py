@@ -132,6 +132,14 @@ def test_script_and_items_are_judged_by_whole_samples(spark):
     assert {r.query_id: r.abstain for r in ix.abstain_many(held, queries).collect()} == {1: True, 2: False}
 
 
+def test_script_and_items_are_those_of_whole_texts(spark):
+    """Only the first 3,000 characters were judged."""
+    queries = spark.createDataFrame([(1, "zebra giraffe okapi"), (2, "serial 4.2 zebra giraffe"), (3, "serial ৪.২ ৪.৩ zebra giraffe")], "query_id long, q string")
+    judged = lambda texts: {r.query_id: r.abstain for r in ix.abstain_many(units_of(spark, texts), queries).collect()}
+    assert judged(["vendor " * 600, "কখগঘ " * 1500, None]) == {1: False, 2: False, 3: False}  # 3,600 Latin letters and then 6,000 Bengali ones
+    assert judged(["vendor " * 600 + "item 4.2 is here"]) == {1: True, 2: False, 3: True}
+
+
 def test_no_units_and_no_queries(spark):
     empty = units_of(spark, ["x"]).limit(0)
     queries = spark.createDataFrame([(1, "zebra giraffe"), (1, "zebra giraffe"), (2, None)], "query_id long, q string")
